@@ -70,5 +70,25 @@ def p8_reached(spark: SparkSession, root: str) -> DataFrame:
     return mixing.reached(mixing.draw(table(spark, root, "documents"), plan), plan)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached)}
+def p9_repaired(spark: SparkSession, root: str) -> DataFrame:
+    from evigrain.llm import encodings
+
+    return encodings.repair(table(spark, root, "documents").select("doc_id", "text")).where("affected").select("doc_id", "text_repaired", "restored", F.size("spans").alias("n_spans"), F.array_join(F.array_sort(F.array_distinct("spans.pair")), "; ").alias("pairs"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return p9_repaired(spark, root).select("doc_id")
+
+
+def p6_clean(spark: SparkSession, root: str) -> DataFrame:
+    from evigrain.llm import markup
+
+    return markup.clean(table(spark, root, "records"), "record_key", ("title", "abstract"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_clean(spark, root).where("record_key IS NOT NULL").select("record_key", "field_name", F.explode("kinds").alias("markup_kind")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p9_found, p9_repaired, p6_found, p6_clean)}
 SQL: dict[str, str] = {}
