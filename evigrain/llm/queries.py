@@ -90,5 +90,15 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return p6_clean(spark, root).where("record_key IS NOT NULL").select("record_key", "field_name", F.explode("kinds").alias("markup_kind")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p9_found, p9_repaired, p6_found, p6_clean)}
+def p5_repaired(spark: SparkSession, root: str) -> DataFrame:
+    from evigrain.llm import scans
+
+    return scans.repair(table(spark, root, "records"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return p5_repaired(spark, root).select("record_key", "field_name", F.explode("noise_kinds").alias("noise_kind")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p9_found, p9_repaired, p6_found, p6_clean, p5_found, p5_repaired)}
 SQL: dict[str, str] = {}
