@@ -68,8 +68,10 @@ def plan_mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     if len(wanted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     names = [w.source for w in wanted]
-    everything = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).collect()[0].t
-    have = {r.source: (r.n_docs, r.tokens) for r in sizes.where(F.col("source").isin([n for n in names if n is not None])).collect()}
+    known = F.when(F.col("source").isin([n for n in names if n is not None]), F.col("source"))
+    sums = sizes.groupBy(known.alias("source")).agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens")).collect()
+    everything = sum(r.tokens or 0 for r in sums)
+    have = {r.source: (r.n_docs, r.tokens or 0) for r in sums if r.source is not None}
     shares = [have.get(n, (0, 0))[1] / everything if everything else 0.0 for n in names]
     repeats = [max(w.max_repeats or 0, 0) for w in wanted]
     exponent = solve_exponent(shares, entropy([w.target_share or 0.0 for w in wanted]), repeats)
