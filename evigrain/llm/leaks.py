@@ -15,20 +15,25 @@ and equal items are all reported; letters are compared after case folding of eac
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 LEAST, BUDGET = 12, 1
 BROADCAST_BYTES = 8 << 20
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+BETWEEN = re.compile(r"[\W_]+")
+
+
+def line_of(text: str | None) -> str:
+    """The words of a text, each with a space on either side."""
+    return " " + BETWEEN.sub(" ", text.lower()).strip() + " " if text else " "
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return line_of(text).split()
 
 
 def piece_length(least: int = LEAST, budget: int = BUDGET) -> int:
@@ -77,8 +82,28 @@ def run_around(doc: list[str], item: list[str], d: int, i: int, length: int) ->
     return d - a, a + b
 
 
+def covered(doc: list[str], item: list[str], d: int, i: int, step: int, edits: int) -> int:
+    """How many words of the item, from ``i`` on in direction ``step``, the document can follow from ``d`` on with
+    so many word edits."""
+    n = 0
+    while 0 <= d < len(doc) and 0 <= i < len(item) and doc[d] == item[i]:
+        n, d, i = n + 1, d + step, i + step
+    if not edits or not 0 <= i < len(item):
+        return n
+    return n + max(
+        1 + covered(doc, item, d + step, i + step, step, edits - 1),
+        1 + covered(doc, item, d, i + step, step, edits - 1),
+        covered(doc, item, d + step, i, step, edits - 1) if 0 <= d < len(doc) else 0,
+    )
+
+
+def within_budget(doc: list[str], item: list[str], d: int, i: int, run: int, least: int, budget: int) -> bool:
+    """Whether the run of equal words at ``d`` / ``i`` can lie in ``least`` words of the item with ``budget`` edits."""
+    return any(covered(doc, item, d - 1, i - 1, -1, e) + run + covered(doc, item, d + run, i + run, 1, budget - e) >= least for e in range(budget + 1))
+
+
 def matcher(items: list[tuple[int, list[str]]], least: int, budget: int):
-    """A function from a document's words to {item number: (longest run, edits of the best window of least words)}."""
+    """A function from a document's line_of to {item number: (longest run, edits of the best window of least words)}."""
     import ahocorasick
 
     length = piece_length(least, budget)
@@ -91,16 +116,14 @@ def matcher(items: list[tuple[int, list[str]]], least: int, budget: int):
     for piece, where in places.items():
         auto.add_word(f" {piece} ", (len(piece), where))
     if not places:
-        return lambda doc: {}
+        return lambda line: {}
     auto.make_automaton()
 
-    def match(doc: list[str]) -> dict[int, tuple[int, int]]:
-        if len(doc) < length:
-            return {}
-        line = " " + " ".join(doc) + " "
+    def match(line: str) -> dict[int, tuple[int, int]]:
         hits = list(auto.iter(line))
         if not hits:
             return {}
+        doc = line.split()
         found: dict[int, tuple[int, int]] = {}
         seen: dict[tuple[int, int], int] = {}
         number, at = 0, 0
@@ -118,7 +141,7 @@ def matcher(items: list[tuple[int, list[str]]], least: int, budget: int):
                 best, edits = found.get(no, (0, least))
                 if run >= least:
                     edits = 0
-                elif edits > 0 and budget:
+                elif edits > 0 and budget and within_budget(doc, item, begin, i - (first - begin), run, least, budget):
                     low, high = max(0, i + length - least), min(i, len(item) - least)
                     for s in range(low, high + 1):
                         f = first - (i - s)
@@ -153,7 +176,7 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = LEAST, budget: i
             for part in parts:
                 rows: tuple[list, list, list, list] = ([], [], [], [])
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for no, (run, edits) in match(words(text)).items():
+                    for no, (run, edits) in match(line_of(text)).items():
                         for column, value in zip(rows, (doc, held[no][0], run, edits)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32())], ["doc_id", "item_id", "longest_run", "edits"])
