@@ -100,5 +100,17 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return p5_repaired(spark, root).select("record_key", "field_name", F.explode("noise_kinds").alias("noise_kind")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p9_found, p9_repaired, p6_found, p6_clean, p5_found, p5_repaired)}
+def p2_entities(spark: SparkSession, root: str) -> DataFrame:
+    from evigrain.llm import names
+
+    return names.entities(names.bibliographic_names(table(spark, root, "records"), table(spark, root, "corpus_manifest")))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    from evigrain.llm import names
+
+    return names.spelling_pairs(p2_entities(spark, root))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p9_found, p9_repaired, p6_found, p6_clean, p5_found, p5_repaired, p2_found, p2_entities)}
 SQL: dict[str, str] = {}
