@@ -112,5 +112,17 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return names.spelling_pairs(p2_entities(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p9_found, p9_repaired, p6_found, p6_clean, p5_found, p5_repaired, p2_found, p2_entities)}
+def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    from evigrain.llm import neighbours
+
+    return neighbours.nearest(table(spark, root, "chunk_vectors")).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "cosine", "rank_no")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    from evigrain.llm import neighbours
+
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, root, "chunk_vectors")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p9_found, p9_repaired, p6_found, p6_clean, p5_found, p5_repaired, p2_found, p2_entities, p4_found, p4_neighbours)}
 SQL: dict[str, str] = {}
