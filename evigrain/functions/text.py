@@ -6,9 +6,10 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: White space as the canonical text sees it: Unicode's, and the four ASCII separators.
-SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+SPACE = r"[\s\x0b\x1c-\x1f\x85   -     　]"
 
 #: Tokens whose full stop doesn't end a sentence.
 ABBREVIATIONS = (
@@ -30,7 +31,7 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
@@ -90,7 +91,7 @@ def sentences(c: Column | str) -> Column:
         joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", last, part)))
         return F.when((F.size(acc) > 0) & ends_with_abbreviation(last), joined).otherwise(F.concat(acc, F.array(part)))
 
-    return F.filter(F.transform(F.aggregate(parts, empty, step), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.aggregate(parts, empty, step), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def hedged(c: Column) -> Column:
@@ -110,7 +111,7 @@ def parse_year(c: Column) -> Column:
 def split_people(c: Column) -> Column:
     """Names split at ';' if there is one, else at ','; blanks dropped."""
     c = text_of(c)
-    return F.filter(F.transform(F.split(c, F.when(F.contains(c, F.lit(";")), F.lit(";")).otherwise(F.lit(","))), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, F.when(F.contains(c, F.lit(";")), F.lit(";")).otherwise(F.lit(","))), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def blank_placeholder(c: Column) -> Column:

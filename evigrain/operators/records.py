@@ -21,7 +21,7 @@ def canonical(records: DataFrame, year: str = "year", nfkc: bool = True) -> Data
     out = records
     if nfkc:  # one Arrow call a column; arrays go as one text
         joined = n(F.array_join(F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda a: T.collapse_space(F.coalesce(a, F.lit("")))), "␟"))
-        authors = F.array_sort(F.filter(F.transform(F.split(joined, "␟"), F.trim), lambda a: a != ""))
+        authors = F.array_sort(F.filter(F.transform(F.split(joined, "␟"), lambda a: F.trim(a)), lambda a: a != ""))
     body = F.transform(F.coalesce("sections", F.array().cast("array<struct<heading:string,body:string>>")), lambda s: F.struct(F.lower(T.collapse_space(F.coalesce(s["heading"], F.lit("")))).alias("heading"), T.collapse_space(F.coalesce(s["body"], F.lit(""))).alias("body")))
     return out.withColumns({
         "title": n("title"), "abstract": n("abstract"), "doi": T.normalise_doi("doi"), "venue": n("venue"), "full_text": n("full_text"),

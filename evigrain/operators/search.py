@@ -70,7 +70,7 @@ def signatures(vectors: DataFrame, normals: np.ndarray, key: str = "id", vector:
             return pd.Series(list((hit * (1 << np.arange(bits))).sum(axis=2).astype(np.int64)))
 
         return vectors.select(key, F.posexplode(codes(vector)).alias("table_no", "code"))
-    sides = F.transform(literal, lambda p, i: F.when(dot(F.col(vector), p) > 0, F.shiftleft(F.lit(1).cast("bigint"), (i % bits).cast("int"))).otherwise(F.lit(0).cast("bigint")))
+    sides = F.transform(literal, lambda p, i: F.when(dot(F.col(vector), p) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), (i % bits).cast("int"))).otherwise(F.lit(0).cast("bigint")))
     per = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.aggregate(F.slice("_sides", t * bits + 1, F.lit(bits)), F.lit(0).cast("bigint"), lambda s, x: s + x))
     return vectors.withColumn("_sides", sides).select(key, F.posexplode(per).alias("table_no", "code"))
 

@@ -2,5 +2,548 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from evigrain.functions import headings as H, text as T, vectors as V
+from evigrain.operators import chunking, metrics, records as R, search
+from evigrain.plans import experiment, retrieval
+from evigrain.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+# ---------------------------------------------------------------- SQL parts
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+collapse = lambda x: f"trim(regexp_replace({x}, '{SPACES}', ' ', 'g'))"
+DOI_SQL = r"regexp_replace(lower(trim(regexp_replace(trim(coalesce(doi, '')), '(?i)^(https?://(dx\.)?doi\.org/|doi:\s*)', ''))), '\.+$', '')"
+TITLE_SQL = "regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]', '', 'g')"
+TOKENS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+WORDS = lambda x: f"list_filter(string_split({collapse(x)}, ' '), lambda w: w <> '')"
+MARK = r"""regexp_replace({x}, '([.!?])\s+([A-Z0-9(\["“''])', '\1' || chr(30) || '\2', 'g')"""
+ABBREVIATED = rf"regexp_replace(regexp_replace(lower(regexp_extract(trim({{x}}), '([A-Za-z.]+)\.$', 1)), '^\.+', ''), '\.+$', '') IN ({quoted(T.ABBREVIATIONS)})"
+
+
+def sentences_sql(x: str) -> str:
+    parts = f"list_transform(list_filter(string_split({MARK.format(x=x)}, chr(30)), lambda p: trim(p) <> ''), lambda p: [p])"
+    fold = f"CASE WHEN {ABBREVIATED.format(x='a[-1]')} THEN list_concat(a[1:len(a) - 1], [a[-1] || ' ' || b[1]]) ELSE list_concat(a, b) END"
+    return f"(CASE WHEN len({parts}) = 0 THEN []::VARCHAR[] ELSE list_filter(list_transform(list_reduce({parts}, lambda a, b: {fold}), lambda s: trim(s)), lambda s: s <> '') END)"
+
+
+def chunk_sql(base: str, pieces: str, spec: str) -> str:
+    """base: a query with record_id and text; pieces: an expression giving a list of texts."""
+    return f"""WITH b AS ({base}), p AS (SELECT record_id, {pieces} AS ps FROM b),
+      f AS (SELECT record_id, unnest(range(len(ps)))::INT AS ordinal, unnest(list_transform(ps, lambda t: {collapse('t')})) AS text FROM p)
+      SELECT substr(sha256(concat_ws('|', record_id, '{spec}', ordinal::VARCHAR, text)), 1, 20) AS chunk_id, record_id, ordinal, text FROM f WHERE text <> ''"""
+
+
+DOCS_SQL = "SELECT doc_id::VARCHAR AS record_id, text FROM documents"
+
+
+def documents_as_records(spark: SparkSession, root: str) -> DataFrame:
+    none = F.lit("")
+    return table(spark, root, "documents").select(
+        F.col("doc_id").cast("string").alias("record_id"), none.alias("title"), none.alias("abstract"), F.coalesce("text", none).alias("full_text"), F.expr("CAST(array() AS array<struct<heading:string,body:string>>)").alias("sections")
+    )
+
+
+def chunked(spark: SparkSession, root: str, name: str, **params) -> DataFrame:
+    return chunking.chunk(documents_as_records(spark, root), name, spans=False, **params).select("chunk_id", "record_id", "ordinal", "text")
+
+
+def canonical_records(spark: SparkSession, root: str, nfkc: bool = True) -> DataFrame:
+    return R.canonical(table(spark, root, "records").withColumnRenamed("pub_year", "year"), nfkc=nfkc)
+
+
+# ---------------------------------------------------------------- records
+@query(f"SELECT record_key, {DOI_SQL} AS doi_norm FROM records")
+def normalise_doi(spark, root):
+    return table(spark, root, "records").select("record_key", T.normalise_doi("doi").alias("doi_norm"))
+
+
+KEY_SQL = f"CASE WHEN {DOI_SQL} <> '' THEN 'doi:' || {DOI_SQL} ELSE 'ty:' || {TITLE_SQL} || ':' || CASE WHEN coalesce(pub_year, 0) = 0 THEN '' ELSE pub_year::VARCHAR END END"
+
+
+def keyed(spark, root):
+    return table(spark, root, "records").withColumn("dedup_key", T.dedup_key(F.col("doi"), F.col("title"), F.col("pub_year")))
+
+
+@query(f"SELECT {KEY_SQL} AS dedup_key, count(*) AS n, min(record_key) AS first_key FROM records GROUP BY 1")
+def dedup_key(spark, root):
+    return keyed(spark, root).groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n"), F.min("record_key").alias("first_key"))
+
+
+LENGTH_SQL = "length(coalesce(abstract, '')) + length(coalesce(full_text, '')) + coalesce(list_sum(list_transform(sections, lambda s: length(coalesce(s.body, '')))), 0)"
+RANKED_SQL = f"SELECT record_id, dedup_key, first_value(record_id) OVER (PARTITION BY dedup_key ORDER BY len DESC, record_id) AS winner_id FROM (SELECT record_id, {KEY_SQL} AS dedup_key, {LENGTH_SQL} AS len FROM records)"
+
+
+@query(f"SELECT dedup_key, record_id FROM ({RANKED_SQL}) WHERE record_id = winner_id")
+def dedup_winners(spark, root):
+    return R.winners_and_losers(keyed(spark, root))[0].select("dedup_key", "record_id")
+
+
+@query(f"SELECT winner_id, record_id AS loser_id FROM ({RANKED_SQL}) WHERE record_id <> winner_id")
+def dedup_losers(spark, root):
+    return R.winners_and_losers(keyed(spark, root))[1]
+
+
+@query()
+def record_identity(spark, root):
+    return canonical_records(spark, root).select("record_key", R.record_id().alias("content_id"))
+
+
+@query("SELECT sha256(string_agg(record_id, '' ORDER BY record_id)) AS corpus_hash, count(*) AS n FROM records")
+def corpus_hash(spark, root):
+    ids = table(spark, root, "records").select("record_id")
+    return spark.createDataFrame([(R.corpus_hash(ids), ids.count())], "corpus_hash string, n long")
+
+
+@query("""SELECT count(*) AS records, count_if(coalesce(abstract, '') <> '') AS with_abstract, count_if(coalesce(doi, '') <> '') AS with_doi, count_if(coalesce(full_text, '') <> '') AS with_full_text, count_if(coalesce(len(sections), 0) > 0) AS with_sections,
+  CASE WHEN count_if(coalesce(len(sections), 0) > 0) >= greatest(1, count(*) // 2) THEN 'tei-section' WHEN count_if(coalesce(full_text, '') <> '') >= greatest(1, count(*) // 2) THEN 'sentence' ELSE 'record' END AS recommended_chunker FROM records""")
+def corpus_stats(spark, root):
+    return R.corpus_statistics(table(spark, root, "records"))
+
+
+@query("""SELECT import_id, sum(n)::BIGINT AS rows_read, sum(ma)::BIGINT AS missing_abstract, sum(md)::BIGINT AS missing_doi, string_agg(CASE WHEN k <> '' THEN k || '=' || n END, '; ' ORDER BY k || '=' || n) AS document_types
+  FROM (SELECT import_id, coalesce(element_at(extra, 'document_type')[1], '') AS k, count(*) AS n, count_if(coalesce(abstract, '') = '' OR lower(trim(abstract)) = '[no abstract available]') AS ma, count_if(coalesce(doi, '') = '') AS md FROM records GROUP BY 1, 2) GROUP BY 1""".replace("element_at(extra, 'document_type')[1]", "map_extract_value(extra, 'document_type')"))
+def import_report(spark, root):
+    return R.import_counts(table(spark, root, "records"))
+
+
+@query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM records GROUP BY 1")
+def source_partition(spark, root):
+    return table(spark, root, "records").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH r AS (SELECT record_id, nullif({DOI_SQL}, '') AS kd, nullif({TITLE_SQL}, '') AS kt, length(coalesce(full_text, '')) AS n FROM records),
+  m AS (SELECT *, nullif({DOI_SQL}, '') AS kd, nullif({TITLE_SQL}, '') AS kt FROM corpus_manifest), d AS (SELECT kd, max_by(n, record_id) AS n FROM r WHERE kd IS NOT NULL GROUP BY 1), t AS (SELECT kt, max_by(n, record_id) AS n FROM r WHERE kt IS NOT NULL GROUP BY 1)
+  SELECT m.record_id, coalesce(d.n, t.n) AS text_n_chars, CASE WHEN d.n IS NOT NULL THEN 'doi' WHEN t.n IS NOT NULL THEN 'title' ELSE 'none' END AS matched_by FROM m LEFT JOIN d USING (kd) LEFT JOIN t USING (kt)""")
+def merge_metadata(spark, root):
+    texts = table(spark, root, "records").withColumn("n_chars", F.length(T.text_of("full_text")).cast("long"))
+    return R.merge_metadata(table(spark, root, "corpus_manifest"), texts, ["n_chars"]).select("record_id", "text_n_chars", "matched_by")
+
+
+# ---------------------------------------------------------------- text
+@query(f"SELECT chunk_id, len({TOKENS('text')})::BIGINT AS n_tokens, len(list_distinct({TOKENS('text')}))::BIGINT AS n_distinct FROM chunks")
+def tokenise(spark, root):
+    t = T.tokens("text")
+    return table(spark, root, "chunks").select("chunk_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, unnest(range(len(s)))::INT AS sentence_no, unnest(s) AS sentence FROM (SELECT doc_id, {sentences_sql('text')} AS s FROM documents)")
+def split_sentences(spark, root):
+    return table(spark, root, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("sentence_no", "sentence"))
+
+
+CLAIMS_SQL = f"SELECT doc_id, record_key, claim_no, claim, regexp_matches(claim, '(?i)\\b({'|'.join(T.HEDGES)})\\b') AS hedged FROM (SELECT doc_id, record_key, unnest(range(len(s)))::INT AS claim_no, unnest(s) AS claim FROM (SELECT doc_id, record_key, {sentences_sql('text')} AS s FROM documents)) WHERE len({WORDS('claim')}) BETWEEN 6 AND 60 AND NOT ends_with(claim, '?')"
+
+
+@query(f"SELECT doc_id, claim_no, claim, hedged FROM ({CLAIMS_SQL})")
+def extract_claims(spark, root):
+    return metrics.claims(table(spark, root, "documents"), "doc_id")
+
+
+@query(f"SELECT chunk_id, CASE WHEN length(text) <= 240 THEN text ELSE regexp_replace(substr(text, 1, 240), '\\s+\\S*$', '') || ' ...' END AS snippet FROM chunks")
+def snippets(spark, root):
+    return table(spark, root, "chunks").select("chunk_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query(r"SELECT record_id, list_filter(list_transform(string_split(coalesce(authors, ''), CASE WHEN contains(coalesce(authors, ''), ';') THEN ';' ELSE ',' END), lambda x: trim(x)), lambda x: x <> '') AS people FROM corpus_manifest".replace("AS people", "AS p").replace("SELECT record_id,", "SELECT record_id, array_to_string(p, '|') AS people, len(p)::INT AS n_people FROM (SELECT record_id,") + ")")
+def split_authors(spark, root):
+    p = T.split_people(F.col("authors"))
+    return table(spark, root, "corpus_manifest").select("record_id", F.array_join(p, "|").alias("people"), F.size(p).alias("n_people"))
+
+
+# ---------------------------------------------------------------- sections
+def _heading_sql() -> str:
+    h = f"lower({collapse('heading')})"
+    for _ in range(3):
+        h = f"regexp_replace({h}, '{H.NUMBERING}', '')"
+    return f"trim(regexp_replace({h}, '[\\s.:;,\\-–—]+$', ''))"
+
+
+def _label_sql(what: str) -> str:
+    cases = [f"WHEN n = '' THEN '{'other' if what == 'label' else 'empty'}'"]
+    cases += [f"WHEN n = '{h}' THEN '{label if what == 'label' else 'exact'}'" for h, label in H.EXACT.items()]
+    cases += [f"WHEN contains(n, '{p}') THEN '{label if what == 'label' else 'contains:' + p}'" for p, label in H.CONTAINS]
+    return f"CASE {' '.join(cases)} ELSE '{'other' if what == 'label' else 'unmatched'}' END"
+
+
+@query(f"WITH h AS (SELECT coalesce(unnest(sections).heading, '') AS heading FROM records), m AS (SELECT heading, {_heading_sql()} AS n FROM h) SELECT heading, n AS normal, {_label_sql('label')} AS label, {_label_sql('rule')} AS rule, count(*) AS uses FROM m GROUP BY ALL")
+def section_classify(spark, root):
+    h = table(spark, root, "records").select(F.explode("sections").alias("s")).select(F.coalesce("s.heading", F.lit("")).alias("heading"))
+    counted = h.groupBy("heading").agg(F.count(F.lit(1)).alias("uses")).withColumn("normal", H.normalise_heading("heading"))
+    return counted.withColumn("c", H.classify(F.col("normal"))).select("heading", "normal", "c.label", "c.rule", "uses")
+
+
+@query()
+def section_inherit(spark, root):
+    return H.section_rows(table(spark, root, "records")).select("record_id", "section_no", "heading", "normal", "label", "rule")
+
+
+@query()
+def section_report(spark, root):
+    return H.section_report(H.section_rows(table(spark, root, "records")))
+
+
+@query("SELECT coalesce(section, 'none') AS section, count(*) AS n, count_if(span_start >= 0 AND span_end > span_start) AS n_located FROM chunks GROUP BY 1")
+def section_mix(spark, root):
+    return table(spark, root, "chunks").groupBy(F.coalesce("section", F.lit("none")).alias("section")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("span_start >= 0 AND span_end > span_start")).alias("n_located"))
+
+
+# ---------------------------------------------------------------- chunkers
+WINDOWS_SQL = "list_transform(range(CASE WHEN len(w) = 0 THEN 0 ELSE (greatest(len(w) - {size}, 0) + {step} - 1) // {step} + 1 END), lambda i: array_to_string(w[i * {step} + 1:i * {step} + {size}], ' '))"
+
+
+@query(chunk_sql(f"SELECT record_id, {WORDS('text')} AS w FROM ({DOCS_SQL})", WINDOWS_SQL.format(size=200, step=160), "fixed/v1(size=200,overlap=40)"))
+def chunk_fixed(spark, root):
+    return chunked(spark, root, "fixed")
+
+
+@query(chunk_sql(f"SELECT record_id, {sentences_sql('text')} AS w FROM ({DOCS_SQL})", WINDOWS_SQL.format(size=3, step=1), "sliding-sentence/v1(window=3,stride=1)"))
+def chunk_sliding(spark, root):
+    return chunked(spark, root, "sliding-sentence")
+
+
+PACKED_SQL = f"""CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE (SELECT list_append(r.done, array_to_string(r.now, ' ')) FROM (SELECT list_reduce(list_transform(w, lambda s: {{'done': []::VARCHAR[], 'now': [s], 'n': len({WORDS('s')})}}),
+  lambda a, x: CASE WHEN a.n + x.n > 180 THEN {{'done': list_append(a.done, array_to_string(a.now, ' ')), 'now': x.now, 'n': x.n}} ELSE {{'done': a.done, 'now': list_concat(a.now, x.now), 'n': a.n + x.n}} END) AS r)) END"""
+
+
+@query(chunk_sql(f"SELECT record_id, {sentences_sql('text')} AS w FROM ({DOCS_SQL})", PACKED_SQL, "sentence/v1(max_words=180)"))
+def chunk_sentence(spark, root):
+    return chunked(spark, root, "sentence")
+
+
+@query()
+def chunk_paragraph(spark, root):
+    return chunked(spark, root, "paragraph")
+
+
+@query()
+def chunk_recursive(spark, root):
+    return chunked(spark, root, "recursive")
+
+
+@query()
+def chunk_semantic(spark, root):
+    return chunked(spark, root, "semantic")
+
+
+@query(f"""WITH b AS (SELECT record_id, {collapse("coalesce(title, '') || '. ' || coalesce(abstract, '')")} AS text FROM records)
+  SELECT substr(sha256(concat_ws('|', record_id, 'record/v1', '0', text)), 1, 20) AS chunk_id, record_id, 0 AS ordinal, text FROM b WHERE text <> ''""")
+def chunk_record(spark, root):
+    return chunking.chunk(table(spark, root, "records"), "record", spans=False).select("chunk_id", "record_id", "ordinal", "text")
+
+
+@query()
+def chunk_section(spark, root):
+    return chunking.chunk(canonical_records(spark, root), "tei-section").select("chunk_id", "record_id", "ordinal", "section", "span_start", "span_end", "text")
+
+
+@query("SELECT count(*) AS located, count_if(substr(text, 1, 20) <> '') AS with_text FROM chunks WHERE span_start >= 0 AND span_end > span_start")
+def located_chunks(spark, root):
+    return table(spark, root, "chunks").where("span_start >= 0 AND span_end > span_start").agg(F.count(F.lit(1)).alias("located"), F.count_if(F.substring("text", 1, 20) != "").alias("with_text"))
+
+
+# ---------------------------------------------------------------- vectors
+def hash_sql(source: str, key: str, text: str, dim: int) -> str:
+    t = f"rpad(' ' || trim(lower(coalesce({text}, ''))) || ' ', greatest(length(' ' || trim(lower(coalesce({text}, ''))) || ' '), 4)::INT, ' ')"
+    return f"""SELECT {key}, bucket, sum(s)::BIGINT AS total FROM (SELECT {key}, ('0x' || substr(d, 1, 8))::BIGINT % {dim} AS bucket, CASE WHEN ('0x' || substr(d, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS s
+      FROM (SELECT {key}, sha1(g) AS d FROM (SELECT {key}, unnest(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) AS g FROM (SELECT {key}, {t} AS t FROM {source})))) GROUP BY 1, 2 HAVING sum(s) <> 0"""
+
+
+@query(hash_sql("chunks", "chunk_id", "text", 256))
+def hash_embed(spark, root):
+    return V.hash_counts(table(spark, root, "chunks"), "chunk_id", "text")
+
+
+def vec_sides(spark, root):
+    v = search.usable(table(spark, root, "embeddings"), "vec_id", "embedding").withColumnRenamed("vec_id", "id")
+    return v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+
+
+UNIT_SQL = "SELECT vec_id AS id, CASE WHEN list_dot_product(e, e) = 0 THEN e ELSE list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) END AS v, e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0)"
+TOP = lambda score, k=10: f"SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank_no FROM ({score})) WHERE rank_no <= {k}"
+PAIRS = lambda score: f"WITH u AS ({UNIT_SQL}) SELECT q.id AS query_id, u.id, round_even({score}, 9) AS score FROM u, u q WHERE q.id % 20 = 0"
+
+
+def _flat(metric):
+    return lambda spark, root: search.exact(*vec_sides(spark, root), 10, metric)
+
+
+for _metric, _sql in (("cosine", "list_dot_product(u.v, q.v)"), ("ip", "list_dot_product(u.e, q.e)"), ("l2", "-list_distance(u.e, q.e)")):
+    query(TOP(PAIRS(_sql)), f"flat_{_metric}_topk")(_flat(_metric))
+
+BITS, TABLES = 8, 2
+NORMALS = search.planes(64, BITS, TABLES, 42)
+_planes_sql = ", ".join(f"({t}, {b}, {[float(x) for x in NORMALS[t, b]]}::DOUBLE[])" for t in range(TABLES) for b in range(BITS))
+CODES_SQL = f"SELECT id, t AS table_no, sum(CASE WHEN list_dot_product(v, p) > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM ({UNIT_SQL}), (VALUES {_planes_sql}) x(t, b, p) GROUP BY 1, 2"
+
+
+@query(CODES_SQL)
+def lsh_signature(spark, root):
+    v, _ = vec_sides(spark, root)
+    return search.signatures(v.withColumn("v", V.unit(F.col("v"))), NORMALS).select("id", F.col("table_no").cast("int").alias("table_no"), "code")
+
+
+LSH_SQL = TOP(f"WITH c AS ({CODES_SQL}), u AS ({UNIT_SQL}), m AS (SELECT DISTINCT q.id AS query_id, c.id FROM c JOIN c q ON q.id % 20 = 0 AND c.table_no = q.table_no AND bit_count(xor(c.code, q.code)) <= 1) SELECT query_id, m.id, round_even(list_dot_product(a.v, b.v), 9) AS score FROM m JOIN u a ON a.id = m.id JOIN u b ON b.id = m.query_id")
+
+
+def _lsh(spark, root):
+    return search.lsh(*vec_sides(spark, root), 10, BITS, TABLES)
+
+
+query(LSH_SQL, "lsh_topk")(_lsh)
+
+
+@query()
+def ivf_topk(spark, root):
+    return search.ivf(*vec_sides(spark, root), 10, cells=32, probes=8)
+
+
+@query()
+def ivfpq_topk(spark, root):
+    return search.ivf(*vec_sides(spark, root), 10, cells=32, probes=8, parts=8)
+
+
+@query(f"""WITH e AS ({TOP(PAIRS("list_dot_product(u.v, q.v)"))}), l AS ({LSH_SQL}), a AS (SELECT query_id, list(id ORDER BY rank_no) AS e FROM e GROUP BY 1), b AS (SELECT query_id, list(id ORDER BY rank_no) AS l FROM l GROUP BY 1)
+  SELECT query_id, round_even(len(list_intersect(e, l)) / len(e), 9) AS esf, (len(e) - len(list_intersect(e, l)))::INT AS n_missing, (len(l) - len(list_intersect(e, l)))::INT AS n_spurious FROM a JOIN b USING (query_id)""")
+def evidence_fidelity(spark, root):
+    sides = vec_sides(spark, root)
+    e = metrics.lists_of(search.exact(*sides, 10), ["query_id"], "id").withColumnRenamed("ids", "exact_ids")
+    a = metrics.lists_of(search.lsh(*sides, 10, BITS, TABLES), ["query_id"], "id").withColumnRenamed("ids", "approx_ids")
+    return metrics.fidelity(e.join(a, "query_id")).select("query_id", F.bround("esf", 9).alias("esf"), "n_missing", "n_spurious")
+
+
+@query()
+def grid_summary(spark, root):
+    v, q = vec_sides(spark, root)
+    rows = experiment.run_grid(v.withColumn("id", F.col("id").cast("string")), q, 10, [{"backend": "lsh", "params": {"bits": 8, "tables": 3}, "seeds": [0, 1, 2]}, {"backend": "ivf", "params": {"cells": 32, "probes": 6}, "seeds": [0, 1]}])
+    return experiment.summary(rows, ["backend", "params"])
+
+
+# ---------------------------------------------------------------- lexical and fused retrieval
+BM25_SQL = f"""WITH d AS (SELECT chunk_id, {TOKENS('text')} AS t FROM chunks), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d), p AS (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({TOKENS('query_text')}) AS term FROM queries) GROUP BY 1, 2)
+  SELECT query_id, chunk_id AS id, round_even(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * (dl / a)))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY 1, 2"""
+
+
+@query(f"SELECT count(*) AS n, round_even(avg(len({TOKENS('text')})), 9) AS avgdl FROM chunks")
+def bm25_stats(spark, root):
+    return search.bm25_statistics(table(spark, root, "chunks")).select("n", F.bround("avgdl", 9).alias("avgdl"))
+
+
+def bm25_lists(spark, root, k):
+    return search.bm25(table(spark, root, "chunks"), table(spark, root, "queries"), k, key="chunk_id")
+
+
+@query(f"SELECT query_id, id AS chunk_id, round_even(score, 6) AS score, rank_no FROM ({TOP(BM25_SQL)})")
+def bm25_topk(spark, root):
+    return bm25_lists(spark, root, 10).select("query_id", "chunk_id", F.bround("score", 6).alias("score"), "rank_no")
+
+
+@query("SELECT query_id, chunk_id, round_even(sum(1.0 / (60 + rank_no)), 9) AS score, count(*) AS n FROM ranked_hits WHERE chunk_id IS NOT NULL AND rank_no IS NOT NULL GROUP BY 1, 2")
+def rrf_fusion(spark, root):
+    hits = table(spark, root, "ranked_hits").where("chunk_id IS NOT NULL AND rank_no IS NOT NULL")
+    return hits.groupBy("query_id", "chunk_id").agg(F.bround(F.sum(1.0 / (60 + F.col("rank_no"))), 9).alias("score"), F.count(F.lit(1)).alias("n"))
+
+
+def dense_sql(dim: int, where: str = "") -> str:
+    vec = lambda source, key, text: f"SELECT k.{key}, bucket, round_even(total / n, 6) AS x FROM ({hash_sql(source, key, text, dim)}) k JOIN (SELECT {key}, sqrt(sum(total * total)) AS n FROM ({hash_sql(source, key, text, dim)}) GROUP BY 1) z ON k.{key} = z.{key}"
+    unit = lambda name, key: f"SELECT a.{key}, bucket, x / sqrt(s) AS x FROM {name} a JOIN (SELECT {key}, sum(x * x) AS s FROM {name} GROUP BY 1) b ON a.{key} = b.{key}"
+    return f"""WITH cv AS ({vec(f'(SELECT * FROM chunks {where})', 'chunk_id', 'text')}), qv AS ({vec('queries', 'query_id', 'query_text')}), c AS ({unit('cv', 'chunk_id')}), q AS ({unit('qv', 'query_id')})
+      SELECT query_id, chunk_id AS id, round_even(sum(c.x * q.x), 9) AS score FROM c JOIN q USING (bucket) GROUP BY 1, 2"""
+
+
+def retrieved(spark, root, **settings):
+    return retrieval.retrieve(table(spark, root, "chunks"), table(spark, root, "queries"), retrieval.Settings(dimension=64, **settings))
+
+
+@query(f"SELECT query_id, id AS chunk_id, round_even(score, 6) AS score, rank_no FROM ({TOP(dense_sql(64))})")
+def retrieve_dense(spark, root):
+    return retrieved(spark, root, mode="dense", k=10).select("query_id", "chunk_id", F.bround("score", 6).alias("score"), "rank_no")
+
+
+@query(f"SELECT query_id, id AS chunk_id, rank_no FROM ({TOP(BM25_SQL)})")
+def retrieve_lexical(spark, root):
+    return retrieved(spark, root, mode="lexical", k=10).select("query_id", "chunk_id", "rank_no")
+
+
+FUSED_SQL = f"""WITH d AS ({TOP(dense_sql(64), 40)}), l AS ({TOP(BM25_SQL, 40)}) SELECT query_id, id, round_even(sum(1.0 / (60 + rank_no)), 9) AS score FROM (SELECT query_id, id, rank_no FROM d UNION ALL SELECT query_id, id, rank_no FROM l) GROUP BY 1, 2"""
+
+
+@query(f"SELECT query_id, id AS chunk_id, score, rank_no FROM ({TOP(FUSED_SQL)})")
+def retrieve_hybrid(spark, root):
+    return retrieved(spark, root, mode="hybrid", k=10)
+
+
+@query(f"SELECT query_id, id AS chunk_id, rank_no FROM ({TOP(dense_sql(64, chr(39).join(['WHERE section IN (', 'methods', ', ', 'results', ')'])))})")
+def retrieve_section_filter(spark, root):
+    return retrieved(spark, root, mode="dense", k=10, section_filter=("methods", "results")).select("query_id", "chunk_id", "rank_no")
+
+
+# ---------------------------------------------------------------- lists, spans, evidence
+LISTS_SQL = "SELECT query_id, run_id, list(chunk_id ORDER BY r, chunk_id) AS ids FROM (SELECT query_id, run_id, chunk_id, min(rank_no) AS r FROM ranked_hits WHERE chunk_id IS NOT NULL GROUP BY ALL) GROUP BY ALL"
+NEIGHBOURS_SQL = f"SELECT * FROM (SELECT query_id, run_id, ids, lag(ids) OVER w AS before_ids FROM ({LISTS_SQL}) WINDOW w AS (PARTITION BY query_id ORDER BY run_id)) WHERE before_ids IS NOT NULL"
+JACCARD_SQL = "CASE WHEN len(list_distinct(list_concat(ids, before_ids))) = 0 THEN 1.0 ELSE len(list_intersect(ids, before_ids)) / len(list_distinct(list_concat(ids, before_ids))) END"
+RBO_SQL = "list_sum(list_transform(range(1, greatest(len(ids), len(before_ids)) + 1), lambda d: len(list_intersect(ids[1:d], before_ids[1:d])) / d * pow(0.9, d - 1))) / ((1 - pow(0.9, greatest(len(ids), len(before_ids)))) / 0.1)"
+
+
+def run_lists(spark, root):
+    return metrics.lists_of(table(spark, root, "ranked_hits"), ["query_id", "run_id"])
+
+
+@query(f"SELECT query_id, run_id, round_even({JACCARD_SQL}, 9) AS jaccard, round_even({RBO_SQL}, 6) AS rbo FROM ({NEIGHBOURS_SQL})")
+def run_agreement(spark, root):
+    a, b = F.col("ids"), F.col("before_ids")
+    return metrics.consecutive(run_lists(spark, root), "query_id", "run_id").select("query_id", "run_id", F.bround(metrics.jaccard(a, b), 9).alias("jaccard"), F.bround(metrics.rank_biased_overlap(a, b), 6).alias("rbo"))
+
+
+@query(f"""WITH n AS ({NEIGHBOURS_SQL}), c AS (SELECT query_id, run_id, list_filter(ids, lambda x: list_contains(before_ids, x)) AS c, before_ids AS b FROM n), p AS (SELECT query_id, run_id, list_transform(c, lambda x: list_position(b, x)) AS p FROM c),
+  k AS (SELECT query_id, run_id, len(p) AS n, list_sum(list_transform(range(1, len(p) + 1), lambda i: len(list_filter(p[i + 1:], lambda x: x > p[i])))) AS s FROM p)
+  SELECT query_id, run_id, round_even(CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 1.0 ELSE (2 * s - n * (n - 1) / 2) / (n * (n - 1) / 2) END, 9) AS tau FROM k""")
+def kendall_tau(spark, root):
+    return metrics.consecutive(run_lists(spark, root), "query_id", "run_id").select("query_id", "run_id", F.bround(metrics.kendall_tau(F.col("ids"), F.col("before_ids")), 9).alias("tau"))
+
+
+@query(f"SELECT query_id, count(*) + 1 AS n_lists, round_even(avg({JACCARD_SQL}), 6) AS ess, round_even(coalesce(stddev_samp({JACCARD_SQL}), 0), 6) AS ess_std, round_even(avg((ids = before_ids)::INT), 6) AS identical_fraction FROM ({NEIGHBOURS_SQL}) GROUP BY 1")
+def evidence_stability(spark, root):
+    r6 = lambda c: F.bround(c, 6).alias(c)
+    return metrics.stability(run_lists(spark, root), "query_id", "run_id").select("query_id", "n_lists", r6("ess"), r6("ess_std"), r6("identical_fraction"))
+
+
+@query("""WITH h AS (SELECT DISTINCT query_id, run_id, chunk_id FROM ranked_hits), n AS (SELECT query_id, count(DISTINCT run_id) AS n_runs FROM h GROUP BY 1), c AS (SELECT query_id, chunk_id, count(*) AS k FROM h GROUP BY 1, 2)
+  SELECT query_id, n_runs, count_if(k = n_runs) AS n_core, count_if(k < n_runs) AS n_volatile FROM c JOIN n USING (query_id) GROUP BY 1, 2""")
+def core_volatile(spark, root):
+    return metrics.core_and_volatile(table(spark, root, "ranked_hits"), "query_id", "run_id")
+
+
+@query("SELECT run_id, query_id, sha256(string_agg(rank_no::VARCHAR || ':' || chunk_id, '' ORDER BY rank_no, chunk_id)) AS digest FROM ranked_hits WHERE rank_no IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2")
+def evidence_digest(spark, root):
+    return retrieval.evidence_digest(table(spark, root, "ranked_hits").where("rank_no IS NOT NULL AND chunk_id IS NOT NULL"), ["run_id", "query_id"])
+
+
+@query(f"SELECT query_id, run_id, (len(before_ids) - len(list_intersect(ids, before_ids)))::INT AS n_missing, (len(ids) - len(list_intersect(ids, before_ids)))::INT AS n_added, ids <> before_ids AND list_sort(ids) = list_sort(before_ids) AS reordered_only FROM ({NEIGHBOURS_SQL})")
+def certificate_verify(spark, root):
+    a, b = F.col("ids"), F.col("before_ids")
+    return metrics.consecutive(run_lists(spark, root), "query_id", "run_id").select("query_id", "run_id", F.size(F.array_except(b, a)).alias("n_missing"), F.size(F.array_except(a, b)).alias("n_added"), ((a != b) & (F.array_sort(a) == F.array_sort(b))).alias("reordered_only"))
+
+
+@query("SELECT query_id, run_id, count(*) AS n_records, sum(r)::BIGINT AS rank_sum FROM (SELECT query_id, run_id, record_id, min(rank_no) AS r FROM ranked_hits JOIN chunks USING (chunk_id) GROUP BY ALL) GROUP BY 1, 2")
+def record_ids(spark, root):
+    hits = table(spark, root, "ranked_hits").join(table(spark, root, "chunks").select("chunk_id", "record_id"), "chunk_id")
+    return hits.groupBy("query_id", "run_id", "record_id").agg(F.min("rank_no").alias("r")).groupBy("query_id", "run_id").agg(F.count(F.lit(1)).alias("n_records"), F.sum("r").alias("rank_sum"))
+
+
+MERGE_SQL = """SELECT {by}, min(span_start) AS span_start, max(span_end) AS span_end FROM (SELECT *, sum(CASE WHEN far IS NULL OR span_start > far THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY span_start, span_end ROWS UNBOUNDED PRECEDING) AS isle
+  FROM (SELECT *, max(span_end) OVER (PARTITION BY {by} ORDER BY span_start, span_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM ({source}) WHERE span_start >= 0 AND span_end > span_start)) GROUP BY {by}, isle"""
+
+
+@query(MERGE_SQL.format(by="record_id", source="SELECT record_id, span_start, span_end FROM chunks"))
+def span_merge(spark, root):
+    return metrics.merged_spans(table(spark, root, "chunks").select("record_id", "span_start", "span_end"), ["record_id"])
+
+
+END_RUNS_SQL = "SELECT h.query_id, {f}(run_id) AS run_id FROM ranked_hits h GROUP BY 1"
+EVIDENCE_SQL = "SELECT DISTINCT h.query_id, c.chunk_id, c.record_id, c.span_start, c.span_end, c.text FROM ranked_hits h JOIN ({e}) e ON h.query_id = e.query_id AND h.run_id = e.run_id JOIN chunks c ON c.chunk_id = h.chunk_id"
+
+
+def ends(spark, root):
+    """The evidence of the first and of the last run of each query."""
+    hits = table(spark, root, "ranked_hits")
+    chunks = table(spark, root, "chunks").select("chunk_id", "record_id", "span_start", "span_end", "text")
+    out = []
+    for f in (F.min, F.max):
+        run = hits.groupBy("query_id").agg(f("run_id").alias("run_id"))
+        out.append(hits.join(run, ["query_id", "run_id"]).select("query_id", "chunk_id").distinct().join(chunks, "chunk_id"))
+    return out
+
+
+A_SQL, B_SQL = (EVIDENCE_SQL.format(e=END_RUNS_SQL.format(f=f)) for f in ("min", "max"))
+
+
+@query(f"""WITH a AS ({A_SQL}), b AS ({B_SQL}), ma AS ({MERGE_SQL.format(by='query_id, record_id', source='a')}), mb AS ({MERGE_SQL.format(by='query_id, record_id', source='b')}),
+  na AS (SELECT query_id, sum(span_end - span_start) AS n FROM ma GROUP BY 1), nb AS (SELECT query_id, sum(span_end - span_start) AS n FROM mb GROUP BY 1),
+  x AS (SELECT ma.query_id, sum(least(ma.span_end, mb.span_end) - greatest(ma.span_start, mb.span_start)) AS n FROM ma JOIN mb ON ma.query_id = mb.query_id AND ma.record_id = mb.record_id AND least(ma.span_end, mb.span_end) > greatest(ma.span_start, mb.span_start) GROUP BY 1),
+  k AS (SELECT query_id FROM a UNION SELECT query_id FROM b), s AS (SELECT k.query_id, coalesce(x.n, 0)::BIGINT AS both_chars, (coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(x.n, 0))::BIGINT AS union_chars FROM k LEFT JOIN na USING (query_id) LEFT JOIN nb USING (query_id) LEFT JOIN x USING (query_id))
+  SELECT query_id, both_chars, union_chars, round_even(CASE WHEN union_chars = 0 THEN 1.0 ELSE both_chars / union_chars END, 9) AS agreement FROM s""")
+def span_agreement(spark, root):
+    a, b = ends(spark, root)
+    return metrics.span_agreement(a, b, ["query_id"]).withColumn("agreement", F.bround("agreement", 9))
+
+
+@query(f"""WITH a AS ({A_SQL}), b AS ({B_SQL}), p AS (SELECT a.query_id, a.chunk_id, bool_or(a.chunk_id = b.chunk_id) AS same_id, bool_or(a.text = b.text) AS same_text, bool_or(a.span_start >= 0 AND a.record_id = b.record_id AND a.span_start = b.span_start AND a.span_end = b.span_end) AS same_span,
+  bool_or(a.record_id = b.record_id AND a.span_start >= 0 AND b.span_start >= 0 AND a.span_start < b.span_end AND b.span_start < a.span_end) AS any_chars FROM a JOIN b ON a.query_id = b.query_id GROUP BY 1, 2)
+  SELECT query_id, count(*) AS n, count_if(same_id) AS by_id, count_if(same_text) AS by_text, count_if(same_span) AS by_span, count_if(any_chars) AS by_chars FROM p GROUP BY 1""")
+def overlap_four_ways(spark, root):
+    a, b = ends(spark, root)
+    # evidence sets hold k chunks, so a query's pairs are at most k x k
+    other = b.select("query_id", *[F.col(c).alias(f"b_{c}") for c in ("chunk_id", "record_id", "span_start", "span_end", "text")])
+    same_record = F.col("record_id") == F.col("b_record_id")
+    met = a.join(other, "query_id").groupBy("query_id", "chunk_id").agg(
+        F.bool_or(F.col("chunk_id") == F.col("b_chunk_id")).alias("i"), F.bool_or(F.col("text") == F.col("b_text")).alias("t"),
+        F.bool_or((F.col("span_start") >= 0) & same_record & (F.col("span_start") == F.col("b_span_start")) & (F.col("span_end") == F.col("b_span_end"))).alias("s"),
+        F.bool_or(same_record & (F.col("span_start") >= 0) & (F.col("b_span_start") >= 0) & (F.col("span_start") < F.col("b_span_end")) & (F.col("b_span_start") < F.col("span_end"))).alias("c"),
+    )
+    return met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("i").alias("by_id"), F.count_if("t").alias("by_text"), F.count_if("s").alias("by_span"), F.count_if("c").alias("by_chars"))
+
+
+CONTENT = lambda x: f"list_filter(list_distinct({TOKENS(x)}), lambda w: w NOT IN ({quoted(T.STOPWORDS)}))"
+GROUNDED_SQL = f"""WITH c AS (SELECT doc_id, record_id, claim_no, hedged, {CONTENT('claim')} AS cw FROM ({CLAIMS_SQL}) JOIN records USING (record_key)), p AS (SELECT record_id, span_start >= 0 AS located, {CONTENT('text')} AS pw FROM chunks)
+  SELECT doc_id, claim_no, hedged, count_if(pw IS NOT NULL AND len(cw) > 0 AND len(list_intersect(cw, pw)) >= 0.6 * len(cw)) AS n_supporting, count_if(located AND len(cw) > 0 AND len(list_intersect(cw, pw)) >= 0.6 * len(cw)) AS n_located FROM c LEFT JOIN p USING (record_id) GROUP BY 1, 2, 3"""
+
+
+def grounded_claims(spark, root):
+    """Claims of documents against the chunks of their record: supporting chunks, and supporting located ones."""
+    docs = table(spark, root, "documents").where("record_key IS NOT NULL").select("doc_id", "record_key", "text")
+    ids = table(spark, root, "records").select("record_key", "record_id")
+    c = metrics.claims(docs, "doc_id").join(docs.select("doc_id", "record_key"), "doc_id").join(ids, "record_key").select("doc_id", "record_id", "claim_no", "hedged", T.content_words("claim").alias("cw"))
+    p = table(spark, root, "chunks").select("record_id", (F.col("span_start") >= 0).alias("located"), T.content_words("text").alias("pw"))
+    g = F.coalesce(metrics.grounded(F.col("cw"), F.col("pw")), F.lit(False))
+    return c.join(p, "record_id", "left").groupBy("doc_id", "claim_no", "hedged").agg(F.count_if(g).alias("n_supporting"), F.count_if(g & F.col("located")).alias("n_located"))
+
+
+@query(f"SELECT doc_id, claim_no, hedged, n_supporting, n_supporting > 0 AS grounded FROM ({GROUNDED_SQL})")
+def attribute_claims(spark, root):
+    return grounded_claims(spark, root).select("doc_id", "claim_no", "hedged", "n_supporting", (F.col("n_supporting") > 0).alias("grounded"))
+
+
+@query(f"SELECT doc_id, count_if(e AND NOT a) AS n_lost, count_if(NOT e AND a) AS n_gained, count_if(e AND a) AS n_kept, round_even(count_if(e <> a) / count(*), 9) AS divergence FROM (SELECT doc_id, n_supporting > 0 AS e, n_located > 0 AS a FROM ({GROUNDED_SQL})) GROUP BY 1")
+def synthesis_divergence(spark, root):
+    flags = grounded_claims(spark, root).select("doc_id", (F.col("n_supporting") > 0).alias("in_exact"), (F.col("n_located") > 0).alias("in_approx"))
+    return metrics.divergence(flags, "doc_id").withColumn("divergence", F.bround("divergence", 9))
+
+
+MEASURED = [(10_000, 40.0, 5.0, 0.9), (5_000_000, 9_000.0, 30.0, 0.995), (9_000_000, 16_000.0, 35.0, 0.8)]
+
+
+@query(f"""SELECT *, CASE WHEN exact_latency_ms <= 1000 THEN 'exact sufficient' WHEN esf >= 0.99 THEN 'approximate justified' ELSE 'approximate needed but fidelity too low' END AS verdict, exact_latency_ms / approx_latency_ms AS speedup
+  FROM (VALUES {', '.join(f'({n}::BIGINT, {a}::DOUBLE, {b}::DOUBLE, {e}::DOUBLE)' for n, a, b, e in MEASURED)}) m(corpus_size, exact_latency_ms, approx_latency_ms, esf)""")
+def crossover(spark, root):
+    return metrics.crossover(spark.createDataFrame(MEASURED, "corpus_size long, exact_latency_ms double, approx_latency_ms double, esf double"))
+
+
+@query()
+def bootstrap_ci(spark, root):
+    hits = table(spark, root, "ranked_hits").where("score IS NOT NULL").groupBy("query_id", "run_id").agg(F.avg("score").alias("m"))
+    ci = hits.groupBy("query_id").agg(metrics.bootstrap_interval(F.col("m"), 2000).alias("ci"))
+    return ci.select("query_id", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
+
+
+@query("SELECT query_id, count(*) AS n, round_even(median(score), 9) AS median_score, round_even(avg(score), 6) AS mean_score, min(score) AS min_score, round_even(max(score) - min(score), 9) AS spread FROM ranked_hits WHERE score IS NOT NULL GROUP BY 1")
+def score_summary(spark, root):
+    s = table(spark, root, "ranked_hits").where("score IS NOT NULL")
+    return s.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.bround(F.median("score"), 9).alias("median_score"), F.bround(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("min_score"), F.bround(F.max("score") - F.min("score"), 9).alias("spread"))
