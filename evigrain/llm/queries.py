@@ -125,4 +125,15 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p9_found, p9_repaired, p6_found, p6_clean, p5_found, p5_repaired, p2_found, p2_entities, p4_found, p4_neighbours)}
-SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = "SELECT DISTINCT {id}, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {id}, " + _WORDS + " AS w FROM {t}) WHERE len(w) >= 12)"
+_SHORT = "et al\\.|e\\.g\\.|i\\.e\\.|cf\\.|vs\\.|Fig\\.|Eq\\.|No\\.|Dr\\.|approx\\."
+#: A mark after the white space of each natural boundary; abbreviations' full stops are hidden from the search first.
+_HIDE = f"regexp_replace({{x}}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])({_SHORT})(\\s)', '\\1\\2' || chr(29) || '\\3', 'g')"
+_HIDDEN = _HIDE.format(x=_HIDE.format(x="text"))  # twice, as two abbreviations may share the space between them
+_MARKED = "regexp_replace(regexp_replace(" + _HIDDEN + """, '([.!?])(\\s+)([A-Z0-9(\\["“''])', '\\1\\2' || chr(30) || '\\3', 'g'), '(\\n[ \\t\\r\\f]*\\n\\s*)', '\\1' || chr(30), 'g')"""
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH i AS (SELECT 'full_text' AS item_kind, record_key::VARCHAR AS item_key, 0 AS item_no, full_text AS text FROM records UNION ALL SELECT 'section', record_key::VARCHAR, unnest(range(len(sections)))::INT, unnest(sections).body FROM records UNION ALL SELECT 'chunk', chunk_id, 0, text FROM chunks)
+      SELECT item_kind, item_key, item_no, CASE WHEN list_max(list_transform(string_split({_MARKED}, chr(30)), lambda p: length(replace(p, chr(29), '')))) > 2000 THEN 'forced' ELSE 'natural' END AS cut_kind FROM i WHERE length(text) > 2000""",
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(id='doc_id', t='documents')}) JOIN ({_GRAMS.format(id='item_id', t='eval_items')}) USING (g)",
+}
