@@ -31,17 +31,20 @@ def canonical(records: DataFrame, year: str = "year", nfkc: bool = True) -> Data
 
 def json_text(c: Column) -> Column:
     """A string as JSON with lower-case escapes, as the identity is defined over."""
-    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    quoted = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    for digit in "ABCDEF":  # Spark writes \\u000E, the identity has \\u000e
+        quoted = F.regexp_replace(quoted, r"(?<!\\)((?:\\\\)*\\u00[01])" + digit, "$1" + digit.lower())
+    return quoted
 
 
 def record_id(year: str = "year") -> Column:
-    """The first 24 hex digits of the SHA-256 of the canonical fields as JSON with sorted keys; source and extra stay
+    """The first 24 hex digits of the SHA-256 of the canonical fields as compact JSON with sorted keys; source and extra stay
     out, a missing year is null, sections are [heading, body] pairs. Control characters are written \\u00xx in lower case."""
-    authors = F.concat(F.lit("["), F.array_join(F.transform("authors", json_text), ", "), F.lit("]"))
-    sections = F.concat(F.lit("["), F.array_join(F.transform("sections", lambda s: F.concat(F.lit("["), json_text(s["heading"]), F.lit(", "), json_text(s["body"]), F.lit("]"))), ", "), F.lit("]"))
+    authors = F.concat(F.lit("["), F.array_join(F.transform("authors", lambda a: json_text(a)), ","), F.lit("]"))
+    sections = F.concat(F.lit("["), F.array_join(F.transform("sections", lambda s: F.concat(F.lit("["), json_text(s["heading"]), F.lit(","), json_text(s["body"]), F.lit("]"))), ","), F.lit("]"))
     parts = []
     for name, value in (("abstract", json_text(F.col("abstract"))), ("authors", authors), ("doi", json_text(F.col("doi"))), ("full_text", json_text(F.col("full_text"))), ("sections", sections), ("title", json_text(F.col("title"))), ("venue", json_text(F.col("venue"))), ("year", F.coalesce(F.col(year).cast("string"), F.lit("null")))):
-        parts += [F.lit((", " if parts else "") + f'"{name}": '), value]
+        parts += [F.lit(("," if parts else "") + f'"{name}":'), value]
     return F.substring(F.sha2(F.concat(F.lit("{"), *parts, F.lit("}")), 256), 1, 24)
 
 

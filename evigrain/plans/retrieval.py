@@ -44,7 +44,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = Setting
     if settings.section_filter:
         pool = pool.where(F.col("section").isin(list(settings.section_filter)))
     lists = []
-    fetch = settings.k if settings.mode != "hybrid" else settings.k * settings.overfetch
+    fetch = settings.k * settings.overfetch if settings.section_filter and settings.mode == "hybrid" else settings.k
     if settings.mode in ("dense", "hybrid"):
         v = pool.select("chunk_id", V.hash_embedding(F.col("text"), settings.dimension, settings.ngram).alias("v"))
         q = queries.select("query_id", V.hash_embedding(F.col("query_text"), settings.dimension, settings.ngram).alias("q"))

@@ -382,7 +382,7 @@ def retrieve_lexical(spark, root):
     return retrieved(spark, root, mode="lexical", k=10).select("query_id", "chunk_id", "rank_no")
 
 
-FUSED_SQL = f"""WITH d AS ({TOP(dense_sql(64), 40)}), l AS ({TOP(BM25_SQL, 40)}) SELECT query_id, id, round_even(sum(1.0 / (60 + rank_no)), 9) AS score FROM (SELECT query_id, id, rank_no FROM d UNION ALL SELECT query_id, id, rank_no FROM l) GROUP BY 1, 2"""
+FUSED_SQL = f"""WITH d AS ({TOP(dense_sql(64))}), l AS ({TOP(BM25_SQL)}) SELECT query_id, id, round_even(sum(1.0 / (60 + rank_no)), 9) AS score FROM (SELECT query_id, id, rank_no FROM d UNION ALL SELECT query_id, id, rank_no FROM l) GROUP BY 1, 2"""
 
 
 @query(f"SELECT query_id, id AS chunk_id, score, rank_no FROM ({TOP(FUSED_SQL)})")
