@@ -36,6 +36,8 @@ RATIO, LEAST = 20, 3
 WORD = re.compile(r"!?[^\W\d_][^\W_]*(?:!+[^\W_]+)*|\d+[^\W\d_][^\W_]*(?:!+[^\W_]+)*")
 JAVA_WORD = r"!?[\p{L}\p{N}]+(?:!+[\p{L}\p{N}]+)*(?:-[\p{L}\p{N}]+)*"
 DOUBTFUL = re.compile("|".join(bad for bad, _ in HARD + SOFT))
+HARD_SIGN = re.compile(r"[^\W\d_][01569!]|[01569!][^\W\d_]")
+LINE_END = re.compile(rf"[{HYPHENS}][ \t]*\n")
 PAGE = re.compile(r"^\s*(?:(?P<roman>[ivxlc]{1,7})|[-–—]\s*(?P<a>\d{1,4})\s*[-–—]|\[\s*(?P<b>\d{1,4})\s*\]|(?:p\.|pp\.|page|seite|s\.)\s*(?P<c>\d{1,4})(?:\s*(?:of|/|von)\s*\d{1,4})?|(?P<d>\d{1,4})\s*(?:of|/)\s*\d{1,4}|(?P<e>\d{1,4})\s*\|\s*\d{1,4}|(?P<f>\d{1,4}))\s*$", re.I)
 ROMAN = re.compile(r"^(?=.)(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 YEAR_END = re.compile(r"\s{2,}(?:1[89]|20)\d\d\s*$")
@@ -53,11 +55,17 @@ def skeleton(text: str | None) -> str:
 
 
 def alike(line: str, full: str) -> bool:
-    """Whether ``line`` is ``full`` or its beginning, but for a few characters (both skeletons)."""
+    """Whether ``line`` is ``full`` or its beginning, but for a few characters (both skeletons). Of a line that differs
+    in at most 12 % of its characters, one of its pieces of six stands in the other unharmed."""
     if len(line) < 8 or len(line) > len(full) + 4:
         return False
     head = full[: len(line)]
-    return line == head or SequenceMatcher(None, line, head, autojunk=False).ratio() >= 0.88
+    if line == head:
+        return True
+    near = full[: len(line) + 4]
+    if not any(line[i : i + 6] in near for i in range(0, len(line) - 5, 6)):
+        return False
+    return SequenceMatcher(None, line, head, autojunk=False).ratio() >= 0.88
 
 
 def read_pages(text: str, title: str | None, venue: str | None, authors) -> tuple[list[str | None], bool, bool]:
@@ -77,7 +85,7 @@ def read_pages(text: str, title: str | None, venue: str | None, authors) -> tupl
             numbers[i] = next(v for v in m.groups() if v is not None)
     heads: dict[int, str] = {}
     for i, line in enumerate(stripped):
-        if line and not page[i] and len(line) <= 110:
+        if line and not page[i] and len(line) <= 110 and (line[-1] not in ".;:" or ET_AL.match(line)):
             heads[i] = skeleton(re.sub(r"\d{4}$", "", line))
     counts = Counter(h for h in heads.values() if len(h) >= 8)
 
@@ -94,6 +102,8 @@ def read_pages(text: str, title: str | None, venue: str | None, authors) -> tupl
     for i, h in heads.items():
         line = stripped[i]
         near = (i > 0 and page[i - 1]) or (i + 1 < len(lines) and page[i + 1])
+        if line[:1].islower() and counts[h] < 2 and not near and not ET_AL.match(line):
+            continue
         if ET_AL.match(line) or any(alike(h, s) for s in own):
             if len(line) < 0.9 * width or near or counts[h] > 1:
                 header.add(i)
@@ -104,8 +114,9 @@ def read_pages(text: str, title: str | None, venue: str | None, authors) -> tupl
         elif near and line[:1].isupper() and not line.endswith((".", "!", "?", ",", ";", ":")) and len(line) < 0.9 * width and (line.isupper() or len(h) >= 8 and sum(w[:1].isupper() for w in line.split()) * 2 > len(line.split())):
             header.add(i)
     # fuzzy repetition: a line like one that is a header already
+    known = {heads[k] for k in header}
     for i, h in heads.items():
-        if i not in header and len(h) >= 8 and any(alike(h, heads[k]) and abs(len(h) - len(heads[k])) < 4 for k in header):
+        if i not in header and len(h) >= 8 and any(abs(len(h) - len(k)) < 4 and alike(h, k) for k in known):
             header.add(i)
     header = {i for i in header if inside(i)}
     values = sorted((i, int(v)) for i, v in numbers.items() if v.isdigit())
@@ -179,12 +190,15 @@ def matched_case(new: str, old: str) -> str:
     return new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:] if old[:1].isupper() else new
 
 
-def lookups(text: str | None, title: str | None, venue: str | None, authors) -> list[str]:
-    """The words to look up for a text: doubtful ones, and the forms of its line-end pairs."""
+def lookups(text: str | None, title: str | None, venue: str | None, authors, soft: bool = True) -> list[str]:
+    """The words to look up for a text: doubtful ones (without ``soft`` those with hard signs only), and the forms of
+    its line-end pairs."""
     if not text:
         return []
+    out = {w for w in map(str.lower, (WORD.findall(text) if soft or HARD_SIGN.search(text) else ())) if len(w) > 1 and (DOUBTFUL if soft else HARD_SIGN).search(w)}
+    if not LINE_END.search(text):
+        return sorted(out)
     lines, _, _ = read_pages(text, title, venue, authors)
-    out = {w for w in map(str.lower, WORD.findall(text)) if len(w) > 1 and DOUBTFUL.search(w)}
     for _, _, left, right in joints(lines):
         left, right = core_word(left), core_word(right)
         last, first = left.rpartition("-")[2], right.partition("-")[0]
@@ -252,7 +266,7 @@ def vocabulary(records: DataFrame) -> DataFrame:
     Words parted at line ends are left out."""
     bodies = F.coalesce(F.transform("sections", lambda s: s["body"]), F.array().cast("array<string>"))
     texts = records.select(F.explode(F.concat(F.array("title", "abstract", "full_text"), bodies)).alias("t")).where("t IS NOT NULL")
-    unbroken = F.regexp_replace(F.lower("t"), rf"\S+[{HYPHENS}][ \t]*\n\s*\S*", " ")
+    unbroken = F.when(F.contains(F.col("t"), F.lit("\n")), F.regexp_replace(F.lower("t"), rf"[\p{{L}}\p{{N}}!]+[{HYPHENS}][ \t]*\n\s*\S*", " ")).otherwise(F.lower("t"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(unbroken, F.lit(JAVA_WORD), F.lit(0)))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -272,24 +286,30 @@ def corrections(words: DataFrame) -> DataFrame:
     return good.unionByName(hard).groupBy("word").agg(F.max_by("fix", F.struct("m", "fix")).alias("fix"))
 
 
-def repair(records: DataFrame) -> DataFrame:
+#: The corrections go to every executor while they hold at most so many characters; beyond, they are joined like the rest.
+BROADCAST_CHARS = 8 << 20
+
+
+def repair(records: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """record_key, field_name, text_repaired and noise_kinds of the full texts and titles with noise."""
     words = cut(vocabulary(records))
     wrong = cut(corrections(words))
+    small = (wrong.agg(F.sum(F.length("word") + F.length("fix"))).collect()[0][0] or 0) <= broadcast_chars
+    shared = records.sparkSession.sparkContext.broadcast({r.word: r.fix for r in wrong.toLocalIterator()} if small else {})
     fields = F.array(F.struct(F.lit("full_text").alias("field_name"), F.col("full_text").alias("t")), F.struct(F.lit("title").alias("field_name"), F.col("title").alias("t")))
     items = records.where("record_key IS NOT NULL").select("record_key", "venue", "authors", F.col("title").alias("own_title"), F.explode(fields).alias("f"))
     items = items.select("record_key", "f.field_name", "venue", "authors", F.when(F.col("f.field_name") == "full_text", F.col("own_title")).alias("own_title"), F.col("f.t").alias("text")).where("text IS NOT NULL AND text <> ''")
 
     @F.pandas_udf("array<string>")
     def wanted(text: pd.Series, title: pd.Series, venue: pd.Series, authors: pd.Series) -> pd.Series:
-        return pd.Series([lookups(*row) for row in zip(text, title, venue, authors)], dtype=object)
+        return pd.Series([lookups(*row, soft=not small) for row in zip(text, title, venue, authors)], dtype=object)
 
     @F.pandas_udf("struct<text_repaired:string,noise_kinds:array<string>>")
     def mended(text: pd.Series, title: pd.Series, venue: pd.Series, authors: pd.Series, names: pd.Series, counts: pd.Series, right: pd.Series) -> pd.DataFrame:
         done = []
         for t, ti, v, a, w, n, r in zip(text, title, venue, authors, names, counts, right):
             w, n, r = ([] if x is None else x for x in (w, n, r))
-            done.append(mend(t, ti, v, a, dict(zip(w, n)), {x: y for x, y in zip(w, r) if y}))
+            done.append(mend(t, ti, v, a, dict(zip(w, n)), shared.value if small else {x: y for x, y in zip(w, r) if y}))
         return pd.DataFrame({"text_repaired": [d[0] for d in done], "noise_kinds": [d[1] for d in done]})
 
     asked = items.select("record_key", "field_name", F.explode(wanted("text", "own_title", "venue", "authors")).alias("word"))
