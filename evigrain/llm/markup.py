@@ -80,7 +80,7 @@ def entities(text: str) -> tuple[str, bool]:
         if name[0] != "#" and name not in html.entities.html5:
             return m.group()
         seen = True
-        return html.unescape(m.group())
+        return html.unescape(m.group()).replace("\u00a0", " ")
 
     for _ in range(3):
         new = ENTITY.sub(put, text)
