@@ -4,7 +4,7 @@ Collision-counting hashing over a partition of the collection. Equal directions
 that a third of all rows share is searched once. The distinct directions are dealt to cells (the nearest of the centroids
 fitted on a bounded, seeded sample; every row is indexed) and looked up in the cells nearest to them. In each cell every
 single projection keeps its members' sorted array; a query's window around its own projection widens by virtual rehashing
-(radius 1, 2, 4, ... buckets), members met in at least ``threshold`` of the projections' windows are verified by their
+(radius 1, 2, 3 buckets), members met in at least ``threshold`` of the projections' windows are verified by their
 exact cosine, and a query stops when k verified members lie within the radius or the radius covers the cosine asked for.
 
 A cell's members and queries come to a task in blocks: a cell of more than ``block`` members is cut into several, each of
@@ -24,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -45,7 +44,7 @@ def usable(vectors: DataFrame, vec_id: str = "chunk_id", vector: str = "embeddin
     usual = v.groupBy(F.size("v").alias("d")).count().agg(F.max_by("d", F.struct("count", F.col("d")))).collect()[0][0]
     v = v.where(F.size("v") == (usual or 0))
     # scaled copies fall together; the ninth decimal is what scores are compared by
-    unit = v.select("id", F.transform("v", lambda x: F.round(x / F.col("n"), 12) + F.lit(0.0)).alias("u"))
+    unit = v.select("id", F.transform("v", lambda x: F.rint(x / F.col("n") * 1e12) / 1e12 + F.lit(0.0)).alias("u"))
     return unit.dropDuplicates(["id"])
 
 
@@ -70,8 +69,8 @@ def collide(members: np.ndarray, queries: np.ndarray, k: int, least: float, plan
     need = max(1, math.ceil(threshold * len(planes)))
     reach = math.sqrt(max(0.0, 2 - 2 * least))  # the farthest distance asked for
     # of a difference of length r, a unit projection of random direction spreads by r / sqrt(dim)
-    bucket = reach / math.sqrt(dim) / 4 if reach > 0 else 1e-6
-    radii = [1, 2, 4, 6]
+    bucket = reach / math.sqrt(dim) / 2 if reach > 0 else 1e-6
+    radii = [1, 2, 3]
     pm, pq = members @ planes.T, queries @ planes.T
     orders = np.argsort(pm, axis=0, kind="stable")
     sorted_ = np.take_along_axis(pm, orders, axis=0)
@@ -83,12 +82,12 @@ def collide(members: np.ndarray, queries: np.ndarray, k: int, least: float, plan
         open_ = np.arange(len(q))
         for level, radius in enumerate(radii):
             wide = radius * bucket
-            counts = np.zeros((len(open_), len(members)), np.int16)
+            counts = np.zeros((len(open_), len(members)), np.int8)
             for j in range(len(planes)):
                 low = np.searchsorted(sorted_[:, j], pq[at + open_, j] - wide, "left").astype(np.int32)
                 high = np.searchsorted(sorted_[:, j], pq[at + open_, j] + wide, "right").astype(np.int32)
-                r = ranks[:, j]
-                counts += (r[None, :] >= low[:, None]) & (r[None, :] < high[:, None])
+                inside = (ranks[:, j][None, :] - low[:, None]).view(np.uint32) < (high - low).view(np.uint32)[:, None]
+                np.add(counts, inside, out=counts, casting="unsafe")
             last = level == len(radii) - 1
             qi, mi = np.nonzero(counts >= need)
             cos = np.einsum("ij,ij->i", q[open_[qi]], members[mi])
@@ -117,7 +116,7 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, vec_id: str = "
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector)
     # one row a direction, with the k + 1 smallest ids that have it: no more can be anyone's nearest
-    key = F.sha2(F.concat_ws(",", F.transform("u", lambda x: x.cast("string"))), 256)
+    key = F.concat(F.hex(F.xxhash64("u")), F.lit("-"), F.hex(F.xxhash64(F.lit(SEED), "u")))
     keyed = cut(rows.select("id", key.alias("g"), "u"))
     first = keyed.groupBy("g").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"), F.first("u").alias("u"))
     several = first.where("n > 1").select("g", F.col("n").alias("_w"))
@@ -161,12 +160,12 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, vec_id: str = "
     queries = placed.select("g", F.explode("cells").alias("cell")).join(plan, "cell").select("g", "cell", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mbk"), h("qb", 2).alias("qbk"))
     work = members.unionByName(queries).join(units, "g").select("cell", "mbk", "qbk", "member", "g", F.col("u").cast("array<float>").alias("u"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(group: pa.Table) -> pa.Table:
         _, planes = shared.value
-        own = pdf["member"].to_numpy()
-        x = np.stack(pdf["u"].to_numpy()).astype(np.float64)
+        own = group["member"].to_numpy()
+        x = group["u"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        names = pdf["g"].to_numpy()
+        names = group["g"].to_numpy()
         gm, gq = names[own], names[~own]
         out_q, out_m = [], []
         for q, m, s in collide(x[own], x[~own], k + 1, least, planes, THRESHOLD):
@@ -177,11 +176,10 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, vec_id: str = "
                 m, s = m[s >= bar], s[s >= bar]
             out_q.append(np.full(len(m), gq[q], object))
             out_m.append(gm[m])
-        if not out_q:
-            return pd.DataFrame({"g": [], "o": []})
-        return pd.DataFrame({"g": np.concatenate(out_q), "o": np.concatenate(out_m)})
+        none = np.array([], object)
+        return pa.table({"g": pa.array(np.concatenate(out_q or [none]), pa.string()), "o": pa.array(np.concatenate(out_m or [none]), pa.string())})
 
-    found = work.groupBy("cell", "mbk", "qbk").applyInPandas(search, "g string, o string")
+    found = work.groupBy("cell", "mbk", "qbk").applyInArrow(search, "g string, o string")
     # a pair met from either side serves both
     pairs = cut(found)
     both = pairs.unionByName(pairs.select(F.col("o").alias("g"), F.col("g").alias("o"))).distinct()
