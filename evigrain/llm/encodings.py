@@ -178,13 +178,16 @@ class Model:
             scores[places[k] + 1 : places[k] + n] = FURTHER
         return scores
 
-    def emissions(self, before: str, cluster: str, after: str) -> tuple[np.ndarray, np.ndarray]:
-        """(characters by states, how much each pair's state gains on the clean one over the cluster at most)."""
+    def emissions(self, before: str, cluster: str, after: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """(characters by states, how much each pair's state gains on the clean one over the cluster at most, and over
+        the whole of it, and the most that any gains)."""
         key = before, cluster, after
         if (v := self.cache.get(key)) is None:
             clean = self.scored([(c if c != LOST else None, 1) for c in cluster], cluster, before, after)
             e = np.stack([clean, *(self.scored(inv.units(cluster), cluster, before, after) for inv in self.inverses)], axis=1)
-            v = e, np.maximum(e[:, 1:] - e[:, :1], 0).sum(axis=0)
+            more = e[:, 1:] - e[:, :1]
+            top = np.maximum(more, 0).sum(axis=0)
+            v = e, top, more.sum(axis=0), float(top.max())
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[key] = v
@@ -192,14 +195,23 @@ class Model:
 
     def label(self, text: str) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, states of the characters) of the clusters of a text in which something is garbled, else []."""
-        parts, gain = [], np.zeros(len(PAIRS))
+        parts, most = [], 0.0
+        classes, cache = self.classes, self.cache
         for m in CLUSTER.finditer(text):
             s, e = m.span()
-            em, g = self.emissions(self.classes[text[s - 1] if s else ""], m.group(), self.classes[text[e] if e < len(text) else ""])
-            parts.append((s, e, em))
-            gain += g
-        if not parts or gain.max() + ENTER <= 0:
+            key = classes[text[s - 1] if s else ""], m.group(), classes[text[e] if e < len(text) else ""]
+            v = cache.get(key) or self.emissions(*key)
+            parts.append((s, e, v))
+            most += v[3]
+        if most + ENTER <= 0:
             return []
+        best, run = np.zeros(len(PAIRS)), np.zeros(len(PAIRS))
+        for _, _, (_, g, d, _) in parts:  # no run of clusters that gains enough, no garbled span
+            best = np.maximum(best, run + g)
+            run = np.maximum(run + d, 0)
+        if best.max() + ENTER <= 0:
+            return []
+        parts = [(s, e, v[0]) for s, e, v in parts]
         states = self.viterbi(np.concatenate([p[2] for p in parts]))
         if not states.any():
             return []
