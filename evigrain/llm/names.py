@@ -34,17 +34,17 @@ BUDGET = 1
 #: Particles glued to the surname after them, titles and suffixes left out, words that make a group.
 PARTICLES = frozenset("van von de der den del della da di du dos das la le el al bin ibn ter ten te zu zum".split())
 TITLES = frozenset("dr prof professor mr mrs ms sir phd md msc bsc ma mba dphil jr sr ii iii".split())
-COLLECTIVE = frozenset("group consortium network collaboration collaborative committee team centre center institute initiative investigators association society grp consort netw collab cttee study trialists".split())
+COLLECTIVE = frozenset("group consortium network collaboration collaborative committee wg cons team centre center ctr institute inst assoc soc comm initiative investigators association society grp consort netw collab cttee study trialists".split())
 SMALL = frozenset("on for of the and in to a an und et de".split())
 #: Short forms of given names that are neither the name's beginning nor part of it.
 SHORT_FORMS = {
     "bill": "william", "willy": "william", "liam": "william", "bob": "robert", "bobby": "robert", "bert": "robert", "dick": "richard", "rick": "richard", "jim": "james", "jimmy": "james",
     "jack": "john", "johnny": "john", "ted": "theodore", "ned": "edward", "eddie": "eduardo", "tony": "anthony", "toni": "anthony", "kate": "katherine", "katie": "katherine", "kathy": "katherine", "kitty": "katherine", "kit": "christopher",
     "peg": "margaret", "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "greta": "margaret", "betty": "elizabeth", "betsy": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "libby": "elizabeth", "polly": "mary", "molly": "mary",
-    "sally": "sarah", "hal": "henry", "harry": "henry", "hank": "henry", "hetty": "henrietta", "hattie": "henrietta", "harriet": "henrietta", "nell": "eleanor", "nellie": "eleanor", "dolly": "dorothea", "dot": "dorothea", "dottie": "dorothea", "dodie": "dorothea",
+    "sally": "sarah", "hal": "henry", "harry": "henry", "hank": "henry", "hetty": "henrietta", "hettie": "henrietta", "hattie": "henrietta", "harriet": "henrietta", "nell": "eleanor", "nellie": "eleanor", "dolly": "dorothea", "dot": "dorothea", "dottie": "dorothea", "dodie": "dorothea",
     "jo": "josephine", "josie": "josephine", "joey": "josephine", "trish": "patricia", "trisha": "patricia", "patsy": "patricia", "sasha": "alexander", "sandy": "alexander", "lex": "alexander", "chuck": "charles", "minnie": "wilhelmina", "willa": "wilhelmina", "billie": "wilhelmina",
     "vicky": "victoria", "vicki": "victoria", "lucy": "lucia", "luz": "lucia", "yoli": "yolanda", "yola": "yolanda", "lando": "yolanda", "freddie": "frederick", "fritz": "frederick", "rik": "frederick", "bella": "isabella", "izzy": "isabella", "belle": "isabella", "nico": "nicholas", "nicky": "nicholas", "klaus": "nicholas", "claus": "nicholas",
-    "gaby": "gabriela", "gabby": "gabriela", "sammy": "samuel", "lenny": "leonard", "leon": "leonard", "maxim": "maximilian", "zack": "zachary", "zak": "zachary", "tommy": "tomas", "andy": "andre", "uli": "ulrich", "ully": "ulrich", "quin": "quentin", "quinn": "quentin", "jarka": "jarmila", "mila": "jarmila", "pete": "piotr", "piotrek": "piotr", "kris": "christopher", "edu": "eduardo", "lalo": "eduardo", "inga": "ingrid", "inge": "ingrid",
+    "gaby": "gabriela", "gabby": "gabriela", "sammy": "samuel", "lenny": "leonard", "len": "leonard", "leon": "leonard", "maxim": "maximilian", "zack": "zachary", "zak": "zachary", "tommy": "tomas", "andy": "andre", "uli": "ulrich", "ully": "ulrich", "quin": "quentin", "quinn": "quentin", "jarka": "jarmila", "mila": "jarmila", "pete": "piotr", "piotrek": "piotr", "kris": "christopher", "edu": "eduardo", "lalo": "eduardo", "inga": "ingrid", "inge": "ingrid",
 }
 
 
@@ -54,9 +54,14 @@ def unaccented(text: str) -> str:
 
 
 def glued(words: list[str]) -> list[str]:
-    """Hyphens and apostrophes taken out, particles joined to the word after them."""
+    """Hyphens and apostrophes taken out, particles joined to the word after them, as is a short word in lower case
+    between others that aren't (a particle mistyped)."""
     out, before = [], ""
-    for w in words:
+    mixed = any(not w.islower() for w in words)
+    for k, w in enumerate(words):
+        if mixed and w.islower() and len(w) <= 4 and k + 1 < len(words) and not words[k + 1].islower():
+            before += re.sub(r"[-'’‐‑.]", "", w)
+            continue
         w = re.sub(r"[-'’‐‑.]", "", w).lower()
         if not w:
             continue
@@ -71,7 +76,7 @@ def glued(words: list[str]) -> list[str]:
 
 
 def read_name(text: str | None) -> tuple[str, list[str], list[str], list[str]] | None:
-    """(kind, whole words, initials, other possible word sets joined by spaces) of a name, or None without letters.
+    """(kind, whole words, initials in the order typed, other nodes it may belong to) of a name, or None without letters.
     For a group the whole words are the first word and the initials of the others."""
     if not text:
         return None
@@ -82,10 +87,15 @@ def read_name(text: str | None) -> tuple[str, list[str], list[str], list[str]] |
         return None
     plain = re.findall(r"[^\W\d_]+", s)
     low = [w.lower() for w in plain]
+    if len(low) > 2 and low[0] == "the":
+        plain, low, s = plain[1:], low[1:], s.split(None, 1)[1]
     acronym = len(plain) == 2 and plain[1].isupper() and len(plain[1]) >= 3 and not plain[0].isupper() and not any(c in plain[1] for c in "AEIOU") and "," not in s
-    if len(low) > 2 and COLLECTIVE & set(low) or acronym:
+    if len(low) > 2 and (COLLECTIVE & set(low) or {"on", "for", "of"} & set(low[1:])) or acronym:
+        head, comma, tail = s.rpartition(",")
+        if comma and len(tail.split()) == 1:  # the distinguishing name put last
+            low = [tail.strip().lower(), *(w.lower() for w in re.findall(r"[^\W\d_]+", head))]
         rest = low[1:]
-        letters = rest[0] if acronym else "".join(w[0] for w in rest if w not in SMALL)
+        letters = rest[0] if acronym else "".join("wg" if w == "wg" else w[0] for w in rest if w not in SMALL)
         return "group", [low[0], letters], [], []
     if "," in s:
         parts = [p.split() for p in s.split(",")]
@@ -105,7 +115,8 @@ def read_name(text: str | None) -> tuple[str, list[str], list[str], list[str]] |
         for w in part:
             letters = re.sub(r"[^\w]", "", w).lower()
             dotted = re.fullmatch(r"(?:[^\W\d_]\.[-]?){1,4}[^\W\d_]?\.?", w) is not None and len(letters) <= 4
-            if letters and (len(letters) == 1 or dotted or len(letters) == 2 and letters not in PARTICLES):
+            inner = w.islower() and not s.islower() and w != part[-1] and len(letters) == 2
+            if letters and (len(letters) == 1 and not inner or dotted or len(letters) == 2 and letters not in PARTICLES and not inner):
                 initials += letters
             elif letters:
                 full.append(w)
@@ -119,7 +130,10 @@ def read_name(text: str | None) -> tuple[str, list[str], list[str], list[str]] |
     if not comma and len(words) == 3:
         a, b, c = words
         others = [f"{a} {b}{c}", f"{a}{b} {c}", f"{c} {a}{b}", f"{b}{c} {a}"]
-    return "person", sorted(words), sorted(initials), sorted({" ".join(sorted(o.split())) for o in others})
+    nodes = {f"person|{' '.join(sorted(o.split()))}|" for o in others}
+    if len(plain) == 2 and plain[1].isupper() and 3 <= len(plain[1]) <= 5 and not plain[0].isupper():  # may be a group's initials
+        nodes.add(f"group|{low[0]} {low[1]}|")
+    return "person", sorted(words), initials, sorted(nodes)
 
 
 def one_edit(a: str, b: str, budget: int = BUDGET) -> bool:
@@ -178,7 +192,7 @@ def index_rows(kind: str, words: list[str], initials: list[str], probe: bool, le
     if kind == "group":
         groups.append((words[0], "g:" + words[1]))
     elif len(words) == 1:
-        groups += [(words[0], "i:" + i) for i in set(initials[:1] + initials)]
+        groups += [(words[0], "i:" + i) for i in initials[:1]]
     else:
         for i, w in enumerate(words):
             rest = words[:i] + words[i + 1 :]
@@ -200,7 +214,7 @@ def verified(kind_a: str, a: list[str], ia: list[str], kind_b: str, b: list[str]
     if kind_a == "group":
         return "words" if a[1] == b[1] and one_edit(a[0], b[0]) else None
     if len(a) == len(b) == 1:
-        return "words" if ia[:1] and ia[0] in ib and one_edit(a[0], b[0]) else None
+        return "words" if ia[:1] == ib[:1] and (set(ia) <= set(ib) or set(ib) <= set(ia)) and one_edit(a[0], b[0]) else None
     if len(a) == len(b):
         left, right = sorted(set(a) - set(b)), sorted(set(b) - set(a))
         return "words" if len(left) == len(right) == 1 and one_edit(left[0], right[0]) else None
@@ -208,7 +222,7 @@ def verified(kind_a: str, a: list[str], ia: list[str], kind_b: str, b: list[str]
         a, ia, b, ib = b, ib, a, ia
     if len(b) == 1 and len(a) == 2 and ib:
         for given, surname in ((a[0], a[1]), (a[1], a[0])):
-            if given[0] in ib and one_edit(surname, b[0]) and (not ia or set(ib) <= set(ia) | {given[0]}):
+            if given[0] == ib[0] and one_edit(surname, b[0]) and (not ia or set(ib[1:]) <= set(ia)):
                 return "initials"
     return None
 
@@ -246,10 +260,12 @@ def entities(strings: DataFrame, name: str = "name") -> DataFrame:
     node = F.concat_ws("|", "r.kind", F.array_join("r.words", " "), F.when((F.size("r.words") < 2) & (F.col("r.kind") == "person"), F.array_join("r.initials", "")).otherwise(""))
     parsed = cut(parsed.select("name", node.alias("node"), "r.kind", "r.words", "r.initials", "r.others"))
     # nodes: distinct word sets; initials of all their spellings (letters only, so at most 26)
-    nodes = cut(parsed.groupBy("node").agg(F.first("kind").alias("kind"), F.first("words").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("initials")))).alias("initials")))
+    nodes = parsed.groupBy("node").agg(F.first("kind").alias("kind"), F.first("words").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("initials")))).alias("letters"), F.first("initials").alias("typed"))
+    # a bare surname's initials in the order typed, the given name's first: its node holds one spelling of them
+    nodes = cut(nodes.select("node", "kind", "words", F.when(F.size("words") < 2, F.col("typed")).otherwise(F.col("letters")).alias("initials")))
 
-    # a word set that another string has as one surname in several words
-    glue = parsed.select("node", F.explode("others").alias("w")).select("node", F.concat_ws("|", F.lit("person"), "w", F.lit("")).alias("other")).distinct()
+    # a surname in several words that others write as one, or initials that may be a group's
+    glue = parsed.select("node", F.explode("others").alias("other")).distinct()
     links = glue.join(nodes.select(F.col("node").alias("other")), "other").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
     index = nodes.select("node", F.explode(_keys(lambda k, w, i: index_rows(k, w, i, False))("kind", "words", "initials")).alias("key"))
@@ -278,7 +294,7 @@ def entities(strings: DataFrame, name: str = "name") -> DataFrame:
         return sorted({f"{words[1 - k]}|{words[k][0]}" for k in (0, 1)}) if kind == "person" and len(words) == 2 else []
 
     def bare_keys(kind, words, initials):
-        return [f"{words[0]}|{i}" for i in dict.fromkeys(initials)] if kind == "person" and len(words) == 1 else []
+        return [f"{words[0]}|{initials[0]}"] if initials and kind == "person" and len(words) == 1 else []
 
     def attach(short, whole):
         small = nodes.select("node", F.col("initials").alias("own"), F.explode(_keys(short)("kind", "words", "initials")).alias("key"))
@@ -286,11 +302,12 @@ def entities(strings: DataFrame, name: str = "name") -> DataFrame:
         return small.join(large, "key").where("node <> other")
 
     nick = attach(long_keys, short_keys).select("node", "other")
-    letter = F.substring_index("key", "|", -1)
-    fits = (F.size("initials") == 0) | (F.size(F.array_except(F.array_remove("own", letter), "initials")) == 0)
-    bare = attach(bare_keys, initial_keys).where(fits).select("node", "other")
+    fits = (F.size("initials") == 0) | (F.size(F.array_except(F.slice("own", 2, 99), "initials")) == 0)
+    rest = F.size("own") > 1
+    rank = F.when(rest & (F.size("initials") > 0), 0).when(~rest, 1).otherwise(2)
+    bare = attach(bare_keys, initial_keys).where(fits).select("node", "other", rank.alias("rank"))
     near = checked.where("how = 'initials'").select(F.expr("CASE WHEN a LIKE 'person|% %' THEN b ELSE a END").alias("node"), F.expr("CASE WHEN a LIKE 'person|% %' THEN a ELSE b END").alias("other"))
-    bare = bare.withColumn("rank", F.lit(0)).unionByName(near.withColumn("rank", F.lit(1)))
+    bare = bare.unionByName(near.withColumn("rank", F.lit(3)))
 
     def single(candidates: DataFrame, at: DataFrame) -> DataFrame:
         """Links from a node's component to the one other component its best candidates lie in."""

@@ -101,7 +101,7 @@ def test_segment_join_finds_all_within_the_budget():
 
 @pytest.mark.parametrize("text,want", [
     ("Dr. Ana de la Cruz-Díaz, PhD", ("person", ["ana", "delacruzdiaz"], [])), ("CRUZ, Ana M.", ("person", ["ana", "cruz"], ["m"])), ("A.M. Cruz*", ("person", ["cruz"], ["a", "m"])), ("Cruz AM", ("person", ["cruz"], ["a", "m"])),
-    ("Lesebawu Study Group on Rural Health (LSGRH)", ("group", ["lesebawu", "sgrh"], [])), ("Lesebawu SGRH", ("group", ["lesebawu", "sgrh"], [])), ("Study Grp", ("person", ["grp", "study"], [])),
+    ("Lesebawu Study Group on Rural Health (LSGRH)", ("group", ["lesebawu", "sgrh"], [])), ("Lesebawu SGRH", ("group", ["lesebawu", "sgrh"], [])), ("Study Grp", ("person", ["grp", "study"], [])), ("The Tulagili WG for Open Screen.", ("group", ["tulagili", "wgos"], [])), ("Survey Methods Institute, Parehevi", ("group", ["parehevi", "smi"], [])), ("André vqn Rokupomo", ("person", ["andre", "vqnrokupomo"], [])),
 ])
 def test_read_name(text, want):
     assert N.read_name(text)[:3] == want
