@@ -24,7 +24,7 @@ def rank_biased_overlap(a: Column, b: Column, p: float = 0.9) -> Column:
     """Truncated at the longer list and normalised to 1 for equal lists; two empty lists agree."""
     depth = F.greatest(F.size(a), F.size(b))
     terms = F.aggregate(F.sequence(F.lit(1), depth), F.lit(0.0), lambda s, d: s + F.size(F.array_intersect(F.slice(a, F.lit(1), d), F.slice(b, F.lit(1), d))) / d * F.pow(F.lit(p), d - 1))
-    return F.when(depth == 0, F.lit(1.0)).otherwise(terms / ((1 - F.pow(F.lit(p), depth)) / (1 - p)))
+    return F.when(depth == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), terms / ((1 - F.pow(F.lit(p), depth)) / (1 - p))))
 
 
 def kendall_tau(a: Column, b: Column) -> Column:
