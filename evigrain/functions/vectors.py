@@ -31,21 +31,41 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def gram_bucket(gram: Column, dimension: int) -> tuple[Column, Column]:
-    """Bucket and sign of a character n-gram: the first four bytes of its SHA-1, and the parity of the fifth."""
-    digest = F.sha1(gram)
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimension
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
-    return bucket, sign
+class Grams(dict):
+    """Twice the bucket, plus one where the sign is negative, of the n-grams met so far."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, gram: str) -> int:
+        d = hashlib.sha1(gram.encode()).digest()
+        if len(self) > 500_000:
+            self.clear()
+        self[gram] = code = 2 * (int.from_bytes(d[:4], "big") % self.dimension) + d[4] % 2
+        return code
+
+
+def signed_counts(text: str | None, grams: Grams, n: int) -> np.ndarray:
+    """Signed n-gram counts by bucket of the text in lower case between two spaces."""
+    line = f" {(text or '').lower().strip()} ".ljust(n)
+    codes = np.bincount([grams[line[i : i + n]] for i in range(len(line) - n + 1)], minlength=2 * grams.dimension)
+    return codes[0::2] - codes[1::2]
 
 
 def hash_counts(texts: DataFrame, key: str, text: str, dimension: int = 256, n: int = 4) -> DataFrame:
-    """key, bucket, total: the signed n-gram counts of each text, as rows (the form that plain SQL has too)."""
-    padded = F.concat(F.lit(" "), F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), F.lit(" "))
-    padded = F.rpad(padded, F.greatest(F.length(padded), F.lit(n)), F.lit(" "))
-    grams = texts.select(F.col(key), padded.alias("_t")).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substring("_t", i, F.lit(n)))).alias("_g"))
-    bucket, sign = gram_bucket(F.col("_g"), dimension)
-    return grams.select(key, bucket.alias("bucket"), sign.alias("s")).groupBy(key, "bucket").agg(F.sum("s").alias("total")).where("total <> 0")
+    """key, bucket, total: the signed n-gram counts of each text that aren't 0, as rows."""
+    def run(parts):
+        grams = Grams(dimension)
+        for part in parts:
+            counts = [signed_counts(t, grams, n) for t in part.column(1).to_pylist()]
+            held = [np.flatnonzero(c) for c in counts]
+            who = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(np.concatenate([*held, none]).astype(np.int64)), pa.array(np.concatenate([*(c[h] for c, h in zip(counts, held)), none]).astype(np.int64))], [key, "bucket", "total"])
+
+    kind = dict(texts.dtypes)[key]
+    return texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, f"{key} {kind}, bucket bigint, total bigint")
 
 
 def hash_embedding(text: Column, dimension: int = 256, n: int = 4, digits: int = 6) -> Column:
@@ -53,17 +73,10 @@ def hash_embedding(text: Column, dimension: int = 256, n: int = 4, digits: int =
 
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
-        seen: dict[str, tuple[int, float]] = {}
+        grams = Grams(dimension)
         out = np.zeros((len(texts), dimension))
         for row, value in enumerate(texts.to_pylist()):
-            line = f" {(value or '').lower().strip()} ".ljust(n)
-            for i in range(len(line) - n + 1):
-                gram = line[i : i + n]
-                hit = seen.get(gram)
-                if hit is None:
-                    d = hashlib.sha1(gram.encode()).digest()
-                    seen[gram] = hit = int.from_bytes(d[:4], "big") % dimension, 1.0 if d[4] % 2 == 0 else -1.0
-                out[row, hit[0]] += hit[1]
+            out[row] = signed_counts(value, grams, n)
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         out = np.round(out / np.where(lengths == 0, 1.0, lengths), digits)
         return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), dimension).cast(pa.list_(pa.float64()))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType
 
 from evigrain.functions import text as T
-from evigrain.functions.vectors import distance, dot, seeded, unit
-from evigrain.operators.skew import salted_join
+from evigrain.functions.vectors import dot, seeded, unit
 
 #: Query vectors are broadcast while they are at most so many; a larger query set goes through in blocks of that size.
 QUERY_BLOCK = 4096
@@ -26,27 +28,80 @@ def ranked(scored: DataFrame, k: int, query: str = "query_id", key: str = "id",
     return scored.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k)
 
 
-def _score(metric: str) -> Column:
+def rows_of(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the rows of that length, their vectors) of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
+    at = np.flatnonzero(lengths == dimension)
+    if not len(at):
+        return at, np.zeros((0, dimension))
+    flat = column.values.to_numpy(zero_copy_only=False)
+    starts = column.offsets.to_numpy()[:-1][at]
+    return at, flat[starts[:, None] + np.arange(dimension)]
+
+
+def scores_of(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Rows by queries; the larger the nearer."""
     if metric == "l2":
-        return -distance(F.col("v"), F.col("q"))
-    return dot(F.col("v"), F.col("q"))
+        return -np.stack([np.sqrt(((x - one) ** 2).sum(axis=1)) for one in q], axis=1) if len(q) else np.zeros((len(x), 0))
+    return x @ q.T
 
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int = 9, key: str = "id", query: str = "query_id") -> DataFrame:
-    """query_id, id, score, rank_no by a full scan: the queries (a stated set) go in blocks against all vectors, each
-    block of at most QUERY_BLOCK vectors broadcast, so no join materialises more than a partition at a time.
+    """query_id, id, score, rank_no by a full scan: the queries (a stated set) go in blocks of at most QUERY_BLOCK
+    against all vectors. A block goes to the executors as one matrix; each task multiplies batch by batch and keeps the
+    k best of each query with the ties at the end, so what is shuffled is at most k rows a query and task (and ties).
 
     ``vectors``: (key, v), ``queries``: (query, q), both from usable. A length that differs from the query's gives no score."""
     if metric not in ("cosine", "ip", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
+    spark, kinds = vectors.sparkSession, dict(vectors.dtypes) | dict(queries.dtypes)
     if metric == "cosine":
         vectors, queries = vectors.withColumn("v", unit(F.col("v"))), queries.withColumn("q", unit(F.col("q")))
     blocks = -(-max(1, queries.count()) // QUERY_BLOCK)
+    schema = f"{query} {kinds[query]}, {key} {kinds[key]}, score double"
     out = None
     for b in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        one = vectors.join(F.broadcast(block), F.size("v") == F.size("q")).select(query, key, F.bround(_score(metric), digits).alias("score"))
-        one = ranked(one, k, query, key)
+        rows = block.select(query, "q").collect()  # at most about QUERY_BLOCK
+        by_size: dict[int, list] = {}
+        for r in rows:
+            by_size.setdefault(len(r[1]), []).append(r)
+        held = spark.sparkContext.broadcast([(d, [r[0] for r in part], np.array([r[1] for r in part], float)) for d, part in by_size.items()])
+
+        def scan(parts, held=held):
+            best: dict = {}
+            types = None
+            for part in parts:
+                types = part.schema.field(0).type
+                for d, names, q in held.value:
+                    at, x = rows_of(part.column(1), d)
+                    if not len(at):
+                        continue
+                    ids = part.column(0).take(pa.array(at)).to_pylist()
+                    s = np.round(scores_of(x, q, metric), digits)
+                    for j, name in enumerate(names):
+                        c = s[:, j]
+                        old = best.get(name)
+                        bar = max(np.partition(c, len(c) - k)[len(c) - k] if len(c) > k else -np.inf, old[2] if old else -np.inf)
+                        new = np.flatnonzero(c >= bar)
+                        if not len(new):
+                            continue
+                        i = (old[0] if old else []) + [ids[n] for n in new]
+                        v = np.concatenate([old[1], c[new]]) if old else c[new]
+                        if len(i) > k:
+                            bar = np.partition(v, len(v) - k)[len(v) - k]
+                            stay = np.flatnonzero(v >= bar)
+                            if len(stay) > 4 * k:  # many ties: the smaller keys are enough
+                                stay = np.array(sorted(stay, key=lambda n: (-v[n], i[n]))[:k])
+                            i, v = [i[n] for n in stay], v[stay]
+                        best[name] = i, v, bar if len(i) >= k else -np.inf
+            if types is not None:
+                flat = [(n, i, float(s)) for n, (ids, v, _) in best.items() for i, s in zip(ids, v)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], name_type), pa.array([f[1] for f in flat], types), pa.array([f[2] for f in flat], pa.float64())], [query, key, "score"])
+
+        name_type = to_arrow_type(queries.schema[query].dataType)
+        one = ranked(vectors.select(key, "v").mapInArrow(scan, schema), k, query, key)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -57,22 +112,20 @@ def planes(dimension: int, bits: int, tables: int, seed: int) -> np.ndarray:
 
 
 def signatures(vectors: DataFrame, normals: np.ndarray, key: str = "id", vector: str = "v") -> DataFrame:
-    """key, table_no, code: bit i of the code is set where the vector lies on the positive side of plane i."""
+    """key, table_no, code: bit i of the code is set where the vector lies on the positive side of plane i. Vectors of
+    another length than the planes have none."""
     tables, bits, _ = normals.shape
-    literal = F.lit(normals.reshape(tables * bits, -1).tolist()) if tables * bits * normals.shape[2] <= 4096 else None
-    if literal is None:
-        @F.pandas_udf("array<bigint>")
-        def codes(vs: pd.Series) -> pd.Series:
-            if not len(vs):
-                return pd.Series([], dtype=object)
-            x = np.stack(vs.to_numpy()).astype(float)
-            hit = np.einsum("nd,tbd->ntb", x, normals) > 0
-            return pd.Series(list((hit * (1 << np.arange(bits))).sum(axis=2).astype(np.int64)))
-
-        return vectors.select(key, F.posexplode(codes(vector)).alias("table_no", "code"))
-    sides = F.transform(literal, lambda p, i: F.when(dot(F.col(vector), p) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), (i % bits).cast("int"))).otherwise(F.lit(0).cast("bigint")))
-    per = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.aggregate(F.slice("_sides", t * bits + 1, F.lit(bits)), F.lit(0).cast("bigint"), lambda s, x: s + x))
-    return vectors.withColumn("_sides", sides).select(key, F.posexplode(per).alias("table_no", "code"))
+    flat = normals.reshape(tables * bits, -1)
+    powers = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def codes(vs: pa.Array) -> pa.Array:
+        at, x = rows_of(vs, flat.shape[1])
+        out = np.full((len(vs), tables), -1, np.int64)
+        out[at] = ((x @ flat.T > 0).reshape(len(at), tables, bits) * powers).sum(axis=2)
+        return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), tables).cast(pa.list_(pa.int64()))
+
+    return vectors.select(key, F.posexplode(codes(vector)).alias("table_no", "code")).where("code >= 0")
 
 
 def flips(bits: int, radius: int) -> list[int]:
