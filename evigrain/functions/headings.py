@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evigrain.functions.text import collapse_space, text_of
+from evigrain.functions.text import collapse_space, let, text_of
 
 #: Headings with a label of their own.
 EXACT = {
@@ -70,7 +70,10 @@ def resolve(sections: Column) -> Column:
     rule). A heading no rule matches takes the label of the nearest earlier heading with its parent's number, else of
     the nearest earlier classified one; a resolved label passes on. One fold over the record's own sections."""
     seen = F.transform(sections, lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), normalise_heading(s["heading"]).alias("normal"), number_of(s["heading"]).alias("number")))
-    judged = F.transform(seen, lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), s["normal"].alias("normal"), s["number"].alias("number"), classify(s["normal"])["label"].alias("label"), classify(s["normal"])["rule"].alias("rule")))
+    def judge(s: Column) -> Column:
+        return let(classify(s["normal"]), lambda c: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), s["normal"].alias("normal"), s["number"].alias("number"), c["label"].alias("label"), c["rule"].alias("rule")))
+
+    judged = F.transform(seen, judge)
     empty = F.expr("CAST(array() AS array<struct<heading:string,body:string,normal:string,number:array<int>,label:string,rule:string>>)")
 
     def step(acc: Column, s: Column) -> Column:

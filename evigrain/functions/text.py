@@ -27,6 +27,11 @@ STOPWORDS = (
 LATEX = ((r"\&", "&"), (r"\%", "%"), (r"\_", "_"), (r"\$", "$"), (r"\#", "#"), ("``", '"'), ("''", '"'), ("--", "-"), ("~", " "))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once; an expression that a lambda captures is computed at each call."""
+    return F.transform(F.array(value), lambda v: then(v))[0]
+
+
 def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

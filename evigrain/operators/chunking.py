@@ -40,9 +40,11 @@ def pack(sentences: Column, most: int, section: Column | None = None) -> Column:
 
 def windows(items: Column, size: int, step: int) -> Column:
     """Runs of ``size`` items every ``step``, the last being the first that reaches the end."""
-    n = F.size(items)
-    count = F.when(n == 0, F.lit(0)).otherwise(F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int") + 1)
-    return F.when(count == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(items, i * step + 1, F.lit(size)), " ")))
+    def cut(v: Column) -> Column:
+        count = F.ceil(F.greatest(F.size(v) - size, F.lit(0)) / step).cast("int") + 1
+        return F.when(F.size(v) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(v, i * step + 1, F.lit(size)), " ")))
+
+    return T.let(items, cut)
 
 
 def record_pieces() -> Column:
@@ -238,7 +240,7 @@ def located(source: Column, texts: Column) -> Column:
     the beginning, else (-1, -1)."""
     start = F.expr("CAST(named_struct('at', 0, 'spans', array()) AS struct<at:int,spans:array<struct<a:int,b:int>>>)")
 
-    def step(acc: Column, t: Column) -> Column:
+    def step(source: Column, acc: Column, t: Column) -> Column:
         ahead = F.call_function("locate", t, source, acc["at"] + 1)
         found = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", t, source, F.lit(1))) - 1
         hit = found >= 0
@@ -246,7 +248,7 @@ def located(source: Column, texts: Column) -> Column:
         on = F.when(hit, found + F.greatest(F.lit(1), F.floor(F.length(t) / 2).cast("int"))).otherwise(acc["at"])
         return F.struct(on.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(texts, start, step, lambda a: a["spans"])
+    return T.let(source, lambda src: F.aggregate(texts, start, lambda acc, t: step(src, acc, t), lambda a: a["spans"]))
 
 
 def chunk(records: DataFrame, name: str = "sentence", nfkc: bool = False, spans: bool = True, **params) -> DataFrame:

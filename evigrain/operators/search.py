@@ -42,6 +42,8 @@ def rows_of(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
 
 def scores_of(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     """Rows by queries; the larger the nearer."""
+    if metric == "cosine":
+        x, q = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1.0, n) for m in (x, q))
     if metric == "l2":
         return -np.stack([np.sqrt(((x - one) ** 2).sum(axis=1)) for one in q], axis=1) if len(q) else np.zeros((len(x), 0))
     return x @ q.T
@@ -56,8 +58,6 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     if metric not in ("cosine", "ip", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
     spark, kinds = vectors.sparkSession, dict(vectors.dtypes) | dict(queries.dtypes)
-    if metric == "cosine":
-        vectors, queries = vectors.withColumn("v", unit(F.col("v"))), queries.withColumn("q", unit(F.col("q")))
     blocks = -(-max(1, queries.count()) // QUERY_BLOCK)
     schema = f"{query} {kinds[query]}, {key} {kinds[key]}, score double"
     out = None

@@ -163,10 +163,10 @@ def _parsed(spark: SparkSession, path: str, parse, source: str, require_abstract
                 if rows:
                     yield pd.DataFrame([r | {"extra": [{"k": k, "v": v} for k, v in r["extra"].items()]} for r in rows], columns=names)
 
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.text(path).mapInPandas(run, schema.replace("map<string,string>", "array<struct<k:string,v:string>>"))
+    rows = reader.text(path, wholetext=True).mapInPandas(run, schema.replace("map<string,string>", "array<struct<k:string,v:string>>"))
     rows = rows.withColumns({"extra": F.map_from_entries("extra"), "year": T.parse_year(F.col("year"))})
     if require_abstract:
         rows = rows.where("abstract <> ''")
