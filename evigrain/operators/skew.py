@@ -19,9 +19,9 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: st
     Null keys match nothing; an empty side gives an empty result (``left`` rows with nulls for how='left')."""
     on = list(on)
     hot_keys = right.where(F.col(weight) >= hot).select(*on, F.lit(True).alias("_hot"))
-    marked = left.join(F.broadcast(hot_keys), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(F.lit(0))
-    ).drop("_hot")
+    # a hash of the row, not a random number: a task that runs again deals its rows as before
+    row = F.xxhash64(*[F.col(c) for c, kind in left.dtypes if "map<" not in kind])
+    marked = left.join(F.broadcast(hot_keys), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(row, F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     spread = right.withColumn(
         "_salt", F.explode(F.when(F.col(weight) >= hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     ).drop(weight)
