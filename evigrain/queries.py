@@ -547,3 +547,118 @@ def bootstrap_ci(spark, root):
 def score_summary(spark, root):
     s = table(spark, root, "ranked_hits").where("score IS NOT NULL")
     return s.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.bround(F.median("score"), 9).alias("median_score"), F.bround(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("min_score"), F.bround(F.max("score") - F.min("score"), 9).alias("spread"))
+
+
+# ---------------------------------------------------------------- further projections, filters and joins
+@query(f"SELECT chunk_id, {collapse('replace(coalesce(text, chr(32)), chr(173), chr(0))').replace('chr(0)', repr(''))} AS text_norm FROM chunks")
+def normalise_text(spark, root):
+    return table(spark, root, "chunks").select("chunk_id", T.normalise("text", nfkc=False).alias("text_norm"))
+
+
+@query(f"""SELECT doc_id, coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {collapse('x')}), lambda s: len(string_split(s, ' ')) BETWEEN 3 AND 30 AND NOT regexp_matches(lower(s), '^(abstract|keywords|doi|http|downloaded|page )'))[1], '') AS title FROM documents""")
+def guess_title(spark, root):
+    return table(spark, root, "documents").select("doc_id", T.guess_title(F.col("text")).alias("title"))
+
+
+_TOPICS = ["eeg emotion recognition", "clinical text classification", "screening automation", "vector databases"]
+
+
+@query(f"SELECT 'Study ' || lpad(i::VARCHAR, 5, '0') || ' on ' || t AS title, '10.9999/made.' || lpad(i::VARCHAR, 5, '0') AS doi, (2005 + i % 20)::INT AS year FROM (SELECT i, {_TOPICS}[i % 4 + 1] AS t FROM range(5000) r(i))")
+def synthetic_corpus(spark, root):
+    from evigrain.sources.bibliography import synthetic
+
+    return synthetic(spark, 5000, _TOPICS).select("title", "doi", "year")
+
+
+_SCREEN = collapse("coalesce(title, '') || '. ' || coalesce(abstract, '')")
+
+
+@query(f"""WITH r AS (SELECT record_key, {_SCREEN} AS s, CASE WHEN coalesce(full_text, '') <> '' THEN full_text WHEN coalesce(len(sections), 0) > 0 THEN array_to_string(list_transform(sections, lambda x: x.body), ' ') ELSE {_SCREEN} END AS b FROM records)
+  SELECT record_key, sha256(CASE WHEN s = b THEN s ELSE concat_ws(' ', nullif(s, ''), nullif(b, '')) END) AS source_hash FROM r""")
+def canonical_source(spark, root):
+    return table(spark, root, "records").select("record_key", F.sha2(R.canonical_source(), 256).alias("source_hash"))
+
+
+@query(r"WITH h AS (SELECT coalesce(unnest(sections).heading, '') AS heading FROM records) SELECT heading, array_to_string(list_transform(string_split(nullif(regexp_extract(heading, '^\s*[(\[]?\s*(\d+(?:\.\d+)*)', 1), ''), '.'), lambda d: d::INT::VARCHAR), '.') AS number, count(*) AS uses FROM h GROUP BY ALL".replace("array_to_string(", "coalesce(array_to_string(", 1).replace(", '.') AS number", ", '.'), '') AS number"))
+def heading_numbers(spark, root):
+    h = table(spark, root, "records").select(F.explode("sections").alias("s")).select(F.coalesce("s.heading", F.lit("")).alias("heading")).groupBy("heading").agg(F.count(F.lit(1)).alias("uses"))
+    return h.select("heading", F.array_join(F.transform(H.number_of("heading"), lambda n: n.cast("string")), ".").alias("number"), "uses")
+
+
+@query(f"SELECT id, round_even(v[1], 6) AS first, round_even(v[64], 6) AS last, round_even(list_dot_product(v, v), 6) AS square FROM ({UNIT_SQL})")
+def unit_vectors(spark, root):
+    v, _ = vec_sides(spark, root)
+    u = v.select("id", V.unit(F.col("v")).alias("u"))
+    return u.select("id", V.quantise(F.col("u"))[0].alias("first"), V.quantise(F.col("u"))[63].alias("last"), F.bround(V.dot(F.col("u"), F.col("u")), 6).alias("square"))
+
+
+@query(f"SELECT chunk_id, len({CONTENT('text')})::INT AS n_content, array_to_string(list_sort({CONTENT('text')})[1:5], ' ') AS smallest FROM chunks")
+def content_words(spark, root):
+    w = T.content_words("text")
+    return table(spark, root, "chunks").select("chunk_id", F.size(w).alias("n_content"), F.array_join(F.slice(F.array_sort(w), 1, 5), " ").alias("smallest"))
+
+
+def _latex_sql(x: str) -> str:
+    for escape, plain in T.LATEX:
+        x = f"replace({x}, '{escape.replace(chr(39), chr(39) * 2)}', '{plain}')"
+    return collapse(f"regexp_replace({x}, '[{{}}]', '', 'g')")
+
+
+@query(f"SELECT record_key, {_latex_sql(chr(99) + 'oalesce(title, ' + chr(39) * 2 + ')')} AS title_clean FROM records")
+def clean_latex(spark, root):
+    return table(spark, root, "records").select("record_key", T.clean_latex(F.col("title")).alias("title_clean"))
+
+
+@query("SELECT h.run_id, h.query_id, h.rank_no, h.chunk_id, coalesce(r.title, '') AS title FROM ranked_hits h LEFT JOIN chunks c USING (chunk_id) LEFT JOIN records r USING (record_id) WHERE h.rank_no <= 3")
+def hit_titles(spark, root):
+    hits = table(spark, root, "ranked_hits").where("rank_no <= 3").select("run_id", "query_id", "rank_no", "chunk_id")
+    chunks, recs = table(spark, root, "chunks").select("chunk_id", "record_id"), table(spark, root, "records").select("record_id", "title")
+    return hits.join(chunks, "chunk_id", "left").join(recs, "record_id", "left").select("run_id", "query_id", "rank_no", "chunk_id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query("SELECT query_id, round_even(quantile_cont(score, 0.05), 6) AS p05, round_even(quantile_cont(score, 0.95), 6) AS p95 FROM ranked_hits WHERE score IS NOT NULL GROUP BY 1")
+def score_percentiles(spark, root):
+    s = table(spark, root, "ranked_hits").where("score IS NOT NULL")
+    return s.groupBy("query_id").agg(F.bround(F.percentile("score", 0.05), 6).alias("p05"), F.bround(F.percentile("score", 0.95), 6).alias("p95"))
+
+
+@query("SELECT record_id FROM records ORDER BY record_id LIMIT 50")
+def subsample(spark, root):
+    return experiment.subsample(table(spark, root, "records").select("record_id"), 50)
+
+
+@query("""SELECT record_key, coalesce(map_extract_value(extra, 'document_type'), '') AS document_type FROM records
+  WHERE lower(coalesce(map_extract_value(extra, 'document_type'), '')) IN ('article', 'review') AND coalesce(abstract, '') <> '' AND lower(trim(abstract)) <> '[no abstract available]'""")
+def filtered_records(spark, root):
+    kind = F.coalesce(F.element_at("extra", "document_type"), F.lit(""))
+    return table(spark, root, "records").where(F.lower(kind).isin("article", "review") & (T.blank_placeholder(F.col("abstract")) != "")).select("record_key", kind.alias("document_type"))
+
+
+@query(f"WITH h AS (SELECT record_key, coalesce(s.heading, '') AS heading FROM (SELECT record_key, unnest(sections) AS s FROM records)), m AS (SELECT record_key, {_heading_sql()} AS n FROM h) SELECT DISTINCT record_key FROM m WHERE {_label_sql('label')} IN ('methods', 'results', 'introduction', 'discussion')")
+def has_sections(spark, root):
+    wanted = ("methods", "results", "introduction", "discussion")
+    return table(spark, root, "records").where(F.exists("sections", lambda s: H.classify(H.normalise_heading(s["heading"]))["label"].isin(*wanted))).select("record_key")
+
+
+@query("SELECT record_id, to_json({'doi': coalesce(doi, ''), 'title': coalesce(title, ''), 'pub_year': pub_year}) AS payload FROM corpus_manifest")
+def record_payload(spark, root):
+    return table(spark, root, "corpus_manifest").select("record_id", F.to_json(F.struct(T.text_of("doi").alias("doi"), T.text_of("title").alias("title"), "pub_year"), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+_PROTOCOLS = [(1, "A review of sleep", "adults", "light therapy", "", "sleep quality", ["sample size", "setting"]), (2, "Screening tools", "", "", "", "", [])]
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'pico', 'adults light therapy sleep quality'), (1, 'field-0', 'sample size'), (1, 'field-1', 'setting'), (2, 'pico', 'Screening tools')) v(review_id, query_id, query_text)")
+def protocol_queries(spark, root):
+    from evigrain.plans import protocol
+
+    return protocol.protocol_queries(spark.createDataFrame(_PROTOCOLS, protocol.PROTOCOL))
+
+
+@query()
+def chunker_comparison(spark, root):
+    from evigrain.operators import comparison
+
+    docs = documents_as_records(spark, root)
+    out = comparison.compare(chunking.chunk(docs, "sentence", max_words=120), chunking.chunk(docs, "fixed", size=120, overlap=0))
+    return out.select("record_id", F.bround("boundary_jaccard", 9).alias("boundary_jaccard"), F.bround("span_jaccard", 9).alias("span_jaccard"), "same_pieces")
