@@ -78,7 +78,7 @@ def winners_and_losers(records: DataFrame, key: str = "dedup_key", rid: str = "r
     length = length if length is not None else content_length()
     ranked = records.withColumn("_len", length.cast("long"))
     best = ranked.groupBy(key).agg(F.min(F.struct((-F.col("_len")).alias("l"), F.col(rid).alias("winner_id"))).alias("w"), F.count(F.lit(1)).alias("_w")).select(key, F.col("w.winner_id").alias("winner_id"), "_w")
-    tagged = salted_join(ranked, best, [key], "_w")
+    tagged = salted_join(ranked, best, [key], "_w", spread_by=[rid])
     winners = tagged.where(F.col(rid) == F.col("winner_id")).drop("_len", "winner_id")
     losers = tagged.where(F.col(rid) != F.col("winner_id")).select("winner_id", F.col(rid).alias("loser_id"))
     return winners, losers
