@@ -22,8 +22,10 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from evigrain.operators.skew import salted_join
 from evigrain.session import cut
 
 #: What a reader of scans takes for what, misread first.
@@ -34,7 +36,8 @@ HYPHENS = "-‐‑­¬"
 RATIO, LEAST = 20, 3
 
 WORD = re.compile(r"!?[^\W\d_][^\W_]*(?:!+[^\W_]+)*|\d+[^\W\d_][^\W_]*(?:!+[^\W_]+)*")
-JAVA_WORD = r"!?[\p{L}\p{N}]+(?:!+[\p{L}\p{N}]+)*(?:-[\p{L}\p{N}]+)*"
+COUNTED = re.compile(r"!?[^\W_]+(?:!+[^\W_]+)*(?:-[^\W_]+)*")
+BROKEN = re.compile(rf"[^\W_]+[{HYPHENS}][ \t]*\n\s*\S*")
 DOUBTFUL = re.compile("|".join(bad for bad, _ in HARD + SOFT))
 HARD_SIGN = re.compile(r"[^\W\d_][01569!]|[01569!][^\W\d_]")
 LINE_END = re.compile(rf"[{HYPHENS}][ \t]*\n")
@@ -261,14 +264,36 @@ def mend(text: str | None, title: str | None, venue: str | None, authors, counts
     return (mended, sorted(kinds)) if kinds else (text, [])
 
 
+#: Distinct words a task holds before it passes its counts on.
+HELD_WORDS = 300_000
+
+
 def vocabulary(records: DataFrame) -> DataFrame:
     """word, n: the number of texts that hold it, over titles, abstracts, full texts and section bodies of all records.
-    Words parted at line ends are left out."""
+    Words parted at line ends are left out. Each task counts its own batches before the shuffle."""
     bodies = F.coalesce(F.transform("sections", lambda s: s["body"]), F.array().cast("array<string>"))
-    texts = records.select(F.explode(F.concat(F.array("title", "abstract", "full_text"), bodies)).alias("t")).where("t IS NOT NULL")
-    unbroken = F.when(F.contains(F.col("t"), F.lit("\n")), F.regexp_replace(F.lower("t"), rf"[\p{{L}}\p{{N}}!]+[{HYPHENS}][ \t]*\n\s*\S*", " ")).otherwise(F.lower("t"))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(unbroken, F.lit(JAVA_WORD), F.lit(0)))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(parts):
+        counts: Counter = Counter()
+
+        def out():
+            words = list(counts)
+            done = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "n"])
+            counts.clear()
+            return done
+
+        for part in parts:
+            for texts in part.column(0).to_pylist():
+                for text in texts:
+                    if text:
+                        low = text.lower()
+                        counts.update(set(COUNTED.findall(BROKEN.sub(" ", low) if "\n" in low else low)))
+                if len(counts) > HELD_WORDS:
+                    yield out()
+        yield out()
+
+    words = records.select(F.concat(F.array("title", "abstract", "full_text"), bodies).alias("t")).mapInArrow(count, "word string, n bigint")
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def corrections(words: DataFrame) -> DataFrame:
@@ -315,6 +340,6 @@ def repair(records: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFr
     asked = items.select("record_key", "field_name", F.explode(wanted("text", "own_title", "venue", "authors")).alias("word"))
     lexicon = words.join(wrong, "word", "left").where(F.col("fix").isNotNull() | (F.col("n") >= LEAST))
     # of doubtful words only the misread ones matter, of line-end pairs all forms; words in use come with their counts
-    answers = asked.join(lexicon, "word").groupBy("record_key", "field_name").agg(F.collect_list(F.struct("word", "n", F.coalesce("fix", F.lit("")).alias("fix"))).alias("a"))
+    answers = salted_join(asked, lexicon.withColumn("_w", F.col("n")), ["word"], "_w").groupBy("record_key", "field_name").agg(F.collect_list(F.struct("word", "n", F.coalesce("fix", F.lit("")).alias("fix"))).alias("a"))
     seen = items.join(answers, ["record_key", "field_name"], "left").select("record_key", "field_name", mended("text", "own_title", "venue", "authors", F.col("a.word"), F.col("a.n"), F.col("a.fix")).alias("r"))
     return seen.select("record_key", "field_name", "r.text_repaired", "r.noise_kinds").where(F.size("noise_kinds") > 0)
