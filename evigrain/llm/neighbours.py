@@ -15,11 +15,12 @@ that fewer projections than the threshold meet. The README states the measured r
 
 Defined results: null, empty and all-zero vectors, those with a null, NaN or infinite number and those of another length
 than most have no neighbours and are none; scale doesn't matter; ties go to the smaller id; rows without an id are left
-out; of rows with the same id one is used; an empty table gives an empty result; other columns are ignored.
+out; rows with the same id and direction are one, an id with several directions is searched with each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from evigrain.operators.search import rows_of
 from evigrain.session import cut
 
 SEED = 42
@@ -37,15 +39,23 @@ PROJECTIONS, THRESHOLD = 24, 0.7
 
 
 def usable(vectors: DataFrame, vec_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """id and unit vector of the rows that take part."""
+    """id, g (a name of the direction) and u (the unit vector) of the rows that take part. Vectors that differ in scale
+    only have the same direction, up to the twelfth decimal."""
     v = vectors.select(F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND size(v) > 0")
-    v = v.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    v = v.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("n > 0 AND n < 1e150")
-    usual = v.groupBy(F.size("v").alias("d")).count().agg(F.max_by("d", F.struct("count", F.col("d")))).collect()[0][0]
-    v = v.where(F.size("v") == (usual or 0))
-    # scaled copies fall together; the ninth decimal is what scores are compared by
-    unit = v.select("id", F.transform("v", lambda x: F.rint(x / F.col("n") * 1e12) / 1e12 + F.lit(0.0)).alias("u"))
-    return unit.dropDuplicates(["id"])
+    usual = v.groupBy(F.size("v").alias("d")).count().agg(F.max_by("d", F.struct("count", F.col("d")))).collect()[0][0] or 0
+
+    def unit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at, x = rows_of(part.column(1), usual)
+            with np.errstate(all="ignore"):
+                n = np.linalg.norm(x, axis=1)
+                good = np.isfinite(n) & (n > 0)
+                u = np.rint(x[good] / n[good, None] * 1e12) / 1e12 + 0.0
+            names = [hashlib.blake2b(row.tobytes(), digest_size=16).hexdigest() for row in u]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * usual, pa.int32()), pa.array(u.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at[good])), pa.array(names, pa.string()), lists], ["id", "g", "u"])
+
+    return v.mapInArrow(unit, "id string, g string, u array<double>")
 
 
 def fit(units: np.ndarray, cells: int, seed: int = SEED, rounds: int = 6) -> np.ndarray:
@@ -116,8 +126,7 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, vec_id: str = "
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector)
     # one row a direction, with the k + 1 smallest ids that have it: no more can be anyone's nearest
-    key = F.concat(F.hex(F.xxhash64("u")), F.lit("-"), F.hex(F.xxhash64(F.lit(SEED), "u")))
-    keyed = cut(rows.select("id", key.alias("g"), "u"))
+    keyed = cut(rows)
     first = keyed.groupBy("g").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"), F.first("u").alias("u"))
     several = first.where("n > 1").select("g", F.col("n").alias("_w"))
     directions = cut(first.select("g", "head", "n", "u"))
@@ -187,7 +196,7 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, vec_id: str = "
     b = directions.select(F.col("g").alias("o"), F.col("u").alias("ub"), F.col("n").alias("on"), F.col("head").alias("ohead"))
     dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = both.join(a, "g").join(b, "o").select("g", "o", "on", "ohead", F.bround(dot, 9).alias("cosine")).where(F.col("cosine") >= least)
-    return rank_members(keyed.select("id", "g"), scored, several, k)
+    return rank_members(keyed.select("id", "g").distinct(), scored, several, k)
 
 
 def rank_members(rows: DataFrame, scored: DataFrame, several: DataFrame, k: int) -> DataFrame:
