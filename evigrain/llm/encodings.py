@@ -83,6 +83,9 @@ class Inverse:
 
     def __init__(self, steps: tuple[tuple[str, str], ...]):
         self.steps = [(right == "utf-8", to_bytes(wrong), None if right == "utf-8" else byte_table(right)) for right, wrong in reversed(steps)]
+        multi, back, _ = self.steps[0]
+        #: Characters without one of which nothing can be turned back.
+        self.leads = frozenset(c for c, b in back.items() if 0xC2 <= b <= 0xF4) if multi else frozenset(back)
 
     def units(self, cluster: str) -> list[tuple[str | None, int]]:
         units: list[tuple[str | None, int]] = [(c, 1) for c in cluster]
@@ -184,7 +187,9 @@ class Model:
         key = before, cluster, after
         if (v := self.cache.get(key)) is None:
             clean = self.scored([(c if c != LOST else None, 1) for c in cluster], cluster, before, after)
-            e = np.stack([clean, *(self.scored(inv.units(cluster), cluster, before, after) for inv in self.inverses)], axis=1)
+            bad = np.full(len(cluster), INVALID)
+            held = set(cluster)
+            e = np.stack([clean, *(bad if inv.leads.isdisjoint(held) and LOST not in held else self.scored(inv.units(cluster), cluster, before, after) for inv in self.inverses)], axis=1)
             more = e[:, 1:] - e[:, :1]
             top = np.maximum(more, 0).sum(axis=0)
             v = e, top, more.sum(axis=0), float(top.max())
@@ -211,41 +216,41 @@ class Model:
             run = np.maximum(run + d, 0)
         if best.max() + ENTER <= 0:
             return []
-        parts = [(s, e, v[0]) for s, e, v in parts]
-        states = self.viterbi(np.concatenate([p[2] for p in parts]))
-        if not states.any():
+        open_ = [0, *(np.flatnonzero(best + ENTER > 0) + 1).tolist()]
+        states = self.viterbi(np.concatenate([v[0][:, open_] for _, _, v in parts]))
+        if not any(states):
             return []
         out, at = [], 0
+        names = np.array(open_)
         for s, e, _ in parts:
-            out.append((s, e, states[at : at + e - s]))
+            out.append((s, e, names[states[at : at + e - s]]))
             at += e - s
         return out
 
     @staticmethod
-    def viterbi(em: np.ndarray) -> np.ndarray:
-        steps, k = em.shape
-        score = np.full(k, ENTER)
-        score[0] = 0.0
-        score += em[0]
-        back = np.zeros((steps, k), np.int16)
-        own = np.arange(k)
-        for t in range(1, steps):
-            best = int(np.argmax(score[1:])) + 1
-            stay = score.copy()
-            come = score[0] + ENTER
-            from_ = np.where(come > stay, 0, own)
-            stay = np.maximum(stay, come)
-            if score[best] + LEAVE > score[0]:
-                stay[0], from_[0] = score[best] + LEAVE, best
-            else:
-                stay[0], from_[0] = score[0], 0
-            back[t] = from_
-            score = stay + em[t]
-        path = np.zeros(steps, np.int16)
-        path[-1] = int(np.argmax(score))
-        for t in range(steps - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
+    def viterbi(em: np.ndarray) -> list[int]:
+        """The best path, state 0 being the clean one; only few pairs are left open, so plain lists are quickest."""
+        rows = em.tolist()
+        others = range(1, em.shape[1])
+        clean, *score = rows[0]
+        score = [ENTER + x for x in score]
+        back: list[list[int]] = []
+        for row in rows[1:]:
+            best = max(others, key=lambda p: score[p - 1])
+            come = clean + ENTER
+            froms = [best if score[best - 1] + LEAVE > clean else 0]
+            clean = row[0] + max(clean, score[best - 1] + LEAVE)
+            for p in others:
+                x = score[p - 1]
+                froms.append(p if x >= come else 0)
+                score[p - 1] = row[p] + (x if x >= come else come)
+            back.append(froms)
+        state = max(range(em.shape[1]), key=lambda p: clean if p == 0 else score[p - 1])
+        path = [state]
+        for froms in reversed(back):
+            state = froms[state]
+            path.append(state)
+        return path[::-1]
 
     def repair(self, text: str) -> tuple[str, list[tuple[int, int, int, bool]]]:
         """(the text put right, spans (start, end, pair number, restored); a pair of -1 is a lost character)."""
