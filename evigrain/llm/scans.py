@@ -164,8 +164,14 @@ def whole(left: str, right: str, counts: dict[str, int]) -> bool:
     return not (counts.get(last, 0) >= LEAST and counts.get(first, 0) >= LEAST)
 
 
+#: A longer run of letters is no word that could be misread (a sequence, a key).
+LONGEST_WORD = 60
+
+
 def fixes(word: str) -> set[str]:
     """Words of which ``word`` may be a misreading: all hard signs put right, and one soft confusion reversed."""
+    if len(word) > LONGEST_WORD:
+        return set()
     base = word
     for bad, good in HARD:
         base = base.replace(bad, good)
@@ -182,7 +188,7 @@ def fixes(word: str) -> set[str]:
 
 def plainly_misread(word: str) -> str | None:
     """The reading of a word whose hard signs stand between letters, for words the vocabulary doesn't have."""
-    if sum(c.isalpha() for c in word) < 6 or not re.fullmatch(r"[^\W\d_]{2,}(?:[01569!][^\W\d_]+){1,2}", word):
+    if len(word) > LONGEST_WORD or sum(c.isalpha() for c in word) < 6 or not re.fullmatch(r"[^\W\d_]{2,}(?:[01569!][^\W\d_]+){1,2}", word):
         return None
     for bad, good in HARD:
         word = word.replace(bad, good)
@@ -210,6 +216,16 @@ def lookups(text: str | None, title: str | None, venue: str | None, authors, sof
     return sorted(out)
 
 
+def misread_words(text: str, counts: dict[str, int], right: dict[str, str]) -> dict[str, str]:
+    """The misread words of a text in lower case, with what they stand for."""
+    words = set(WORD.findall(text.lower()))
+    found = {w: right[w] for w in words & right.keys()}
+    for w in words:
+        if w not in found and HARD_SIGN.search(w) and counts.get(w, 0) < LEAST and (new := plainly_misread(w)):
+            found[w] = new
+    return found
+
+
 def mend(text: str | None, title: str | None, venue: str | None, authors, counts: dict[str, int], right: dict[str, str]) -> tuple[str | None, list[str]]:
     """(readable text, kinds of noise found)."""
     if not text:
@@ -242,24 +258,12 @@ def mend(text: str | None, title: str | None, venue: str | None, authors, counts
             glue = True
     if now:
         paragraphs.append(now)
-    wrong = 0
-
-    def put(m: re.Match) -> str:
-        nonlocal wrong
-        w = m.group()
-        low = w.lower()
-        new = right.get(low) or (plainly_misread(low) if low not in counts or counts[low] < LEAST else None)
-        if new is None:
-            return w
-        wrong += 1
-        return matched_case(new, w)
-
-    mended = WORD.sub(put, "\n\n".join(paragraphs))
-    if not wrong:  # a misread word may stand in the furniture only
-        for i, line in enumerate(text.split("\n")):
-            if lines[i] is None:
-                WORD.sub(put, line)
-    if wrong:
+    mended = "\n\n".join(paragraphs)
+    fix = misread_words(mended, counts, right)
+    if fix:
+        mended = WORD.sub(lambda m: matched_case(fix[m.group().lower()], m.group()) if m.group().lower() in fix else m.group(), mended)
+    # a misread word may stand in the furniture only
+    if fix or (header and misread_words("\n".join(line for i, line in enumerate(text.split("\n")) if lines[i] is None), counts, right)):
         kinds.add("misread")
     return (mended, sorted(kinds)) if kinds else (text, [])
 
