@@ -227,9 +227,15 @@ def verified(kind_a: str, a: list[str], ia: list[str], kind_b: str, b: list[str]
     return None
 
 
+#: A longer word has no short form (keys would grow with its square).
+LONGEST_GIVEN = 40
+
+
 def short_forms(given: str) -> set[str]:
     """Short forms a given name may have by rule: its beginnings and parts of 3 to 6 letters, and beginnings with a
     usual ending."""
+    if len(given) > LONGEST_GIVEN:
+        return set()
     out = {given[i : i + n] for n in (3, 4, 5, 6) for i in range(len(given) - n + 1)} if len(given) > 4 else set()
     out |= {given[:n] + e for n in (2, 3, 4) for e in ("i", "y", "ie", "a", "k", "o", "e") if n < len(given) - 1 and n + len(e) >= 3}
     if given[2:3] == "c":
