@@ -84,8 +84,10 @@ def collide(members: np.ndarray, queries: np.ndarray, k: int, least: float, plan
     pm, pq = members @ planes.T, queries @ planes.T
     orders = np.argsort(pm, axis=0, kind="stable")
     sorted_ = np.take_along_axis(pm, orders, axis=0)
-    ranks = np.empty(pm.shape, np.int32)
-    np.put_along_axis(ranks, orders, np.arange(len(members), dtype=np.int32)[:, None], axis=0)
+    small, unsigned = (np.int16, np.uint16) if len(members) < 32_000 else (np.int32, np.uint32)
+    ranks = np.empty(pm.shape, small)
+    np.put_along_axis(ranks, orders, np.arange(len(members), dtype=small)[:, None], axis=0)
+    ranks = np.ascontiguousarray(ranks.T)
     step = max(1, 4_000_000 // max(1, len(members)))
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
@@ -94,10 +96,10 @@ def collide(members: np.ndarray, queries: np.ndarray, k: int, least: float, plan
             wide = radius * bucket
             counts = np.zeros((len(open_), len(members)), np.int8)
             for j in range(len(planes)):
-                low = np.searchsorted(sorted_[:, j], pq[at + open_, j] - wide, "left").astype(np.int32)
-                high = np.searchsorted(sorted_[:, j], pq[at + open_, j] + wide, "right").astype(np.int32)
-                inside = (ranks[:, j][None, :] - low[:, None]).view(np.uint32) < (high - low).view(np.uint32)[:, None]
-                np.add(counts, inside, out=counts, casting="unsafe")
+                low = np.searchsorted(sorted_[:, j], pq[at + open_, j] - wide, "left").astype(small)
+                high = np.searchsorted(sorted_[:, j], pq[at + open_, j] + wide, "right").astype(small)
+                inside = (ranks[j][None, :] - low[:, None]).view(unsigned) < (high - low).view(unsigned)[:, None]
+                np.add(counts, inside.view(np.int8), out=counts)
             last = level == len(radii) - 1
             qi, mi = np.nonzero(counts >= need)
             cos = np.einsum("ij,ij->i", q[open_[qi]], members[mi])
