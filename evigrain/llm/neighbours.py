@@ -5,13 +5,14 @@ that a third of all rows share is searched once. The distinct directions are dea
 fitted on a bounded, seeded sample; every row is indexed) and looked up in the cells nearest to them. In each cell every
 single projection keeps its members' sorted array; a query's window around its own projection widens by virtual rehashing
 (radius 1, 2, 3 buckets), members met in at least ``threshold`` of the projections' windows are verified by their
-exact cosine, and a query stops when k verified members lie within the radius or the radius covers the cosine asked for.
+exact cosine, and a query stops when k verified members lie within the radius. The last rehash lets every member of the cell
+collide.
 
 A cell's members and queries come to a task in blocks: a cell of more than ``block`` members is cut into several, each of
 which meets all of the cell's queries, so no cell has to fit into one task, however its rows are spread.
 
 What may be lost: a neighbour in a cell that isn't among the ``probes`` nearest of either of the two vectors, or one
-that fewer projections than the threshold meet. The README states the measured recall.
+that fewer projections than the threshold meet while k others lie within the radius. The README states the recall.
 
 Defined results: null, empty and all-zero vectors, those with a null, NaN or infinite number and those of another length
 than most have no neighbours and are none; scale doesn't matter; ties go to the smaller id; rows without an id are left
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from evigrain.operators.search import rows_of
+from evigrain.operators.skew import salted_join
 from evigrain.session import cut
 
 SEED = 42
@@ -36,6 +38,8 @@ SEED = 42
 SAMPLE, PER_CELL, MOST_CELLS = 20_000, 400, 16_384
 PROBES, BLOCK = 6, 2_000
 PROJECTIONS, THRESHOLD = 24, 0.7
+#: The cosine that the widest counted window reaches; farther neighbours come from the last rehash.
+CLOSE = 0.9
 
 
 def usable(vectors: DataFrame, vec_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -73,14 +77,16 @@ def fit(units: np.ndarray, cells: int, seed: int = SEED, rounds: int = 6) -> np.
     return c
 
 
-def collide(members: np.ndarray, queries: np.ndarray, k: int, least: float, planes: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, members, cosines) of up to k members with a cosine of at least ``least``, by collision counting."""
+def collide(members: np.ndarray, queries: np.ndarray, k: int, planes: np.ndarray, threshold: float = THRESHOLD, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine) of the k best members of each query, with ties, by collision counting: windows of one,
+    two and three buckets, the third reaching a cosine of ``close``; a query that has k verified members within its
+    radius stops. The last rehash makes all members of the cell collide, so the rest is verified against all of them."""
     dim = members.shape[1]
     need = max(1, math.ceil(threshold * len(planes)))
-    reach = math.sqrt(max(0.0, 2 - 2 * least))  # the farthest distance asked for
+    reach = math.sqrt(max(1e-12, 2 - 2 * close))
     # of a difference of length r, a unit projection of random direction spreads by r / sqrt(dim)
-    bucket = reach / math.sqrt(dim) / 2 if reach > 0 else 1e-6
-    radii = [1, 2, 3]
+    bucket = reach / math.sqrt(dim) / 2
+    radii = (1, 2, 3)
     pm, pq = members @ planes.T, queries @ planes.T
     orders = np.argsort(pm, axis=0, kind="stable")
     sorted_ = np.take_along_axis(pm, orders, axis=0)
@@ -88,50 +94,52 @@ def collide(members: np.ndarray, queries: np.ndarray, k: int, least: float, plan
     ranks = np.empty(pm.shape, small)
     np.put_along_axis(ranks, orders, np.arange(len(members), dtype=small)[:, None], axis=0)
     ranks = np.ascontiguousarray(ranks.T)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, 4_000_000 // max(1, len(members)))
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
         open_ = np.arange(len(q))
-        for level, radius in enumerate(radii):
-            wide = radius * bucket
+        for radius in radii if len(members) > k else ():
             counts = np.zeros((len(open_), len(members)), np.int8)
             for j in range(len(planes)):
-                low = np.searchsorted(sorted_[:, j], pq[at + open_, j] - wide, "left").astype(small)
-                high = np.searchsorted(sorted_[:, j], pq[at + open_, j] + wide, "right").astype(small)
+                low = np.searchsorted(sorted_[:, j], pq[at + open_, j] - radius * bucket, "left").astype(small)
+                high = np.searchsorted(sorted_[:, j], pq[at + open_, j] + radius * bucket, "right").astype(small)
                 inside = (ranks[j][None, :] - low[:, None]).view(unsigned) < (high - low).view(unsigned)[:, None]
                 np.add(counts, inside.view(np.int8), out=counts)
-            last = level == len(radii) - 1
             qi, mi = np.nonzero(counts >= need)
             cos = np.einsum("ij,ij->i", q[open_[qi]], members[mi])
             near = 1 - (radius / radii[-1] * reach) ** 2 / 2  # what lies within this radius
-            good = np.bincount(qi[cos >= near], minlength=len(open_)) if not last else None
-            still = []
-            bounds = np.searchsorted(qi, np.arange(len(open_) + 1))
-            for n in range(len(open_)):
-                a, b = bounds[n], bounds[n + 1]
-                if last or good[n] >= k:
-                    m, s = mi[a:b], cos[a:b]
-                    keep = s >= least - 1e-12
-                    m, s = m[keep], s[keep]
-                    if len(m):
-                        yield at + int(open_[n]), m, s
-                else:
-                    still.append(n)
-            open_ = open_[still]
+            done = np.bincount(qi[cos >= near], minlength=len(open_)) >= k
+            keep = done[qi]
+            out.append((at + open_[qi[keep]], mi[keep], cos[keep]))
+            open_ = open_[~done]
             if not len(open_):
                 break
-
-
-def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, vec_id: str = "chunk_id", vector: str = "embedding", probes: int = PROBES, per_cell: int = PER_CELL, block: int = BLOCK) -> DataFrame:
-    """id, other, cosine (rounded to 9 decimals), rank_no: the up to ``k`` most similar other vectors of each, of those
-    with a cosine of at least ``least``."""
+        if len(open_):
+            s = q[open_] @ members.T
+            if len(members) > k:
+                bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                qi, mi = np.nonzero(s >= bar[:, None])
+            else:
+                qi, mi = (x.ravel() for x in np.indices(s.shape))
+            out.append((at + open_[qi], mi, s[qi, mi]))
+    qs, ms, cs = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, int) for i in range(3))
+    order = np.lexsort((-cs, qs))
+    qs, ms, cs = qs[order], ms[order], cs[order]
+    starts = np.searchsorted(qs, qs, "left")
+    last = np.minimum(starts + k - 1, np.searchsorted(qs, qs, "right") - 1)
+    stay = cs >= cs[last] - 1e-9 if len(cs) else np.zeros(0, bool)
+    return qs[stay], ms[stay], cs[stay]
+
+
+def nearest(vectors: DataFrame, k: int = 10, vec_id: str = "chunk_id", vector: str = "embedding", probes: int = PROBES, per_cell: int = PER_CELL, block: int = BLOCK) -> DataFrame:
+    """id, other, cosine (rounded to 9 decimals), rank_no: the ``k`` most similar other vectors of each."""
     spark = vectors.sparkSession
-    rows = usable(vectors, vec_id, vector)
-    # one row a direction, with the k + 1 smallest ids that have it: no more can be anyone's nearest
-    keyed = cut(rows)
-    first = keyed.groupBy("g").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"), F.first("u").alias("u"))
-    several = first.where("n > 1").select("g", F.col("n").alias("_w"))
-    directions = cut(first.select("g", "head", "n", "u"))
+    keyed = cut(usable(vectors, vec_id, vector))
+    # one row a direction; d is its number, fixed once written
+    grouped = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.first("u").alias("u"))
+    directions = cut(grouped.withColumn("d", F.monotonically_increasing_id()))
+    several = directions.where("n > 1").select("g", "d", F.col("n").alias("_w"))
     total = directions.count()
     if total == 0:
         return spark.createDataFrame([], "id string, other string, cosine double, rank_no int")
@@ -150,75 +158,66 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.9, vec_id: str = "
     def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, _ = shared.value
         for part in parts:
-            g, u = part.column(0), part.column(1)
-            x = u.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) if len(part) else np.zeros((0, c.shape[1]))
+            d, u = part.column(0), part.column(1)
+            _, x = rows_of(u, c.shape[1])
             for i in range(0, len(part), 4096):
                 s = x[i : i + 4096].astype(np.float32) @ c.T
                 top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
                 order = np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable")
                 top = np.take_along_axis(top, order, axis=1).astype(np.int32)
                 n = len(top)
-                yield pa.RecordBatch.from_arrays([g.slice(i, n), pa.FixedSizeListArray.from_arrays(pa.array(top.ravel()), probes).cast(pa.list_(pa.int32()))], ["g", "cells"])
+                yield pa.RecordBatch.from_arrays([d.slice(i, n), pa.FixedSizeListArray.from_arrays(pa.array(top.ravel()), probes).cast(pa.list_(pa.int32()))], ["d", "cells"])
 
-    placed = cut(directions.select("g", "u").mapInArrow(assign, "g string, cells array<int>"))
+    placed = cut(directions.select("d", "u").mapInArrow(assign, "d bigint, cells array<int>"))
     sizes = placed.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("m"))
     asked = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
-    # blocks of a cell's members and of its queries (at most cells rows)
+    # blocks of a cell's members and of its queries (at most as many rows as cells)
     plan = F.broadcast(cut(sizes.join(asked, "cell").select("cell", F.ceil(F.col("m") / block).cast("int").alias("mb"), F.ceil(F.col("q") / (block * 2 * probes)).cast("int").alias("qb"))))
-    units = directions.select("g", "u")
-    h = lambda col, salt: F.pmod(F.xxhash64(F.lit(salt), "g"), F.col(col)).cast("int")
-    members = placed.select("g", F.col("cells")[0].alias("cell")).join(plan, "cell").select("g", "cell", F.lit(True).alias("member"), h("mb", 1).alias("mbk"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qbk"))
-    queries = placed.select("g", F.explode("cells").alias("cell")).join(plan, "cell").select("g", "cell", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mbk"), h("qb", 2).alias("qbk"))
-    work = members.unionByName(queries).join(units, "g").select("cell", "mbk", "qbk", "member", "g", F.col("u").cast("array<float>").alias("u"))
+    h = lambda col, salt: F.pmod(F.xxhash64(F.lit(salt), "d"), F.col(col)).cast("int")
+    members = placed.select("d", F.col("cells")[0].alias("cell")).join(plan, "cell").select("d", "cell", F.lit(True).alias("member"), h("mb", 1).alias("mbk"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qbk"))
+    queries = placed.select("d", F.explode("cells").alias("cell")).join(plan, "cell").select("d", "cell", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mbk"), h("qb", 2).alias("qbk"))
+    work = members.unionByName(queries).join(directions.select("d", "u"), "d").select("cell", "mbk", "qbk", "member", "d", "u")
 
     def search(group: pa.Table) -> pa.Table:
         _, planes = shared.value
         own = group["member"].to_numpy()
-        x = group["u"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        names = group["g"].to_numpy()
-        gm, gq = names[own], names[~own]
-        out_q, out_m = [], []
-        for q, m, s in collide(x[own], x[~own], k + 1, least, planes, THRESHOLD):
-            other = gm[m] != gq[q]
-            m, s = m[other], s[other]
-            if len(s) > 2 * k + 2:  # what lies clearly behind the k-th of this block can't be among the k nearest
-                bar = np.partition(s, len(s) - k)[len(s) - k] - 1e-6
-                m, s = m[s >= bar], s[s >= bar]
-            out_q.append(np.full(len(m), gq[q], object))
-            out_m.append(gm[m])
-        none = np.array([], object)
-        return pa.table({"g": pa.array(np.concatenate(out_q or [none]), pa.string()), "o": pa.array(np.concatenate(out_m or [none]), pa.string())})
-
-    found = work.groupBy("cell", "mbk", "qbk").applyInArrow(search, "g string, o string")
-    # a pair met from either side serves both
-    pairs = cut(found)
-    both = pairs.unionByName(pairs.select(F.col("o").alias("g"), F.col("g").alias("o"))).distinct()
-    a = directions.select("g", F.col("u").alias("ua"))
-    b = directions.select(F.col("g").alias("o"), F.col("u").alias("ub"), F.col("n").alias("on"), F.col("head").alias("ohead"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = both.join(a, "g").join(b, "o").select("g", "o", "on", "ohead", F.bround(dot, 9).alias("cosine")).where(F.col("cosine") >= least)
-    return rank_members(keyed.select("id", "g").distinct(), scored, several, k)
+        _, x = rows_of(group["u"], planes.shape[1])
+        names = group["d"].to_numpy()
+        dm, dq = names[own], names[~own]
+        q, m, s = collide(x[own], x[~own], k + 1, planes)
+        other = dm[m] != dq[q]
+        return pa.table({"d": pa.array(dq[q[other]], pa.int64()), "o": pa.array(dm[m[other]], pa.int64()), "cosine": pa.array(s[other], pa.float64())})
+
+    found = work.groupBy("cell", "mbk", "qbk").applyInArrow(search, "d bigint, o bigint, cosine double")
+    best = W.partitionBy("d").orderBy(F.desc("cosine"))
+    kept = found.select("d", "o", F.bround("cosine", 9).alias("cosine")).withColumn("r", F.rank().over(best)).where(F.col("r") <= k + 1).drop("r")
+    kept = cut(kept)
+    # a pair met from one side serves both
+    both = kept.unionByName(kept.select(F.col("o").alias("d"), F.col("d").alias("o"), "cosine")).groupBy("d", "o").agg(F.max("cosine").alias("cosine"))
+    scored = both.withColumn("r", F.rank().over(best)).where(F.col("r") <= k + 1).drop("r")
+    names = directions.select("g", "d", F.col("n").alias("_w"))
+    rows = salted_join(keyed.select("id", "g").distinct(), names, ["g"], "_w").select("id", "d")
+    return rank_members(rows, scored, several.select("d"), k)
 
 
 def rank_members(rows: DataFrame, scored: DataFrame, several: DataFrame, k: int) -> DataFrame:
     """Each row's k nearest: of its own direction's rows and those of the directions near it, the smallest ids first
     among equals. A direction offers its k + 1 smallest ids only, found by hash parts first, so one that a third of all
     rows share doesn't come to one task."""
+    rows = cut(rows)
     part = F.pmod(F.xxhash64("id"), F.lit(256))
-    hot = rows.join(several, "g", "left_semi")
-    cold = rows.join(several, "g", "left_anti").select("g", "id")
-    small = W.partitionBy("g", "p").orderBy("id")
-    some = hot.withColumn("p", part).withColumn("r", F.row_number().over(small)).where(F.col("r") <= k + 1)
-    heads = some.withColumn("r2", F.row_number().over(W.partitionBy("g").orderBy("id"))).where(F.col("r2") <= k + 1).select("g", "id")
-    offered = heads.unionByName(cold)
-    near = scored.select("g", "o", "cosine")
-    own = several.select("g", F.col("g").alias("o"), F.lit(1.0).alias("cosine"))
-    per = near.unionByName(own).join(offered.select(F.col("g").alias("o"), F.col("id").alias("other")), "o")
-    best = per.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k + 1)
-    lists = best.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))).alias("l"))
+    hot = rows.join(several, "d", "left_semi")
+    cold = rows.join(several, "d", "left_anti").select("d", "id")
+    some = hot.withColumn("p", part).withColumn("r", F.row_number().over(W.partitionBy("d", "p").orderBy("id"))).where(F.col("r") <= k + 1)
+    heads = some.withColumn("r2", F.row_number().over(W.partitionBy("d").orderBy("id"))).where(F.col("r2") <= k + 1).select("d", "id")
+    offered = heads.unionByName(cold).select(F.col("d").alias("o"), F.col("id").alias("other"))
+    own = several.select("d", F.col("d").alias("o"), F.lit(1.0).alias("cosine"))
+    per = scored.select("d", "o", "cosine").unionByName(own).join(offered, "o")
+    best = per.withColumn("r", F.row_number().over(W.partitionBy("d").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k + 1)
+    lists = best.groupBy("d").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))).alias("l"))
+    weights = rows.groupBy("d").agg(F.count(F.lit(1)).alias("_w"))
     # every row of a direction reads its direction's list of at most k + 1 entries, without its own
-    joined = rows.join(lists, "g").select("id", F.posexplode(F.slice(F.filter("l", lambda s: s["other"] != F.col("id")), 1, k)).alias("p", "s"))
+    joined = salted_join(rows, lists.join(weights, "d"), ["d"], "_w").select("id", F.posexplode(F.slice(F.filter("l", lambda s: s["other"] != F.col("id")), 1, k)).alias("p", "s"))
     return joined.select("id", F.col("s.other").alias("other"), (-F.col("s.c")).alias("cosine"), (F.col("p") + 1).alias("rank_no"))
 
 
