@@ -40,17 +40,18 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder all executors see: the cluster's ``spark.checkpoint.dir`` where it is set,
-    a temporary folder only for a local master without one."""
+    """The checkpoint folder all executors see: what ``spark.checkpoint.dir`` names. Only where it is unset one is
+    chosen: a temporary folder for a local master (tests), else one beside the warehouse, which a cluster shares."""
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), f"evigrain-checkpoints-{os.getpid()}")
+        if sc.master.startswith("local"):
+            folder = os.path.join(tempfile.gettempdir(), f"evigrain-checkpoints-{os.getpid()}")
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_evigrain_checkpoints"
     sc.setCheckpointDir(folder)
     return folder
 
