@@ -84,14 +84,22 @@ def winners_and_losers(records: DataFrame, key: str = "dedup_key", rid: str = "r
     return winners, losers
 
 
-def corpus_hash(ids: DataFrame, rid: str = "record_id", width: int = 4096) -> str:
-    """SHA-256 over the ids in order. Ids are brought in sorted ranges to one streaming digest, never as one list."""
+def corpus_hash(ids: DataFrame, rid: str = "record_id") -> str:
+    """SHA-256 over the ids in order. The definition is sequential, so the sorted ids stream through one digest a
+    partition at a time; nothing is held. For corpora where a stream of all ids is too slow there is corpus_tree_hash."""
     digest = hashlib.sha256()
     for row in ids.select(rid).where(F.col(rid).isNotNull()).orderBy(rid).toLocalIterator(prefetchPartitions=True):
         digest.update(row[0].encode())
     return digest.hexdigest()
 
 
+def corpus_tree_hash(ids: DataFrame, rid: str = "record_id", digits: int = 4) -> DataFrame:
+    """tree_hash, n: SHA-256 over the digests of the ids that share their first hex digits (65,536 groups at most, so a
+    billion ids make groups of some 15,000), each over its ids in order. Equal for equal corpora, wherever computed."""
+    groups = ids.where(F.col(rid).isNotNull()).groupBy(F.substring(rid, 1, digits).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(rid)), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda s: F.concat(s["p"], s["h"])), ""), 256).alias("tree_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def corpus_statistics(records: DataFrame) -> DataFrame:
     """One row of counts and the chunker they recommend: by section if half of the records have sections, by sentence
     if half have full text, else by record."""

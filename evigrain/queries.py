@@ -111,6 +111,11 @@ def corpus_hash(spark, root):
     return spark.createDataFrame([(R.corpus_hash(ids), ids.count())], "corpus_hash string, n long")
 
 
+@query("SELECT sha256(string_agg(p || h, '' ORDER BY p)) AS tree_hash, sum(n)::BIGINT AS n FROM (SELECT substr(record_id, 1, 4) AS p, sha256(string_agg(record_id, '' ORDER BY record_id)) AS h, count(*) AS n FROM records GROUP BY 1)")
+def corpus_tree_hash(spark, root):
+    return R.corpus_tree_hash(table(spark, root, "records"))
+
+
 @query("""SELECT count(*) AS records, count_if(coalesce(abstract, '') <> '') AS with_abstract, count_if(coalesce(doi, '') <> '') AS with_doi, count_if(coalesce(full_text, '') <> '') AS with_full_text, count_if(coalesce(len(sections), 0) > 0) AS with_sections,
   CASE WHEN count_if(coalesce(len(sections), 0) > 0) >= greatest(1, count(*) // 2) THEN 'tei-section' WHEN count_if(coalesce(full_text, '') <> '') >= greatest(1, count(*) // 2) THEN 'sentence' ELSE 'record' END AS recommended_chunker FROM records""")
 def corpus_stats(spark, root):
