@@ -97,8 +97,15 @@ def collide(members: np.ndarray, queries: np.ndarray, k: int, planes: np.ndarray
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, 4_000_000 // max(1, len(members)))
     for at in range(0, len(queries), step):
-        q = queries[at : at + step]
-        open_ = np.arange(len(q))
+        sims = queries[at : at + step] @ members.T
+        open_ = np.arange(len(sims))
+
+        def keep(rows: np.ndarray, s: np.ndarray, at: int = at) -> None:
+            """The k best of each row, with ties: no more than that is held, however dense the cell."""
+            bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -2.0)
+            qi, mi = np.nonzero(s >= bar[:, None])
+            out.append((at + rows[qi], mi, s[qi, mi]))
+
         for radius in radii if len(members) > k else ():
             counts = np.zeros((len(open_), len(members)), np.int8)
             for j in range(len(planes)):
@@ -106,23 +113,16 @@ def collide(members: np.ndarray, queries: np.ndarray, k: int, planes: np.ndarray
                 high = np.searchsorted(sorted_[:, j], pq[at + open_, j] + radius * bucket, "right").astype(small)
                 inside = (ranks[j][None, :] - low[:, None]).view(unsigned) < (high - low).view(unsigned)[:, None]
                 np.add(counts, inside.view(np.int8), out=counts)
-            qi, mi = np.nonzero(counts >= need)
-            cos = np.einsum("ij,ij->i", q[open_[qi]], members[mi])
             near = 1 - (radius / radii[-1] * reach) ** 2 / 2  # what lies within this radius
-            done = np.bincount(qi[cos >= near], minlength=len(open_)) >= k
-            keep = done[qi]
-            out.append((at + open_[qi[keep]], mi[keep], cos[keep]))
+            hit, s = counts >= need, sims[open_]
+            done = (hit & (s >= near)).sum(axis=1) >= k
+            if done.any():
+                keep(open_[done], np.where(hit[done], s[done], -2.0))
             open_ = open_[~done]
             if not len(open_):
                 break
         if len(open_):
-            s = q[open_] @ members.T
-            if len(members) > k:
-                bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                qi, mi = np.nonzero(s >= bar[:, None])
-            else:
-                qi, mi = (x.ravel() for x in np.indices(s.shape))
-            out.append((at + open_[qi], mi, s[qi, mi]))
+            keep(open_, sims[open_])
     qs, ms, cs = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, int) for i in range(3))
     order = np.lexsort((-cs, qs))
     qs, ms, cs = qs[order], ms[order], cs[order]
