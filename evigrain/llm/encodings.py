@@ -41,6 +41,7 @@ ENTER, LEAVE, INVALID = math.log(1e-3), math.log(0.05), -25.0
 FURTHER = -1.0
 SMOOTH, FLOOR = 20.0, 1e-5
 CLUSTER = re.compile(r"[^\x00-\x7f]+")
+PIECES = re.compile(r"([^\x00-\x7f]+)")
 LOST = "�"
 
 
@@ -181,9 +182,9 @@ class Model:
             scores[places[k] + 1 : places[k] + n] = FURTHER
         return scores
 
-    def emissions(self, before: str, cluster: str, after: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def emissions(self, before: str, cluster: str, after: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
         """(characters by states, how much each pair's state gains on the clean one over the cluster at most, and over
-        the whole of it, and the most that any gains)."""
+        the whole of it, and the most that any gains at most and over the whole)."""
         key = before, cluster, after
         if (v := self.cache.get(key)) is None:
             clean = self.scored([(c if c != LOST else None, 1) for c in cluster], cluster, before, after)
@@ -192,7 +193,8 @@ class Model:
             e = np.stack([clean, *(bad if inv.leads.isdisjoint(held) and LOST not in held else self.scored(inv.units(cluster), cluster, before, after) for inv in self.inverses)], axis=1)
             more = e[:, 1:] - e[:, :1]
             top = np.maximum(more, 0).sum(axis=0)
-            v = e, top, more.sum(axis=0), float(top.max())
+            total = more.sum(axis=0)
+            v = e, top, total, float(top.max()), float(total.max())
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[key] = v
@@ -200,18 +202,24 @@ class Model:
 
     def label(self, text: str) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, states of the characters) of the clusters of a text in which something is garbled, else []."""
-        parts, most = [], 0.0
+        pieces, values, top, sofar = PIECES.split(text), [], 0.0, 0.0
         classes, cache = self.classes, self.cache
-        for m in CLUSTER.finditer(text):
-            s, e = m.span()
-            key = classes[text[s - 1] if s else ""], m.group(), classes[text[e] if e < len(text) else ""]
+        for i in range(1, len(pieces), 2):
+            key = classes[pieces[i - 1][-1:]], pieces[i], classes[pieces[i + 1][:1]]
             v = cache.get(key) or self.emissions(*key)
-            parts.append((s, e, v))
-            most += v[3]
-        if most + ENTER <= 0:
+            values.append(v)
+            if sofar + v[3] > top:
+                top = sofar + v[3]
+            sofar = sofar + v[4] if sofar + v[4] > 0 else 0.0
+        if top + ENTER <= 0:  # no run of clusters gains enough even with the best pair for each
             return []
+        parts, at = [], 0
+        for i, v in enumerate(values):
+            at += len(pieces[2 * i])
+            parts.append((at, at + len(pieces[2 * i + 1]), v))
+            at = parts[-1][1]
         best, run = np.zeros(len(PAIRS)), np.zeros(len(PAIRS))
-        for _, _, (_, g, d, _) in parts:  # no run of clusters that gains enough, no garbled span
+        for _, _, (_, g, d, _, _) in parts:  # no run of clusters that gains enough, no garbled span
             best = np.maximum(best, run + g)
             run = np.maximum(run + d, 0)
         if best.max() + ENTER <= 0:
