@@ -132,6 +132,7 @@ def read_pages(text: str, title: str | None, venue: str | None, authors) -> tupl
 
 SPLIT = re.compile(rf"([^\W_][^\s]*?)[{HYPHENS}]+[ \t]*$")
 FIRST = re.compile(r"^[ \t]*([^\W_][^\s]*)")
+ENDS = frozenset(HYPHENS)
 EDGE = ".,;:()[]{}“”\"'’‘?*"
 
 
@@ -140,7 +141,7 @@ def joints(lines: list[str | None]) -> list[tuple[int, int, str, str]]:
     out = []
     kept = [i for i, line in enumerate(lines) if line is not None]
     for a, b in zip(kept, kept[1:]):
-        m = SPLIT.search(lines[a])
+        m = SPLIT.search(lines[a]) if lines[a].rstrip(" \t")[-1:] in ENDS else None
         n = FIRST.match(lines[b]) if m else None
         if n and not n.group(1)[0].isdigit():
             out.append((a, b, m.group(1).lstrip(EDGE), n.group(1)))
@@ -221,7 +222,7 @@ def misread_words(text: str, counts: dict[str, int], right: dict[str, str]) -> d
     words = set(WORD.findall(text.lower()))
     found = {w: right[w] for w in words & right.keys()}
     for w in words:
-        if w not in found and HARD_SIGN.search(w) and counts.get(w, 0) < LEAST and (new := plainly_misread(w)):
+        if not w.isalpha() and w not in found and HARD_SIGN.search(w) and counts.get(w, 0) < LEAST and (new := plainly_misread(w)):
             found[w] = new
     return found
 
@@ -291,7 +292,7 @@ def vocabulary(records: DataFrame) -> DataFrame:
                 for text in texts:
                     if text:
                         low = text.lower()
-                        counts.update(set(COUNTED.findall(BROKEN.sub(" ", low) if "\n" in low else low)))
+                        counts.update(set(COUNTED.findall(BROKEN.sub(" ", low) if LINE_END.search(low) else low)))
                 if len(counts) > HELD_WORDS:
                     yield out()
         yield out()
