@@ -299,37 +299,77 @@ class Model:
 ASCII = set(map(chr, range(128)))
 
 
-def _count(documents: DataFrame, model: "Model | None") -> list[tuple[str, str, str, int]]:
-    """(class before, character, class after, documents) over the documents with a character outside ASCII, without
-    what the model labels as garbled, or, without a model, what reads as a multi-byte sequence."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def _contexts(text: str, classes: Classes, s: int, e: int, want: list[bool] | None) -> set[tuple[str, str, str]]:
+    """(class before, character, class after) of the characters of a cluster that are wanted (all without ``want``)."""
+    return {(classes[text[i - 1] if i else ""], text[i], classes[text[i + 1] if i + 1 < len(text) else ""]) for i in range(s, e) if want is None or want[i - s]}
+
+
+def _tables(documents: DataFrame, scan, schema: str, sums: list[str]) -> list:
+    """The sums of what ``scan`` finds in the texts with a character outside ASCII, by neighbour classes and character:
+    as many rows as the alphabet in use has contexts, whatever the number of documents."""
+    found = documents.select("text").where(F.col("text").rlike(r"[^\x00-\x7F]")).mapInArrow(scan, schema)
+    return found.groupBy("b", "c", "a").agg(*[F.sum(n).alias(n) for n in sums]).where(F.col("c") != LOST).collect()
+
 
+def _batch(columns: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("n", "plain") else pa.string()) for k, v in columns.items()], list(columns))
+
+
+def _usual(documents: DataFrame) -> list:
+    """b, c, a, n, plain: documents with a character in a context, and those with it outside of what reads as a
+    multi-byte sequence."""
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, classes, counts, sequences = shared.value, Classes(), Counter(), Sequences()
+        classes, sequences, every, plain = Classes(), Sequences(), Counter(), Counter()
         for part in parts:
             for text in part.column(0).to_pylist():
-                seen = set()
-                bad = {s: states for s, _, states in model.label(text)} if model else {}
+                seen: set = set()
+                odd: set = set()
                 for m in CLUSTER.finditer(text):
                     s, e = m.span()
-                    states = bad.get(s) if model else sequences[m.group()]
-                    for i in range(s, e):
-                        if states is None or not states[i - s]:
-                            seen.add((classes[text[i - 1] if i else ""], text[i], classes[text[i + 1] if i + 1 < len(text) else ""]))
-                counts.update(seen)
-        if counts:
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys]), pa.array(list(counts.values()), pa.int64())], ["b", "c", "a", "n"])
+                    inside = sequences[m.group()] if e - s > 1 else None
+                    if inside is None or True not in inside:
+                        seen |= _contexts(text, classes, s, e, None)
+                    else:
+                        odd |= _contexts(text, classes, s, e, inside)
+                        seen |= _contexts(text, classes, s, e, [not x for x in inside])
+                plain.update(seen)
+                every.update(seen | odd)
+        keys = list(every)
+        yield _batch({"b": [k[0] for k in keys], "c": [k[1] for k in keys], "a": [k[2] for k in keys], "n": [every[k] for k in keys], "plain": [plain[k] for k in keys]})
+
+    return _tables(documents, scan, "b string, c string, a string, n bigint, plain bigint", ["n", "plain"])
+
+
+def _garbled(documents: DataFrame, model: Model) -> list:
+    """b, c, a, n: documents that have a character in a context only where the model labels it as garbled."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, classes, counts = shared.value, Classes(), Counter()
+        for part in parts:
+            for text in part.column(0).to_pylist():
+                bad: set = set()
+                good: set = set()
+                for s, e, states in model.label(text):
+                    wrong = [bool(x) for x in states]
+                    bad |= _contexts(text, classes, s, e, wrong)
+                    good |= _contexts(text, classes, s, e, [not x for x in wrong])
+                counts.update(bad - good)
+        keys = list(counts)
+        yield _batch({"b": [k[0] for k in keys], "c": [k[1] for k in keys], "a": [k[2] for k in keys], "n": [counts[k] for k in keys]})
 
-    found = documents.select("text").where(F.col("text").rlike(r"[^\x00-\x7F]")).mapInArrow(scan, "b string, c string, a string, n bigint")
-    return [tuple(r) for r in found.groupBy("b", "c", "a").agg(F.sum("n").alias("n")).where(F.col("c") != LOST).collect()]
+    return _tables(documents, scan, "b string, c string, a string, n bigint", ["n"])
 
 
 def learn(documents: DataFrame, rounds: int = 1) -> Model:
-    """The model of a corpus: counts over all its texts, and over what is labelled clean, ``rounds`` times."""
-    model = Model(_count(documents, None))
+    """The model of a corpus: counts over all its texts without what reads as a multi-byte sequence, then, ``rounds``
+    times, without what the last model labels as garbled."""
+    rows = _usual(documents)
+    model = Model([(r.b, r.c, r.a, r.plain) for r in rows if r.plain])
     for _ in range(rounds):
-        model = Model(_count(documents, model))
+        less = {(r.b, r.c, r.a): r.n for r in _garbled(documents, model)}
+        left = ((r.b, r.c, r.a, r.n - less.get((r.b, r.c, r.a), 0)) for r in rows)
+        model = Model([x for x in left if x[3] > 0])
     return model
 
 
