@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,6 +36,20 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once a session, so that they can import it wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_evigrain_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="evigrain-")) / "evigrain_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(Path("evigrain") / file.relative_to(root)))
+    sc.addPyFile(str(archive))
+    sc._evigrain_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One of the parquet tables under ``root`` (a file or a folder of part files)."""
     return spark.read.parquet(f"{root}/{name}.parquet")
