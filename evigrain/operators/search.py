@@ -148,9 +148,10 @@ def lsh(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 16, tables:
 
 
 def ivf(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 100, probes: int = 8, parts: int = 0, sample: int = 20_000, seed: int = 42, digits: int = 9, key: str = "id", query: str = "query_id") -> DataFrame:
-    """Inverted file: the vectors of the ``probes`` cells nearest the query, ranked by exact cosine, or, with ``parts``,
-    first cut to 4k by product-quantised distance. Centroids and codebooks are fitted on a seeded sample of at most
-    ``sample`` rows; every row is indexed."""
+    """Inverted file: the vectors of the ``probes`` cells nearest the query, ranked by exact cosine. With ``parts``,
+    product-quantised scores first drop the vectors that can't be among the k: the score of a code is off by at most the
+    vector's distance from it, which bounds the true one from both sides, so none of the k is lost. Centroids and codebooks are fitted on a
+    seeded sample of at most ``sample`` rows; every row is indexed."""
     spark = vectors.sparkSession
     v, q = vectors.withColumn("v", unit(F.col("v"))), queries.withColumn("q", unit(F.col("q")))
     total = max(1, v.count())
@@ -180,23 +181,36 @@ def ivf(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 100, probes
         n = int(most.iloc[0])
         return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)))
 
-    @F.pandas_udf("double")
-    def coarse(vs: pd.Series, qs: pd.Series) -> pd.Series:
+    def slices(books: list, dimension: int) -> list:
+        return list(zip(np.array_split(np.arange(dimension), len(books)), books))
+
+    @F.pandas_udf("struct<code:array<int>,off:double>")
+    def coded(vs: pd.Series) -> pd.DataFrame:
         _, books = shared.value
         if not len(vs):
+            return pd.DataFrame({"code": pd.Series([], dtype=object), "off": pd.Series([], dtype=float)})
+        a = np.stack(vs.to_numpy())
+        codes = np.stack([np.argmin((book * book).sum(1)[None] - 2 * a[:, s] @ book.T, axis=1) for s, book in slices(books, a.shape[1])], axis=1)
+        off = sum(((a[:, s] - book[codes[:, i]]) ** 2).sum(1) for i, (s, book) in enumerate(slices(books, a.shape[1])))
+        return pd.DataFrame({"code": list(codes.astype(np.int32)), "off": np.sqrt(off)})
+
+    @F.pandas_udf("double")
+    def coarse(codes: pd.Series, qs: pd.Series) -> pd.Series:
+        _, books = shared.value
+        if not len(codes):
             return pd.Series([], dtype=float)
-        a, b = np.stack(vs.to_numpy()), np.stack(qs.to_numpy())
-        out = np.zeros(len(a))
-        for s, book in zip(np.array_split(np.arange(a.shape[1]), len(books)), books):
-            code = book[np.argmin((book * book).sum(1)[None] - 2 * a[:, s] @ book.T, axis=1)]
-            out += ((code - b[:, s]) ** 2).sum(1)
-        return pd.Series(-out)
-
-    lists = v.select(key, "v", cell("v", F.lit(1))[0].alias("cell"))
+        c, b = np.stack(codes.to_numpy()), np.stack(qs.to_numpy())
+        return pd.Series(sum((book[c[:, i]] * b[:, s]).sum(1) for i, (s, book) in enumerate(slices(books, b.shape[1]))))
+
+    lists = v.select(key, "v", cell("v", F.lit(1))[0].alias("cell"), *([coded("v").alias("pq")] if parts else []))
     asked = q.select(query, "q", F.explode(cell("q", F.lit(probes))).alias("cell"))
     met = lists.join(F.broadcast(asked.limit(QUERY_BLOCK * probes)), "cell") if queries.count() <= QUERY_BLOCK else lists.join(asked, "cell")
     if parts:
-        met = ranked(met.withColumn("score", coarse("v", "q")), 4 * k, query, key).drop("score", "rank_no")
+        met = met.withColumn("near", coarse("pq.code", "q"))
+        # k vectors score at least so much, whatever their codes lost; the margin covers scores that rounding makes equal
+        sure = ranked(met.select(query, key, (F.col("near") - F.col("pq.off")).alias("score")), k, query, key)
+        bars = sure.where(F.col("rank_no") == k).select(query, F.col("score").alias("bar"))
+        met = met.join(bars, query, "left").where(F.col("bar").isNull() | (F.col("near") + F.col("pq.off") >= F.col("bar") - 1e-8))
     return ranked(met.select(query, key, F.bround(dot(F.col("v"), F.col("q")), digits).alias("score")), k, query, key)
 
 

@@ -316,12 +316,12 @@ query(LSH_SQL, "lsh_topk")(_lsh)
 
 @query()
 def ivf_topk(spark, root):
-    return search.ivf(*vec_sides(spark, root), 10, cells=32, probes=8)
+    return search.ivf(*vec_sides(spark, root), 10, cells=32, probes=24)
 
 
 @query()
 def ivfpq_topk(spark, root):
-    return search.ivf(*vec_sides(spark, root), 10, cells=32, probes=8, parts=8)
+    return search.ivf(*vec_sides(spark, root), 10, cells=32, probes=24, parts=8)
 
 
 @query(f"""WITH e AS ({TOP(PAIRS("list_dot_product(u.v, q.v)"))}), l AS ({LSH_SQL}), a AS (SELECT query_id, list(id ORDER BY rank_no) AS e FROM e GROUP BY 1), b AS (SELECT query_id, list(id ORDER BY rank_no) AS l FROM l GROUP BY 1)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evigrain import queries as core
 from evigrain.functions import embedders
 from evigrain.operators import chunking, comparison, metrics, records as R, search
 from evigrain.plans import experiment, protocol
@@ -82,3 +83,20 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["verify", str(src), "--certificate", str(tmp_path / "c.json")]) == 0
     assert main(["import", str(src), "--out", str(tmp_path / "out")]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["records"] == 6
+
+
+@pytest.mark.parametrize("name", ["ivf_topk", "ivfpq_topk"])
+def test_inverted_files_find_nine_of_ten(spark, small, name):
+    best, got = ({(r.query_id, r.id) for r in core.QUERIES[q](spark, small).collect()} for q in ("flat_cosine_topk", name))
+    assert len(best & got) >= 0.9 * len(best)
+
+
+def test_product_quantisation_loses_nothing(spark):
+    """Codes of two parts are far off, and zero vectors lie nearer to any query than most; the rows are those of the plain cells."""
+    x = np.random.default_rng(3).normal(size=(1500, 16))
+    x[:30] = 0
+    x[30:400] = x[400] + 0.01 * x[30:400]
+    v = search.usable(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, e array<double>"), "id", "e")
+    q = v.where("id % 100 = 1").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    plain, coded = ({tuple(r) for r in search.ivf(v, q, 5, cells=4, probes=3, parts=p).collect()} for p in (0, 2))
+    assert plain == coded and len(plain) == 75
