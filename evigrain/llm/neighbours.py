@@ -4,9 +4,10 @@ Collision-counting hashing over a partition of the collection. Equal directions
 that a third of all rows share is searched once. The distinct directions are dealt to cells (the nearest of the centroids
 fitted on a bounded, seeded sample; every row is indexed) and looked up in the cells nearest to them. In each cell every
 single projection keeps its members' sorted array; a query's window around its own projection widens by virtual rehashing
-(radius 1, 2, 3 buckets), members met in at least ``threshold`` of the projections' windows are verified by their
-exact cosine, and a query stops when k verified members lie within the radius. The last rehash lets every member of the cell
-collide.
+(radius 1, 2, 3 buckets), members met in at least ``threshold`` of the projections' windows are candidates, and a query
+stops when k candidates lie within the radius. The last rehash lets every member of the cell collide. The exact cosines with
+all members of the cell are computed beforehand, and the last rehash serves most queries, so this is in effect an inverted
+file with an exact scan; the README states the share.
 
 A cell's members and queries come to a task in blocks: a cell of more than ``block`` members is cut into several, each of
 which meets all of the cell's queries, so no cell has to fit into one task, however its rows are spread.
