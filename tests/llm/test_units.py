@@ -215,6 +215,13 @@ def test_main_text_keeps_what_lies_between_surge_and_dive():
     assert M.strip_markup(None) == (None, [])
 
 
+@pytest.mark.parametrize("marked", ["**Bold** words", "''Bold'' words", r"\emph{Bold} words", "<b>Bold</b> words"])
+def test_line_blocks_of_any_markup(marked):
+    body = "\n".join("A long line of running text that says a good deal about the matter at hand, line %d." % i for i in range(12))
+    plain, kinds = M.strip_markup(f"Home\nAbout\n\n\n\n{marked}\n{body}\n\n\n\nImprint\nTerms")
+    assert len(kinds) == 1 and "Bold words\n" + body in plain and not {"Home", "Terms"} & set(plain.split("\n"))
+
+
 # ------------------------------------------------------------ scans
 def test_mend():
     text = "These results sug-\ngest that the question-\n- 43 -\nJournal of Things   2004\nnaire was short. A well-\nknown case of older adu1ts\nended.\n\nNew paragraph of text here\n- 44 -\nJournal of Things   2005\nends here."
