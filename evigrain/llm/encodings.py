@@ -182,9 +182,10 @@ class Model:
             scores[places[k] + 1 : places[k] + n] = FURTHER
         return scores
 
-    def emissions(self, before: str, cluster: str, after: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    def emissions(self, before: str, cluster: str, after: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, np.ndarray, float]:
         """(characters by states, how much each pair's state gains on the clean one over the cluster at most, and over
-        the whole of it, and the most that any gains at most and over the whole)."""
+        the whole of it, and the most that any gains at most and over the whole; how much each pair's state gains over
+        the cluster's best end, and the most that any does)."""
         key = before, cluster, after
         if (v := self.cache.get(key)) is None:
             clean = self.scored([(c if c != LOST else None, 1) for c in cluster], cluster, before, after)
@@ -194,7 +195,8 @@ class Model:
             more = e[:, 1:] - e[:, :1]
             top = np.maximum(more, 0).sum(axis=0)
             total = more.sum(axis=0)
-            v = e, top, total, float(top.max()), float(total.max())
+            end = np.maximum(more[::-1].cumsum(axis=0).max(axis=0), 0)
+            v = e, top, total, float(top.max()), float(total.max()), end, float(end.max())
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[key] = v
@@ -210,7 +212,7 @@ class Model:
             values.append(v)
             if sofar + v[3] > top:
                 top = sofar + v[3]
-            sofar = sofar + v[4] if sofar + v[4] > 0 else 0.0
+            sofar = max(sofar + v[4], v[6])  # a garbled run may begin within the cluster
         if top + ENTER <= 0:  # no run of clusters gains enough even with the best pair for each
             return []
         parts, at = [], 0
@@ -219,9 +221,9 @@ class Model:
             parts.append((at, at + len(pieces[2 * i + 1]), v))
             at = parts[-1][1]
         best, run = np.zeros(len(PAIRS)), np.zeros(len(PAIRS))
-        for _, _, (_, g, d, _, _) in parts:  # no run of clusters that gains enough, no garbled span
+        for _, _, (_, g, d, _, _, end, _) in parts:  # no run of clusters that gains enough, no garbled span
             best = np.maximum(best, run + g)
-            run = np.maximum(run + d, 0)
+            run = np.maximum(run + d, end)
         if best.max() + ENTER <= 0:
             return []
         open_ = [0, *(np.flatnonzero(best + ENTER > 0) + 1).tolist()]

@@ -193,6 +193,13 @@ def test_round_trip_of_every_pair():
     assert m.repair("") == ("", []) and m.repair("ascii only") == ("ascii only", [])
 
 
+@pytest.mark.parametrize("text", ["daãáa”re", "da–°re—ère", "dreü”re–re", "d xã”re–te "])
+def test_no_early_exit_from_a_run_that_begins_within_a_cluster(text):
+    m, pieces = model(), E.PIECES.split(text)
+    em = [m.emissions(m.classes[pieces[i - 1][-1:]], pieces[i], m.classes[pieces[i + 1][:1]])[0] for i in range(1, len(pieces), 2)]
+    assert any(m.viterbi(np.concatenate(em))) and m.label(text)
+
+
 # ------------------------------------------------------------ markup
 @pytest.mark.parametrize("text,clean,kinds", [
     ("<h3>Background</h3><p>One &amp; two<sup>2</sup>.</p><ul><li>a</li><li>b</li></ul>", "Background\n\nOne & two2.\n\n- a\n\n- b", ["html"]),
