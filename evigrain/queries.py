@@ -544,7 +544,7 @@ def crossover(spark, root):
 @query()
 def bootstrap_ci(spark, root):
     hits = table(spark, root, "ranked_hits").where("score IS NOT NULL").groupBy("query_id", "run_id").agg(F.avg("score").alias("m"))
-    ci = hits.groupBy("query_id").agg(metrics.bootstrap_interval(F.col("m"), 2000).alias("ci"))
+    ci = hits.groupBy("query_id").agg(metrics.bootstrap_interval(F.col("m")).alias("ci"))
     return ci.select("query_id", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
 
 

@@ -1,5 +1,6 @@
 """Plug-ins, comparisons, protocols, the request function, commands and network sources against stand-ins."""
 
+import inspect
 import json
 
 import numpy as np
@@ -100,3 +101,17 @@ def test_product_quantisation_loses_nothing(spark):
     q = v.where("id % 100 = 1").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     plain, coded = ({tuple(r) for r in search.ivf(v, q, 5, cells=4, probes=3, parts=p).collect()} for p in (0, 2))
     assert plain == coded and len(plain) == 75
+
+
+def test_bootstrap_draws_ten_thousand(spark, small, monkeypatch):
+    real, drawn = metrics.bootstrap_interval, []
+
+    def seen(*args, **named):
+        bound = inspect.signature(real).bind(*args, **named)
+        bound.apply_defaults()
+        drawn.append(bound.arguments["resamples"])
+        return real(*args, **named)
+
+    monkeypatch.setattr(metrics, "bootstrap_interval", seen)
+    core.QUERIES["bootstrap_ci"](spark, small)
+    assert drawn == [10_000]
