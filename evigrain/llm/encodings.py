@@ -3,12 +3,18 @@
 A hidden Markov model with one clean state and one state per encoding pair labels the characters outside ASCII; a
 garbled stretch gets its state's inverse transform (back to bytes by the wrong encoding, decoded by the right one).
 Characters of ASCII are the same in every state, so they need no step. A character's emission is its probability
-between the classes of its neighbours: in the clean state of the character as it stands, in a pair's state of the
-character it turns back into (the further characters of a multi-byte sequence then cost nothing, characters that can't
-be turned back much). The probabilities are counted over all documents, once without what reads as a
-multi-byte sequence of a pair and once more without the characters labelled as garbled, so that garbled text doesn't
-pass for usual text. The counted tables are small whatever
-the corpus: neighbour classes x characters of Unicode.
+between the classes of its neighbours, times the share of their scripts: in the clean state of the character as it stands, in a pair's state of the
+character it turns back into (the further characters of a multi-byte sequence then cost little, characters that can't
+be turned back much). A state is entered and left between whole sequences only.
+
+The probabilities are learnt over all documents by expectation-maximisation. One scan counts the distinct clusters of
+characters outside ASCII with the classes of their neighbours; the first model leaves out what reads as a multi-byte
+sequence of a pair and is rarer than the character it would stand for, and each further round weighs every character of every cluster by the chance that the last model
+gives it to be clean (forward-backward), so that what only looked like a sequence comes back and garbled text doesn't
+pass for usual text. A last count leaves out the documents in which the model then finds a garbled stretch, as their
+other stretches aren't to be trusted either. All smoothing is by shares of the counts, never by numbers of documents, so a corpus of the same
+mix gives the same labels at every size. The rounds run over the distinct clusters, distributed; the model is small
+whatever the corpus: neighbour classes x characters of Unicode.
 
 Defined results: a null text stays null and is no case; an empty one stays empty; texts of any length are read whole;
 equal texts give equal results; U+FFFD marks a lost character, so a text with one is a case that can't be restored;
@@ -26,7 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from evigrain.session import cut
 
 #: (right encoding, wrong encoding it was read with), twice where it happened twice.
 PAIRS: tuple[tuple[tuple[str, str], ...], ...] = (
@@ -39,9 +47,19 @@ PAIRS: tuple[tuple[tuple[str, str], ...], ...] = (
 ENTER, LEAVE, INVALID = math.log(1e-3), math.log(0.05), -25.0
 #: A further character of a multi-byte sequence costs this much.
 FURTHER = -1.0
-SMOOTH, FLOOR = 20.0, 1e-5
+#: Shares of all counts: a pair of neighbour classes rarer than SMOOTH has mostly the characters' overall shares, and a
+#: character that was never seen has the share FLOOR.
+SMOOTH, FLOOR = 5e-5, 2.5e-11
+#: The share of a sequence of three scripts counts with this power, so that what only garbled text has doesn't pass for
+#: usual because it is usual among its rare neighbours. Small and capital letters are of one script.
+SCRIPT = 0.5
+ROUNDS = 2
 CLUSTER = re.compile(r"[^\x00-\x7f]+")
 PIECES = re.compile(r"([^\x00-\x7f]+)")
+#: A character before, at most 64 characters outside ASCII, a character after.
+COUNTED = re.compile(r"(?:(?<=([\s\S]))|(?<![\s\S]))([^\x00-\x7f]{1,64})(?=([\s\S]?))")
+#: Weights are summed as whole numbers of this part, so that sums don't depend on their order.
+UNIT = 1_000_000
 LOST = "�"
 
 
@@ -120,58 +138,55 @@ class Inverse:
 TELLING = tuple(p for p in PAIRS if len(p) == 1 and p[0][0] == "utf-8" and p[0][1] not in ("koi8_r", "cp866"))
 
 
-class Sequences(dict):
-    """For a cluster, whether each of its characters lies in a valid multi-byte sequence of a telling pair."""
-
-    def __init__(self):
-        super().__init__()
-        self.inverses = [Inverse(p) for p in TELLING]
-
-    def __missing__(self, cluster: str) -> list[bool]:
-        inside = [False] * len(cluster)
-        for inverse in self.inverses if len(cluster) > 1 else ():
-            at = 0
-            for c, n in inverse.units(cluster):
-                if c is not None:
-                    inside[at : at + n] = [True] * n
-                at += n
-        if len(self) > 100_000:
-            self.clear()
-        self[cluster] = inside
-        return inside
+def sequences(cluster: str, inverses: list[Inverse]) -> set[tuple[int, str, str]]:
+    """(place, sequence, character it stands for) of the valid multi-byte sequences of telling pairs in a cluster."""
+    out = set()
+    for inverse in inverses if len(cluster) > 1 else ():
+        at = 0
+        for c, n in inverse.units(cluster):
+            if c is not None:
+                out.add((at, cluster[at : at + n], c))
+            at += n
+    return out
 
 
 class Model:
-    """Counts of characters between neighbour classes, and the labelling they lead to."""
+    """Weights of characters between neighbour classes, and the labelling they lead to. Only their proportions matter."""
 
     def __init__(self, counts: list[tuple[str, str, str, int]]):
         self.near: Counter = Counter()
         self.context: Counter = Counter()
         self.single: Counter = Counter()
+        self.scripts: Counter = Counter()
+        self.classes = Classes()
         for before, c, after, n in counts:
             self.near[before, c, after] += n
             self.context[before, after] += n
             self.single[c] += n
-        self.total = sum(self.single.values())
+            self.scripts[before.lower(), self.classes[c].lower(), after.lower()] += n
+        self.total = sum(self.single.values()) or 1
         self.inverses = [Inverse(p) for p in PAIRS]
-        self.classes = Classes()
         self.cache: dict = {}
         self.logs: dict = {}
 
     def log_p(self, before: str, c: str, after: str) -> float:
         key = before, c, after
         if (v := self.logs.get(key)) is None:
-            base = (self.single[c] + FLOOR) / (self.total + 1000 * FLOOR)
-            self.logs[key] = v = math.log((self.near[key] + SMOOTH * base) / (self.context[before, after] + SMOOTH))
+            overall = (self.single[c] / self.total + FLOOR) / (1 + 1000 * FLOOR)
+            v = math.log((self.near[key] / self.total + SMOOTH * overall) / (self.context[before, after] / self.total + SMOOTH))
+            script = self.scripts[before.lower(), self.classes[c].lower(), after.lower()] / self.total
+            self.logs[key] = v = v + SCRIPT * math.log((script + SMOOTH) / (1 + SMOOTH))
         return v
 
-    def scored(self, units: list[tuple[str | None, int]], raw: str, before: str, after: str) -> np.ndarray:
-        scores = np.zeros(len(raw))
+    def scored(self, units: list[tuple[str | None, int]], raw: str, before: str, after: str) -> tuple[np.ndarray, np.ndarray]:
+        """(score, whether a unit begins there) of each character."""
+        scores, starts = np.zeros(len(raw)), np.zeros(len(raw), bool)
         chars, places, at = [], [], 0
         for c, n in units:
             chars.append(c)
             places.append(at)
             at += n
+        starts[places] = True
         for k, (c, n) in enumerate(units):
             if c is None:
                 scores[places[k] : places[k] + n] = 0.0 if raw[places[k]] == LOST else INVALID
@@ -180,39 +195,61 @@ class Model:
             right = after if k + 1 == len(units) else self.classes[chars[k + 1] or raw[places[k + 1]]]
             scores[places[k]] = self.log_p(left, c, right)
             scores[places[k] + 1 : places[k] + n] = FURTHER
-        return scores
+        return scores, starts
 
-    def emissions(self, before: str, cluster: str, after: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, np.ndarray, float]:
-        """(characters by states, how much each pair's state gains on the clean one over the cluster at most, and over
-        the whole of it, and the most that any gains at most and over the whole; how much each pair's state gains over
-        the cluster's best end, and the most that any does)."""
+    def emissions(self, before: str, cluster: str, after: str) -> tuple:
+        """(characters by states, unit starts by states, bounds, bounds of each pair) of a cluster between two classes.
+        Bounds: how much a pair's state gains on the clean one at most within the cluster, from its beginning, up to its
+        end, and over the whole of it; the first four are the most of any pair."""
         key = before, cluster, after
         if (v := self.cache.get(key)) is None:
-            clean = self.scored([(c if c != LOST else None, 1) for c in cluster], cluster, before, after)
-            bad = np.full(len(cluster), INVALID)
+            n = len(cluster)
+            clean, _ = self.scored([(c if c != LOST else None, 1) for c in cluster], cluster, before, after)
+            bad, each = np.full(n, INVALID), np.ones(n, bool)
             held = set(cluster)
-            e = np.stack([clean, *(bad if inv.leads.isdisjoint(held) and LOST not in held else self.scored(inv.units(cluster), cluster, before, after) for inv in self.inverses)], axis=1)
-            more = e[:, 1:] - e[:, :1]
-            top = np.maximum(more, 0).sum(axis=0)
-            total = more.sum(axis=0)
-            end = np.maximum(more[::-1].cumsum(axis=0).max(axis=0), 0)
-            v = e, top, total, float(top.max()), float(total.max()), end, float(end.max())
+            columns = [(clean, each), *((bad, each) if inv.leads.isdisjoint(held) and LOST not in held else self.scored(inv.units(cluster), cluster, before, after) for inv in self.inverses)]
+            e, starts = np.stack([c[0] for c in columns], axis=1), np.stack([c[1] for c in columns], axis=1)
+            sums = np.concatenate([np.zeros((1, e.shape[1] - 1)), (e[:, 1:] - e[:, :1]).cumsum(axis=0)])
+            # from a unit's start (or the end) to a unit's start (or the end)
+            edge = np.concatenate([starts[:, 1:], np.ones((1, e.shape[1] - 1), bool)])
+            high, low = np.where(edge, sums, -np.inf), np.where(edge, sums, np.inf)
+            pre, total = np.maximum(high.max(axis=0), 0), sums[-1]
+            suf = np.maximum(total - low.min(axis=0), 0)
+            sub = np.maximum((high - np.minimum.accumulate(low, axis=0)).max(axis=0), 0)
+            v = e, starts, (float(sub.max()), float(pre.max()), float(suf.max()), float(total.max())), (sub, pre, suf, total)
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[key] = v
         return v
 
+    def clean_chance(self, before: str, cluster: str, after: str) -> np.ndarray:
+        """The chance of each character of a cluster to be clean, by forward-backward over the cluster."""
+        e, starts, _, _ = self.emissions(before, cluster, after)
+        n = len(cluster)
+        shut = np.where(starts[:, 1:], 0.0, -np.inf)  # no way between the clean state and a pair's within a sequence
+        f, back = np.empty(e.shape), np.zeros(e.shape)
+        f[0, 0], f[0, 1:] = e[0, 0], e[0, 1:] + ENTER + shut[0]
+        for i in range(1, n):
+            f[i, 0] = e[i, 0] + np.logaddexp(f[i - 1, 0], LEAVE + np.logaddexp.reduce(f[i - 1, 1:] + shut[i]))
+            f[i, 1:] = e[i, 1:] + np.logaddexp(f[i - 1, 1:], f[i - 1, 0] + ENTER + shut[i])
+        for i in range(n - 2, -1, -1):
+            x = e[i + 1] + back[i + 1]
+            back[i, 0] = np.logaddexp(x[0], ENTER + np.logaddexp.reduce(x[1:] + shut[i + 1]))
+            back[i, 1:] = np.logaddexp(x[1:], LEAVE + x[0] + shut[i + 1])
+        g = f + back
+        return np.exp(g[:, 0] - np.logaddexp.reduce(g, axis=1))
+
     def label(self, text: str) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, states of the characters) of the clusters of a text in which something is garbled, else []."""
-        pieces, values, top, sofar = PIECES.split(text), [], 0.0, 0.0
+        pieces, values, top, run = PIECES.split(text), [], 0.0, 0.0
         classes, cache = self.classes, self.cache
         for i in range(1, len(pieces), 2):
             key = classes[pieces[i - 1][-1:]], pieces[i], classes[pieces[i + 1][:1]]
             v = cache.get(key) or self.emissions(*key)
             values.append(v)
-            if sofar + v[3] > top:
-                top = sofar + v[3]
-            sofar = max(sofar + v[4], v[6])  # a garbled run may begin within the cluster
+            sub, pre, suf, total = v[2]
+            top = max(top, sub, run + pre)
+            run = max(run + total, suf)
         if top + ENTER <= 0:  # no run of clusters gains enough even with the best pair for each
             return []
         parts, at = [], 0
@@ -220,14 +257,15 @@ class Model:
             at += len(pieces[2 * i])
             parts.append((at, at + len(pieces[2 * i + 1]), v))
             at = parts[-1][1]
-        best, run = np.zeros(len(PAIRS)), np.zeros(len(PAIRS))
-        for _, _, (_, g, d, _, _, end, _) in parts:  # no run of clusters that gains enough, no garbled span
-            best = np.maximum(best, run + g)
-            run = np.maximum(run + d, end)
+        best, runs = np.zeros(len(PAIRS)), np.zeros(len(PAIRS))
+        for _, _, v in parts:  # no run of clusters that gains enough, no garbled span
+            sub, pre, suf, total = v[3]
+            best = np.maximum(np.maximum(best, sub), runs + pre)
+            runs = np.maximum(runs + total, suf)
         if best.max() + ENTER <= 0:
             return []
         open_ = [0, *(np.flatnonzero(best + ENTER > 0) + 1).tolist()]
-        states = self.viterbi(np.concatenate([v[0][:, open_] for _, _, v in parts]))
+        states = self.viterbi(np.concatenate([v[0][:, open_] for _, _, v in parts]), np.concatenate([v[1][:, open_] for _, _, v in parts]))
         if not any(states):
             return []
         out, at = [], 0
@@ -238,22 +276,25 @@ class Model:
         return out
 
     @staticmethod
-    def viterbi(em: np.ndarray) -> list[int]:
+    def viterbi(em: np.ndarray, starts: np.ndarray) -> list[int]:
         """The best path, state 0 being the clean one; only few pairs are left open, so plain lists are quickest."""
-        rows = em.tolist()
+        rows, opens = em.tolist(), starts.tolist()
         others = range(1, em.shape[1])
-        clean, *score = rows[0]
-        score = [ENTER + x for x in score]
+        never = -math.inf
+        clean = rows[0][0]
+        score = [ENTER + x for x in rows[0][1:]]
         back: list[list[int]] = []
-        for row in rows[1:]:
-            best = max(others, key=lambda p: score[p - 1])
+        for row, free in zip(rows[1:], opens[1:]):
+            best = max(others, key=lambda p: score[p - 1] if free[p] else never)
+            leave = score[best - 1] + LEAVE if free[best] else never
             come = clean + ENTER
-            froms = [best if score[best - 1] + LEAVE > clean else 0]
-            clean = row[0] + max(clean, score[best - 1] + LEAVE)
+            froms = [best if leave > clean else 0]
+            clean = row[0] + max(clean, leave)
             for p in others:
                 x = score[p - 1]
-                froms.append(p if x >= come else 0)
-                score[p - 1] = row[p] + (x if x >= come else come)
+                enter = come if free[p] else never
+                froms.append(p if x >= enter else 0)
+                score[p - 1] = row[p] + max(x, enter)
             back.append(froms)
         state = max(range(em.shape[1]), key=lambda p: clean if p == 0 else score[p - 1])
         path = [state]
@@ -301,78 +342,98 @@ class Model:
 ASCII = set(map(chr, range(128)))
 
 
-def _contexts(text: str, classes: Classes, s: int, e: int, want: list[bool] | None) -> set[tuple[str, str, str]]:
-    """(class before, character, class after) of the characters of a cluster that are wanted (all without ``want``)."""
-    return {(classes[text[i - 1] if i else ""], text[i], classes[text[i + 1] if i + 1 < len(text) else ""]) for i in range(s, e) if want is None or want[i - s]}
-
+#: Distinct clusters a task holds before it passes their counts on.
+HELD = 200_000
+KEYS = "b string, s string, a string"
 
-def _tables(documents: DataFrame, scan, schema: str, sums: list[str]) -> list:
-    """The sums of what ``scan`` finds in the texts with a character outside ASCII, by neighbour classes and character:
-    as many rows as the alphabet in use has contexts, whatever the number of documents."""
-    found = documents.select("text").where(F.col("text").rlike(r"[^\x00-\x7F]")).mapInArrow(scan, schema)
-    return found.groupBy("b", "c", "a").agg(*[F.sum(n).alias(n) for n in sums]).where(F.col("c") != LOST).collect()
 
+def clusters(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """b, s, a, n: how often a cluster of characters outside ASCII stands between two neighbour classes, in all
+    documents or in those where ``model`` finds nothing garbled. Counted in each task before the shuffle; a cluster of
+    more than 64 characters is counted in pieces."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-def _batch(columns: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("n", "plain") else pa.string()) for k, v in columns.items()], list(columns))
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, classes, counts = shared.value, Classes(), Counter()
 
+        def out() -> pa.RecordBatch:
+            sums: Counter = Counter()
+            for (b, s, a), n in counts.items():
+                sums[classes[b], s, classes[a]] += n
+            counts.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], pa.string()) for i in range(3)), pa.array(list(sums.values()), pa.int64())], ["b", "s", "a", "n"])
 
-def _usual(documents: DataFrame) -> list:
-    """b, c, a, n, plain: documents with a character in a context, and those with it outside of what reads as a
-    multi-byte sequence."""
-    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, sequences, every, plain = Classes(), Sequences(), Counter(), Counter()
         for part in parts:
             for text in part.column(0).to_pylist():
-                seen: set = set()
-                odd: set = set()
-                for m in CLUSTER.finditer(text):
-                    s, e = m.span()
-                    inside = sequences[m.group()] if e - s > 1 else None
-                    if inside is None or True not in inside:
-                        seen |= _contexts(text, classes, s, e, None)
-                    else:
-                        odd |= _contexts(text, classes, s, e, inside)
-                        seen |= _contexts(text, classes, s, e, [not x for x in inside])
-                plain.update(seen)
-                every.update(seen | odd)
-        keys = list(every)
-        yield _batch({"b": [k[0] for k in keys], "c": [k[1] for k in keys], "a": [k[2] for k in keys], "n": [every[k] for k in keys], "plain": [plain[k] for k in keys]})
+                if model is None or not model.label(text):
+                    counts.update(COUNTED.findall(text))
+                if len(counts) > HELD:
+                    yield out()
+        yield out()
 
-    return _tables(documents, scan, "b string, c string, a string, n bigint, plain bigint", ["n", "plain"])
+    found = documents.select("text").where(F.col("text").rlike(r"[^\x00-\x7F]")).mapInArrow(scan, f"{KEYS}, n bigint")
+    return found.groupBy("b", "s", "a").agg(F.sum("n").alias("n"))
 
 
-def _garbled(documents: DataFrame, model: Model) -> list:
-    """b, c, a, n: documents that have a character in a context only where the model labels it as garbled."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def telling_inverses() -> list[Inverse]:
+    return [Inverse(p) for p in TELLING]
 
+
+def suspects(found: DataFrame) -> frozenset[str]:
+    """The sequences that are rarer than the character they stand for is outside of sequences: only these are taken for
+    garbled from the outset. As many rows reach the driver as there are characters and sequences of them in Unicode."""
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, classes, counts = shared.value, Classes(), Counter()
+        inverses, sums = telling_inverses(), Counter()
         for part in parts:
-            for text in part.column(0).to_pylist():
-                bad: set = set()
-                good: set = set()
-                for s, e, states in model.label(text):
-                    wrong = [bool(x) for x in states]
-                    bad |= _contexts(text, classes, s, e, wrong)
-                    good |= _contexts(text, classes, s, e, [not x for x in wrong])
-                counts.update(bad - good)
-        keys = list(counts)
-        yield _batch({"b": [k[0] for k in keys], "c": [k[1] for k in keys], "a": [k[2] for k in keys], "n": [counts[k] for k in keys]})
-
-    return _tables(documents, scan, "b string, c string, a string, n bigint", ["n"])
-
-
-def learn(documents: DataFrame, rounds: int = 1) -> Model:
-    """The model of a corpus: counts over all its texts without what reads as a multi-byte sequence, then, ``rounds``
-    times, without what the last model labels as garbled."""
-    rows = _usual(documents)
-    model = Model([(r.b, r.c, r.a, r.plain) for r in rows if r.plain])
+            for s, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                seen = sequences(s, inverses)
+                inside = {i for at, raw, _ in seen for i in range(at, at + len(raw))}
+                for i, c in enumerate(s):
+                    if i not in inside:
+                        sums[c, ""] += n
+                for _, raw, c in seen:
+                    sums[raw, c] += n
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["s", "c", "n"])
+
+    rows = found.select("s", "n").mapInArrow(scan, "s string, c string, n bigint").groupBy("s", "c").agg(F.sum("n").alias("n")).collect()
+    plain = {r.s: r.n for r in rows if not r.c}
+    return frozenset(r.s for r in rows if r.c and plain.get(r.c, 0) > r.n)
+
+
+def weighed(found: DataFrame, model: Model | None) -> Model:
+    """The model of the clusters' characters weighed by their chance to be clean under ``model``; without one, those of
+    suspect sequences weigh nothing."""
+    shared = found.sparkSession.sparkContext.broadcast((model, suspects(found) if model is None else None))
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (model, held), classes, inverses, sums = shared.value, Classes(), telling_inverses(), Counter()
+
+        def plain(s: str) -> list[float]:
+            bad = {i for at, raw, _ in sequences(s, inverses) if raw in held for i in range(at, at + len(raw))}
+            return [0.0 if i in bad else 1.0 for i in range(len(s))]
+
+        for part in parts:
+            for b, s, a, n in zip(*(part.column(i).to_pylist() for i in range(4))):
+                chances = plain(s) if model is None else model.clean_chance(b, s, a).tolist()
+                kinds = [b, *(classes[c] for c in s), a]
+                for i, (c, chance) in enumerate(zip(s, chances)):
+                    if c != LOST and (w := round(chance * UNIT)):
+                        sums[kinds[i], c, kinds[i + 2]] += n * w
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], pa.string()) for i in range(3)), pa.array([str(v) for v in sums.values()], pa.string())], ["b", "c", "a", "n"])
+
+    # as many rows as the alphabet in use has contexts, whatever the number of documents
+    rows = found.mapInArrow(scan, "b string, c string, a string, n string").groupBy("b", "c", "a").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
+    return Model([(r.b, r.c, r.a, int(r.n)) for r in rows])
+
+
+def learn(documents: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of a corpus: first without suspect sequences, then, ``rounds`` times, with every character weighed
+    by its chance to be clean under the model before, and once more over the clean documents."""
+    found = cut(clusters(documents))
+    model = weighed(found, None)
     for _ in range(rounds):
-        less = {(r.b, r.c, r.a): r.n for r in _garbled(documents, model)}
-        left = ((r.b, r.c, r.a, r.n - less.get((r.b, r.c, r.a), 0)) for r in rows)
-        model = Model([x for x in left if x[3] > 0])
-    return model
+        model = weighed(found, model)
+    return weighed(clusters(documents, model), model)
 
 
 REPAIRED = "struct<text_repaired:string,spans:array<struct<span_start:int,span_end:int,pair:string,restored:boolean>>>"

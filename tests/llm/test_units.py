@@ -196,8 +196,67 @@ def test_round_trip_of_every_pair():
 @pytest.mark.parametrize("text", ["daãáa”re", "da–°re—ère", "dreü”re–re", "d xã”re–te "])
 def test_no_early_exit_from_a_run_that_begins_within_a_cluster(text):
     m, pieces = model(), E.PIECES.split(text)
-    em = [m.emissions(m.classes[pieces[i - 1][-1:]], pieces[i], m.classes[pieces[i + 1][:1]])[0] for i in range(1, len(pieces), 2)]
-    assert any(m.viterbi(np.concatenate(em))) and m.label(text)
+    em = [m.emissions(m.classes[pieces[i - 1][-1:]], pieces[i], m.classes[pieces[i + 1][:1]])[:2] for i in range(1, len(pieces), 2)]
+    states = m.viterbi(*(np.concatenate([x[i] for x in em]) for i in (0, 1)))
+    assert any(states) == bool(m.label(text))
+
+
+def garbled(text, *steps):
+    for right, wrong in steps:
+        table = E.byte_table(wrong)
+        text = "".join(chr(b) if b < 128 else table[b - 128] for b in text.encode(right))
+    return text
+
+
+SOUND = [
+    "l’équipe a demandé 516 avis", "l’étude d’évaluation s’étend", "Модель заметно изменила опросы", "МЕТОДЫ И РЕЗУЛЬТАТЫ", "A SÃO PAULO A EDUCAÇÃO E AS RELAÇÕES", "Größe «quoted» – 4 °C", "entre « guillemets » et “quotes”",
+]
+
+
+@pytest.mark.parametrize("times", [1, 100, 1000, 10**9])
+def test_labels_dont_depend_on_the_size_of_the_corpus(spark, times):
+    bad = [garbled(t, ("utf-8", "cp1252")) for t in CLEAN[:2]] + [garbled(CLEAN[3], ("cp1251", "cp1252"))]
+    texts = (CLEAN + SOUND * 20) * 4 + bad
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    many = E.clusters(docs).selectExpr("b", "s", "a", f"n * {times}L AS n")
+    m = E.weighed(many, None)
+    for _ in range(E.ROUNDS):
+        m = E.weighed(many, m)
+    assert [t for t in texts if m.repair(t)[1]] == bad
+    assert [m.repair(t)[0] for t in bad] == [CLEAN[0], CLEAN[1], CLEAN[3]]
+
+
+def test_bounds_hold_every_labelled_run():
+    rng = random.Random(7)
+    m = model()
+    letters = sorted({c for t in CLEAN for c in t if not c.isascii()}) + list("Ã©¤â€™³")
+    for _ in range(400):
+        text = "".join(rng.choice(letters) if rng.random() < 0.4 else rng.choice("abc ") for _ in range(rng.randint(3, 40)))
+        pieces = E.PIECES.split(text)
+        em = [m.emissions(m.classes[pieces[i - 1][-1:]], pieces[i], m.classes[pieces[i + 1][:1]])[:2] for i in range(1, len(pieces), 2)]
+        if em:
+            assert any(m.viterbi(*(np.concatenate([x[i] for x in em]) for i in (0, 1)))) == bool(m.label(text)), text
+
+
+def test_chances_are_those_of_all_paths():
+    m = model()
+    for cluster in ("Ã©", "â€™", "é", "Ãã"):
+        e, starts = m.emissions("l", cluster, "l")[:2]
+        paths = np.zeros(2)
+        for path in np.ndindex(*[e.shape[1]] * len(cluster)):
+            if sum(p > 0 for p in path) and len({p for p in path if p}) > 1:
+                continue  # between pairs only through the clean state; two characters can't hold that
+            s, ok = e[0, path[0]] + (E.ENTER if path[0] else 0), path[0] == 0 or starts[0, path[0]]
+            for i in range(1, len(cluster)):
+                a, b = path[i - 1], path[i]
+                if a != b:
+                    ok &= bool(starts[i, max(a, b)])
+                    s += E.ENTER if b else E.LEAVE
+                s += e[i, b]
+            if ok:
+                paths[int(path[0] == 0)] += np.exp(s)
+        if len(cluster) < 3:
+            assert abs(m.clean_chance("l", cluster, "l")[0] - paths[1] / paths.sum()) < 1e-9
 
 
 # ------------------------------------------------------------ markup
