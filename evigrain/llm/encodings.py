@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evigrain.session import cut
+from evigrain.session import cut, spread
 
 #: (right encoding, wrong encoding it was read with), twice where it happened twice.
 PAIRS: tuple[tuple[tuple[str, str], ...], ...] = (
@@ -53,7 +53,7 @@ SMOOTH, FLOOR = 5e-5, 2.5e-11
 #: The share of a sequence of three scripts counts with this power, so that what only garbled text has doesn't pass for
 #: usual because it is usual among its rare neighbours. Small and capital letters are of one script.
 SCRIPT = 0.5
-ROUNDS = 2
+ROUNDS = 1
 CLUSTER = re.compile(r"[^\x00-\x7f]+")
 PIECES = re.compile(r"([^\x00-\x7f]+)")
 #: A character before, at most 64 characters outside ASCII, a character after.
@@ -150,6 +150,21 @@ def sequences(cluster: str, inverses: list[Inverse]) -> set[tuple[int, str, str]
     return out
 
 
+class Gains(dict):
+    """The most that any pair's state gains within a cluster, by the characters around it and the cluster."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, key: tuple[str, str, str]) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        classes = self.model.classes
+        self[key] = gain = self.model.emissions(classes[key[0]], key[1], classes[key[2]])[2][0]
+        return gain
+
+
 class Model:
     """Weights of characters between neighbour classes, and the labelling they lead to. Only their proportions matter."""
 
@@ -168,6 +183,7 @@ class Model:
         self.inverses = [Inverse(p) for p in PAIRS]
         self.cache: dict = {}
         self.logs: dict = {}
+        self.gains = Gains(self)
 
     def log_p(self, before: str, c: str, after: str) -> float:
         key = before, c, after
@@ -241,7 +257,11 @@ class Model:
 
     def label(self, text: str) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, states of the characters) of the clusters of a text in which something is garbled, else []."""
-        pieces, values, top, run = PIECES.split(text), [], 0.0, 0.0
+        pieces = PIECES.split(text)
+        around = zip([p[-1:] for p in pieces[:-1:2]], pieces[1::2], [p[:1] for p in pieces[2::2]])
+        if sum(map(self.gains.__getitem__, around)) + ENTER <= 0:  # all clusters together don't gain enough
+            return []
+        values, top, run = [], 0.0, 0.0
         classes, cache = self.classes, self.cache
         for i in range(1, len(pieces), 2):
             key = classes[pieces[i - 1][-1:]], pieces[i], classes[pieces[i + 1][:1]]
@@ -349,7 +369,7 @@ KEYS = "b string, s string, a string"
 
 def clusters(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """b, s, a, n: how often a cluster of characters outside ASCII stands between two neighbour classes, in all
-    documents or in those where ``model`` finds nothing garbled. Counted in each task before the shuffle; a cluster of
+    documents or in those where ``model`` finds something garbled. Counted in each task before the shuffle; a cluster of
     more than 64 characters is counted in pieces."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -365,7 +385,7 @@ def clusters(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
         for part in parts:
             for text in part.column(0).to_pylist():
-                if model is None or not model.label(text):
+                if model is None or model.label(text):
                     counts.update(COUNTED.findall(text))
                 if len(counts) > HELD:
                     yield out()
@@ -429,11 +449,12 @@ def weighed(found: DataFrame, model: Model | None) -> Model:
 def learn(documents: DataFrame, rounds: int = ROUNDS) -> Model:
     """The model of a corpus: first without suspect sequences, then, ``rounds`` times, with every character weighed
     by its chance to be clean under the model before, and once more over the clean documents."""
-    found = cut(clusters(documents))
+    found = cut(spread(clusters(documents)))
     model = weighed(found, None)
     for _ in range(rounds):
         model = weighed(found, model)
-    return weighed(clusters(documents, model), model)
+    left = found.unionByName(clusters(documents, model).withColumn("n", -F.col("n"))).groupBy("b", "s", "a").agg(F.sum("n").alias("n"))
+    return weighed(left.where("n > 0"), model)
 
 
 REPAIRED = "struct<text_repaired:string,spans:array<struct<span_start:int,span_end:int,pair:string,restored:boolean>>>"
