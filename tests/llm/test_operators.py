@@ -67,15 +67,19 @@ def test_initials_that_fit_two_are_left(spark):
     assert names.entities(df).select("entity").distinct().count() == 3
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("settings", [{}, {"per_cell": 40}, {"per_cell": 40, "most_top": 3}])
+def test_neighbours_against_brute_force(spark, settings):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 64))
     x = centres[np.arange(600) % 30] + rng.normal(scale=0.22, size=(600, 64))
     x[100:130] = x[100]  # one direction many times
     x[200] = 3 * x[100]
+    x[300] = 1e200 * x[7]
     rows = [(f"c{i:04d}", v.tolist(), "clash", 1) for i, v in enumerate(x)] + [("n", None, "", 1), ("e", [], "", 1), ("z", [0.0] * 64, "", 1), ("nan", [float("nan")] * 64, "", 1), ("short", [1.0], "", 1), (None, x[0].tolist(), "", 1)]
-    df = spark.createDataFrame(rows, "chunk_id string, embedding array<double>, id string, cell int")
-    got = {tuple(r) for r in neighbours.similar_pairs(neighbours.nearest(df, per_cell=40, block=50)).collect()}
+    df = spark.createDataFrame(rows + rows[5:9], "chunk_id string, embedding array<double>, id string, cell int").repartition(5)
+    found = neighbours.nearest(df, **settings)
+    got = {tuple(r) for r in neighbours.similar_pairs(found).collect()}
+    x[300] = x[7]
     u = x / np.linalg.norm(x, axis=1)[:, None]
     want = set()
     for i in range(len(u)):
@@ -85,9 +89,27 @@ def test_neighbours_against_brute_force(spark):
             if s[j] >= 0.9:
                 want.add((f"c{min(i, j):04d}", f"c{max(i, j):04d}"))
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
-    own = {r.other for r in neighbours.nearest(df, per_cell=40).where("id = 'c0150'").collect()}
-    assert len(own) == 10 or own
+    per = found.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("other").alias("d"), F.max("rank_no").alias("r")).collect()
+    assert len(per) == 600 and all(r.n == r.d == r.r == 10 for r in per)
     assert neighbours.nearest(df.where("chunk_id IN ('n', 'z')")).count() == 0
+    assert neighbours.nearest(df.where("chunk_id = 'c0001'")).count() == 0
+    assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_recall_on_the_test_table(spark):
+    """All ten of every vector of sf0.01, in several cells, against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.01/chunk_vectors.parquet").select("chunk_id", "embedding")
+    rows = [(r.chunk_id, r.embedding) for r in df.collect() if r.embedding and any(r.embedding)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.array([c for c, _ in rows])
+    got: dict = {}
+    for r in neighbours.nearest(df, per_cell=100).collect():
+        got.setdefault(r.id, {})[r.other] = r.cosine
+    sims = np.round(x @ x.T, 9)
+    np.fill_diagonal(sims, -2)
+    order = [np.lexsort((ids, -s))[:10] for s in sims]
+    assert sum(len(got[i].keys() & set(ids[o])) for i, o in zip(ids, order)) >= 0.95 * 10 * len(ids)
 
 
 def test_leaks(spark):
