@@ -9,7 +9,8 @@ of 0.9 on, until k verified members lie within the radius; a visitor comes with
 home, which sets the one width it needs. A query that no radius settles meets all members of its cell, the last rehash.
 
 Collisions are counted 64 members at a time: the sorted array's prefixes are held as bit sets, so a window is the
-difference of two of them, and the windows of all projections are added by carry-save adders.
+difference of two of them, and the windows of all projections are added by carry-save adders. Windows end at the edges
+of small buckets, so that their places in the sorted array are looked up, not searched for.
 
 Centroids are fitted on a bounded, seeded sample; every row is indexed. Their number grows with the rows: beyond
 ``most_top`` cells each is cut further by directions drawn from it, one for every ``per_cell`` rows, which are joined,
@@ -18,7 +19,7 @@ batch before any shuffle and then in their cell, so one that a third of all rows
 directions are taken for one with a chance of n^2 / 3.7e19.
 
 What may be lost: a neighbour in a cell that isn't visited, or one that fewer projections than the threshold meet (one
-in 40 at the very edge of the radius, fewer within). The README states the recall.
+in 10 at the very edge of the radius, far fewer within). The README states the recall.
 
 Defined results: null, empty and all-zero vectors, those with a null, NaN or infinite number and those of another length
 than most have no neighbours and are none; scale doesn't matter; ties go to the smaller id; rows without an id are left
@@ -46,9 +47,11 @@ SAMPLE, PER_CELL, MOST_TOP = 20_000, 2_000, 2_048
 PROBES = 5
 #: Bases of projections (as many projections as numbers in a vector each), and standard deviations of what a member at
 #: the radius collides with that may be missing.
-BASES, SLACK = 1, 0.75
+BASES, SLACK = 1, 1.25
 #: The cosines whose radii the windows widen to, one after another.
-RADII = (0.9, 0.75, 0.6, 0.5, 0.4, 0.3)
+RADII = (0.9, 0.65, 0.5, 0.4, 0.3)
+#: Buckets between the projections -1 and 1, to which windows are rounded outwards.
+BUCKETS = 2_048
 #: Queries counted at a time, pairs verified at a time, members of a bit table.
 STEP, PAIRS, BLOCK = 256, 100_000, 8_192
 #: Rows of a cell of the first level that come to a task when it is cut further.
@@ -164,40 +167,59 @@ class Members:
         #: A member at the radius lies in a window of one standard deviation with this chance.
         chance = math.erf(1 / math.sqrt(2))
         self.least = max(1, math.floor(n * chance - SLACK * math.sqrt(n * chance * (1 - chance))))
+        self.short = members.astype(np.float32)
+        edges = np.arange(-BUCKETS // 2, BUCKETS // 2 + 1) * (2 / BUCKETS)
         self.blocks = []
         for at in range(0, len(members), BLOCK):
             part = members[at : at + BLOCK] @ planes.T
             orders = np.argsort(part, axis=0, kind="stable")
             m, words = len(part), -(-len(part) // 64)
             tables = np.zeros((n, m + 1, words), np.uint64)
+            places = np.empty((n, len(edges)), np.int32)
             for j in range(n):
                 o = orders[:, j]
                 tables[j, np.arange(1, m + 1), o >> 6] = np.uint64(1) << (o & 63).astype(np.uint64)
                 np.bitwise_or.accumulate(tables[j], axis=0, out=tables[j])
-            self.blocks.append((at, m, np.ascontiguousarray(np.take_along_axis(part, orders, axis=0).T), tables))
+                places[j] = np.searchsorted(part[o, j], edges)
+            places[:, 0], places[:, -1] = 0, m
+            self.blocks.append((at, m, places, tables))
         #: Pairs verified because they collided often enough, and because every member collides.
         self.counted = self.rest = 0
 
     def candidates(self, centres: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) that collide in enough windows of ``widths`` around the queries' projections."""
         qs, ms = [], []
-        for at, m, sorted_, tables in self.blocks:
+        each = np.arange(len(self.planes))
+        bucket = lambda x, up: np.clip(up((x + 1) * (BUCKETS // 2)).astype(np.int64), 0, BUCKETS)
+        low, high = bucket(centres - widths[:, None], np.floor), bucket(centres + widths[:, None], np.ceil)
+        for at, m, places, tables in self.blocks:
             adder = Adder((len(centres), tables.shape[2]))
-            for j in range(len(self.planes)):
-                low = np.searchsorted(sorted_[j], centres[:, j] - widths, "left")
-                high = np.searchsorted(sorted_[j], centres[:, j] + widths, "right")
-                adder.add(tables[j][high] ^ tables[j][low])
-            hits = np.unpackbits(adder.at_least(self.least).view(np.uint8), axis=1, bitorder="little")[:, :m]
-            q, i = np.nonzero(hits)
+            first, last = places[each, low], places[each, high]
+            for j in each:
+                window = tables[j].take(last[:, j], axis=0)
+                window ^= tables[j].take(first[:, j], axis=0)
+                adder.add(window)
+            bits = adder.at_least(self.least)
+            hits = np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool))
+            q, i = np.divmod(hits, bits.shape[1] * 64)
+            if m & 63:  # what stands behind the last member
+                q, i = q[i < m], i[i < m]
             qs.append(q)
             ms.append(i + at)
         return np.concatenate(qs), np.concatenate(ms)
 
-    def cosines(self, queries: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
-        out = np.empty(len(q))
+    def verified(self, queries: np.ndarray, q: np.ndarray, m: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs whose cosine is at least their query's ``least``: in short numbers first, then exactly."""
+        short, keep, s = queries.astype(np.float32), [], []
         for i in range(0, len(q), PAIRS):
-            out[i : i + PAIRS] = np.einsum("ij,ij->i", queries[q[i : i + PAIRS]], self.members[m[i : i + PAIRS]])
-        return np.round(out, 9)
+            a, b = q[i : i + PAIRS], m[i : i + PAIRS]
+            near = np.flatnonzero(np.einsum("ij,ij->i", short.take(a, axis=0), self.short.take(b, axis=0)) >= least[a] - 1e-5)
+            exact = np.round(np.einsum("ij,ij->i", queries[a[near]], self.members[b[near]]), 9)
+            good = exact >= least[a[near]]
+            keep.append(i + near[good])
+            s.append(exact[good])
+        at = np.concatenate(keep) if keep else np.zeros(0, int)
+        return q[at], m[at], np.concatenate(s) if s else np.zeros(0)
 
     def best(self, q: np.ndarray, m: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((self.ranks[m], -s, q))
@@ -217,26 +239,24 @@ class Members:
             centres = part @ self.planes.T
             open_ = np.arange(len(part))
 
-            def met(rows: np.ndarray, least: np.ndarray | float, part=part, mine=mine, centres=centres):
-                widths = np.broadcast_to(np.sqrt(np.maximum(2 - 2 * least, 0)) * spread, len(rows))
-                q, m = self.candidates(centres[rows], widths + 1e-9)
+            def met(rows: np.ndarray, least: np.ndarray, part=part, mine=mine, centres=centres):
+                q, m = self.candidates(centres[rows], np.sqrt(np.maximum(2 - 2 * least[rows], 0)) * spread)
                 q = rows[q]
                 keep = m != mine[q]
                 q, m = q[keep], m[keep]
                 self.counted += len(q)
-                return q, m, self.cosines(part, q, m)
+                return self.verified(part, q, m, least)
 
             if bounds is not None:
-                some = np.flatnonzero(bounds[at : at + STEP] > -1)
-                q, m, s = met(some, bounds[at : at + STEP][some])
-                good = s >= bounds[at : at + STEP][q]
-                found.append((at + q[good], m[good], s[good]))
-                open_ = np.flatnonzero(bounds[at : at + STEP] <= -1)
+                least = bounds[at : at + STEP]
+                q, m, s = met(np.flatnonzero(least > -1), least)
+                found.append((at + q, m, s))
+                open_ = np.flatnonzero(least <= -1)
             elif len(self.members) > k:
                 for radius in RADII:
-                    q, m, s = met(open_, radius)
-                    done = np.bincount(q[s >= radius], minlength=len(part)) >= k
-                    good = done[q] & (s >= radius)
+                    q, m, s = met(open_, np.full(len(part), radius))
+                    done = np.bincount(q, minlength=len(part)) >= k
+                    good = done[q]
                     found.append((at + q[good], m[good], s[good]))
                     open_ = open_[~done[open_]]
                     if not len(open_):
