@@ -86,17 +86,22 @@ def ends_with_abbreviation(fragment: Column) -> Column:
     return (last != "") & last.isin(list(ABBREVIATIONS))
 
 
+#: Stands for the white space after an abbreviation while a text is split; no character of its own.
+HELD = "\ufdd0"
+
+
 def sentences(c: Column | str) -> Column:
-    """Sentences of a text: cut after . ! ? before what may begin a sentence, pieces rejoined after an abbreviation."""
-    parts = F.filter(F.split(text_of(c), r"""(?<=[.!?])\s+(?=[A-Z0-9(\[“"'])"""), lambda p: F.trim(p) != "")
-    empty = F.array().cast("array<string>")
+    """Sentences of a text: cut after . ! ? before what may begin a sentence, but not after an abbreviation. The white
+    space after abbreviations is hidden first, so one split does it, however long the text."""
+    opens = r"""(?=[A-Z0-9(\[“"'])"""
+    short = "|".join(w.replace(".", r"\.") for w in ABBREVIATIONS)
+    hidden = F.regexp_replace(text_of(c), rf"(?<![A-Za-z.])(\.*(?i:{short})\.+)\s+{opens}", f"$1{HELD}")
+    parts = F.split(hidden, rf"(?<=[.!?])\s+{opens}")
+    return F.filter(F.transform(parts, lambda p: F.trim(F.replace(p, F.lit(HELD), F.lit(" ")))), lambda s: s != "")
 
-    def step(acc: Column, part: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", last, part)))
-        return F.when((F.size(acc) > 0) & ends_with_abbreviation(last), joined).otherwise(F.concat(acc, F.array(part)))
 
-    return F.filter(F.transform(F.aggregate(parts, empty, step), lambda s: F.trim(s)), lambda s: s != "")
+def word_count(c: Column | str) -> Column:
+    return F.regexp_count(text_of(c), F.lit(f"[^{SPACE[1:-1]}]+"))
 
 
 def hedged(c: Column) -> Column:

@@ -19,23 +19,22 @@ def piece(section: Column, text: Column) -> Column:
 
 
 def pack(sentences: Column, most: int, section: Column | None = None) -> Column:
-    """Sentences packed greedily up to ``most`` words; one longer than that stays whole. Done in one fold."""
+    """Sentences packed greedily up to ``most`` words; one longer than that stays whole. A fold over the lengths finds
+    where packs begin, so sentences are copied once, however many there are."""
     section = F.lit("unknown") if section is None else section
-    sized = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.size(T.words(s)).alias("n")))
-    start = F.expr("CAST(named_struct('done', array(), 'now', array(), 'n', 0) AS struct<done:array<string>,now:array<string>,n:int>)")
 
-    def step(a: Column, x: Column) -> Column:
-        over = (F.size(a["now"]) > 0) & (a["n"] + x["n"] > most)
-        return F.struct(
-            F.when(over, F.concat(a["done"], F.array(F.array_join(a["now"], " ")))).otherwise(a["done"]).alias("done"),
-            F.when(over, F.array(x["s"])).otherwise(F.concat(a["now"], F.array(x["s"]))).alias("now"),
-            F.when(over, x["n"]).otherwise(a["n"] + x["n"]).alias("n"),
-        )
+    def packed(held: Column) -> Column:
+        lengths = F.transform(held, lambda s: T.word_count(s))
+        start = F.expr("CAST(named_struct('i', 1, 'n', 0, 'cuts', array()) AS struct<i:int,n:int,cuts:array<int>>)")
+
+        def step(a: Column, n: Column) -> Column:
+            opens = (a["i"] == 1) | (a["n"] + n > most)
+            return F.struct((a["i"] + 1).alias("i"), F.when(opens, n).otherwise(a["n"] + n).alias("n"), F.when(opens, F.array_append(a["cuts"], a["i"])).otherwise(a["cuts"]).alias("cuts"))
 
-    def finish(a: Column) -> Column:
-        return F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(F.array_join(a["now"], " ")))).otherwise(a["done"])
+        cuts = F.aggregate(lengths, start, step, lambda a: F.array_append(a["cuts"], a["i"]))
+        return T.let(cuts, lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda from_, i: piece(section, F.array_join(F.slice(held, from_, at[i + 1] - from_), " "))))
 
-    return F.transform(F.aggregate(sized, start, step, finish), lambda t: piece(section, t))
+    return T.let(sentences, packed)
 
 
 def windows(items: Column, size: int, step: int) -> Column:
@@ -86,7 +85,7 @@ def paragraph_pieces(min_words: int = 30, max_words: int = 250) -> Column:
     own = F.flatten(F.transform("sections", lambda s: F.transform(F.filter(F.split(s["body"], blank), lambda p: F.trim(p) != ""), lambda p: piece(headings.classify(headings.normalise_heading(s["heading"]))["label"], p))))
     plain = F.transform(F.filter(F.split(body_text(), blank), lambda p: F.trim(p) != ""), lambda p: piece(F.lit("unknown"), p))
     parts = F.when(F.coalesce(F.size("sections"), F.lit(0)) > 0, own).otherwise(plain)
-    sized = F.transform(parts, lambda p: F.struct(p["section"].alias("section"), p["text"].alias("text"), F.size(T.words(p["text"])).alias("n")))
+    sized = F.transform(parts, lambda p: F.struct(p["section"].alias("section"), p["text"].alias("text"), T.word_count(p["text"]).alias("n")))
     start = F.expr(f"CAST(named_struct('done', array(), 'section', 'unknown', 'now', array(), 'n', 0) AS struct<done:{PIECES},section:string,now:array<string>,n:int>)")
 
     def closed(a: Column) -> Column:

@@ -129,7 +129,7 @@ def bootstrap_interval(values: Column, resamples: int = 10_000, alpha: float = 0
 def claims(texts: DataFrame, key: str, text: str = "text", least: int = 6, most: int = 60) -> DataFrame:
     """key, claim_no, claim, hedged: the assertive sentences of ``least`` to ``most`` words."""
     rows = texts.select(key, F.posexplode(T.sentences(text)).alias("claim_no", "claim"))
-    return rows.where(F.size(T.words("claim")).between(least, most) & ~F.col("claim").endswith("?")).withColumn("hedged", T.hedged(F.col("claim")))
+    return rows.where(T.word_count("claim").between(least, most) & ~F.col("claim").endswith("?")).withColumn("hedged", T.hedged(F.col("claim")))
 
 
 def grounded(claim_words: Column, passage_words: Column, threshold: float = 0.6) -> Column:
