@@ -362,8 +362,8 @@ def nearest(vectors: DataFrame, k: int = 10, vec_id: str = "chunk_id", vector: s
         return pa.table({"g": visitors["g"], "own_many": visitors["own_many"], "l": entries(q, m, s, len(x), one["id"].combine_chunks(), one["g"].to_numpy(), n > 1)})
 
     visiting = placed.groupBy("cell").applyInArrow(at_home, f"cell bigint, g bigint, code binary, bound double, own_many boolean, l {LISTED}")
-    # rows without a cell are dealt out, as they carry every direction's list
-    visiting = visiting.withColumn("cell", F.when(F.col("cell") < 0, -1 - F.pmod("g", F.lit(1 << 20))).otherwise(F.col("cell")))
+    # rows without a cell, which carry every direction's list, are dealt to as many groups as there are cells
+    visiting = visiting.withColumn("cell", F.when(F.col("cell") < 0, -1 - F.pmod("g", F.lit(cells))).otherwise(F.col("cell")))
     found = placed.groupBy("cell").cogroup(visiting.groupBy("cell")).applyInArrow(on_visit, f"g bigint, own_many boolean, l {LISTED}")
     found = cut(found.where("l IS NOT NULL AND (size(l) > 0 OR own_many)"))
 
