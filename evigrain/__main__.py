@@ -1,4 +1,4 @@
-"""Commands: import, hash, sections, retrieve, verify, stability over record files."""
+"""Commands: import, ingest-tei, ingest-pdf, hash, sections, retrieve, verify, stability over record files."""
 
 from __future__ import annotations
 
@@ -37,12 +37,17 @@ def _retrieve(spark, args, seed=42):
 def main(argv=None) -> int:
     p = argparse.ArgumentParser(prog="evigrain")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("import", "hash", "sections", "retrieve", "verify", "stability"):
+    for name in ("import", "ingest-tei", "ingest-pdf", "hash", "sections", "retrieve", "verify", "stability"):
         s = sub.add_parser(name)
         s.add_argument("input")
         s.add_argument("--format")
-        if name == "import":
+        if name in ("import", "ingest-tei", "ingest-pdf"):
             s.add_argument("--out", required=True)
+        if name in ("ingest-tei", "ingest-pdf"):
+            s.add_argument("--require-sections", action="store_true")
+        if name == "ingest-pdf":
+            s.add_argument("--limit", type=int)
+            s.add_argument("--url", default="http://localhost:8070", help="the service that turns a PDF into TEI")
         if name in ("retrieve", "verify", "stability"):
             s.add_argument("--query", required=name != "verify", default="")
             s.add_argument("--k", type=int, default=20)
@@ -59,6 +64,22 @@ def main(argv=None) -> int:
     from evigrain.session import local_session
 
     spark = local_session()
+    if args.command in ("ingest-tei", "ingest-pdf"):
+        from evigrain.sources import bibliography as B, services
+
+        coverage = None
+        if args.command == "ingest-tei":
+            raw = B.read_tei(spark, args.input, args.require_sections)
+        else:
+            raw, coverage = B.read_pdfs(spark, args.input, services.tei_service(args.url), limit=args.limit, require_sections=args.require_sections)
+        from evigrain.functions import text as T
+
+        named = R.canonical(raw).withColumn("record_id", R.record_id()).withColumn("dedup_key", T.dedup_key(F.col("doi"), F.col("title"), F.col("year")))
+        won = R.winners_and_losers(named)[0]
+        B.write_jsonl(won.drop("dedup_key"), args.out)
+        report = coverage.collect()[0].asDict() if coverage is not None else {}
+        print(json.dumps(R.corpus_statistics(won).collect()[0].asDict() | report))
+        return 0
     if args.command in ("import", "hash", "sections"):
         won, lost = _corpus(spark, args)
         if args.command == "import":
@@ -82,7 +103,7 @@ def main(argv=None) -> int:
         from evigrain.operators import metrics
 
         lists = spark.createDataFrame([("q", i, ids) for i, ids in enumerate(runs)], "query_id string, run int, ids array<string>")
-        print(json.dumps(metrics.stability_all_pairs(lists, "query_id", "run").collect()[0].asDict()))
+        print(json.dumps(metrics.stability(lists, "query_id", "run").collect()[0].asDict()))
         return 0
     if args.command == "verify":
         result = retrieval.verify(held, args.query, ids, R.corpus_hash(corpus), settings, corpus.count())

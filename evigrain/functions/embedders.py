@@ -33,6 +33,23 @@ def finalise(x: np.ndarray, digits: int = 6) -> np.ndarray:
     return np.round(x / np.where(lengths == 0, 1.0, lengths), digits)
 
 
+def model(name: str) -> Callable | None:
+    """What loads a registered model, to be carried to the tasks; None for the built-in one."""
+    if name == "hash":
+        return None
+    fingerprint(name)
+    return _MODELS[name][0]
+
+
+def encoder(name: str = "hash", dimension: int = 256, n: int = 4, digits: int = 6, model: Callable | None = None) -> Callable[[list[str]], np.ndarray]:
+    """The finished vectors of a list of texts, for use within a task. ``model``: what ``model(name)`` gave."""
+    if name == "hash":
+        grams = vectors.Grams(dimension)
+        return lambda texts: finalise(np.stack([vectors.signed_counts(t, grams, n) for t in texts]).astype(float), digits)
+    encode = (model or _MODELS[name][0])()
+    return lambda texts: finalise(np.asarray(encode(texts), float), digits)
+
+
 def embed(text: Column, name: str = "hash", **params) -> Column:
     if name == "hash":
         return vectors.hash_embedding(text, **params)

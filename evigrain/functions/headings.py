@@ -95,8 +95,11 @@ def section_rows(records: DataFrame, key: str = "record_id") -> DataFrame:
 
 
 def section_report(rows: DataFrame, most: int = 50) -> DataFrame:
-    """kind, name, n: label counts, rule families, and the most frequent headings that fell through (a top-k report)."""
+    """kind, name, n, share: label counts, rule families, the most frequent headings that fell through (a top-k report),
+    and all headings, with those of no label as their share."""
     labels = rows.groupBy(F.lit("label").alias("kind"), F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     rules = rows.groupBy(F.lit("rule").alias("kind"), F.split("rule", ":")[0].alias("name")).agg(F.count(F.lit(1)).alias("n"))
     missed = rows.where("rule = 'unmatched'").groupBy(F.lit("unmatched").alias("kind"), F.col("normal").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(most)
-    return labels.unionByName(rules).unionByName(missed)
+    every = rows.groupBy().agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "other").alias("o")).where("n > 0")
+    counted = labels.unionByName(rules).unionByName(missed).withColumn("share", F.lit(None).cast("double"))
+    return counted.unionByName(every.select(F.lit("headings").alias("kind"), F.lit("unmatched_fraction").alias("name"), "n", (F.col("o") / F.col("n")).alias("share")))

@@ -19,7 +19,7 @@ ABBREVIATIONS = (
 #: Words that hedge a claim, and words that carry no content.
 HEDGES = ("may", "might", "could", "possibly", "perhaps", "suggest", "suggests", "appear", "appears", "seem", "seems")
 STOPWORDS = (
-    "a", "an", "the", "of", "and", "or", "to", "in", "on", "for", "with", "by", "from", "at", "is", "are", "was", "were", "be", "been", "being",
+    "a", "an", "the", "of", "and", "or", "to", "in", "on", "for", "with", "by", "from", "as", "at", "is", "are", "was", "were", "be", "been", "being",
     "this", "that", "these", "those", "it", "its", "we", "our", "their", "there", "here", "than", "then", "so", "such", "but", "not", "no",
     "can", "will", "would", "should", "have", "has", "had", "do", "does", "did", "between", "within", "about", "into", "over",
 )
@@ -124,9 +124,13 @@ def split_people(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, F.when(F.contains(c, F.lit(";")), F.lit(";")).otherwise(F.lit(","))), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: What stands where an export has no abstract.
+NO_ABSTRACT = ("[no abstract available]", "no abstract available")
+
+
 def blank_placeholder(c: Column) -> Column:
-    """The 'no abstract' placeholder as ''."""
-    return F.when(F.lower(F.trim(text_of(c))) == "[no abstract available]", F.lit("")).otherwise(text_of(c))
+    """A 'no abstract' placeholder as ''."""
+    return F.when(F.lower(F.trim(text_of(c))).isin(*NO_ABSTRACT), F.lit("")).otherwise(text_of(c))
 
 
 def first_filled(*columns: Column) -> Column:

@@ -144,37 +144,28 @@ def recursive_pieces(size: int = 1000, overlap: int = 200, separators: tuple[str
     return F.transform(run(body_text()), lambda t: piece(F.lit("unknown"), t))
 
 
-def semantic_pieces(percentile: float = 95.0, min_sentences: int = 2, max_words: int = 400, jitter: float = 0.0, seed: int = 42, dimension: int = 256) -> Column:
-    """Cut where the cosine distance of consecutive sentences' hash embeddings reaches the record's own percentile."""
-    import hashlib
-
+def semantic_pieces(percentile: float = 95.0, min_sentences: int = 2, max_words: int = 400, jitter: float = 0.0, seed: int = 42, embedder: str = "hash") -> Column:
+    """Cut where the cosine distance of consecutive sentences' embeddings (by any registered ``embedder``) reaches the
+    record's own percentile."""
     import numpy as np
 
+    from evigrain.functions import embedders
+
     if not 50.0 <= percentile <= 99.9:
         raise ValueError("percentile must lie between 50 and 99.9")
-
-    def embed(sentence: str, seen: dict) -> np.ndarray:
-        v = np.zeros(dimension)
-        line = f" {sentence.lower().strip()} ".ljust(4)
-        for i in range(len(line) - 3):
-            gram = line[i : i + 4]
-            if gram not in seen:
-                d = hashlib.sha1(gram.encode()).digest()
-                seen[gram] = int.from_bytes(d[:4], "big") % dimension, 1.0 if d[4] % 2 == 0 else -1.0
-            v[seen[gram][0]] += seen[gram][1]
-        return np.round(v / (np.linalg.norm(v) or 1.0), 6)
+    model = embedders.model(embedder)
 
     @F.pandas_udf("array<string>")
     def run(lists: pd.Series) -> pd.Series:
         from evigrain.functions.vectors import seeded
 
-        seen: dict = {}
+        encode = embedders.encoder(embedder, model=model)
 
         def one(sentences) -> list[str]:
             s = list(sentences) if sentences is not None else []
             if len(s) <= min_sentences:
                 return [" ".join(s)] if s else []
-            v = np.stack([embed(x, seen) for x in s])
+            v = encode(s)
             if jitter:
                 v = v + seeded(seed, "semantic-jitter", len(s)).normal(scale=jitter, size=v.shape)
             lengths = np.linalg.norm(v, axis=1, keepdims=True)
@@ -225,8 +216,9 @@ def build(name: str, **p) -> tuple[str, Callable[[], Column]]:
         return _spec("sliding-sentence", **p), lambda: sliding_pieces(**p)
     if name == "semantic":
         p = {"percentile": 95.0, "min_sentences": 2, "max_words": 400, "jitter": 0.0, "seed": 42} | p
-        embedder = "hash/v1(dim=256,ngram=4,prec=6,norm=l2)"
-        return _spec("semantic", embedder=embedder, pct=p["percentile"], min=p["min_sentences"], max_words=p["max_words"], jitter=p["jitter"], seed=p["seed"]), lambda: semantic_pieces(**p)
+        from evigrain.functions import embedders
+
+        return _spec("semantic", embedder=embedders.fingerprint(p.get("embedder", "hash")), pct=p["percentile"], min=p["min_sentences"], max_words=p["max_words"], jitter=p["jitter"], seed=p["seed"]), lambda: semantic_pieces(**p)
     raise ValueError(f"unknown chunker {name!r}")
 
 

@@ -54,7 +54,7 @@ def consecutive(lists: DataFrame, group: str, order: str) -> DataFrame:
     return lists.withColumns({"before_ids": F.lag("ids").over(w), "before": F.lag(order).over(w)}).where("before IS NOT NULL")
 
 
-def stability(lists: DataFrame, group: str, order: str, p: float = 0.9) -> DataFrame:
+def stability_neighbours(lists: DataFrame, group: str, order: str, p: float = 0.9) -> DataFrame:
     """Per group: number of lists, mean and spread of the Jaccard of neighbouring lists, mean overlap, share of identical
     neighbours. Neighbours in ``order`` stand for the runs of one group, so the work is linear in the lists."""
     pairs = consecutive(lists, group, order)
@@ -65,12 +65,28 @@ def stability(lists: DataFrame, group: str, order: str, p: float = 0.9) -> DataF
     )
 
 
-def stability_all_pairs(lists: DataFrame, group: str, order: str, p: float = 0.9) -> DataFrame:
-    """The same over all pairs of lists of a group: for experiment grids, where a group is a handful of seeds."""
-    a, b = lists.select(group, F.col(order).alias("o1"), F.col("ids").alias("i1")), lists.select(group, F.col(order).alias("o2"), F.col("ids").alias("i2"))
-    pairs = a.join(b, group).where("o1 < o2")
+#: Runs of a group that one partition pairs with all others of it.
+RUNS = 128
+
+
+def run_pairs(lists: DataFrame, group: str, order: str) -> DataFrame:
+    """group, n_lists, o1, i1, o2, i2: the pairs of lists of a group, as the measures over repeated runs are defined on all
+    of them. A group of many runs is dealt over as many partitions as it has blocks of RUNS, so none holds it whole."""
+    sizes = lists.groupBy(group).agg(F.count(F.lit(1)).alias("n_lists"), F.ceil(F.count(F.lit(1)) / RUNS).cast("int").alias("_s"))
+    both = lists.select(group, F.col(order).alias("o"), F.col("ids").alias("i")).join(sizes, group)
+    a = both.withColumn("_p", F.pmod(F.xxhash64("o"), F.col("_s")).cast("int")).select(group, "_p", F.col("o").alias("o1"), F.col("i").alias("i1"), "n_lists")
+    b = both.select(group, F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_p"), F.col("o").alias("o2"), F.col("i").alias("i2"))
+    return a.join(b, [group, "_p"]).where("o1 < o2").drop("_p")
+
+
+def stability(lists: DataFrame, group: str, order: str, p: float = 0.9) -> DataFrame:
+    """Per group of two lists or more: number of lists, mean and spread of the Jaccard over all pairs of its lists, mean
+    overlap, share of identical pairs."""
     j = jaccard(F.col("i1"), F.col("i2"))
-    return pairs.groupBy(group).agg(F.avg(j).alias("ess"), F.coalesce(F.stddev_samp(j), F.lit(0.0)).alias("ess_std"), F.avg(rank_biased_overlap(F.col("i1"), F.col("i2"), p)).alias("mean_rbo"), F.avg((F.col("i1") == F.col("i2")).cast("int")).alias("identical_fraction"))
+    return run_pairs(lists, group, order).groupBy(group).agg(
+        F.first("n_lists").alias("n_lists"), F.avg(j).alias("ess"), F.coalesce(F.stddev_samp(j), F.lit(0.0)).alias("ess_std"),
+        F.avg(rank_biased_overlap(F.col("i1"), F.col("i2"), p)).alias("mean_rbo"), F.avg((F.col("i1") == F.col("i2")).cast("int")).alias("identical_fraction"),
+    )
 
 
 def core_and_volatile(hits: DataFrame, group: str, run: str, key: str = "chunk_id") -> DataFrame:
@@ -92,17 +108,23 @@ def merged_spans(spans: DataFrame, by: list[str], start: str = "span_start", end
 
 def span_agreement(a: DataFrame, b: DataFrame, by: list[str], record: str = "record_id") -> DataFrame:
     """Per key of ``by``: characters both evidence sets cover, characters either covers, their ratio (1 if nothing is
-    covered). ``a`` and ``b``: (by..., record, span_start, span_end)."""
+    covered), the Jaccard of the records, and the share of each side's rows that are located (1 without rows). ``a`` and
+    ``b``: (by..., record, span_start, span_end)."""
     keys = [*by, record]
     ma, mb = merged_spans(a, keys), merged_spans(b, keys)
     size = lambda d, n: d.groupBy(*by).agg(F.sum(F.col("span_end") - F.col("span_start")).alias(n))
     right = mb.select(*keys, F.col("span_start").alias("s2"), F.col("span_end").alias("e2"))
     cut = ma.join(right, keys).select(*by, (F.least("span_end", "e2") - F.greatest("span_start", "s2")).alias("n")).where("n > 0").groupBy(*by).agg(F.sum("n").alias("both_chars"))
     every = a.select(*by).union(b.select(*by)).distinct()
+    found = F.avg(((F.col("span_start") >= 0) & (F.col("span_end") > F.col("span_start"))).cast("int"))
+    share = lambda d, n: d.groupBy(*by).agg(F.coalesce(found, F.lit(0.0)).alias(n))
+    sides = a.select(*by, record, F.lit(1).alias("ina"), F.lit(0).alias("inb")).union(b.select(*by, record, F.lit(0).alias("ina"), F.lit(1).alias("inb")))
+    records = sides.groupBy(*by, record).agg(F.max("ina").alias("ina"), F.max("inb").alias("inb")).groupBy(*by).agg(F.avg(F.col("ina") * F.col("inb")).alias("record_jaccard"))
+    every = every.join(records, by, "left").join(share(a, "located_a"), by, "left").join(share(b, "located_b"), by, "left").fillna(1.0, ["located_a", "located_b"])
     joined = every.join(size(ma, "na"), by, "left").join(size(mb, "nb"), by, "left").join(cut, by, "left")
     both = F.coalesce("both_chars", F.lit(0).cast("long"))
     union = F.coalesce("na", F.lit(0).cast("long")) + F.coalesce("nb", F.lit(0).cast("long")) - both
-    return joined.select(*by, both.alias("both_chars"), union.alias("union_chars"), F.when(union == 0, F.lit(1.0)).otherwise(both / union).alias("agreement"))
+    return joined.select(*by, both.alias("both_chars"), union.alias("union_chars"), F.when(union == 0, F.lit(1.0)).otherwise(both / union).alias("agreement"), "record_jaccard", "located_a", "located_b")
 
 
 def crossover(measured: DataFrame, budget_ms: float = 1000.0, least_esf: float = 0.99) -> DataFrame:

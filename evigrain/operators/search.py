@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from evigrain.functions import text as T
 from evigrain.functions.vectors import dot, seeded, unit
+from evigrain.session import cut
 
 #: Query vectors are broadcast while they are at most so many; a larger query set goes through in blocks of that size.
 QUERY_BLOCK = 4096
@@ -214,10 +215,12 @@ def ivf(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 100, probes
     return ranked(met.select(query, key, F.bround(dot(F.col("v"), F.col("q")), digits).alias("score")), k, query, key)
 
 
-def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """term, key, tf, dl: how often a text has a term, and its length in tokens."""
+def postings(texts: DataFrame, key: str, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """term, key, tf, dl: how often a text has a term (of ``terms``, if given), and its length in tokens."""
     toks = texts.select(key, T.tokens(text).alias("_t")).withColumn("dl", F.size("_t"))
-    return toks.select(key, "dl", F.explode("_t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    rows = toks.select(key, "dl", F.explode("_t").alias("term"))
+    rows = rows if terms is None else rows.join(terms, "term", "left_semi")
+    return rows.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_statistics(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -230,7 +233,8 @@ def bm25(texts: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     counts each time; only scores above 0 are kept."""
     asked = queries.select(query, F.explode(T.tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qf"))
     terms = asked.select("term").distinct()
-    posts = postings(texts.select(key, F.col(text).alias("text")), key).join(terms, "term", "left_semi")
+    # only the queries' terms are grouped; the postings are used for their counts and for the scores
+    posts = cut(postings(texts.select(key, F.col(text).alias("text")), key, terms=terms))
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = bm25_statistics(texts, text)
     weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(query, "term", "qf", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -250,13 +254,13 @@ def fuse(lists: list[DataFrame], k: int | None = None, rrf_k: int = 60, digits:
 
 
 #: Back ends and whether their results are exact; those that need a service or a native library are named, not faked.
-BACKENDS = {"flat": True, "lsh": False, "ivf": False, "ivfpq": False}
-UNAVAILABLE = ("hnsw", "qdrant", "pgvector", "chroma")
+BACKENDS = {"flat": True, "pgvector": True, "lsh": False, "ivf": False, "ivfpq": False}
+UNAVAILABLE = ("hnsw", "qdrant", "chroma")
 
 
 def build_index(name: str, **params):
     """A search function (vectors, queries, k) -> ranked rows, by name."""
-    if name == "flat":
+    if name in ("flat", "pgvector"):  # without an index of its own the latter scans, as the former does
         return lambda v, q, k, **kw: exact(v, q, k, **params, **kw)
     if name == "lsh":
         return lambda v, q, k, **kw: lsh(v, q, k, **params, **kw)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evigrain.operators import metrics, search
 from evigrain.session import cut
@@ -18,6 +18,7 @@ def subsample(records: DataFrame, size: int, key: str = "record_id") -> DataFram
 def run_grid(vectors: DataFrame, queries: DataFrame, k: int, cells: list[dict], key: str = "id", query: str = "query_id", dimension: int = 64) -> DataFrame:
     """backend, params, seed, query, esf, esf_at_10, rbo, kendall_tau, n_missing, n_spurious for each cell
     {'backend', 'params', 'seeds'}, against the exact result. The vectors are the ones given, once for all cells."""
+    vectors, queries = cut(vectors), cut(queries)
     exact = cut(metrics.lists_of(search.exact(vectors, queries, k, key=key, query=query), [query], key).withColumnRenamed("ids", "exact_ids"))
     out = None
     for cell in cells:
@@ -39,9 +40,9 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return base.join(spread, by)
 
 
-def power(n_queries: int) -> str:
+def power(n_queries: Column) -> Column:
     """What a paired design with so many queries can show at power 0.8: a medium effect from 34, a small one from 89."""
-    return "d=0.3" if n_queries >= 89 else "d=0.5" if n_queries >= 34 else "PILOT"
+    return F.when(n_queries >= 89, "d=0.3").when(n_queries >= 34, "d=0.5").otherwise("PILOT")
 
 
 def timed(df: DataFrame, repeats: int = 3) -> float:

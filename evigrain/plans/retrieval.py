@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evigrain.functions import vectors as V
 from evigrain.operators import search
@@ -85,6 +85,15 @@ def verify(certificate: dict, query: str, chunk_ids: list[str], corpus_hash: str
     return {"verified": not wrong, "mismatches": wrong, "missing": [c for c in before if c not in set(chunk_ids)], "added": [c for c in chunk_ids if c not in set(before)], "reordered_only": before != list(chunk_ids) and sorted(before) == sorted(chunk_ids)}
 
 
+def drift(issued: Column, rerun: Column) -> Column:
+    """What differs between the ids of an issued evidence set and of its rerun: how many are missing and added, whether
+    only the order changed, whether nothing did."""
+    return F.struct(
+        F.size(F.array_except(issued, rerun)).alias("n_missing"), F.size(F.array_except(rerun, issued)).alias("n_added"),
+        ((issued != rerun) & (F.array_sort(issued) == F.array_sort(rerun))).alias("reordered_only"), (issued == rerun).alias("verified"),
+    )
+
+
 def save_certificate(certificate: dict, path: str) -> None:
     Path(path).write_text(json.dumps(certificate, indent=2, sort_keys=True, ensure_ascii=False), encoding="utf-8")
 

@@ -27,6 +27,13 @@ def query(sql: str | None = None, name: str | None = None):
 
 # ---------------------------------------------------------------- SQL parts
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: The fixed word lists once more, so that the SQL doesn't rest on the library's own.
+SQL_ABBREVIATIONS = "et al e.g i.e cf vs etc fig figs tab tabs eq eqs no nos vol pp ref refs approx resp dr prof mr mrs ms st ca ch sec min max jr sr inc ltd".split()
+SQL_HEDGES = "may might could possibly perhaps suggests? appears? seems?".split()
+SQL_STOPWORDS = (
+    "a an the of and or to in on for with by from as at is are was were be been being this that these those it its we our their there here than then so such but not no "
+    "can will would should have has had do does did between within about into over"
+).split()
 quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 collapse = lambda x: f"trim(regexp_replace({x}, '{SPACES}', ' ', 'g'))"
 DOI_SQL = r"regexp_replace(lower(trim(regexp_replace(trim(coalesce(doi, '')), '(?i)^(https?://(dx\.)?doi\.org/|doi:\s*)', ''))), '\.+$', '')"
@@ -34,7 +41,7 @@ TITLE_SQL = "regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]', '', 'g')"
 TOKENS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
 WORDS = lambda x: f"list_filter(string_split({collapse(x)}, ' '), lambda w: w <> '')"
 MARK = r"""regexp_replace({x}, '([.!?])\s+([A-Z0-9(\["“''])', '\1' || chr(30) || '\2', 'g')"""
-ABBREVIATED = rf"regexp_replace(regexp_replace(lower(regexp_extract(trim({{x}}), '([A-Za-z.]+)\.$', 1)), '^\.+', ''), '\.+$', '') IN ({quoted(T.ABBREVIATIONS)})"
+ABBREVIATED = rf"regexp_replace(regexp_replace(lower(regexp_extract(trim({{x}}), '([A-Za-z.]+)\.$', 1)), '^\.+', ''), '\.+$', '') IN ({quoted(SQL_ABBREVIATIONS)})"
 
 
 def sentences_sql(x: str) -> str:
@@ -123,7 +130,7 @@ def corpus_stats(spark, root):
 
 
 @query("""SELECT import_id, sum(n)::BIGINT AS rows_read, sum(ma)::BIGINT AS missing_abstract, sum(md)::BIGINT AS missing_doi, string_agg(CASE WHEN k <> '' THEN k || '=' || n END, '; ' ORDER BY k || '=' || n) AS document_types
-  FROM (SELECT import_id, coalesce(element_at(extra, 'document_type')[1], '') AS k, count(*) AS n, count_if(coalesce(abstract, '') = '' OR lower(trim(abstract)) = '[no abstract available]') AS ma, count_if(coalesce(doi, '') = '') AS md FROM records GROUP BY 1, 2) GROUP BY 1""".replace("element_at(extra, 'document_type')[1]", "map_extract_value(extra, 'document_type')"))
+  FROM (SELECT import_id, coalesce(element_at(extra, 'document_type')[1], '') AS k, count(*) AS n, count_if(coalesce(abstract, '') = '' OR lower(trim(abstract)) IN ('[no abstract available]', 'no abstract available')) AS ma, count_if(coalesce(doi, '') = '') AS md FROM records GROUP BY 1, 2) GROUP BY 1""".replace("element_at(extra, 'document_type')[1]", "map_extract_value(extra, 'document_type')"))
 def import_report(spark, root):
     return R.import_counts(table(spark, root, "records"))
 
@@ -153,7 +160,7 @@ def split_sentences(spark, root):
     return table(spark, root, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("sentence_no", "sentence"))
 
 
-CLAIMS_SQL = f"SELECT doc_id, record_key, claim_no, claim, regexp_matches(claim, '(?i)\\b({'|'.join(T.HEDGES)})\\b') AS hedged FROM (SELECT doc_id, record_key, unnest(range(len(s)))::INT AS claim_no, unnest(s) AS claim FROM (SELECT doc_id, record_key, {sentences_sql('text')} AS s FROM documents)) WHERE len({WORDS('claim')}) BETWEEN 6 AND 60 AND NOT ends_with(claim, '?')"
+CLAIMS_SQL = f"SELECT doc_id, record_key, claim_no, claim, regexp_matches(claim, '(?i)\\b({'|'.join(SQL_HEDGES)})\\b') AS hedged FROM (SELECT doc_id, record_key, unnest(range(len(s)))::INT AS claim_no, unnest(s) AS claim FROM (SELECT doc_id, record_key, {sentences_sql('text')} AS s FROM documents)) WHERE len({WORDS('claim')}) BETWEEN 6 AND 60 AND NOT ends_with(claim, '?')"
 
 
 @query(f"SELECT doc_id, claim_no, claim, hedged FROM ({CLAIMS_SQL})")
@@ -258,9 +265,17 @@ def chunk_section(spark, root):
     return chunking.chunk(canonical_records(spark, root), "tei-section").select("chunk_id", "record_id", "ordinal", "section", "span_start", "span_end", "text")
 
 
-@query("SELECT count(*) AS located, count_if(substr(text, 1, 20) <> '') AS with_text FROM chunks WHERE span_start >= 0 AND span_end > span_start")
+#: The place of each of the texts ``ps`` in ``src``: from a cursor that moves on by half a text, else from the beginning.
+_AHEAD = "(CASE WHEN strpos(substr(x.src, a.at + 1), x.t) > 0 THEN strpos(substr(x.src, a.at + 1), x.t) + a.at ELSE strpos(x.src, x.t) END)"
+SPANS_SQL = f"""list_reduce(list_prepend({{'at': 0, 'spans': []::STRUCT(a INT, b INT)[], 'src': '', 't': ''}}, list_transform(ps, lambda t: {{'at': 0, 'spans': []::STRUCT(a INT, b INT)[], 'src': src, 't': t}})),
+  lambda a, x: {{'at': (CASE WHEN {_AHEAD} > 0 THEN {_AHEAD} - 1 + greatest(1, length(x.t) // 2) ELSE a.at END)::INT, 'spans': list_append(a.spans, {{'a': ({_AHEAD} - 1)::INT, 'b': (CASE WHEN {_AHEAD} > 0 THEN {_AHEAD} - 1 + length(x.t) ELSE -1 END)::INT}}), 'src': x.src, 't': x.t}}).spans"""
+
+
+@query(f"""WITH b AS (SELECT record_id, '. ' || {collapse('text')} AS src, {WORDS('text')} AS w FROM ({DOCS_SQL})), p AS (SELECT record_id, coalesce(src, '') AS src, list_filter({WINDOWS_SQL.format(size=60, step=48)}, lambda t: t <> '') AS ps FROM b)
+  SELECT record_id, ordinal, s.a AS span_start, s.b AS span_end FROM (SELECT record_id, unnest(range(len(ps)))::INT AS ordinal, unnest({SPANS_SQL}) AS s FROM p)""")
 def located_chunks(spark, root):
-    return table(spark, root, "chunks").where("span_start >= 0 AND span_end > span_start").agg(F.count(F.lit(1)).alias("located"), F.count_if(F.substring("text", 1, 20) != "").alias("with_text"))
+    docs = documents_as_records(spark, root).withColumn("full_text", T.collapse_space(F.col("full_text")))
+    return chunking.chunk(docs, "fixed", size=60, overlap=12).select("record_id", "ordinal", "span_start", "span_end")
 
 
 # ---------------------------------------------------------------- vectors
@@ -360,10 +375,10 @@ def bm25_topk(spark, root):
     return bm25_lists(spark, root, 10).select("query_id", "chunk_id", F.bround("score", 6).alias("score"), "rank_no")
 
 
-@query("SELECT query_id, chunk_id, round_even(sum(1.0 / (60 + rank_no)), 9) AS score, count(*) AS n FROM ranked_hits WHERE chunk_id IS NOT NULL AND rank_no IS NOT NULL GROUP BY 1, 2")
+@query("SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank_no FROM (SELECT query_id, chunk_id, round_even(sum(1.0 / (60 + rank_no)), 9) AS score FROM ranked_hits WHERE chunk_id IS NOT NULL AND rank_no IS NOT NULL GROUP BY 1, 2)")
 def rrf_fusion(spark, root):
     hits = table(spark, root, "ranked_hits").where("chunk_id IS NOT NULL AND rank_no IS NOT NULL")
-    return hits.groupBy("query_id", "chunk_id").agg(F.bround(F.sum(1.0 / (60 + F.col("rank_no"))), 9).alias("score"), F.count(F.lit(1)).alias("n"))
+    return search.fuse([hits], key="chunk_id")
 
 
 def dense_sql(dim: int, where: str = "") -> str:
@@ -424,12 +439,21 @@ def kendall_tau(spark, root):
     return metrics.consecutive(run_lists(spark, root), "query_id", "run_id").select("query_id", "run_id", F.bround(metrics.kendall_tau(F.col("ids"), F.col("before_ids")), 9).alias("tau"))
 
 
-@query(f"SELECT query_id, count(*) + 1 AS n_lists, round_even(avg({JACCARD_SQL}), 6) AS ess, round_even(coalesce(stddev_samp({JACCARD_SQL}), 0), 6) AS ess_std, round_even(avg((ids = before_ids)::INT), 6) AS identical_fraction FROM ({NEIGHBOURS_SQL}) GROUP BY 1")
+STABILITY_SQL = f"SELECT query_id, {{n}} AS n_lists, round_even(avg({JACCARD_SQL}), 6) AS ess, round_even(coalesce(stddev_samp({JACCARD_SQL}), 0), 6) AS ess_std, round_even(avg((ids = before_ids)::INT), 6) AS identical_fraction FROM ({{pairs}}) GROUP BY 1"
+PAIRED_SQL = f"SELECT a.query_id, a.ids, b.ids AS before_ids, (SELECT count(*) FROM ({LISTS_SQL}) c WHERE c.query_id = a.query_id) AS n FROM ({LISTS_SQL}) a JOIN ({LISTS_SQL}) b ON a.query_id = b.query_id AND a.run_id < b.run_id"
+r6 = lambda c: F.bround(c, 6).alias(c)
+
+
+@query(STABILITY_SQL.format(n="any_value(n)", pairs=PAIRED_SQL))
 def evidence_stability(spark, root):
-    r6 = lambda c: F.bround(c, 6).alias(c)
     return metrics.stability(run_lists(spark, root), "query_id", "run_id").select("query_id", "n_lists", r6("ess"), r6("ess_std"), r6("identical_fraction"))
 
 
+@query(STABILITY_SQL.format(n="count(*) + 1", pairs=NEIGHBOURS_SQL))
+def evidence_stability_neighbours(spark, root):
+    return metrics.stability_neighbours(run_lists(spark, root), "query_id", "run_id").select("query_id", "n_lists", r6("ess"), r6("ess_std"), r6("identical_fraction"))
+
+
 @query("""WITH h AS (SELECT DISTINCT query_id, run_id, chunk_id FROM ranked_hits), n AS (SELECT query_id, count(DISTINCT run_id) AS n_runs FROM h GROUP BY 1), c AS (SELECT query_id, chunk_id, count(*) AS k FROM h GROUP BY 1, 2)
   SELECT query_id, n_runs, count_if(k = n_runs) AS n_core, count_if(k < n_runs) AS n_volatile FROM c JOIN n USING (query_id) GROUP BY 1, 2""")
 def core_volatile(spark, root):
@@ -441,10 +465,10 @@ def evidence_digest(spark, root):
     return retrieval.evidence_digest(table(spark, root, "ranked_hits").where("rank_no IS NOT NULL AND chunk_id IS NOT NULL"), ["run_id", "query_id"])
 
 
-@query(f"SELECT query_id, run_id, (len(before_ids) - len(list_intersect(ids, before_ids)))::INT AS n_missing, (len(ids) - len(list_intersect(ids, before_ids)))::INT AS n_added, ids <> before_ids AND list_sort(ids) = list_sort(before_ids) AS reordered_only FROM ({NEIGHBOURS_SQL})")
+@query(f"SELECT query_id, run_id, (len(before_ids) - len(list_intersect(ids, before_ids)))::INT AS n_missing, (len(ids) - len(list_intersect(ids, before_ids)))::INT AS n_added, ids <> before_ids AND list_sort(ids) = list_sort(before_ids) AS reordered_only, ids = before_ids AS verified FROM ({NEIGHBOURS_SQL})")
 def certificate_verify(spark, root):
-    a, b = F.col("ids"), F.col("before_ids")
-    return metrics.consecutive(run_lists(spark, root), "query_id", "run_id").select("query_id", "run_id", F.size(F.array_except(b, a)).alias("n_missing"), F.size(F.array_except(a, b)).alias("n_added"), ((a != b) & (F.array_sort(a) == F.array_sort(b))).alias("reordered_only"))
+    reruns = metrics.consecutive(run_lists(spark, root), "query_id", "run_id")
+    return reruns.select("query_id", "run_id", retrieval.drift(F.col("before_ids"), F.col("ids")).alias("d")).select("query_id", "run_id", "d.*")
 
 
 @query("SELECT query_id, run_id, count(*) AS n_records, sum(r)::BIGINT AS rank_sum FROM (SELECT query_id, run_id, record_id, min(rank_no) AS r FROM ranked_hits JOIN chunks USING (chunk_id) GROUP BY ALL) GROUP BY 1, 2")
@@ -484,10 +508,12 @@ A_SQL, B_SQL = (EVIDENCE_SQL.format(e=END_RUNS_SQL.format(f=f)) for f in ("min",
   na AS (SELECT query_id, sum(span_end - span_start) AS n FROM ma GROUP BY 1), nb AS (SELECT query_id, sum(span_end - span_start) AS n FROM mb GROUP BY 1),
   x AS (SELECT ma.query_id, sum(least(ma.span_end, mb.span_end) - greatest(ma.span_start, mb.span_start)) AS n FROM ma JOIN mb ON ma.query_id = mb.query_id AND ma.record_id = mb.record_id AND least(ma.span_end, mb.span_end) > greatest(ma.span_start, mb.span_start) GROUP BY 1),
   k AS (SELECT query_id FROM a UNION SELECT query_id FROM b), s AS (SELECT k.query_id, coalesce(x.n, 0)::BIGINT AS both_chars, (coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(x.n, 0))::BIGINT AS union_chars FROM k LEFT JOIN na USING (query_id) LEFT JOIN nb USING (query_id) LEFT JOIN x USING (query_id))
-  SELECT query_id, both_chars, union_chars, round_even(CASE WHEN union_chars = 0 THEN 1.0 ELSE both_chars / union_chars END, 9) AS agreement FROM s""")
+  l AS (SELECT query_id, max(CASE WHEN e = 'a' THEN f END) AS located_a, max(CASE WHEN e = 'b' THEN f END) AS located_b FROM (SELECT query_id, e, avg((span_start >= 0 AND span_end > span_start)::INT) AS f FROM (SELECT *, 'a' AS e FROM a UNION ALL SELECT *, 'b' FROM b) GROUP BY 1, 2) GROUP BY 1),
+  r AS (SELECT query_id, avg((n = 2)::INT) AS record_jaccard FROM (SELECT query_id, record_id, count(DISTINCT e) AS n FROM (SELECT *, 'a' AS e FROM a UNION ALL SELECT *, 'b' FROM b) GROUP BY 1, 2) GROUP BY 1)
+  SELECT query_id, both_chars, union_chars, round_even(CASE WHEN union_chars = 0 THEN 1.0 ELSE both_chars / union_chars END, 9) AS agreement, round_even(record_jaccard, 9) AS record_jaccard, round_even(coalesce(located_a, 1), 9) AS located_a, round_even(coalesce(located_b, 1), 9) AS located_b FROM s JOIN l USING (query_id) JOIN r USING (query_id)""".replace("  l AS (", ", l AS (", 1))
 def span_agreement(spark, root):
     a, b = ends(spark, root)
-    return metrics.span_agreement(a, b, ["query_id"]).withColumn("agreement", F.bround("agreement", 9))
+    return metrics.span_agreement(a, b, ["query_id"]).withColumns({c: F.bround(c, 9) for c in ("agreement", "record_jaccard", "located_a", "located_b")})
 
 
 @query(f"""WITH a AS ({A_SQL}), b AS ({B_SQL}), p AS (SELECT a.query_id, a.chunk_id, bool_or(a.chunk_id = b.chunk_id) AS same_id, bool_or(a.text = b.text) AS same_text, bool_or(a.span_start >= 0 AND a.record_id = b.record_id AND a.span_start = b.span_start AND a.span_end = b.span_end) AS same_span,
@@ -506,7 +532,7 @@ def overlap_four_ways(spark, root):
     return met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("i").alias("by_id"), F.count_if("t").alias("by_text"), F.count_if("s").alias("by_span"), F.count_if("c").alias("by_chars"))
 
 
-CONTENT = lambda x: f"list_filter(list_distinct({TOKENS(x)}), lambda w: w NOT IN ({quoted(T.STOPWORDS)}))"
+CONTENT = lambda x: f"list_filter(list_distinct({TOKENS(x)}), lambda w: w NOT IN ({quoted(SQL_STOPWORDS)}))"
 GROUNDED_SQL = f"""WITH c AS (SELECT doc_id, record_id, claim_no, hedged, {CONTENT('claim')} AS cw FROM ({CLAIMS_SQL}) JOIN records USING (record_key)), p AS (SELECT record_id, span_start >= 0 AS located, {CONTENT('text')} AS pw FROM chunks)
   SELECT doc_id, claim_no, hedged, count_if(pw IS NOT NULL AND len(cw) > 0 AND len(list_intersect(cw, pw)) >= 0.6 * len(cw)) AS n_supporting, count_if(located AND len(cw) > 0 AND len(list_intersect(cw, pw)) >= 0.6 * len(cw)) AS n_located FROM c LEFT JOIN p USING (record_id) GROUP BY 1, 2, 3"""
 
@@ -633,10 +659,12 @@ def subsample(spark, root):
 
 
 @query("""SELECT record_key, coalesce(map_extract_value(extra, 'document_type'), '') AS document_type FROM records
-  WHERE lower(coalesce(map_extract_value(extra, 'document_type'), '')) IN ('article', 'review') AND coalesce(abstract, '') <> '' AND lower(trim(abstract)) <> '[no abstract available]'""")
+  WHERE lower(coalesce(map_extract_value(extra, 'document_type'), '')) IN ('article', 'review') AND coalesce(abstract, '') <> '' AND lower(trim(abstract)) NOT IN ('[no abstract available]', 'no abstract available')""")
 def filtered_records(spark, root):
     kind = F.coalesce(F.element_at("extra", "document_type"), F.lit(""))
-    return table(spark, root, "records").where(F.lower(kind).isin("article", "review") & (T.blank_placeholder(F.col("abstract")) != "")).select("record_key", kind.alias("document_type"))
+    from evigrain.sources.bibliography import wanted
+
+    return table(spark, root, "records").where(wanted(kind, F.col("abstract"), ("Article", "Review"), True)).select("record_key", kind.alias("document_type"))
 
 
 @query(f"WITH h AS (SELECT record_key, coalesce(s.heading, '') AS heading FROM (SELECT record_key, unnest(sections) AS s FROM records)), m AS (SELECT record_key, {_heading_sql()} AS n FROM h) SELECT DISTINCT record_key FROM m WHERE {_label_sql('label')} IN ('methods', 'results', 'introduction', 'discussion')")

@@ -7,14 +7,14 @@ import xml.etree.ElementTree as ET
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evigrain.functions import text as T
 from evigrain.operators.records import DDL
 
 #: The column names of two databases' exports, by field.
-SCOPUS = {"title": ("Title",), "abstract": ("Abstract",), "doi": ("DOI",), "year": ("Year",), "authors": ("Authors", "Author full names"), "venue": ("Source title",), "document_type": ("Document Type",), "author_keywords": ("Author Keywords",), "index_keywords": ("Index Keywords",), "cited_by": ("Cited by",), "eid": ("EID",)}
-WOS = {"title": ("Article Title", "TI"), "abstract": ("Abstract", "AB"), "doi": ("DOI", "DI"), "year": ("Publication Year", "PY"), "authors": ("Authors", "AU"), "venue": ("Source Title", "SO"), "document_type": ("Document Type", "DT"), "author_keywords": ("Author Keywords", "DE"), "index_keywords": ("Keywords Plus", "ID"), "cited_by": ("Times Cited, All Databases", "TC"), "eid": ("UT (Unique WOS ID)", "UT")}
+SCOPUS = {"title": ("Title",), "abstract": ("Abstract",), "doi": ("DOI",), "year": ("Year",), "authors": ("Authors", "Author full names"), "venue": ("Source title", "Abbreviated Source Title"), "document_type": ("Document Type",), "author_keywords": ("Author Keywords",), "index_keywords": ("Index Keywords",), "cited_by": ("Cited by",), "eid": ("EID",)}
+WOS = {"title": ("Article Title", "TI"), "abstract": ("Abstract", "AB"), "doi": ("DOI", "DI"), "year": ("Publication Year", "PY"), "authors": ("Authors", "AU", "Author Full Names"), "venue": ("Source Title", "SO"), "document_type": ("Document Type", "DT"), "author_keywords": ("Author Keywords", "DE"), "index_keywords": ("Keywords Plus", "ID"), "cited_by": ("Times Cited, All Databases", "TC"), "eid": ("UT (Unique WOS ID)", "UT")}
 #: Entry types that are no articles.
 RIS_SKIPPED = ("GEN", "ICOMM", "ECOMM", "SLIDE", "SOUND", "VIDEO")
 BIBTEX_SKIPPED = ("misc", "manual", "unpublished")
@@ -25,6 +25,12 @@ def _shape(df: DataFrame, source: str) -> DataFrame:
     return df.select("title", "abstract", "doi", F.col("year").cast("int").alias("year"), "authors", "venue", "full_text", "sections", F.lit(source).alias("source"), "extra")
 
 
+def wanted(document_type: Column, abstract: Column, keep_types: tuple[str, ...] = (), require_abstract: bool = False) -> Column:
+    """Whether a row of an export is kept: its type among ``keep_types`` (any case), its abstract there."""
+    keep = F.lower(document_type).isin([k.lower() for k in keep_types]) if keep_types else F.lit(True)
+    return keep & (T.blank_placeholder(abstract) != "") if require_abstract else keep
+
+
 def read_table(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]], source: str, sep: str = ",", keep_types: tuple[str, ...] = (), require_abstract: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, report) of a CSV or TSV export. The first filled of a field's column names counts; the report's counters
     are taken before the filters and name the fields without a column."""
@@ -35,10 +41,7 @@ def read_table(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...
     rows = raw.select(*[c.alias(f) for f, c in pick.items()]).withColumn("abstract", T.blank_placeholder(F.col("abstract")))
     report = rows.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("abstract") == "").alias("missing_abstract"), F.count_if(F.col("doi") == "").alias("missing_doi"), F.count_if((F.col("title") == "") & (F.col("abstract") == "")).alias("dropped_empty")).withColumn("unmapped_fields", F.array(*[F.lit(u) for u in unmapped]).cast("array<string>"))
     kept = rows.where((F.col("title") != "") | (F.col("abstract") != ""))
-    if keep_types:
-        kept = kept.where(F.lower("document_type").isin([k.lower() for k in keep_types]))
-    if require_abstract:
-        kept = kept.where("abstract <> ''")
+    kept = kept.where(wanted(F.col("document_type"), F.col("abstract"), keep_types, require_abstract))
     extra = F.map_filter(F.map_from_arrays(F.array(*[F.lit(e) for e in EXTRA]), F.array(*[F.col(e) for e in EXTRA])), lambda k, v: v != "")
     out = kept.withColumns({"year": T.parse_year(F.col("year")), "authors": T.split_people(F.col("authors")), "full_text": F.lit(""), "sections": F.expr("CAST(array() AS array<struct<heading:string,body:string>>)"), "extra": extra})
     return _shape(out, source), report
@@ -193,12 +196,17 @@ def read_tei(spark: SparkSession, folder: str, require_sections: bool = False) -
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Records written by write_jsonl; sections come back from [heading, body] pairs or structs."""
-    return _shape(spark.read.schema(DDL + ", record_id string").json(path), "jsonl").withColumn("source", F.lit("jsonl"))
+    kind = "array<struct<heading:string,body:string>>"
+    raw = spark.read.schema(DDL.replace(f"sections {kind}", "sections string") + ", record_id string").json(path)
+    pairs = F.transform(F.from_json("sections", "array<array<string>>"), lambda p: F.struct(F.get(p, 0).alias("heading"), F.get(p, 1).alias("body")))
+    sections = F.when(F.col("sections").rlike(r"^\s*\[\s*\["), pairs).otherwise(F.from_json("sections", kind))
+    return _shape(raw.withColumn("sections", sections), "jsonl")
 
 
 def write_jsonl(records: DataFrame, path: str) -> None:
-    """Canonical records in the order of their ids."""
-    records.orderBy("record_id").write.mode("overwrite").json(path)
+    """Canonical records in the order of their ids, sections as [heading, body] pairs."""
+    pairs = F.transform("sections", lambda s: F.array(s["heading"], s["body"]))
+    records.withColumn("sections", pairs).orderBy("record_id").write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def from_source_files(rows: DataFrame) -> DataFrame:
@@ -247,6 +255,51 @@ def extract_pdfs(files: DataFrame, extract, known: DataFrame | None = None) -> D
     return done if known is None else done.unionByName(known.select("digest", "tei", F.lit(None).cast("string").alias("error")))
 
 
+def pdf_records(texts: DataFrame, engine: str = "grobid", require_sections: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, coverage) of extracted files. ``texts``: path, tei, error (one row a file). A text that begins with '<'
+    is TEI, another is plain text under its guessed title or file name. Coverage is one row: files_found, processed,
+    with_sections, without_sections, failed (no extraction, TEI that doesn't parse, nothing in it), coverage."""
+    from evigrain.functions.headings import classify, normalise_heading
+
+    @F.pandas_udf("struct<ok:boolean,title:string,abstract:string,doi:string,year:string,authors:array<string>,venue:string,sections:array<struct<heading:string,body:string>>>")
+    def parse(found: pd.Series) -> pd.DataFrame:
+        blank = {"title": "", "abstract": "", "doi": "", "year": "", "authors": [], "venue": "", "sections": []}
+        done = [{"ok": r is not None, **blank, **{k: v for k, v in (r or {}).items() if k in blank}} for r in (tei_record(t) if t and t.lstrip().startswith("<") else None for t in found)]
+        return pd.DataFrame(done, columns=["ok", *blank])
+
+    tei = F.ltrim(T.text_of("tei")).startswith("<")
+    name = F.regexp_replace(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""), "_", " ")
+    seen = texts.select("path", "tei", "error", tei.alias("is_tei"), parse("tei").alias("p"))
+    wanted_labels = ("methods", "results", "introduction", "discussion")
+    seen = seen.withColumns({
+        "full_text": F.when(F.col("is_tei"), F.lit("")).otherwise(T.collapse_space(T.text_of("tei"))),
+        "has_sections": F.coalesce(F.exists("p.sections", lambda s: classify(normalise_heading(s["heading"]))["label"].isin(*wanted_labels)), F.lit(False)),
+    })
+    bad = F.col("error").isNotNull() | F.col("is_tei") & ~F.col("p.ok")
+    empty = (F.col("full_text") == "") & (T.text_of("p.abstract") == "") & (F.coalesce(F.size("p.sections"), F.lit(0)) <= 0)
+    judged = seen.withColumn("state", F.when(bad | empty, "failed").when(~F.col("has_sections") & F.lit(require_sections), "left out").otherwise("processed"))
+    rows = judged.where("state = 'processed'").select(
+        F.when(F.col("is_tei"), F.col("p.title")).otherwise(T.first_filled(T.guess_title(F.col("tei")), name)).alias("title"), F.col("p.abstract").alias("abstract"), F.col("p.doi").alias("doi"), T.parse_year(F.col("p.year")).alias("year"),
+        F.col("p.authors").alias("authors"), F.col("p.venue").alias("venue"), "full_text", F.col("p.sections").alias("sections"), F.expr("CAST(map() AS map<string,string>)").alias("extra"),
+    )
+    n = F.count(F.lit(1))
+    sound = F.col("state") != "failed"
+    coverage = judged.agg(
+        n.alias("files_found"), F.count_if(F.col("state") == "processed").alias("processed"), F.count_if(sound & F.col("has_sections")).alias("with_sections"), F.count_if(sound & ~F.col("has_sections")).alias("without_sections"), F.count_if(~sound).alias("failed"),
+    ).withColumn("coverage", F.when(F.col("files_found") > 0, F.col("processed") / F.col("files_found")).otherwise(F.lit(0.0)))
+    return _shape(rows, engine), coverage
+
+
+def read_pdfs(spark: SparkSession, folder: str, extract, engine: str = "grobid", limit: int | None = None, require_sections: bool = False, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, coverage) of the PDF files under a folder, the first ``limit`` by path if given, by ``extract(bytes) ->
+    str`` (TEI or plain text). Files of equal content are extracted once; what ``known`` (digest, tei) holds isn't."""
+    files = scan_pdfs(spark, folder)
+    if limit is not None:
+        files = files.orderBy("path").limit(limit)
+    done = extract_pdfs(files, extract, known)
+    return pdf_records(files.select("path", "digest").join(done, "digest", "left"), engine, require_sections)
+
+
 def read_any(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
     """Records of a file by its extension or ``kind``."""
     kind = kind or {".ris": "ris", ".bib": "bibtex", ".bibtex": "bibtex", ".csv": "scopus", ".txt": "wos", ".tsv": "wos", ".jsonl": "jsonl"}.get(Path(path).suffix.lower())

@@ -61,3 +61,19 @@ def tei_extractor(url: str, post: Callable[[str, bytes], bytes]) -> Callable[[by
         return post(f"{url.rstrip('/')}/api/processFulltextDocument", content).decode("utf-8")
 
     return extract
+
+
+def http_post(url: str, content: bytes, field: str = "input") -> bytes:
+    """A file sent as one field of a form."""
+    from urllib.request import Request, urlopen
+    from uuid import uuid4
+
+    mark = uuid4().hex
+    head = f'--{mark}\r\nContent-Disposition: form-data; name="{field}"; filename="file.pdf"\r\nContent-Type: application/pdf\r\n\r\n'
+    body = head.encode() + content + f"\r\n--{mark}--\r\n".encode()
+    with urlopen(Request(url, data=body, headers={"Content-Type": f"multipart/form-data; boundary={mark}"}), timeout=300) as answer:  # noqa: S310 - the caller's own address
+        return answer.read()
+
+
+def tei_service(url: str) -> Callable[[bytes], str]:
+    return tei_extractor(url, http_post)

@@ -49,8 +49,55 @@ def test_list_measures(spark):
     assert got["same"].esf == got["same"].rbo == got["same"].kendall_tau == 1 and got["reversed"].kendall_tau == -1 and got["half"].esf == 0.5
     assert (got["half"].n_missing, got["half"].n_spurious) == (2, 2) and got["none"].esf == 1 and got["none"].kendall_tau == 0 and got["one"].kendall_tau == 1 and got["apart"].rbo == 0
     lists = spark.createDataFrame([("q", 0, list("abc")), ("q", 1, list("abd")), ("q", 2, list("abe"))], "query_id string, run int, ids array<string>")
-    assert metrics.stability_all_pairs(lists, "query_id", "run").collect()[0].ess == 0.5
-    assert experiment.power(10) == "PILOT" and experiment.power(34) == "d=0.5" and experiment.power(100) == "d=0.3"
+    got = metrics.stability(lists, "query_id", "run").collect()[0]
+    assert got.ess == 0.5 and got.n_lists == 3 and got.identical_fraction == 0
+    assert [r.p for r in spark.createDataFrame([(10,), (34,), (100,)], "n int").select(experiment.power(F.col("n")).alias("p")).collect()] == ["PILOT", "d=0.5", "d=0.3"]
+
+
+def test_all_pairs_of_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "RUNS", 4)
+    lists = spark.createDataFrame([("q", i, [str(i % 3), "x"]) for i in range(21)] + [("one", 0, ["a"])], "query_id string, run int, ids array<string>")
+    assert metrics.run_pairs(lists, "query_id", "run").select("o1", "o2").distinct().count() == 210 == metrics.run_pairs(lists, "query_id", "run").count()
+    assert metrics.stability(lists, "query_id", "run").collect()[0].identical_fraction == 63 / 210
+
+
+def test_semantic_chunks_by_any_embedder(spark):
+    embedders.register("first letter", lambda: lambda texts: np.array([[t.startswith("A"), not t.startswith("A")] for t in texts], float), 2, "first/v1")
+    text = "Able men. All is well. An end. But no. Bees hum. By day."
+    df = spark.createDataFrame([("r", "", "", text)], "record_id string, title string, abstract string, full_text string").withColumn("sections", F.expr("CAST(array() AS array<struct<heading:string,body:string>>)"))
+    got = chunking.chunk(df, "semantic", embedder="first letter")
+    assert [r.text for r in got.orderBy("ordinal").collect()] == ["Able men. All is well. An end.", "But no. Bees hum. By day."]
+    assert chunking.build("semantic", embedder="first letter")[0].startswith("semantic/v1(embedder=first/v1,")
+    assert chunking.chunk(df, "semantic").count() >= 1
+
+
+def test_jsonl_sections_of_either_form(spark, tmp_path):
+    lines = [{"title": "A", "sections": [["Methods", "We did."], ["Results", "It was."]]}, {"title": "B", "sections": [{"heading": "H", "body": "b"}]}, {"title": "C", "sections": []}, {"title": "D", "year": None}]
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    got = {r.title: r.sections for r in B.read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()}
+    assert [tuple(s) for s in got["A"]] == [("Methods", "We did."), ("Results", "It was.")] and [tuple(s) for s in got["B"]] == [("H", "b")] and got["C"] == [] and got["D"] is None
+    named = R.canonical(B.read_jsonl(spark, str(tmp_path / "a.jsonl"))).withColumn("record_id", R.record_id())
+    B.write_jsonl(named, str(tmp_path / "out"))
+    again = R.canonical(B.read_jsonl(spark, str(tmp_path / "out"))).withColumn("record_id", R.record_id())
+    assert {r.record_id for r in named.collect()} == {r.record_id for r in again.collect()}
+    assert '[["methods","We did."]' in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+
+
+def test_pdf_folder_to_records(spark, tmp_path):
+    tei = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>T</title></titleStmt></fileDesc></teiHeader><text><body><div><head>Methods</head><p>We did.</p></div></body></text></TEI>'
+    for name, content in (("a_b.pdf", "plain words of a page"), ("c.pdf", tei), ("d.pdf", "<broken"), ("e.pdf", "boom"), ("f.pdf", " "), ("skip.txt", "x")):
+        (tmp_path / name).write_bytes(content.encode())
+
+    def extract(content: bytes) -> str:
+        if content == b"boom":
+            raise OSError("no service")
+        return content.decode()
+
+    records, coverage = B.read_pdfs(spark, str(tmp_path), extract)
+    assert {r.title: (r.full_text, len(r.sections or [])) for r in records.collect()} == {"plain words of a page": ("plain words of a page", 0), "T": ("", 1)}
+    assert coverage.collect()[0].asDict() == {"files_found": 5, "processed": 2, "with_sections": 1, "without_sections": 1, "failed": 3, "coverage": 0.4}
+    records, coverage = B.read_pdfs(spark, str(tmp_path), extract, limit=2, require_sections=True)
+    assert [r.title for r in records.collect()] == ["T"] and coverage.collect()[0].processed == 1
 
 
 def test_protocols_and_requests(spark):
@@ -82,6 +129,10 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["hash", str(src)]) == 0
     assert main(["retrieve", str(src), "--query", "topic1", "--k", "2", "--certificate", str(tmp_path / "c.json")]) == 0
     assert main(["verify", str(src), "--certificate", str(tmp_path / "c.json")]) == 0
+    (tmp_path / "tei").mkdir()
+    (tmp_path / "tei" / "a.xml").write_text('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>T</title></titleStmt></fileDesc></teiHeader><text><body><div><head>Methods</head><p>We did.</p></div></body></text></TEI>')
+    assert main(["ingest-tei", str(tmp_path / "tei"), "--out", str(tmp_path / "tei_out"), "--require-sections"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["with_sections"] == 1
     assert main(["import", str(src), "--out", str(tmp_path / "out")]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["records"] == 6
 
