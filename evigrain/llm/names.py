@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from evigrain.operators.components import components
-from evigrain.session import cut
+from evigrain.session import cut, spread
 
 BUDGET = 1
 #: Particles glued to the surname after them, titles and suffixes left out, words that make a group.
@@ -36,16 +36,21 @@ PARTICLES = frozenset("van von de der den del della da di du dos das la le el al
 TITLES = frozenset("dr prof professor mr mrs ms sir phd md msc bsc ma mba dphil jr sr ii iii".split())
 COLLECTIVE = frozenset("group consortium network collaboration collaborative committee wg cons team centre center ctr institute inst assoc soc comm initiative investigators association society grp consort netw collab cttee study trialists".split())
 SMALL = frozenset("on for of the and in to a an und et de".split())
-#: Short forms of given names that are neither the name's beginning nor part of it.
-SHORT_FORMS = {
-    "bill": "william", "willy": "william", "liam": "william", "bob": "robert", "bobby": "robert", "bert": "robert", "dick": "richard", "rick": "richard", "jim": "james", "jimmy": "james",
-    "jack": "john", "johnny": "john", "ted": "theodore", "ned": "edward", "eddie": "eduardo", "tony": "anthony", "toni": "anthony", "kate": "katherine", "katie": "katherine", "kathy": "katherine", "kitty": "katherine", "kit": "christopher",
-    "peg": "margaret", "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "greta": "margaret", "betty": "elizabeth", "betsy": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "libby": "elizabeth", "polly": "mary", "molly": "mary",
-    "sally": "sarah", "hal": "henry", "harry": "henry", "hank": "henry", "hetty": "henrietta", "hettie": "henrietta", "hattie": "henrietta", "harriet": "henrietta", "nell": "eleanor", "nellie": "eleanor", "dolly": "dorothea", "dot": "dorothea", "dottie": "dorothea", "dodie": "dorothea",
-    "jo": "josephine", "josie": "josephine", "joey": "josephine", "trish": "patricia", "trisha": "patricia", "patsy": "patricia", "sasha": "alexander", "sandy": "alexander", "lex": "alexander", "chuck": "charles", "minnie": "wilhelmina", "willa": "wilhelmina", "billie": "wilhelmina",
-    "vicky": "victoria", "vicki": "victoria", "lucy": "lucia", "luz": "lucia", "yoli": "yolanda", "yola": "yolanda", "lando": "yolanda", "freddie": "frederick", "fritz": "frederick", "rik": "frederick", "bella": "isabella", "izzy": "isabella", "belle": "isabella", "nico": "nicholas", "nicky": "nicholas", "klaus": "nicholas", "claus": "nicholas",
-    "gaby": "gabriela", "gabby": "gabriela", "sammy": "samuel", "lenny": "leonard", "len": "leonard", "leon": "leonard", "maxim": "maximilian", "zack": "zachary", "zak": "zachary", "tommy": "tomas", "andy": "andre", "uli": "ulrich", "ully": "ulrich", "quin": "quentin", "quinn": "quentin", "jarka": "jarmila", "mila": "jarmila", "pete": "piotr", "piotrek": "piotr", "kris": "christopher", "edu": "eduardo", "lalo": "eduardo", "inga": "ingrid", "inge": "ingrid",
-}
+#: Short forms of given names that no rule below gives, each with the names it is short for, of several
+#: languages. ``entities`` takes another relation as a parameter.
+SHORT_FORMS = {short: frozenset(wholes.split()) for line in """
+bill william/billy william/liam william/bob robert/bobby robert/dick richard/jim james/jimmy james/jack john jackson/ted theodore edward/teddy theodore edward/ned edward edmund
+tony anthony antonio antonia antoine/toni anthony antonio antonia/kitty katherine catherine/kit christopher katherine/peg margaret/peggy margaret/maggie margaret magdalena/meg margaret megan/greta margaret margarete
+betty elizabeth/betsy elizabeth/liz elizabeth/lizzie elizabeth/libby elizabeth/polly mary/molly mary/sally sarah/sadie sarah/hal henry harold/harry henry harold harrison/hank henry/hetty henrietta/hettie henrietta/hattie henrietta harriet/harriet henrietta
+nell eleanor helen/nellie eleanor helen/dolly dorothea dorothy/dot dorothea dorothy/dottie dorothea dorothy/dodie dorothea dorothy/jo josephine joanna/josie josephine/joey joseph josephine/trish patricia/trisha patricia/patsy patricia/patty patricia
+sasha alexander alexandra aleksandr/sandy alexander alexandra sandra/lex alexander/shura alexander alexandra/chuck charles/minnie wilhelmina/willa wilhelmina/billie wilhelmina/luz lucia/izzy isabella isabel isidore/belle isabella
+fritz friedrich frederick/rik frederick hendrik/klaus nicholas nikolaus/claus nicholas nikolaus/len leonard/lenny leonard/lando yolanda/quin quentin/quinn quentin/pete piotr petr pedro/kris christopher kristina/lalo eduardo
+larry lawrence laurence/jerry gerald jerome jeremy gerard/terry terence theresa/jeff geoffrey/jill gillian/becky rebecca/mandy amanda/nan anne nancy/wally walter/sue susan susanna
+misha mikhail michael/vova vladimir/volodya vladimir/kolya nikolai nikolay/petya pyotr petr/vanya ivan/alyosha alexei aleksei/grisha grigory grigori/dima dmitry dmitri/zhenya evgeny evgenia/katya ekaterina/masha maria mariya/natasha natalia natalya
+nastya anastasia/tanya tatiana tatyana/olya olga/yura yuri yury/kostya konstantin/tolya anatoly/vitya viktor victor/borya boris/seryozha sergei sergey
+pepe jose/paco francisco/pancho francisco/nacho ignacio/chema jose/quique enrique/kike enrique/lola dolores/concha concepcion/charo rosario/manolo manuel/memo guillermo/chucho jesus/beto alberto roberto humberto/chelo consuelo/ze jose/zeca jose/chico francisco
+hans johannes/heinz heinrich/sepp josef joseph/jupp josef/jochen joachim/uschi ursula/ilse elisabeth/margot marguerite/loulou louis/kasia katarzyna/basia barbara/gosia malgorzata/wojtek wojciech/zosia zofia/kuba jakub/honza jan/beppe giuseppe/pippo filippo
+""".replace("\n", "/").split("/") if line.strip() for short, _, wholes in [line.strip().partition(" ")]}
 
 
 def unaccented(text: str) -> str:
@@ -185,8 +190,8 @@ def probes(word: str, budget: int = BUDGET) -> set[tuple[int, int, str]]:
 
 
 def index_rows(kind: str, words: list[str], initials: list[str], probe: bool, least: int = 5) -> list[str]:
-    """Keys of the segment join: for each word long enough to be edited, the other words (for persons of two words
-    also the other's initial), and a segment of the word."""
+    """Keys of the segment join: for each word long enough to be edited, the other words and a segment of the word.
+    Names with an initial for the given name are indexed by it; names of two words look there by their initials too."""
     out = set()
     groups: list[tuple[str, str]] = []
     if kind == "group":
@@ -197,10 +202,12 @@ def index_rows(kind: str, words: list[str], initials: list[str], probe: bool, le
         for i, w in enumerate(words):
             rest = words[:i] + words[i + 1 :]
             groups.append((w, "w:" + " ".join(rest)))
-            if len(rest) == 1:
+            if len(rest) == 1 and probe:  # only names whose given name is an initial are looked up by it
                 groups.append((w, "i:" + rest[0][0]))
     for word, rest in groups:
-        if len(word) >= least - probe:
+        if len(word) < least and rest[:2] == "w:" and len(rest) >= 2 + least:
+            out.add(f"{rest}|{word[0]}")  # edits of short words only where the initial stands
+        if len(word) >= least - (probe or rest[:2] == "i:"):
             for n, i, s in probes(word) if probe else [(len(word), i, s) for i, _, s in segments(word)]:
                 out.add(f"{rest}|{n}|{i}|{s}")
     return sorted(out)
@@ -214,7 +221,7 @@ def verified(kind_a: str, a: list[str], ia: list[str], kind_b: str, b: list[str]
     if kind_a == "group":
         return "words" if a[1] == b[1] and one_edit(a[0], b[0]) else None
     if len(a) == len(b) == 1:
-        return "words" if ia[:1] == ib[:1] and (set(ia) <= set(ib) or set(ib) <= set(ia)) and one_edit(a[0], b[0]) else None
+        return "words" if max(len(a[0]), len(b[0])) >= 5 and ia[:1] == ib[:1] and (set(ia) <= set(ib) or set(ib) <= set(ia)) and one_edit(a[0], b[0]) else None
     if len(a) == len(b):
         left, right = sorted(set(a) - set(b)), sorted(set(b) - set(a))
         return "words" if len(left) == len(right) == 1 and one_edit(left[0], right[0]) else None
@@ -222,7 +229,7 @@ def verified(kind_a: str, a: list[str], ia: list[str], kind_b: str, b: list[str]
         a, ia, b, ib = b, ib, a, ia
     if len(b) == 1 and len(a) == 2 and ib:
         for given, surname in ((a[0], a[1]), (a[1], a[0])):
-            if given[0] == ib[0] and one_edit(surname, b[0]) and (not ia or set(ib[1:]) <= set(ia)):
+            if given[0] == ib[0] and max(len(surname), len(b[0])) >= 5 and one_edit(surname, b[0]) and (not ia or set(ib[1:]) <= set(ia)):
                 return "initials"
     return None
 
@@ -231,18 +238,26 @@ def verified(kind_a: str, a: list[str], ia: list[str], kind_b: str, b: list[str]
 LONGEST_GIVEN = 40
 
 
-def short_forms(given: str) -> set[str]:
-    """Short forms a given name may have by rule: its beginnings and parts of 3 to 6 letters, and beginnings with a
-    usual ending."""
+#: Endings that short forms take.
+ENDINGS = ("i", "y", "ie", "a", "k", "o", "e", "ey", "ka", "ek")
+
+
+def short_forms(given: str, irregular: dict[str, list[str]] | None = None) -> set[str]:
+    """Short forms a given name may have: its beginnings and parts of 3 to 6 letters, beginnings with a usual ending or
+    with the last letter doubled before it, also with k for c and t for th, and those of ``irregular`` (whole -> short)."""
     if len(given) > LONGEST_GIVEN:
         return set()
     out = {given[i : i + n] for n in (3, 4, 5, 6) for i in range(len(given) - n + 1)} if len(given) > 4 else set()
-    out |= {given[:n] + e for n in (2, 3, 4) for e in ("i", "y", "ie", "a", "k", "o", "e") if n < len(given) - 1 and n + len(e) >= 3}
+    for form in {given, given.replace("th", "t"), given.replace("ch", "k"), given.replace("c", "k")}:
+        out |= {form[:n] for n in (3, 4, 5, 6)} if len(given) > 4 else set()
+        for n in (2, 3, 4, 5):
+            if n <= len(form):
+                out |= {form[:n] + e for e in ENDINGS if n + len(e) >= 3} | {form[:n] + form[n - 1] + e for e in ("y", "ie", "i", "o")}
     if given[2:3] == "c":
-        out |= {given[:3] + "k", given[:2] + "k"}
-    out |= {s for s, whole in SHORT_FORMS.items() if whole == given}
+        out |= {given[:3] + "k", given[:2] + "k", given[:2] + "ke", given[:3] + "ky", given[:3] + "kie", given[:3] + "ki"}
+    out |= set((irregular or {}).get(given, ()))
     out.discard(given)
-    return out
+    return {f for f in out if len(f) > 1}
 
 
 def _keys(function, kind: str = "array<string>"):
@@ -253,9 +268,10 @@ def _keys(function, kind: str = "array<string>"):
     return run
 
 
-def entities(strings: DataFrame, name: str = "name") -> DataFrame:
-    """name, entity: each distinct spelling with the entity it names. Spellings linked to no other are entities too."""
-    distinct = strings.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct()
+def parsed_nodes(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, node, kind, words, initials, others of each distinct string that is a name; node, kind, words, initials of
+    each distinct set of words)."""
+    distinct = strings.select("name").where("name IS NOT NULL").distinct()
 
     @F.pandas_udf("struct<kind:string,words:array<string>,initials:array<string>,others:array<string>>")
     def read(names: pd.Series) -> pd.DataFrame:
@@ -269,14 +285,26 @@ def entities(strings: DataFrame, name: str = "name") -> DataFrame:
     nodes = parsed.groupBy("node").agg(F.first("kind").alias("kind"), F.first("words").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("initials")))).alias("letters"), F.first("initials").alias("typed"))
     # a bare surname's initials in the order typed, the given name's first: its node holds one spelling of them
     nodes = cut(nodes.select("node", "kind", "words", F.when(F.size("words") < 2, F.col("typed")).otherwise(F.col("letters")).alias("initials")))
+    return parsed, nodes
+
+
+def segment_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: the nodes that meet in the inverted index of segments, each pair once. ``nodes``: node, kind, words, initials."""
+    keys = lambda probe: F.explode(_keys(lambda k, w, i: index_rows(k, w, i, probe))("kind", "words", "initials")).alias("key")
+    index, look = nodes.select("node", keys(False)), nodes.select(F.col("node").alias("other"), keys(True))
+    return index.join(look, "key").where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def entities(strings: DataFrame, name: str = "name", nicknames: dict[str, frozenset[str]] = SHORT_FORMS) -> DataFrame:
+    """name, entity: each distinct spelling with the entity it names. Spellings linked to no other are entities too.
+    ``nicknames``: short forms with the given names they may stand for, beside those that follow by rule."""
+    parsed, nodes = parsed_nodes(strings.select(F.col(name).alias("name")))
 
     # a surname in several words that others write as one, or initials that may be a group's
     glue = parsed.select("node", F.explode("others").alias("other")).distinct()
     links = glue.join(nodes.select(F.col("node").alias("other")), "other").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
-    index = nodes.select("node", F.explode(_keys(lambda k, w, i: index_rows(k, w, i, False))("kind", "words", "initials")).alias("key"))
-    look = nodes.select(F.col("node").alias("other"), F.explode(_keys(lambda k, w, i: index_rows(k, w, i, True))("kind", "words", "initials")).alias("key"))
-    hits = index.join(look, "key").where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    hits = segment_pairs(nodes)
     left, right = (nodes.select(*[F.col(c).alias(f"{p}_{c}") for c in nodes.columns]) for p in "ab")
     full = hits.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
 
@@ -290,12 +318,6 @@ def entities(strings: DataFrame, name: str = "name") -> DataFrame:
     first = cut(components(links.unionByName(every)))
 
     # short forms and initials: candidates (node, whole node), attached where they lead to one component
-    def short_keys(kind, words, initials):
-        return sorted({f"{o}|{s}" for g, o in ((words[0], words[1]), (words[1], words[0])) for s in short_forms(g)}) if kind == "person" and len(words) == 2 else []
-
-    def long_keys(kind, words, initials):
-        return sorted({f"{words[1 - k]}|{words[k]}" for k in (0, 1) if len(words[k]) <= 6}) if kind == "person" and len(words) == 2 else []
-
     def initial_keys(kind, words, initials):
         return sorted({f"{words[1 - k]}|{words[k][0]}" for k in (0, 1)}) if kind == "person" and len(words) == 2 else []
 
@@ -307,7 +329,23 @@ def entities(strings: DataFrame, name: str = "name") -> DataFrame:
         large = nodes.select(F.col("node").alias("other"), "initials", F.explode(_keys(whole)("kind", "words", "initials")).alias("key"))
         return small.join(large, "key").where("node <> other")
 
-    nick = attach(long_keys, short_keys).select("node", "other")
+    # the relation of short to whole given names is made once for the distinct names in use, then looked up
+    pairs = F.array(F.struct(F.col("words")[0].alias("given"), F.col("words")[1].alias("surname")), F.struct(F.col("words")[1].alias("given"), F.col("words")[0].alias("surname")))
+    given = nodes.where((F.col("kind") == "person") & (F.size("words") == 2)).select("node", F.explode(pairs).alias("p")).select("node", "p.given", "p.surname").distinct()
+    shorts: dict[str, list[str]] = {}
+    for short, wholes in nicknames.items():
+        for whole in wholes:
+            shorts.setdefault(whole, []).append(short)
+
+    @F.pandas_udf("array<string>")
+    def forms(names: pd.Series) -> pd.Series:
+        return names.map(lambda g: sorted(short_forms(g, shorts)))
+
+    used = cut(given.select("given").distinct())
+    rel = spread(used).select(F.col("given").alias("whole"), F.explode(forms("given")).alias("given")).join(used, "given")
+    rel = cut(rel.where(F.col("given") != F.col("whole")))
+    whole = given.select(F.col("node").alias("other"), F.col("given").alias("whole"), "surname")
+    nick = given.join(rel, "given").join(whole, ["whole", "surname"]).select("node", "other").where("node <> other").distinct()
     fits = (F.size("initials") == 0) | (F.size(F.array_except(F.slice("own", 2, 99), "initials")) == 0)
     rest = F.size("own") > 1
     rank = F.when(rest & (F.size("initials") > 0), 0).when(~rest, 1).otherwise(2)

@@ -184,3 +184,22 @@ def test_same_rows_as_sql(spark, small, name):
     r = con.execute(queries.SQL[name])
     order = [c[0] for c in r.description]
     assert {tuple(x) for x in r.fetchall()} == {tuple(x) for x in queries.QUERIES[name](spark, small).select(*order).collect()}
+
+
+def test_short_forms_of_several_languages(spark):
+    pairs = "mike michael, tommy thomas, tommy tomas, larry lawrence, jerry gerald, misha mikhail, pepe jose, paco francisco, vova vladimir, harriet henrietta, freddie frederick, nora noora"
+    rows = [(f"{g.title()} {3 * chr(65 + i)}ovel{2 * chr(97 + i)}".replace("AAA", "Baa"),) for i, p in enumerate(pairs.split(", ")) for g in p.split()]
+    got = names.entities(spark.createDataFrame(rows, "name string"))
+    assert got.groupBy("entity").count().where("count = 2").count() == len(rows) // 2
+    none = names.entities(spark.createDataFrame([("Lalo Surname",), ("Eduardo Surname",)], "name string"), nicknames={})
+    assert none.select("entity").distinct().count() == 2
+
+
+def test_pairs_that_meet_grow_with_the_names(spark):
+    """Names of few surnames and initials: what meets in the index grows as the names, not as their square."""
+    def met(n):
+        rows = [(f"Given{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q Sur{chr(97 + i // 5 % 26)}{chr(97 + i // 7 % 26)}name",) for i in range(n)]
+        parsed = names.parsed_nodes(spark.createDataFrame(rows, "name string").distinct())[1]
+        return names.segment_pairs(parsed).count() / parsed.count()
+
+    assert met(1600) <= 1.6 * met(800) + 0.2
