@@ -1,11 +1,13 @@
 """Mixing sources to target weights.
 
-The method's temperature family exponentiates the sources' own token shares, w ~ share^a, with the exponent bisected
-until the weights' entropy is that of the targets or a source would be repeated more often than allowed. One exponent
-can't give a prescribed share to each of several sources, so the plan reports those weights and the exponent, and takes
-for the draw the prescribed shares, capped at max_repeats (TESTDATA.md states the shares as the requirement). The
-weights are then realised as block permutations: whole passes over a source in a seeded order, and a last block cut at
-the rest of its budget.
+The temperature family exponentiates the sources' own token shares, w ~ share^a, with the exponent bisected until the
+weights' entropy is a target entropy, or to the flattest weights that repeat no source more often than allowed.
+``tempered_mixture`` draws by these weights. One exponent can't give a prescribed share to each of several sources, so
+where shares are prescribed (``plan_mixture``, as TESTDATA.md states the task) the quotas are those shares, capped at
+max_repeats, and the tempered weights and the exponent that comes nearest in entropy are reported beside them.
+
+Either way the weights are realised as budgeted block permutations: a block is one pass over a source in an order of its
+own, seeded by the block's number; whole blocks come first, and the last one is cut where the rest of the budget ends.
 
 Defined results: a null source is a source without target and draws nothing, but its tokens count in the total; a null
 or empty text has no tokens; a target without documents is short (starved); equal documents are drawn separately; an
@@ -60,9 +62,10 @@ def source_tokens(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("t").alias("tokens"))
 
 
-def plan_mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target source: its tokens, need (target_share x all tokens), capacity, quota, starved flag, the
-    tempered weight and its exponent. ``sizes``: one row per source, from source_tokens."""
+PLAN = "source string, n_docs long, tokens long, all_tokens long, target_share double, own_share double, tempered_weight double, exponent double, max_repeats long, need double, capacity long, quota long, starved boolean"
+
+
+def _plan(sizes: DataFrame, targets: DataFrame, target_entropy: float | None, prescribed: bool) -> DataFrame:
     spark = sizes.sparkSession
     wanted = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("long").alias("max_repeats")).limit(MOST_SOURCES + 1).collect()
     if len(wanted) > MOST_SOURCES:
@@ -72,33 +75,54 @@ def plan_mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     sums = sizes.groupBy(known.alias("source")).agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens")).collect()
     everything = sum(r.tokens or 0 for r in sums)
     have = {r.source: (r.n_docs, r.tokens or 0) for r in sums if r.source is not None}
-    shares = [have.get(n, (0, 0))[1] / everything if everything else 0.0 for n in names]
     repeats = [max(w.max_repeats or 0, 0) for w in wanted]
-    exponent = solve_exponent(shares, entropy([w.target_share or 0.0 for w in wanted]), repeats)
+    own = [have.get(n, (0, 0))[1] for n in names]
+    drawable = sum(t for t, r in zip(own, repeats) if r) or 1
+    shares = [t / drawable if r else 0.0 for t, r in zip(own, repeats)]
+    goal = entropy([w.target_share or 0.0 for w in wanted]) if target_entropy is None else target_entropy
+    # the budget is all tokens, those of sources without a target too, so a source's weight may be this many of its shares
+    exponent = solve_exponent(shares, goal, [r * drawable / everything if everything else 0.0 for r in repeats])
     rows = []
-    for w, share, r, weight in zip(wanted, shares, repeats, tempered(shares, exponent)):
-        docs, tokens = have.get(w.source, (0, 0))
-        need = (w.target_share or 0.0) * everything
-        capacity = r * tokens
-        rows.append((w.source, docs, tokens, everything, float(w.target_share or 0.0), float(share), float(weight), float(exponent), r, float(need), capacity, int(min(need, capacity)), bool(docs == 0 or capacity < need)))
-    return spark.createDataFrame(rows, "source string, n_docs long, tokens long, all_tokens long, target_share double, own_share double, tempered_weight double, exponent double, max_repeats long, need double, capacity long, quota long, starved boolean")
+    for w, tokens, r, weight in zip(wanted, own, repeats, tempered(shares, exponent)):
+        docs = have.get(w.source, (0, 0))[0]
+        target = float(w.target_share or 0.0) if prescribed else float(weight)
+        need, capacity = target * everything, r * tokens
+        rows.append((w.source, docs, tokens, everything, target, tokens / everything if everything else 0.0, float(weight), float(exponent), r, float(need), capacity, int(min(need, capacity)), bool(docs == 0 or capacity < need)))
+    return spark.createDataFrame(rows, PLAN)
+
+
+def plan_mixture(sizes: DataFrame, targets: DataFrame, target_entropy: float | None = None) -> DataFrame:
+    """One row per target source: its tokens, need (target_share x all tokens), capacity, quota, starved flag, and the
+    tempered weight and exponent for ``target_entropy`` (that of the targets by default). ``sizes``: one row per
+    source, from source_tokens."""
+    return _plan(sizes, targets, target_entropy, True)
+
+
+def tempered_mixture(sizes: DataFrame, targets: DataFrame, target_entropy: float | None = None) -> DataFrame:
+    """The same with the tempered weights as the shares to draw: the exponent that meets ``target_entropy`` (that of
+    the target shares by default) or, where a source would be repeated too often, the smallest that doesn't."""
+    return _plan(sizes, targets, target_entropy, False)
 
 
 def draw(documents: DataFrame, plan: DataFrame, seed: int = 42, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, source, repeats, tokens of each document that is drawn. Whole passes: quota div tokens of the source; the
-    last block takes documents in the order of a seeded hash while their running total stays within the rest. Running
-    totals are summed over hash ranges, so no source has to fit into one task."""
-    plan = plan.select("source", F.expr("CASE WHEN tokens > 0 THEN quota DIV tokens ELSE 0 END").alias("passes"), F.expr("CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END").alias("rest"))
+    """doc_id, source, block_no, token_offset, tokens: one row each time a document is drawn. Block ``block_no`` of a
+    source is a pass over its documents in the order of a hash seeded by the block; token_offset is the place in it. The
+    last block ends where the running total passes the rest of the quota. Running totals are summed over hash ranges, so
+    no source has to fit into one task."""
+    plan = plan.where("tokens > 0 AND quota > 0").select("source", F.expr("quota DIV tokens").alias("passes"), F.expr("quota % tokens").alias("rest"))
     sized = documents.select("doc_id", "source", token_count(F.col("text"), path).alias("tokens")).join(F.broadcast(plan.limit(MOST_SOURCES)), "source")
-    summed = running_total(sized, "source", F.xxhash64(F.lit(seed), "doc_id"), "tokens", "upto")
-    return summed.select("doc_id", "source", "tokens", (F.col("passes") + (F.col("upto") <= F.col("rest")).cast("long")).alias("repeats")).where("repeats > 0")
+    copies = sized.withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1))))
+    copies = copies.withColumn("_block", F.concat_ws("#", F.col("block_no").cast("string"), "source"))
+    summed = running_total(copies, "_block", F.xxhash64(F.lit(seed), "block_no", "doc_id"), "tokens", "upto")
+    kept = summed.where((F.col("block_no") < F.col("passes")) | (F.col("upto") <= F.col("rest")))
+    return kept.select("doc_id", "source", "block_no", (F.col("upto") - F.col("tokens")).alias("token_offset"), "tokens")
 
 
 def reached(drawn: DataFrame, plan: DataFrame) -> DataFrame:
-    """The shares really reached, beside the targets."""
-    got = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn_tokens"), F.max("repeats").alias("most_repeats"), F.count(F.lit(1)).alias("drawn_docs"))
+    """The shares really reached, beside the targets; drawn_docs counts a document each time it is drawn."""
+    got = drawn.groupBy("source").agg(F.sum("tokens").alias("drawn_tokens"), (F.max("block_no") + 1).alias("most_repeats"), F.count(F.lit(1)).alias("drawn_docs"))
     out = plan.join(got, "source", "left").withColumns({"drawn_tokens": F.coalesce("drawn_tokens", F.lit(0)), "drawn_docs": F.coalesce("drawn_docs", F.lit(0)), "most_repeats": F.coalesce("most_repeats", F.lit(0))})
-    total = drawn.agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn_all"))
+    total = got.agg(F.sum("drawn_tokens").alias("drawn_all"))  # one row
     return out.crossJoin(F.broadcast(total)).select(
         "source", "target_share", F.bround(F.col("drawn_tokens") / F.col("all_tokens"), 6).alias("share_of_all"), F.bround(F.col("drawn_tokens") / F.col("drawn_all"), 6).alias("share_of_drawn"),
         "drawn_tokens", "drawn_docs", "most_repeats", "max_repeats", "starved", F.bround("tempered_weight", 6).alias("tempered_weight"), F.bround("exponent", 6).alias("exponent"),

@@ -70,6 +70,15 @@ def p8_reached(spark: SparkSession, root: str) -> DataFrame:
     return mixing.reached(mixing.draw(table(spark, root, "documents"), plan), plan)
 
 
+def p8_tempered(spark: SparkSession, root: str) -> DataFrame:
+    """The shares reached when the tempered weights are drawn, with the entropy of the targets and their repeat limits."""
+    from evigrain.llm import mixing
+
+    docs = table(spark, root, "documents")
+    plan = mixing.tempered_mixture(mixing.source_tokens(docs), table(spark, root, "mix_targets"))
+    return mixing.reached(mixing.draw(docs, plan), plan)
+
+
 def p9_repaired(spark: SparkSession, root: str) -> DataFrame:
     from evigrain.llm import encodings
 
@@ -124,7 +133,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest(table(spark, root, "chunk_vectors")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p9_found, p9_repaired, p6_found, p6_clean, p5_found, p5_repaired, p2_found, p2_entities, p4_found, p4_neighbours)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_copies, p3_imports, p7_found, p7_leaks, p8_found, p8_draw, p8_reached, p8_tempered, p9_found, p9_repaired, p6_found, p6_clean, p5_found, p5_repaired, p2_found, p2_entities, p4_found, p4_neighbours)}
 _WORDS = "regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')"
 _GRAMS = "SELECT DISTINCT {id}, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {id}, " + _WORDS + " AS w FROM {t}) WHERE len(w) >= 12)"
 _SHORT = "et al\\.|e\\.g\\.|i\\.e\\.|cf\\.|vs\\.|Fig\\.|Eq\\.|No\\.|Dr\\.|approx\\."

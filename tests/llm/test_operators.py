@@ -134,7 +134,20 @@ def test_mixing(spark):
     got = {r.source: r for r in mixing.reached(drawn, plan).collect()}
     assert abs(got["a"].share_of_all - 0.5) < 0.01 and got["b"].drawn_tokens == p["b"].quota and got["b"].most_repeats == 2 and got["c"].drawn_docs == 0
     assert {tuple(r) for r in drawn.collect()} == {tuple(r) for r in mixing.draw(docs.repartition(5), plan).collect()}
+    # b twice over, each block an order of its own over all documents; a cut where the rest of its quota ends
+    rows = sorted(((r.source, r.block_no, r.token_offset, r.doc_id, r.tokens) for r in drawn.collect()), key=lambda r: (*r[:3], r[4]))
+    orders = {(s, b): [r[3] for r in rows if r[:2] == (s, b)] for s, b in {r[:2] for r in rows}}
+    assert set(orders) == {("a", 0), ("b", 0), ("b", 1)} and sorted(orders["b", 0]) == sorted(orders["b", 1]) and orders["b", 0] != orders["b", 1]
+    assert all(x[2] + x[4] == y[2] for x, y in zip(rows, rows[1:]) if x[:2] == y[:2])
+    flat = {r.source: r for r in mixing.tempered_mixture(mixing.source_tokens(docs), targets, target_entropy=0.5).collect()}
+    weights = [flat["a"].target_share, flat["b"].target_share]
+    assert abs(sum(weights) - 1) < 1e-9 and abs(mixing.entropy(weights) - 0.5) > 0.01 and abs(flat["b"].quota - flat["b"].capacity) <= 1  # the repeat limit binds
+    low = {r.source: r for r in mixing.tempered_mixture(mixing.source_tokens(docs), targets, target_entropy=0.18).collect()}
+    assert abs(mixing.entropy([low["a"].target_share, low["b"].target_share]) - 0.18) < 1e-6 and not low["a"].starved
+    got = {r.source: r for r in mixing.reached(mixing.draw(docs, mixing.tempered_mixture(mixing.source_tokens(docs), targets, target_entropy=0.18)), mixing.tempered_mixture(mixing.source_tokens(docs), targets, target_entropy=0.18)).collect()}
+    assert abs(got["a"].share_of_drawn - low["a"].target_share) < 0.01
     none = mixing.plan_mixture(mixing.source_tokens(docs.limit(0)), targets)
+    assert mixing.draw(docs.limit(0), none).count() == 0
     assert none.where("starved").count() == 3
 
 
