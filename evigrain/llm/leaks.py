@@ -3,27 +3,38 @@
 Pigeonhole edit matching over words (a longest run of letters and digits, case ignored). A passage of ``least`` words
 that occurs with at most ``budget`` word edits has, cut into budget + 1 pieces, one piece unharmed. An item is cut
 into consecutive pieces short enough that every window of ``least`` words holds budget + 1 whole ones, so looking the
-pieces up exactly finds every such window. Hits are verified along their diagonals by Myers' bit-parallel distance over
-words; the longest run of equal words around a hit is exact.
+pieces up exactly finds every such window.
 
-Pieces go to the executors in one Aho-Corasick automaton while they hold at most ``broadcast_bytes``; a larger item
-set is cut into automata of that size that pass over the documents one after another.
+The pieces are rows (hash, item, place), never collected. One scan of the documents hashes every window of a piece's
+length and keeps those that a filter of fixed size lets through: a bit array with the bits of all pieces' hashes, put
+together on the executors, whatever the number of items. What is kept is joined to the pieces by hash, hot pieces dealt
+over partitions. Either side carries the hashes of the words around it, as far as a window of ``least`` words can reach,
+so hits are verified right after the join, by Myers' bit-parallel distance over words, without any text. Runs of equal
+words around neighbouring hits of one diagonal are put together, so the longest run is exact. Words count as equal where
+their 63-bit hashes are.
 
 Defined results: null and empty texts leak nothing; an item shorter than ``least`` words leaks nothing; equal documents
-and equal items are all reported; letters are compared after case folding of each word; an empty table gives no rows.
+and equal items are all reported; letters are compared in lower case; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from evigrain.operators.skew import salted_join
+from evigrain.session import cut
 
 LEAST, BUDGET = 12, 1
-BROADCAST_BYTES = 8 << 20
+#: Bytes of the filter, whatever the number of items (2 MB hold a million pieces with one window in 20 passing by
+#: chance), and bits that a piece sets in it.
+FILTER_BYTES, FILTER_BITS = 2 << 20, 3
 BETWEEN = re.compile(r"[\W_]+")
 
 
@@ -102,85 +113,159 @@ def within_budget(doc: list[str], item: list[str], d: int, i: int, run: int, lea
     return any(covered(doc, item, d - 1, i - 1, -1, e) + run + covered(doc, item, d + run, i + run, 1, budget - e) >= least for e in range(budget + 1))
 
 
-def matcher(items: list[tuple[int, list[str]]], least: int, budget: int):
-    """A function from a document's line_of to {item number: (longest run, edits of the best window of least words)}."""
-    import ahocorasick
-
+class WordHashes(dict):
+    """63-bit hashes of words met so far."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+        return h
+
+
+def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every ``length`` consecutive words."""
+    n = max(0, len(words) - length + 1)
+    h = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    for i in range(length):
+        h = (h ^ words[i : i + n].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def filter_places(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The bits of a filter of ``size`` bytes (a power of two) that hashes set."""
+    return [(h >> np.uint64(20 * i)) & np.uint64(8 * size - 1) for i in range(FILTER_BITS)]
+
+
+def around(words: np.ndarray, at: np.ndarray, length: int, reach: int) -> pa.ListArray:
+    """The words from ``reach`` before each place to ``reach`` behind its piece; -1 beyond the ends."""
+    padded = np.concatenate([np.full(reach, -1, np.int64), words, np.full(reach, -1, np.int64)])
+    width = length + 2 * reach
+    flat = padded[at[:, None] + np.arange(width)]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * width, pa.int32()), pa.array(flat.ravel(), pa.int64()))
+
+
+def judge(doc: list[int], item: list[int], length: int, reach: int, least: int, budget: int) -> tuple[int, int, int]:
+    """(equal words before the piece, behind it, least edits of a window of ``least`` words with the piece in it)."""
+    d0 = next((i for i in range(reach, 0, -1) if doc[i - 1] == -1), 0)
+    d1 = next((i for i in range(reach + length, len(doc)) if doc[i] == -1), len(doc))
+    i0 = next((i for i in range(reach, 0, -1) if item[i - 1] == -1), 0)
+    i1 = next((i for i in range(reach + length, len(item)) if item[i] == -1), len(item))
+    d, it = doc[d0:d1], item[i0:i1]
+    begin, run = run_around(d, it, reach - d0, reach - i0, length)
+    before = reach - d0 - begin
+    edits = least
+    if run >= least:
+        edits = 0
+    elif budget and within_budget(d, it, begin, reach - i0 - before, run, least, budget):
+        at = reach - i0
+        for s in range(max(0, at + length - least), min(at, len(it) - least) + 1):
+            f = reach - d0 - (at - s)
+            edits = min(edits, myers(it[s : s + least], d[max(0, f - budget) : f + least + budget]))
+            if edits <= 1:
+                break
+    return before, run - length - before, edits
+
+
+PLACED = "h bigint, key bigint, place int, near array<bigint>"
+
+
+def placed_pieces(texts: DataFrame, length: int, reach: int, least: int, every: bool, shared=None, size: int = 0) -> DataFrame:
+    """h, key, place, near: windows of ``length`` words of each text (key, text), with the words around them: all that
+    pass the filter, or (not ``every``) those that stand one after another in texts of ``least`` words or more."""
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        bits = np.frombuffer(shared.value, np.uint8) if every else None
+        for part in parts:
+            lists = [words(text) for text in part.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            flat = np.fromiter((hashes[w] for x in lists for w in x), np.int64, int(sizes.sum()))
+            if len(flat) < length:
+                continue
+            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            who, at = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - starts
+            n = len(flat) - length + 1
+            ok = at[:n] + length <= sizes[who[:n]]  # within one text
+            h = window_hashes(flat, length)
+            if every:
+                for place in filter_places(h, size):
+                    ok &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            else:
+                ok &= (at[:n] % length == 0) & (sizes[who[:n]] >= least)
+            hit = np.flatnonzero(ok)
+            if not len(hit):
+                continue
+            # texts stand ``reach`` apart, so that no word of a neighbour is taken for one around
+            gap = np.full(len(flat) + reach * len(sizes), -1, np.int64)
+            moved = np.arange(len(flat)) + reach * who
+            gap[moved] = flat
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), part.column(0).take(pa.array(who[hit])), pa.array(at[hit].astype(np.int32)), around(gap, moved[hit], length, reach)], ["h", "key", "place", "near"])
+
+    return texts.mapInArrow(scan, PLACED)
+
+
+def piece_filter(pieces: DataFrame, size: int) -> bytes:
+    """The bits of all pieces' hashes. Put together in blocks of 64 KB on the executors; ``size`` bytes reach the driver."""
+    block = min(1 << 16, size)
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.uint8)
+        for part in parts:
+            for place in filter_places(part.column(0).to_numpy().view(np.uint64), size):
+                np.bitwise_or.at(held, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        used = [b for b in range(size // block) if held[b * block : (b + 1) * block].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([held[b * block : (b + 1) * block].tobytes() for b in used], pa.binary())], ["b", "bits"])
+
+    def join(group: pa.Table) -> pa.Table:
+        return pa.table({"b": group["b"][:1], "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"].to_pylist()]).tobytes()], pa.binary())})
+
+    out = bytearray(size)
+    for row in pieces.select("h").mapInArrow(mark, "b bigint, bits binary").groupBy("b").applyInArrow(join, "b bigint, bits binary").collect():
+        out[row.b * block : (row.b + 1) * block] = row.bits
+    return bytes(out)
+
+
+def leaked(documents: DataFrame, items: DataFrame, least: int = LEAST, budget: int = BUDGET, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """doc_id, item_id, longest_run (equal consecutive words, of the passages that are reported) and edits (of the best
+    window of ``least`` words) of every document that holds a window of an item with at most ``budget`` word edits."""
     length = piece_length(least, budget)
-    places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for no, (_, item) in enumerate(items):
-        if len(item) >= least:
-            for i, piece in item_pieces(item, length):
-                places[piece].append((no, i))
-    auto = ahocorasick.Automaton()
-    for piece, where in places.items():
-        auto.add_word(f" {piece} ", (len(piece), where))
-    if not places:
-        return lambda line: {}
-    auto.make_automaton()
-
-    def match(line: str) -> dict[int, tuple[int, int]]:
-        hits = list(auto.iter(line))
-        if not hits:
-            return {}
-        doc = line.split()
-        found: dict[int, tuple[int, int]] = {}
-        seen: dict[tuple[int, int], int] = {}
-        number, at = 0, 0
-        for end, (size, where) in hits:
-            start = end - size  # of the piece in the line
-            number += line.count(" ", at, start) if start > at else 0
-            at = max(at, start)
-            first = number - 1
-            for no, i in where:
-                if seen.get((no, first - i), -1) >= first + length:
-                    continue  # inside a run already walked on this diagonal
-                item = items[no][1]
-                begin, run = run_around(doc, item, first, i, length)
-                seen[no, first - i] = begin + run
-                best, edits = found.get(no, (0, least))
-                if run >= least:
-                    edits = 0
-                elif edits > 0 and budget and within_budget(doc, item, begin, i - (first - begin), run, least, budget):
-                    low, high = max(0, i + length - least), min(i, len(item) - least)
-                    for s in range(low, high + 1):
-                        f = first - (i - s)
-                        edits = min(edits, myers(item[s : s + least], doc[max(0, f - budget) : f + least + budget]))
-                        if edits <= 1:
-                            break
-                found[no] = (max(best, run), edits)
-        return {no: x for no, x in found.items() if x[0] >= least or x[1] <= budget}
-
-    return match
-
-
-def leaked(documents: DataFrame, items: DataFrame, least: int = LEAST, budget: int = BUDGET, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, item_id, longest_run (equal consecutive words) and edits (of the best window of ``least`` words) of
-    every document that holds a window of an item with at most ``budget`` word edits."""
-    spark = documents.sparkSession
-    batches: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for row in items.select("item_id", "text").where("item_id IS NOT NULL").toLocalIterator():
-        if size > broadcast_bytes:
-            batches.append([])
-            size = 0
-        batches[-1].append((row.item_id, words(row.text)))
-        size += len(row.text or "")
-    out = None
-    for batch in batches:
-        shared = spark.sparkContext.broadcast(batch)
-
-        def scan(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = shared.value
-            match = matcher(held, least, budget)
-            for part in parts:
-                rows: tuple[list, list, list, list] = ([], [], [], [])
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for no, (run, edits) in match(line_of(text)).items():
-                        for column, value in zip(rows, (doc, held[no][0], run, edits)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32())], ["doc_id", "item_id", "longest_run", "edits"])
-
-        one = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(scan, "doc_id bigint, item_id bigint, longest_run int, edits int")
-        out = one if out is None else out.unionByName(one)
-    return out
+    reach = least + budget - length
+    pieces = cut(placed_pieces(items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("key"), "text"), length, reach, least, False))
+    shared = documents.sparkSession.sparkContext.broadcast(piece_filter(pieces, filter_bytes))
+    docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("key"), "text")
+    hits = cut(placed_pieces(docs, length, reach, least, True, shared, filter_bytes).toDF("h", "doc_id", "d", "doc_near"))
+    weights = hits.groupBy("h").agg(F.count(F.lit(1)).alias("_w"))
+    right = pieces.select("h", F.col("key").alias("item_id"), F.col("place").alias("i"), F.col("near").alias("item_near")).join(weights, "h")
+    met = salted_join(hits, right, ["h"], "_w", spread_by=["doc_id", "d"])
+
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            doc, item, d, i = (part.column(n) for n in ("doc_id", "item_id", "d", "i"))
+            kept, begin, end, edits = [], [], [], []
+            places = d.to_pylist()
+            for row, (x, y) in enumerate(zip(part.column("doc_near").to_pylist(), part.column("item_near").to_pylist())):
+                if x[reach : reach + length] != y[reach : reach + length]:
+                    continue  # another piece of the same hash
+                before, behind, e = judge(x, y, length, reach, least, budget)
+                if e <= budget:
+                    kept.append(row)
+                    begin.append(places[row] - before)
+                    end.append(places[row] + length + behind)
+                    edits.append(e)
+            at = pa.array(kept, pa.int64())
+            diagonal = pa.array(d.to_numpy().astype(np.int64)[kept] - i.to_numpy().astype(np.int64)[kept], pa.int64())
+            yield pa.RecordBatch.from_arrays([doc.take(at), item.take(at), diagonal, pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "diagonal", "a", "b", "edits"])
+
+    seen = met.mapInArrow(verify, "doc_id bigint, item_id bigint, diagonal bigint, a int, b int, edits int")
+    # runs of neighbouring hits on a diagonal overlap, as each reaches further than the next piece
+    runs = seen.groupBy("doc_id", "item_id", "diagonal").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"), F.min("edits").alias("edits"))
+    start = F.expr("CAST(named_struct('a', -1, 'b', -1, 'n', 0) AS struct<a:int,b:int,n:int>)")
+
+    def step(x, r):
+        on = (x["b"] >= r["a"]) & (x["a"] >= 0)
+        a, b = F.when(on, x["a"]).otherwise(r["a"]), F.when(on, F.greatest(x["b"], r["b"])).otherwise(r["b"])
+        return F.struct(a.alias("a"), b.alias("b"), F.greatest(x["n"], b - a).alias("n"))
+
+    each = runs.select("doc_id", "item_id", F.aggregate("runs", start, step, lambda x: x["n"]).alias("n"), "edits")
+    return each.groupBy("doc_id", "item_id").agg(F.max("n").cast("int").alias("longest_run"), F.min("edits").cast("int").alias("edits"))

@@ -130,24 +130,37 @@ def test_myers_against_the_table():
         assert L.myers(p, t) == best
 
 
-def test_leaks_against_brute_force():
+def longest_common_run(a, b):
+    return max((k for i in range(len(a)) for j in range(len(b)) if a[i] == b[j] for k in [next((n for n in range(min(len(a) - i, len(b) - j)) if a[i + n] != b[j + n]), min(len(a) - i, len(b) - j))]), default=0)
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    from evigrain.operators import skew
+
+    monkeypatch.setattr(skew, "HOT", 20)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
-    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randrange(8, 40))]) for i in range(12)]
-    match = L.matcher(items, 12, 1)
-    for _ in range(300):
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randrange(8, 60))]) for i in range(12)]
+    docs = []
+    for k in range(300):
         doc = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 30))]
         _, item = rng.choice(items)
         a = rng.randrange(len(item))
-        part = item[a : a + rng.randrange(4, 30)]
+        part = item[a : a + rng.randrange(4, 50)]
         doc[5:5] = edited(rng, part, vocabulary, rng.randrange(2)) if rng.random() < 0.6 else part
-        got = match(" " + " ".join(doc) + " ")
-        for no, (_, words) in enumerate(items):
-            grams = {tuple(words[k : k + 12]) for k in range(len(words) - 11)}
-            exact = any(tuple(doc[k : k + 12]) in grams for k in range(len(doc) - 11))
-            assert exact == (no in got and got[no][0] >= 12)
+        docs.append((k, doc))
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} bigint, text string").repartition(3) for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): (r.longest_run, r.edits) for r in L.leaked(*frames).collect()}
+    for k, doc in docs:
+        for no, words in items:
+            grams = {tuple(words[j : j + 12]) for j in range(len(words) - 11)}
+            exact = any(tuple(doc[j : j + 12]) in grams for j in range(len(doc) - 11))
             near = any(L.myers(list(g), doc) <= 1 for g in grams)
-            assert near == (no in got), (no, got.get(no))
+            assert near == ((k, no) in got), (k, no, got.get((k, no)))
+            if near:
+                run, edits = got[k, no]
+                assert exact == (run >= 12) == (edits == 0)
+                assert not exact or run == longest_common_run(doc, words)
 
 
 # ------------------------------------------------------------ encodings
