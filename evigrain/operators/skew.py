@@ -12,14 +12,14 @@ SALTS = 64
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, hot: int = HOT, salts: int = SALTS, how: str = "inner", spread_by: Sequence[str] | None = None) -> DataFrame:
-    """Join many ``left`` rows to the one ``right`` row of each key. ``weight`` is a column of ``right``: the
+    """Join many ``left`` rows to the one ``right`` row (or few) of each key. ``weight`` is a column of ``right``: the
     number of left rows of the key. Hot keys are dealt over ``salts`` partitions, their right row repeated; the
     hot keys alone are broadcast (at most left rows / ``hot`` of them). ``weight`` is dropped. ``spread_by``: the left
     columns whose hash deals the rows, all of them by default; name a unique one where ``left`` is wide.
 
     Null keys match nothing; an empty side gives an empty result (``left`` rows with nulls for how='left')."""
     on = list(on)
-    hot_keys = right.where(F.col(weight) >= hot).select(*on, F.lit(True).alias("_hot"))
+    hot_keys = right.where(F.col(weight) >= hot).select(*on).distinct().withColumn("_hot", F.lit(True))
     # a hash of the row, not a random number: a task that runs again deals its rows as before
     row = F.xxhash64(*[F.col(c) for c in (spread_by or [c for c, kind in left.dtypes if "map<" not in kind])])
     marked = left.join(F.broadcast(hot_keys), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(row, F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
