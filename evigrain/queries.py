@@ -201,12 +201,25 @@ def section_classify(spark, root):
     return counted.withColumn("c", H.classify(F.col("normal"))).select("heading", "normal", "c.label", "c.rule", "uses")
 
 
-@query()
+_JUDGED = f"""SELECT record_id, section_no, heading, n AS normal, num, {_label_sql('label')} AS label, {_label_sql('rule')} AS rule FROM (SELECT record_id, section_no, heading, {_heading_sql().replace('heading', "coalesce(heading, '')")} AS n,
+  CASE WHEN digits = '' THEN []::INT[] ELSE list_transform(string_split(digits, '.'), lambda d: d::INT) END AS num FROM (SELECT *, regexp_extract(coalesce(heading, ''), '^\\s*[(\\[]?\\s*(\\d+(?:\\.\\d+)*)', 1) AS digits FROM (SELECT record_id, unnest(range(len(sections)))::INT AS section_no, unnest(sections).heading AS heading FROM records)))"""
+_PARENT = "x[1].num[1:len(x[1].num) - 1]"
+_UNDER = f"list_filter(a, lambda e: e.num = {_PARENT} AND e.label <> 'other')"
+_BEFORE = "list_filter(a, lambda e: e.label NOT IN ('other', 'references', 'appendix'))"
+_BY_NUMBER, _BY_PLACE = f"x[1].rule = 'unmatched' AND len(x[1].num) > 1 AND len({_UNDER}) > 0", f"x[1].rule = 'unmatched' AND len({_BEFORE}) > 0"
+INHERITED_SQL = f"""SELECT record_id, s.section_no, s.heading, s.normal, s.label, s.rule FROM (SELECT record_id, unnest(list_reduce(l, lambda a, x: list_concat(a, [{{{{'section_no': x[1].section_no, 'heading': x[1].heading, 'normal': x[1].normal, 'num': x[1].num,
+  'label': CASE WHEN {_BY_NUMBER} THEN {_UNDER}[-1].label WHEN {_BY_PLACE} THEN {_BEFORE}[-1].label ELSE x[1].label END,
+  'rule': CASE WHEN {_BY_NUMBER} THEN 'inherited:' || array_to_string({_PARENT}, '.') WHEN {_BY_PLACE} THEN 'inherited:previous' ELSE x[1].rule END}}}}]))) AS s
+  FROM (SELECT record_id, list([{{{{'section_no': section_no, 'heading': heading, 'normal': normal, 'num': num, 'label': label, 'rule': rule}}}}] ORDER BY section_no) AS l FROM ({_JUDGED}) GROUP BY 1))""".replace("{{", "{").replace("}}", "}")
+
+
+@query(INHERITED_SQL)
 def section_inherit(spark, root):
     return H.section_rows(table(spark, root, "records")).select("record_id", "section_no", "heading", "normal", "label", "rule")
 
 
-@query()
+@query(f"""WITH r AS ({INHERITED_SQL}) SELECT 'label' AS kind, label AS name, count(*) AS n, NULL::DOUBLE AS share FROM r GROUP BY ALL UNION ALL SELECT 'rule', split_part(rule, ':', 1), count(*), NULL FROM r GROUP BY ALL
+  UNION ALL SELECT * FROM (SELECT 'unmatched', normal, count(*) AS n, NULL FROM r WHERE rule = 'unmatched' GROUP BY ALL ORDER BY n DESC, normal LIMIT 50) UNION ALL SELECT 'headings', 'unmatched_fraction', count(*), count_if(label = 'other') / count(*) FROM r HAVING count(*) > 0""")
 def section_report(spark, root):
     return H.section_report(H.section_rows(table(spark, root, "records")))
 
@@ -239,7 +252,14 @@ def chunk_sentence(spark, root):
     return chunked(spark, root, "sentence")
 
 
-@query()
+_OVER = "len(a.now) > 0 AND a.n + x.n > 250"
+_N, _DONE, _NOW = f"(CASE WHEN {_OVER} THEN x.n ELSE a.n + x.n END)", f"(CASE WHEN {_OVER} THEN list_append(a.done, array_to_string(a.now, ' ')) ELSE a.done END)", f"(CASE WHEN {_OVER} THEN x.now ELSE list_concat(a.now, x.now) END)"
+_PART = "{'done': []::VARCHAR[], 'now': "
+MERGED_SQL = f"""(SELECT CASE WHEN len(r.now) > 0 THEN list_append(r.done, array_to_string(r.now, ' ')) ELSE r.done END FROM (SELECT list_reduce(list_prepend({_PART}[]::VARCHAR[], 'n': 0::BIGINT}}, list_transform(w, lambda s: {_PART}[s], 'n': len({WORDS('s')})}})),
+  lambda a, x: CASE WHEN {_N} >= 250 THEN {{'done': list_append({_DONE}, array_to_string({_NOW}, ' ')), 'now': []::VARCHAR[], 'n': 0::BIGINT}} ELSE {{'done': {_DONE}, 'now': {_NOW}, 'n': {_N}}} END) AS r))"""
+
+
+@query(chunk_sql(f"SELECT record_id, list_filter(regexp_split_to_array(text, '\\n\\s*\\n+'), lambda p: trim(p) <> '') AS w FROM ({DOCS_SQL})", MERGED_SQL, "paragraph/v1(min=30,max=250)"))
 def chunk_paragraph(spark, root):
     return chunked(spark, root, "paragraph")
 
