@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +169,39 @@ def judge(doc: list[int], item: list[int], length: int, reach: int, least: int,
     return before, run - length - before, edits
 
 
+def runs_of(equal: np.ndarray) -> np.ndarray:
+    """How many of each row's first values are true, one after another."""
+    return np.logical_and.accumulate(equal, axis=1).sum(axis=1) if equal.shape[1] else np.zeros(len(equal), int)
+
+
+def equal_around(x: np.ndarray, y: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words before and behind the piece, as far as the words around it go."""
+    same = (x == y) & (x != -1)
+    return runs_of(same[:, :reach][:, ::-1]), runs_of(same[:, reach + length :])
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, before: np.ndarray, behind: np.ndarray, length: int, reach: int, least: int, budget: int) -> np.ndarray:
+    """Whether a window of ``least`` words of the item may hold with ``budget`` edits; exact for one edit, which is put on
+    either side, as a word replaced, left out or put in. Any other budget is left to the verification."""
+    if budget != 1:
+        return np.full(len(x), budget > 0)
+
+    def further(a: np.ndarray, b: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Words of the item covered on one side with an edit; ``a`` and ``b`` lead away from the piece."""
+        wide = np.arange(reach)
+        best = run.copy()
+        for da, db, won in ((1, 1, 1), (0, 1, 1), (1, 0, 0)):
+            i, j = run[:, None] + da + wide, run[:, None] + db + wide
+            ok = (i < reach) & (j < reach)
+            u, v = (np.take_along_axis(m, np.minimum(k, reach - 1), axis=1) for m, k in ((a, i), (b, j)))
+            there = (run < reach) & (np.take_along_axis(b, np.minimum(run, reach - 1)[:, None], axis=1)[:, 0] != -1)
+            best = np.maximum(best, run + won * there + runs_of(ok & (u == v) & (u != -1)))
+        return best
+
+    left, right = further(x[:, :reach][:, ::-1], y[:, :reach][:, ::-1], before), further(x[:, reach + length :], y[:, reach + length :], behind)
+    return np.maximum(left + behind, right + before) + length >= least
+
+
 PLACED = "h bigint, key bigint, place int, near array<bigint>"
 
 
@@ -180,7 +214,7 @@ def placed_pieces(texts: DataFrame, length: int, reach: int, least: int, every:
         for part in parts:
             lists = [words(text) for text in part.column(1).to_pylist()]
             sizes = np.array([len(x) for x in lists], np.int64)
-            flat = np.fromiter((hashes[w] for x in lists for w in x), np.int64, int(sizes.sum()))
+            flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
             if len(flat) < length:
                 continue
             starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -188,12 +222,12 @@ def placed_pieces(texts: DataFrame, length: int, reach: int, least: int, every:
             n = len(flat) - length + 1
             ok = at[:n] + length <= sizes[who[:n]]  # within one text
             h = window_hashes(flat, length)
-            if every:
-                for place in filter_places(h, size):
-                    ok &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            else:
+            if not every:
                 ok &= (at[:n] % length == 0) & (sizes[who[:n]] >= least)
             hit = np.flatnonzero(ok)
+            for i in range(FILTER_BITS if every else 0):
+                place = filter_places(h[hit], size)[i]
+                hit = hit[(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
             if not len(hit):
                 continue
             # texts stand ``reach`` apart, so that no word of a neighbour is taken for one around
@@ -242,20 +276,15 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = LEAST, budget: i
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             doc, item, d, i = (part.column(n) for n in ("doc_id", "item_id", "d", "i"))
-            kept, begin, end, edits = [], [], [], []
-            places = d.to_pylist()
-            for row, (x, y) in enumerate(zip(part.column("doc_near").to_pylist(), part.column("item_near").to_pylist())):
-                if x[reach : reach + length] != y[reach : reach + length]:
-                    continue  # another piece of the same hash
-                before, behind, e = judge(x, y, length, reach, least, budget)
-                if e <= budget:
-                    kept.append(row)
-                    begin.append(places[row] - before)
-                    end.append(places[row] + length + behind)
-                    edits.append(e)
-            at = pa.array(kept, pa.int64())
-            diagonal = pa.array(d.to_numpy().astype(np.int64)[kept] - i.to_numpy().astype(np.int64)[kept], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc.take(at), item.take(at), diagonal, pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "diagonal", "a", "b", "edits"])
+            x, y = (part.column(n).flatten().to_numpy().reshape(len(part), length + 2 * reach) for n in ("doc_near", "item_near"))
+            before, behind = equal_around(x, y, length, reach)
+            edits = np.where(before + length + behind >= least, 0, budget + 1)
+            edits[~(x[:, reach : reach + length] == y[:, reach : reach + length]).all(axis=1)] = least  # another piece of the same hash
+            for row in np.flatnonzero((edits == budget + 1) & may_reach(x, y, before, behind, length, reach, least, budget)):
+                edits[row] = judge(x[row].tolist(), y[row].tolist(), length, reach, least, budget)[2]
+            kept = np.flatnonzero(edits <= budget)
+            at, d, i = pa.array(kept), d.to_numpy()[kept], i.to_numpy()[kept]
+            yield pa.RecordBatch.from_arrays([doc.take(at), item.take(at), pa.array(d.astype(np.int64) - i), pa.array(d - before[kept], pa.int32()), pa.array(d + length + behind[kept], pa.int32()), pa.array(edits[kept], pa.int32())], ["doc_id", "item_id", "diagonal", "a", "b", "edits"])
 
     seen = met.mapInArrow(verify, "doc_id bigint, item_id bigint, diagonal bigint, a int, b int, edits int")
     # runs of neighbouring hits on a diagonal overlap, as each reaches further than the next piece
