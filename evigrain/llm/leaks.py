@@ -29,13 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from evigrain.llm import filters
 from evigrain.operators.skew import salted_join
 from evigrain.session import cut
 
 LEAST, BUDGET = 12, 1
-#: Bytes of the filter, whatever the number of items (2 MB hold a million pieces with one window in 20 passing by
-#: chance), and bits that a piece sets in it.
-FILTER_BYTES, FILTER_BITS = 2 << 20, 3
+#: Bytes of the filter, whatever the number of items (2 MB hold a million pieces with one window in 160 passing by chance).
+FILTER_BYTES = 2 << 20
 BETWEEN = re.compile(r"[\W_]+")
 
 
@@ -134,11 +134,6 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def filter_places(h: np.ndarray, size: int) -> list[np.ndarray]:
-    """The bits of a filter of ``size`` bytes (a power of two) that hashes set."""
-    return [(h >> np.uint64(20 * i)) & np.uint64(8 * size - 1) for i in range(FILTER_BITS)]
-
-
 def around(words: np.ndarray, at: np.ndarray, length: int, reach: int) -> pa.ListArray:
     """The words from ``reach`` before each place to ``reach`` behind its piece; -1 beyond the ends."""
     padded = np.concatenate([np.full(reach, -1, np.int64), words, np.full(reach, -1, np.int64)])
@@ -205,7 +200,7 @@ def may_reach(x: np.ndarray, y: np.ndarray, before: np.ndarray, behind: np.ndarr
 PLACED = "h bigint, key bigint, place int, near array<bigint>"
 
 
-def placed_pieces(texts: DataFrame, length: int, reach: int, least: int, every: bool, shared=None, size: int = 0) -> DataFrame:
+def placed_pieces(texts: DataFrame, length: int, reach: int, least: int, every: bool, shared=None) -> DataFrame:
     """h, key, place, near: windows of ``length`` words of each text (key, text), with the words around them: all that
     pass the filter, or (not ``every``) those that stand one after another in texts of ``least`` words or more."""
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +220,8 @@ def placed_pieces(texts: DataFrame, length: int, reach: int, least: int, every:
             if not every:
                 ok &= (at[:n] % length == 0) & (sizes[who[:n]] >= least)
             hit = np.flatnonzero(ok)
-            for i in range(FILTER_BITS if every else 0):
-                place = filter_places(h[hit], size)[i]
-                hit = hit[(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+            if every:
+                hit = hit[filters.passing(bits, h[hit])]
             if not len(hit):
                 continue
             # texts stand ``reach`` apart, so that no word of a neighbour is taken for one around
@@ -239,36 +233,15 @@ def placed_pieces(texts: DataFrame, length: int, reach: int, least: int, every:
     return texts.mapInArrow(scan, PLACED)
 
 
-def piece_filter(pieces: DataFrame, size: int) -> bytes:
-    """The bits of all pieces' hashes. Put together in blocks of 64 KB on the executors; ``size`` bytes reach the driver."""
-    block = min(1 << 16, size)
-
-    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size, np.uint8)
-        for part in parts:
-            for place in filter_places(part.column(0).to_numpy().view(np.uint64), size):
-                np.bitwise_or.at(held, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
-        used = [b for b in range(size // block) if held[b * block : (b + 1) * block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([held[b * block : (b + 1) * block].tobytes() for b in used], pa.binary())], ["b", "bits"])
-
-    def join(group: pa.Table) -> pa.Table:
-        return pa.table({"b": group["b"][:1], "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"].to_pylist()]).tobytes()], pa.binary())})
-
-    out = bytearray(size)
-    for row in pieces.select("h").mapInArrow(mark, "b bigint, bits binary").groupBy("b").applyInArrow(join, "b bigint, bits binary").collect():
-        out[row.b * block : (row.b + 1) * block] = row.bits
-    return bytes(out)
-
-
 def leaked(documents: DataFrame, items: DataFrame, least: int = LEAST, budget: int = BUDGET, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, item_id, longest_run (equal consecutive words, of the passages that are reported) and edits (of the best
     window of ``least`` words) of every document that holds a window of an item with at most ``budget`` word edits."""
     length = piece_length(least, budget)
     reach = least + budget - length
     pieces = cut(placed_pieces(items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("key"), "text"), length, reach, least, False))
-    shared = documents.sparkSession.sparkContext.broadcast(piece_filter(pieces, filter_bytes))
+    shared = documents.sparkSession.sparkContext.broadcast(filters.built(pieces.select("h"), filter_bytes))
     docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("key"), "text")
-    hits = cut(placed_pieces(docs, length, reach, least, True, shared, filter_bytes).toDF("h", "doc_id", "d", "doc_near"))
+    hits = cut(placed_pieces(docs, length, reach, least, True, shared).toDF("h", "doc_id", "d", "doc_near"))
     weights = hits.groupBy("h").agg(F.count(F.lit(1)).alias("_w"))
     right = pieces.select("h", F.col("key").alias("item_id"), F.col("place").alias("i"), F.col("near").alias("item_near")).join(weights, "h")
     met = salted_join(hits, right, ["h"], "_w", spread_by=["doc_id", "d"])

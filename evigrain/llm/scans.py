@@ -7,8 +7,9 @@ more often than the hyphenated one; a misread word is put right if a reversed co
 the corpus has far more often.
 
 The corpus vocabulary (word, number of records) is counted over all records' titles, abstracts, full texts and section
-bodies. It is never broadcast or collected: each record's doubtful words and line-end pairs are joined to it by word,
-and come back to the record by its key.
+bodies. Neither it nor the corrections found in it are broadcast or collected: a filter of fixed size tells which words
+can't be misread, and the others and the line-end pairs of a record are joined to the vocabulary by word, and come back
+to the record by its key. There is one way for all sizes.
 
 Defined results: null and empty texts stay as they are and have no noise; a text without noise stays exactly as it is,
 wrapped or not; texts of any length are read whole; equal texts of equal records give equal results; a record without
@@ -21,10 +22,13 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from evigrain.llm import filters
 from evigrain.operators.skew import salted_join
 from evigrain.session import cut
 
@@ -200,12 +204,28 @@ def matched_case(new: str, old: str) -> str:
     return new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:] if old[:1].isupper() else new
 
 
-def lookups(text: str | None, title: str | None, venue: str | None, authors, soft: bool = True) -> list[str]:
-    """The words to look up for a text: doubtful ones (without ``soft`` those with hard signs only), and the forms of
-    its line-end pairs."""
+class Doubts(dict):
+    """Whether a word in lower case is to be looked up: it has a hard sign, or the filter of the misread words lets it
+    through."""
+
+    def __init__(self, bits: bytes):
+        super().__init__()
+        self.bits = np.frombuffer(bits, np.uint8)
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        open_ = len(word) > 1 and DOUBTFUL.search(word) is not None
+        # the same hash as the built-in function of the engine
+        self[word] = seen = open_ and (HARD_SIGN.search(word) is not None or len(filters.passing(self.bits, np.array([xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)], np.uint64))) > 0)
+        return seen
+
+
+def lookups(text: str | None, title: str | None, venue: str | None, authors, doubts: Doubts) -> list[str]:
+    """The words to look up for a text: doubtful ones, and the forms of its line-end pairs."""
     if not text:
         return []
-    out = {w for w in map(str.lower, (WORD.findall(text) if soft or HARD_SIGN.search(text) else ())) if len(w) > 1 and (DOUBTFUL if soft else HARD_SIGN).search(w)}
+    out = {w for w in set(WORD.findall(text.lower())) if doubts[w]}
     if not LINE_END.search(text):
         return sorted(out)
     lines, _, _ = read_pages(text, title, venue, authors)
@@ -316,30 +336,30 @@ def corrections(words: DataFrame) -> DataFrame:
     return good.unionByName(hard).groupBy("word").agg(F.max_by("fix", F.struct("m", "fix")).alias("fix"))
 
 
-#: The corrections go to every executor while they hold at most so many characters; beyond, they are joined like the rest.
-BROADCAST_CHARS = 8 << 20
+#: Bytes of the filter of misread words (a million of them: one sound word in 160 is looked up by chance).
+FILTER_BYTES = 2 << 20
 
 
-def repair(records: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def repair(records: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """record_key, field_name, text_repaired and noise_kinds of the full texts and titles with noise."""
     words = cut(vocabulary(records))
     wrong = cut(corrections(words))
-    small = (wrong.agg(F.sum(F.length("word") + F.length("fix"))).collect()[0][0] or 0) <= broadcast_chars
-    shared = records.sparkSession.sparkContext.broadcast({r.word: r.fix for r in wrong.toLocalIterator()} if small else {})
+    shared = records.sparkSession.sparkContext.broadcast(filters.built(wrong.select(F.xxhash64("word").alias("h")), filter_bytes))
     fields = F.array(F.struct(F.lit("full_text").alias("field_name"), F.col("full_text").alias("t")), F.struct(F.lit("title").alias("field_name"), F.col("title").alias("t")))
     items = records.where("record_key IS NOT NULL").select("record_key", "venue", "authors", F.col("title").alias("own_title"), F.explode(fields).alias("f"))
     items = items.select("record_key", "f.field_name", "venue", "authors", F.when(F.col("f.field_name") == "full_text", F.col("own_title")).alias("own_title"), F.col("f.t").alias("text")).where("text IS NOT NULL AND text <> ''")
 
     @F.pandas_udf("array<string>")
     def wanted(text: pd.Series, title: pd.Series, venue: pd.Series, authors: pd.Series) -> pd.Series:
-        return pd.Series([lookups(*row, soft=not small) for row in zip(text, title, venue, authors)], dtype=object)
+        doubts = Doubts(shared.value)
+        return pd.Series([lookups(*row, doubts) for row in zip(text, title, venue, authors)], dtype=object)
 
     @F.pandas_udf("struct<text_repaired:string,noise_kinds:array<string>>")
     def mended(text: pd.Series, title: pd.Series, venue: pd.Series, authors: pd.Series, names: pd.Series, counts: pd.Series, right: pd.Series) -> pd.DataFrame:
         done = []
         for t, ti, v, a, w, n, r in zip(text, title, venue, authors, names, counts, right):
             w, n, r = ([] if x is None else x for x in (w, n, r))
-            done.append(mend(t, ti, v, a, dict(zip(w, n)), shared.value if small else {x: y for x, y in zip(w, r) if y}))
+            done.append(mend(t, ti, v, a, dict(zip(w, n)), {x: y for x, y in zip(w, r) if y}))
         return pd.DataFrame({"text_repaired": [d[0] for d in done], "noise_kinds": [d[1] for d in done]})
 
     asked = items.select("record_key", "field_name", F.explode(wanted("text", "own_title", "venue", "authors")).alias("word"))

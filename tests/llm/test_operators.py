@@ -174,8 +174,8 @@ def test_scans(spark):
     noisy = "Community pharma-\ncists completed questionnaires about estirnators\n12\nJournal of Things   2001\nand thresh0lds during well-\nknown sessions"
     recs = spark.createDataFrame(sound + [record(1, "Some title", "x", venue="Journal of Things", full_text=noisy), record(2, full_text=""), record(3), record(None, full_text=noisy), record(4, "Communify pharmacists", full_text=words.replace(" ", "\n"))], RECORDS)
     want = {(1, "full_text"): ["hyphenation", "misread", "page_number", "running_header"], (4, "title"): ["misread"]}
-    for most in (scans.BROADCAST_CHARS, 0):
-        got = {(r.record_key, r.field_name): r for r in scans.repair(recs, broadcast_chars=most).collect()}
+    for size in (scans.FILTER_BYTES, 1):
+        got = {(r.record_key, r.field_name): r for r in scans.repair(recs, filter_bytes=size).collect()}
         assert {k: r.noise_kinds for k, r in got.items()} == want
         assert got[1, "full_text"].text_repaired == "Community pharmacists completed questionnaires about estimators and thresholds during well-known sessions"
     assert scans.repair(empty(spark)).count() == 0
