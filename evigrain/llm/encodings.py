@@ -11,8 +11,7 @@ The probabilities are learnt over all documents by expectation-maximisation. One
 characters outside ASCII with the classes of their neighbours; the first model leaves out what reads as a multi-byte
 sequence of a pair and is rarer than the character it would stand for, and each further round weighs every character of every cluster by the chance that the last model
 gives it to be clean (forward-backward), so that what only looked like a sequence comes back and garbled text doesn't
-pass for usual text. A last count leaves out the documents in which the model then finds a garbled stretch, as their
-other stretches aren't to be trusted either. All smoothing is by shares of the counts, never by numbers of documents, so a corpus of the same
+pass for usual text. All smoothing is by shares of the counts, never by numbers of documents, so a corpus of the same
 mix gives the same labels at every size. The rounds run over the distinct clusters, distributed; the model is small
 whatever the corpus: neighbour classes x characters of Unicode.
 
@@ -325,9 +324,12 @@ class Model:
 
     def repair(self, text: str) -> tuple[str, list[tuple[int, int, int, bool]]]:
         """(the text put right, spans (start, end, pair number, restored); a pair of -1 is a lost character)."""
+        labelled = self.label(text)
+        if not labelled and LOST not in text:
+            return text, []
         spans: list[list] = []
         out, done = [], 0
-        for s, e, states in self.label(text):
+        for s, e, states in labelled:
             out.append(text[done:s])
             done = e
             at = 0
@@ -355,7 +357,8 @@ class Model:
                         spans.append([s + at, s + to, state - 1, ok])
                 at = to
         out.append(text[done:])
-        spans += [[m.start(), m.end(), -1, False] for m in re.finditer(LOST + "+", text) if not any(a <= m.start() < b for a, b, _, _ in spans)]
+        if LOST in text:
+            spans += [[m.start(), m.end(), -1, False] for m in re.finditer(LOST + "+", text) if not any(a <= m.start() < b for a, b, _, _ in spans)]
         return "".join(out), [tuple(x) for x in sorted(spans)]
 
 
@@ -367,14 +370,11 @@ HELD = 200_000
 KEYS = "b string, s string, a string"
 
 
-def clusters(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """b, s, a, n: how often a cluster of characters outside ASCII stands between two neighbour classes, in all
-    documents or in those where ``model`` finds something garbled. Counted in each task before the shuffle; a cluster of
-    more than 64 characters is counted in pieces."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-
+def clusters(documents: DataFrame) -> DataFrame:
+    """b, s, a, n: how often a cluster of characters outside ASCII stands between two neighbour classes. Counted in
+    each task before the shuffle; a cluster of more than 64 characters is counted in pieces."""
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, classes, counts = shared.value, Classes(), Counter()
+        classes, counts = Classes(), Counter()
 
         def out() -> pa.RecordBatch:
             sums: Counter = Counter()
@@ -385,8 +385,7 @@ def clusters(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
         for part in parts:
             for text in part.column(0).to_pylist():
-                if model is None or model.label(text):
-                    counts.update(COUNTED.findall(text))
+                counts.update(COUNTED.findall(text))
                 if len(counts) > HELD:
                     yield out()
         yield out()
@@ -448,13 +447,12 @@ def weighed(found: DataFrame, model: Model | None) -> Model:
 
 def learn(documents: DataFrame, rounds: int = ROUNDS) -> Model:
     """The model of a corpus: first without suspect sequences, then, ``rounds`` times, with every character weighed
-    by its chance to be clean under the model before, and once more over the clean documents."""
+    by its chance to be clean under the model before."""
     found = cut(spread(clusters(documents)))
     model = weighed(found, None)
     for _ in range(rounds):
         model = weighed(found, model)
-    left = found.unionByName(clusters(documents, model).withColumn("n", -F.col("n"))).groupBy("b", "s", "a").agg(F.sum("n").alias("n"))
-    return weighed(left.where("n > 0"), model)
+    return model
 
 
 REPAIRED = "struct<text_repaired:string,spans:array<struct<span_start:int,span_end:int,pair:string,restored:boolean>>>"
@@ -465,16 +463,17 @@ def repair(documents: DataFrame, model: Model | None = None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model or learn(documents))
     names = [" > ".join(f"{right} as {wrong}" for right, wrong in p) for p in PAIRS]
 
-    @F.pandas_udf(REPAIRED)
-    def run(texts):
-        import pandas as pd
-
-        model, fixed, spans = shared.value, [], []
-        for text in texts:
-            new, found = (None, []) if text is None else model.repair(text) if CLUSTER.search(text) else (text, [])
+    @F.arrow_udf(REPAIRED)
+    def run(texts: pa.Array) -> pa.Array:
+        model, fixed, ends, flat = shared.value, [], [0], []
+        for text in texts.to_pylist():
+            new, found = (None, []) if text is None else model.repair(text)
             fixed.append(new if found else None)
-            spans.append([{"span_start": a, "span_end": b, "pair": names[p] if p >= 0 else "lost", "restored": ok} for a, b, p, ok in found])
-        return pd.DataFrame({"text_repaired": fixed, "spans": spans})
+            flat += found
+            ends.append(len(flat))
+        columns = [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pa.array([names[x[2]] if x[2] >= 0 else "lost" for x in flat], pa.string()), pa.array([x[3] for x in flat], pa.bool_())]
+        spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["span_start", "span_end", "pair", "restored"]))
+        return pa.StructArray.from_arrays([pa.array(fixed, pa.string()), spans], ["text_repaired", "spans"])
 
     odd = F.when(F.col("text").rlike(r"[^\x00-\x7F]"), F.col("text"))
     seen = documents.withColumn("_r", run(odd))
