@@ -47,7 +47,7 @@ def main(argv=None) -> int:
             s.add_argument("--require-sections", action="store_true")
         if name == "ingest-pdf":
             s.add_argument("--limit", type=int)
-            s.add_argument("--url", default="http://localhost:8070", help="the service that turns a PDF into TEI")
+            s.add_argument("--url", help="the service that turns a PDF into TEI; without one the text is read locally")
         if name in ("retrieve", "verify", "stability"):
             s.add_argument("--query", required=name != "verify", default="")
             s.add_argument("--k", type=int, default=20)
@@ -71,7 +71,7 @@ def main(argv=None) -> int:
         if args.command == "ingest-tei":
             raw = B.read_tei(spark, args.input, args.require_sections)
         else:
-            raw, coverage = B.read_pdfs(spark, args.input, services.tei_service(args.url), limit=args.limit, require_sections=args.require_sections)
+            raw, coverage = B.read_pdfs(spark, args.input, services.tei_service(args.url) if args.url else services.local_text, engine="grobid" if args.url else "local", limit=args.limit, require_sections=args.require_sections)
         from evigrain.functions import text as T
 
         named = R.canonical(raw).withColumn("record_id", R.record_id()).withColumn("dedup_key", T.dedup_key(F.col("doi"), F.col("title"), F.col("year")))

@@ -191,6 +191,14 @@ def _spec(name: str, **values) -> str:
     return f"{name}/v1({','.join(f'{k}={v}' for k, v in values.items())})"
 
 
+NAMES = ("record", "fixed", "sentence", "tei-section", "paragraph", "recursive", "sliding-sentence", "semantic")
+
+
+def in_order(chunks: DataFrame) -> DataFrame:
+    """Chunks by record and place, as a whole corpus is read."""
+    return chunks.orderBy("record_id", "ordinal", "chunk_id")
+
+
 def build(name: str, **p) -> tuple[str, Callable[[], Column]]:
     """(spec, pieces) of a chunker by name."""
     if name == "record":

@@ -84,6 +84,11 @@ def winners_and_losers(records: DataFrame, key: str = "dedup_key", rid: str = "r
     return winners, losers
 
 
+def by_id(records: DataFrame, record_id: str, rid: str = "record_id") -> DataFrame:
+    """The record of an id; the filter reaches the scan."""
+    return records.where(F.col(rid) == F.lit(record_id))
+
+
 def corpus_hash(ids: DataFrame, rid: str = "record_id") -> str:
     """SHA-256 over the ids in order. The definition is sequential, so the sorted ids stream through one digest a
     partition at a time; nothing is held. For corpora where a stream of all ids is too slow there is corpus_tree_hash."""

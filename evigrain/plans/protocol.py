@@ -20,6 +20,23 @@ def protocol_queries(protocols: DataFrame) -> DataFrame:
     return main.unionByName(fields).where("query_text <> ''")
 
 
+def health(version: str | None = None) -> dict:
+    """That the library answers, with what makes its results repeatable."""
+    from evigrain import __version__
+
+    return {"ok": True, "version": version or __version__, "determinism": {"seed": 42, "vector_precision": 6, "score_precision": 9}}
+
+
+def backends() -> dict:
+    """Chunkers, back ends of search, and which optional packages can be imported here."""
+    from importlib.util import find_spec
+
+    from evigrain.operators import search
+
+    names = ("faiss", "sentence_transformers", "qdrant_client", "chromadb", "psycopg", "transformers")
+    return {"chunkers": sorted(chunking.NAMES), "search": search.BACKENDS, "unavailable": list(search.UNAVAILABLE), "optional_dependencies": {n: find_spec(n) is not None for n in names}}
+
+
 def answer(spark: SparkSession, request: dict) -> dict:
     """One retrieval request: {'query', 'records' or 'source_files', 'k', 'mode', 'section', 'chunker', 'index'}. Wrong
     input raises ValueError with what is wrong; the answer holds the evidence and its certificate."""

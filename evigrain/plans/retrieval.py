@@ -66,12 +66,21 @@ def digest_of(chunk_ids: list[str]) -> str:
     return hashlib.sha256("".join(f"{i}:{c}" for i, c in enumerate(chunk_ids, 1)).encode()).hexdigest()
 
 
+def _version(name: str) -> str | None:
+    from importlib.metadata import PackageNotFoundError, version
+
+    try:
+        return version(name)
+    except PackageNotFoundError:
+        return None
+
+
 def issue(query: str, chunk_ids: list[str], corpus_hash: str, settings: Settings, corpus_size: int | None = None, notes: dict | None = None) -> dict:
     """The certificate of one evidence set."""
     return {
         "query": query, "mode": settings.mode, "k": settings.k, "section_filter": sorted(settings.section_filter), **settings.specs(), "corpus_hash": corpus_hash, "corpus_size": corpus_size,
         "chunk_ids": list(chunk_ids), "evidence_digest": digest_of(list(chunk_ids)), "determinism": {"seed": 42, "vector_precision": 6, "score_precision": 9},
-        "environment": {"python": platform.python_version(), "system": platform.system()}, "created_at": datetime.now(timezone.utc).isoformat(), "notes": notes or {},
+        "environment": {"python": platform.python_version(), "system": platform.system(), **{name: _version(name) for name in ("pyspark", "numpy", "pandas", "pyarrow")}}, "created_at": datetime.now(timezone.utc).isoformat(), "notes": notes or {},
     }
 
 

@@ -77,3 +77,46 @@ def http_post(url: str, content: bytes, field: str = "input") -> bytes:
 
 def tei_service(url: str) -> Callable[[bytes], str]:
     return tei_extractor(url, http_post)
+
+
+def local_text(content: bytes) -> str:
+    """The text of a PDF without any service: the strings shown by its content streams (plain or deflated), line by line.
+    Fonts with an encoding of their own, encrypted files and scans give nothing usable; ValueError if no text is found."""
+    import re
+    import zlib
+
+    if not content.startswith(b"%PDF"):
+        raise ValueError("not a PDF")
+    shown = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|T\*|T[dD]\b|'|\"|ET\b|[-\d.]+")
+    escapes = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+    def string(token: bytes) -> str:
+        if token[:1] == b"<":
+            digits = re.sub(rb"\s", b"", token[1:-1]).decode()
+            raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
+        else:
+            raw = re.sub(rb"\\([0-7]{1,3})|\\(.)", lambda m: bytes([int(m.group(1), 8) & 255]) if m.group(1) else escapes.get(m.group(2), m.group(2)), token[1:-1], flags=re.S)
+        return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+
+    lines: list[str] = []
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
+        data = m.group(1)
+        try:
+            data = zlib.decompressobj().decompress(data)
+        except zlib.error:
+            pass
+        for block in re.findall(rb"\bBT\b(.*?)\bET\b", data, re.S):
+            now = ""
+            for token in shown.findall(block):
+                if token[:1] in b"(<":
+                    now += string(token)
+                elif token[:1] == b"-" and token[1:].replace(b".", b"").isdigit() and float(token) < -200 and now and not now.endswith(" "):
+                    now += " "  # a wide step to the right within a line
+                elif token[:1] in b"T'\"" and now.strip():
+                    lines.append(now.strip())
+                    now = ""
+            if now.strip():
+                lines.append(now.strip())
+    if not lines:
+        raise ValueError("no text found")
+    return "\n".join(lines)

@@ -83,6 +83,50 @@ def test_jsonl_sections_of_either_form(spark, tmp_path):
     assert '[["methods","We did."]' in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
 
 
+def small_pdf(lines, deflated):
+    import zlib
+
+    text = "BT /F1 12 Tf 72 720 Td " + " ".join(f"({x}) Tj 0 -14 Td" for x in lines) + " [(T) 20 (wo) -300 (words)] TJ ET"
+    data = zlib.compress(text.encode("cp1252")) if deflated else text.encode("cp1252")
+    return b"%PDF-1.4\n1 0 obj <</Length " + str(len(data)).encode() + b">>\nstream\n" + data + b"\nendstream\nendobj\n%%EOF"
+
+
+@pytest.mark.parametrize("deflated", [False, True])
+def test_local_text_of_a_pdf(deflated):
+    assert services.local_text(small_pdf(["A title of a study", "caf\\351 \\(two\\)"], deflated)) == "A title of a study\ncafé (two)\nTwo words"
+    for bad in (b"", b"plain", b"%PDF-1.4\n"):
+        with pytest.raises(ValueError):
+            services.local_text(bad)
+
+
+def test_reports(spark, tmp_path):
+    from evigrain.plans import reports
+
+    path = str(tmp_path / "sets")
+    for stamp, digest in (("2024-01-02", "b"), ("2024-01-01", "a")):
+        reports.save_evidence(spark.createDataFrame([(1, "screening", "q", digest, stamp), (2, "screening", None, digest, stamp)], "review_id long, stage string, query string, evidence_digest string, saved_at string"), path)
+    assert [(r.review_id, r.evidence_digest) for r in reports.evidence_sets(spark, path).orderBy("review_id").collect()] == [(1, "b"), (2, "b")]
+    reports.save_verifications(spark.createDataFrame([(1, "s", "h", None, True, ["x"], None, None)], reports.VERIFICATIONS), str(tmp_path / "v"))
+    svg = reports.scatter_svg([("lsh <8>", 0.5, 0.25)])
+    import xml.etree.ElementTree as ET
+
+    assert len(ET.fromstring(svg).findall(".//{http://www.w3.org/2000/svg}circle")) == 2
+    claims = spark.createDataFrame([(0, "cats purr loudly"), (1, "dogs bark often")], "claim_no int, claim string")
+    sets = {"e": spark.createDataFrame([("cats purr loudly here",), ("nothing",)], "text string"), "a": spark.createDataFrame([("dogs bark often",)], "text string")}
+    got = {(r.left_set, r.right_set): (r.n_lost, r.n_gained, r.n_kept, r.divergence) for r in reports.divergence_between(claims, sets, [("e", "e"), ("e", "a")]).collect()}
+    assert got == {("e", "e"): (0, 0, 1, 0.0), ("e", "a"): (1, 1, 0, 1.0)}
+    assert protocol.health()["ok"] and set(protocol.backends()["chunkers"]) == set(chunking.NAMES)
+
+
+def test_study(spark):
+    from evigrain.plans import reports
+
+    corpus = R.canonical(B.synthetic(spark, 30, ["eeg", "text", "sleep"])).withColumn("record_id", R.record_id())
+    out = reports.study(corpus, "effects of sleep", k=5, chunker="record", section="abstract", seeds=2, repeats=1)
+    assert out["verification"]["verified"] and out["coverage"]["records"] == 30 and out["latency"]["chunks"] == 30 and 0 <= out["stability"]["ess"] <= 1
+    assert R.by_id(corpus, corpus.first().record_id).count() == 1
+
+
 def test_pdf_folder_to_records(spark, tmp_path):
     tei = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>T</title></titleStmt></fileDesc></teiHeader><text><body><div><head>Methods</head><p>We did.</p></div></body></text></TEI>'
     for name, content in (("a_b.pdf", "plain words of a page"), ("c.pdf", tei), ("d.pdf", "<broken"), ("e.pdf", "boom"), ("f.pdf", " "), ("skip.txt", "x")):
