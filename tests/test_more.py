@@ -118,6 +118,20 @@ def test_reports(spark, tmp_path):
     assert protocol.health()["ok"] and set(protocol.backends()["chunkers"]) == set(chunking.NAMES)
 
 
+def test_experiment_grid(spark, tmp_path):
+    corpus = R.canonical(B.synthetic(spark, 24, ["eeg", "text", "sleep"])).withColumn("record_id", R.record_id())
+    queries = spark.createDataFrame([("q1", "sleep effects"), ("q2", "eeg in sample")], "query_id string, query_text string")
+    rows = experiment.run_experiment(corpus, queries, [12, 500], ["record", {"name": "semantic", "params": {"jitter": 0.1}, "seeds": [1, 2]}], [{"backend": "lsh", "params": {"bits": 4, "tables": 2}, "seeds": [0, 1]}], k=4, dimension=64)
+    kinds = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {"exact": 6, "approx": 12, "chunker": 2, "chunker_stability": 2}
+    assert rows.where("kind = 'exact' AND size(chunk_ids) <> 4").count() == 0 and rows.where("span_jaccard < 0 OR span_jaccard > 1 OR corpus_size <> 12").count() == 0
+    axes = {r.axis: r.n for r in experiment.variance_decomposition(rows).collect()}
+    assert axes == {"index": 6, "chunker choice": 2, "chunker seed": 2}
+    experiment.save_rows(rows, str(tmp_path / "grid"))
+    assert {p.name for p in (tmp_path / "grid").glob("kind=*")} == {f"kind={k}" for k in kinds}
+    assert experiment.run_experiment(corpus, queries, [500], ["record"], []).count() == 0
+
+
 def test_study(spark):
     from evigrain.plans import reports
 
