@@ -284,7 +284,8 @@ def parsed_nodes(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     # nodes: distinct word sets; initials of all their spellings (letters only, so at most 26)
     nodes = parsed.groupBy("node").agg(F.first("kind").alias("kind"), F.first("words").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("initials")))).alias("letters"), F.first("initials").alias("typed"))
     # a bare surname's initials in the order typed, the given name's first: its node holds one spelling of them
-    nodes = cut(nodes.select("node", "kind", "words", F.when(F.size("words") < 2, F.col("typed")).otherwise(F.col("letters")).alias("initials")))
+    nodes = nodes.select("node", "kind", "words", F.when(F.size("words") < 2, F.col("typed")).otherwise(F.col("letters")).alias("initials"))
+    nodes = cut(spread(nodes))  # each gives some 50 keys
     return parsed, nodes
 
 

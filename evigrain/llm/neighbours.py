@@ -49,7 +49,7 @@ PROBES = 5
 #: the radius collides with that may be missing.
 BASES, SLACK = 1, 1.25
 #: The cosines whose radii the windows widen to, one after another.
-RADII = (0.9, 0.65, 0.5, 0.4, 0.3)
+RADII = (0.9, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3)
 #: Buckets between the projections -1 and 1, to which windows are rounded outwards.
 BUCKETS = 2_048
 #: Queries counted at a time, pairs verified at a time, members of a bit table.

@@ -121,10 +121,15 @@ def read_pages(text: str, title: str | None, venue: str | None, authors) -> tupl
         elif near and line[:1].isupper() and not line.endswith((".", "!", "?", ",", ";", ":")) and len(line) < 0.9 * width and (line.isupper() or len(h) >= 8 and sum(w[:1].isupper() for w in line.split()) * 2 > len(line.split())):
             header.add(i)
     # fuzzy repetition: a line like one that is a header already
-    known = {heads[k] for k in header}
-    for i, h in heads.items():
-        if i not in header and len(h) >= 8 and any(abs(len(h) - len(k)) < 4 and alike(h, k) for k in known):
-            header.add(i)
+    pieces: dict[str, set[str]] = {}  # lines that are alike share one of their pieces of six signs
+    for h in {heads[k] for k in header}:
+        for at in range(len(h) - 5):
+            pieces.setdefault(h[at : at + 6], set()).add(h)
+    for i, h in heads.items() if pieces else ():
+        if i not in header and len(h) >= 8:
+            near = set().union(*(pieces.get(h[at : at + 6], ()) for at in range(0, len(h) - 5, 6)))
+            if any(abs(len(h) - len(k)) < 4 and alike(h, k) for k in near):
+                header.add(i)
     header = {i for i in header if inside(i)}
     values = sorted((i, int(v)) for i, v in numbers.items() if v.isdigit())
     sequence = {i for (a, x), (b, y) in zip(values, values[1:]) if 0 < y - x <= 3 for i in (a, b)}
