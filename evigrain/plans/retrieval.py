@@ -35,9 +35,15 @@ class Settings:
         return {"embedder": f"hash/v1(dim={self.dimension},ngram={self.ngram},prec=6,norm=l2)", "index": f"{self.index}/v1({inner})", "chunker": self.chunker}
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def embedded(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """chunk_id, v: the chunks' vectors, to be written once and given to every retrieval with the same settings."""
+    return chunks.where("chunk_id IS NOT NULL").select("chunk_id", V.hash_embedding(F.col("text"), settings.dimension, settings.ngram).alias("v"))
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), vectors: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank_no. ``chunks``: chunk_id, text, section; ``queries``: query_id, query_text. The
-    section filter is applied before anything is embedded or ranked, so k results come if the pool has them."""
+    section filter is applied before anything is embedded or ranked, so k results come if the pool has them. ``vectors``:
+    what ``embedded`` gave, so that the corpus isn't embedded again."""
     if settings.mode not in ("dense", "lexical", "hybrid"):
         raise ValueError(f"unknown mode {settings.mode!r}")
     pool = chunks.select("chunk_id", "text", "section").where("chunk_id IS NOT NULL")
@@ -46,7 +52,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings = Setting
     lists = []
     fetch = settings.k * settings.overfetch if settings.section_filter and settings.mode == "hybrid" else settings.k
     if settings.mode in ("dense", "hybrid"):
-        v = pool.select("chunk_id", V.hash_embedding(F.col("text"), settings.dimension, settings.ngram).alias("v"))
+        v = embedded(pool, settings) if vectors is None else vectors.join(pool.select("chunk_id"), "chunk_id", "left_semi") if settings.section_filter else vectors
         q = queries.select("query_id", V.hash_embedding(F.col("query_text"), settings.dimension, settings.ngram).alias("q"))
         kwargs = {"dimension": settings.dimension} if settings.index == "lsh" else {}
         lists.append(search.build_index(settings.index, **settings.index_params)(v, q, fetch, key="chunk_id", **kwargs))

@@ -446,17 +446,24 @@ def run_lists(spark, root):
     return metrics.lists_of(table(spark, root, "ranked_hits"), ["query_id", "run_id"])
 
 
-@query(f"SELECT query_id, run_id, round_even({JACCARD_SQL}, 9) AS jaccard, round_even({RBO_SQL}, 6) AS rbo FROM ({NEIGHBOURS_SQL})")
+PAIRS_OF_RUNS_SQL = f"SELECT a.query_id, a.run_id AS run_a, b.run_id AS run_b, a.ids, b.ids AS before_ids FROM ({LISTS_SQL}) a JOIN ({LISTS_SQL}) b ON a.query_id = b.query_id AND a.run_id < b.run_id"
+
+
+def run_pairs(spark, root):
+    return metrics.run_pairs(run_lists(spark, root), "query_id", "run_id").select("query_id", F.col("o1").alias("run_a"), F.col("o2").alias("run_b"), "i1", "i2")
+
+
+@query(f"SELECT query_id, run_a, run_b, round_even({JACCARD_SQL}, 9) AS jaccard, round_even({RBO_SQL}, 6) AS rbo FROM ({PAIRS_OF_RUNS_SQL})")
 def run_agreement(spark, root):
-    a, b = F.col("ids"), F.col("before_ids")
-    return metrics.consecutive(run_lists(spark, root), "query_id", "run_id").select("query_id", "run_id", F.bround(metrics.jaccard(a, b), 9).alias("jaccard"), F.bround(metrics.rank_biased_overlap(a, b), 6).alias("rbo"))
+    a, b = F.col("i1"), F.col("i2")
+    return run_pairs(spark, root).select("query_id", "run_a", "run_b", F.bround(metrics.jaccard(a, b), 9).alias("jaccard"), F.bround(metrics.rank_biased_overlap(a, b), 6).alias("rbo"))
 
 
-@query(f"""WITH n AS ({NEIGHBOURS_SQL}), c AS (SELECT query_id, run_id, list_filter(ids, lambda x: list_contains(before_ids, x)) AS c, before_ids AS b FROM n), p AS (SELECT query_id, run_id, list_transform(c, lambda x: list_position(b, x)) AS p FROM c),
-  k AS (SELECT query_id, run_id, len(p) AS n, list_sum(list_transform(range(1, len(p) + 1), lambda i: len(list_filter(p[i + 1:], lambda x: x > p[i])))) AS s FROM p)
-  SELECT query_id, run_id, round_even(CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 1.0 ELSE (2 * s - n * (n - 1) / 2) / (n * (n - 1) / 2) END, 9) AS tau FROM k""")
+@query(f"""WITH n AS ({PAIRS_OF_RUNS_SQL}), c AS (SELECT query_id, run_a, run_b, list_filter(ids, lambda x: list_contains(before_ids, x)) AS c, before_ids AS b FROM n), p AS (SELECT query_id, run_a, run_b, list_transform(c, lambda x: list_position(b, x)) AS p FROM c),
+  k AS (SELECT query_id, run_a, run_b, len(p) AS n, list_sum(list_transform(range(1, len(p) + 1), lambda i: len(list_filter(p[i + 1:], lambda x: x > p[i])))) AS s FROM p)
+  SELECT query_id, run_a, run_b, round_even(CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 1.0 ELSE (2 * s - n * (n - 1) / 2) / (n * (n - 1) / 2) END, 9) AS tau FROM k""")
 def kendall_tau(spark, root):
-    return metrics.consecutive(run_lists(spark, root), "query_id", "run_id").select("query_id", "run_id", F.bround(metrics.kendall_tau(F.col("ids"), F.col("before_ids")), 9).alias("tau"))
+    return run_pairs(spark, root).select("query_id", "run_a", "run_b", F.bround(metrics.kendall_tau(F.col("i1"), F.col("i2")), 9).alias("tau"))
 
 
 STABILITY_SQL = f"SELECT query_id, {{n}} AS n_lists, round_even(avg({JACCARD_SQL}), 6) AS ess, round_even(coalesce(stddev_samp({JACCARD_SQL}), 0), 6) AS ess_std, round_even(avg((ids = before_ids)::INT), 6) AS identical_fraction FROM ({{pairs}}) GROUP BY 1"

@@ -28,6 +28,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in PINNED.items():
         builder = builder.config(key, value)
