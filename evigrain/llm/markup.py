@@ -101,6 +101,8 @@ def from_html(text: str) -> tuple[str, bool]:
             return "\n" if m.group(1) else "\n- "
         if short in ("td", "th"):
             return " | " if m.group(1) else ""
+        if re.fullmatch("h[1-6]|title", short) and not m.group(1):
+            return "\n" + HEADING
         if short in BLOCKS:
             return "\n"
         return ""
@@ -127,7 +129,7 @@ def from_latex(text: str) -> tuple[str, bool]:
         before = text
         text = DROP_WITH_ARGUMENT.sub("", text)
         text = ENVIRONMENT.sub("\n", text)
-        text = HEADING_COMMAND.sub(r"\n\1\n", text)
+        text = HEADING_COMMAND.sub(rf"\n{HEADING}\1\n", text)
         text = ACCENT.sub(lambda m: unicodedata.normalize("NFC", (m.group(2) or m.group(4) or m.group(5)) + ACCENTS[m.group(1) or m.group(3)]), text)
         text = LETTER.sub(lambda m: LETTERS[m.group(1) or m.group(2)], text)
         for _ in range(4):
@@ -160,7 +162,7 @@ def from_wiki(text: str) -> tuple[str, bool]:
     text = WIKI_LIST.sub("- ", text)
     text = LINK.sub(lambda m: "" if re.match(r"(?:Category|File|Image):", m.group(1) or m.group(2)) else m.group(2), text)
     text = EMPHASIS.sub(r"\2", text)
-    text = WIKI_HEADING.sub(r"\2", text)
+    text = WIKI_HEADING.sub(rf"{HEADING}\2", text)
     if "{|" in text:
         text = re.sub(r"(?m)^[|!][ \t]*", "", WIKI_TABLE.sub("", text))
     return text, text != before
@@ -183,7 +185,7 @@ def from_markdown(text: str) -> tuple[str, bool]:
     text = STRONG.sub(lambda m: m.group(1) or m.group(2), text)
     text = STRUCK.sub(r"\1", text)
     text = LIGHT.sub(r"\1", text)
-    text = HASH_HEADING.sub(r"\1", text)
+    text = HASH_HEADING.sub(rf"{HEADING}\1", text)
     text = QUOTED.sub("", text)
     if RULED.search(text):
         text = ROW.sub(lambda m: m.group(1).strip(), RULED.sub("", text))
@@ -193,30 +195,36 @@ def from_markdown(text: str) -> tuple[str, bool]:
     return re.sub(r"\x02(\d+)\x03", lambda m: code[int(m.group(1))], text), changed
 
 
+#: Marks a heading's line until the end, and how many loose lines make a menu or a footer.
+#: Lines of a list, a table or code, and lines that end a sentence or hold a number: kept wherever they stand.
+HEADING, LOOSE = "\x04", 2
+STRUCTURAL = re.compile(rf"^{HEADING}|^\s*(?:- |\d+[.)] )|\|| {{4}}|\d|[.!?;:]\s*$")
+
+
 def main_text(text: str, window: int = 3, least_lines: int = 12) -> str:
-    """Line-block distribution over the lines of a stripped page."""
+    """Line-block distribution over the lines of a stripped page: a surge is a window of lines whose length passes half
+    the mean of all windows, a dive one that falls to a sixth of it. Short lines before the first surge and behind the
+    last dive go where there are LOOSE of them on a side (one alone may be a word of a wrapped line); between them
+    everything stays, and so do headings (lines that begin with HEADING) anywhere."""
     lines = text.split("\n")
     if len(lines) < least_lines:
         return text
     sizes = [len(re.sub(r"\s+", "", line)) for line in lines]
     sums = [sum(sizes[i : i + window]) for i in range(len(lines))]
-    threshold = max(80, sum(sums) / len(sums) / 2)
-    keep = [False] * len(lines)
-    i = 0
-    while i < len(lines):
-        if sums[i] >= threshold:  # a surge; the text goes on to the dive
-            j = i
-            while j < len(lines) and sums[j] > 0:
-                j += 1
-            for k in range(i, min(len(lines), j + window - 1)):
-                keep[k] = True
-            i = j
-        i += 1
-    if not any(keep):
+    surge = max(80, sum(sums) / len(sums) / 2)
+    first = next((i for i, n in enumerate(sums) if n >= surge), None)
+    if first is None:
         return text
-    first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
-    structural = re.compile(r"^\s*(?:- |\d+[.)] )|\|| {4}")
-    return "\n".join(line for k, line in enumerate(lines) if first <= k <= last or structural.search(line) or sizes[k] >= threshold)
+    last = max(i for i, n in enumerate(sums) if n >= surge)
+    last = max(k for k in range(last, min(len(lines), last + window)) if sizes[k] >= surge / 3 or k == last)
+    while last + 1 < len(lines) and sums[last + 1] >= surge / 3:
+        last += 1
+    stays = lambda k: bool(STRUCTURAL.search(lines[k])) or sizes[k] >= surge
+    kept = set(range(first, last + 1))
+    for side in (range(first), range(last + 1, len(lines))):
+        loose = [k for k in side if not stays(k) and any(map(str.isalpha, lines[k]))]
+        kept |= {k for k in side if stays(k) or len(loose) < LOOSE}
+    return "\n".join(line for k, line in enumerate(lines) if k in kept)
 
 
 def strip_markup(text: str | None) -> tuple[str | None, list[str]]:
@@ -242,7 +250,7 @@ def strip_markup(text: str | None) -> tuple[str | None, list[str]]:
                 plain = new
     if not kinds:
         return text, []
-    plain = main_text(plain)
+    plain = main_text(plain).replace(HEADING, "")
     plain = re.sub(r"[ \t\u00a0]+\n", "\n", re.sub(r"[^\S\n]{2,}", " ", plain))
     return re.sub(r"\n{3,}", "\n\n", plain).strip(), [k for k in KINDS if k in kinds]
 

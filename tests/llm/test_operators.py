@@ -168,6 +168,21 @@ def test_markup(spark):
     assert markup.clean(empty(spark), "record_key", ("title",)).count() == 0
 
 
+def test_menus_and_footers_around_marked_up_text(spark):
+    """The line blocks act on what is left of a page once its markup is off, whatever the markup; headings, lists and
+    code inside the text stay."""
+    menu, foot = ["Home", "About us", "Journals", "Search", "Login"], ["Contact", "Imprint", "Terms", "Privacy"]
+    body = [f"Sentence {i} of the study tells at some length what was measured, how, and in which of the groups it held." for i in range(8)]
+    html = "".join(f"<div>{x}</div>" for x in menu) + "<h2>Methods</h2>" + "".join(f"<p>{x}</p>" for x in body[:4]) + "<ul><li>first item</li></ul>" + "".join(f"<p>{x}</p>" for x in body[4:]) + "".join(f"<div>{x}</div>" for x in foot)
+    markdown = "\n".join([*menu, "", *body[:4], "", "## **Results**", "", "- first item", "", *body[4:], "", *foot])
+    recs = spark.createDataFrame([record(1, "t", html), record(2, "t", markdown)], RECORDS)
+    got = {r.record_key: r.text_clean for r in markup.clean(recs, "record_key", ("abstract",)).collect()}
+    for key, heading in ((1, "Methods"), (2, "Results")):
+        lines = got[key].split("\n")
+        assert all(x in lines for x in [*body, "- first item"]) and (key == 1 or heading in lines)
+        assert not set(lines) & {*menu[:-2], *foot[2:]}
+
+
 def test_scans(spark):
     words = "community pharmacists completed questionnaires about estimators and thresholds during well-known sessions"
     sound = [record(100 + i, f"Title {i}", words, full_text=words) for i in range(60)]
