@@ -23,7 +23,10 @@ def jaccard(a: Column, b: Column) -> Column:
 def rank_biased_overlap(a: Column, b: Column, p: float = 0.9) -> Column:
     """Truncated at the longer list and normalised to 1 for equal lists; two empty lists agree."""
     depth = F.greatest(F.size(a), F.size(b))
-    terms = F.aggregate(F.sequence(F.lit(1), depth), F.lit(0.0), lambda s, d: s + F.size(F.array_intersect(F.slice(a, F.lit(1), d), F.slice(b, F.lit(1), d))) / d * F.pow(F.lit(p), d - 1))
+    # a common id counts at every depth from its later place on
+    tail = lambda m: F.aggregate(F.sequence(m, depth), F.lit(0.0), lambda s, d: s + F.pow(F.lit(p), d - 1) / d)
+    later = lambda x: F.greatest(F.array_position(a, x), F.array_position(b, x)).cast("int")
+    terms = F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, x: s + tail(later(x)))
     return F.when(depth == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), terms / ((1 - F.pow(F.lit(p), depth)) / (1 - p))))
 
 
