@@ -327,10 +327,18 @@ def _flat(metric):
 for _metric, _sql in (("cosine", "list_dot_product(u.v, q.v)"), ("ip", "list_dot_product(u.e, q.e)"), ("l2", "-list_distance(u.e, q.e)")):
     query(TOP(PAIRS(_sql)), f"flat_{_metric}_topk")(_flat(_metric))
 
-BITS, TABLES = 8, 2
+#: A coarse index, whose fidelity is measured, and one that finds nine of ten neighbours here: tables and bits to flip.
+BITS, TABLES, FINE, FLIPS = 8, 2, 12, 2
 NORMALS = search.planes(64, BITS, TABLES, 42)
-_planes_sql = ", ".join(f"({t}, {b}, {[float(x) for x in NORMALS[t, b]]}::DOUBLE[])" for t in range(TABLES) for b in range(BITS))
-CODES_SQL = f"SELECT id, t AS table_no, sum(CASE WHEN list_dot_product(v, p) > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM ({UNIT_SQL}), (VALUES {_planes_sql}) x(t, b, p) GROUP BY 1, 2"
+
+
+def codes_sql(tables: int) -> str:
+    normals = search.planes(64, BITS, tables, 42)
+    planes = ", ".join(f"({t}, {b}, {[float(x) for x in normals[t, b]]}::DOUBLE[])" for t in range(tables) for b in range(BITS))
+    return f"SELECT id, t AS table_no, sum(CASE WHEN list_dot_product(v, p) > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM ({UNIT_SQL}), (VALUES {planes}) x(t, b, p) GROUP BY 1, 2"
+
+
+CODES_SQL = codes_sql(TABLES)
 
 
 @query(CODES_SQL)
@@ -339,14 +347,15 @@ def lsh_signature(spark, root):
     return search.signatures(v.withColumn("v", V.unit(F.col("v"))), NORMALS).select("id", F.col("table_no").cast("int").alias("table_no"), "code")
 
 
-LSH_SQL = TOP(f"WITH c AS ({CODES_SQL}), u AS ({UNIT_SQL}), m AS (SELECT DISTINCT q.id AS query_id, c.id FROM c JOIN c q ON q.id % 20 = 0 AND c.table_no = q.table_no AND bit_count(xor(c.code, q.code)) <= 1) SELECT query_id, m.id, round_even(list_dot_product(a.v, b.v), 9) AS score FROM m JOIN u a ON a.id = m.id JOIN u b ON b.id = m.query_id")
+lsh_sql = lambda tables, radius: TOP(f"WITH c AS ({codes_sql(tables)}), u AS ({UNIT_SQL}), m AS (SELECT DISTINCT q.id AS query_id, c.id FROM c JOIN c q ON q.id % 20 = 0 AND c.table_no = q.table_no AND bit_count(xor(c.code, q.code)) <= {radius}) SELECT query_id, m.id, round_even(list_dot_product(a.v, b.v), 9) AS score FROM m JOIN u a ON a.id = m.id JOIN u b ON b.id = m.query_id")
+LSH_SQL = lsh_sql(TABLES, 1)
 
 
 def _lsh(spark, root):
-    return search.lsh(*vec_sides(spark, root), 10, BITS, TABLES)
+    return search.lsh(*vec_sides(spark, root), 10, BITS, FINE, FLIPS)
 
 
-query(LSH_SQL, "lsh_topk")(_lsh)
+query(lsh_sql(FINE, FLIPS), "lsh_topk")(_lsh)
 
 
 @query()

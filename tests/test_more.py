@@ -195,8 +195,8 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["records"] == 6
 
 
-@pytest.mark.parametrize("name", ["ivf_topk", "ivfpq_topk"])
-def test_inverted_files_find_nine_of_ten(spark, small, name):
+@pytest.mark.parametrize("name", ["ivf_topk", "ivfpq_topk", "lsh_topk"])
+def test_indexes_find_nine_of_ten(spark, small, name):
     best, got = ({(r.query_id, r.id) for r in core.QUERIES[q](spark, small).collect()} for q in ("flat_cosine_topk", name))
     assert len(best & got) >= 0.9 * len(best)
 
