@@ -111,13 +111,13 @@ def read_pages(text: str, title: str | None, venue: str | None, authors) -> tupl
         near = (i > 0 and page[i - 1]) or (i + 1 < len(lines) and page[i + 1])
         if line[:1].islower() and counts[h] < 2 and not near and not ET_AL.match(line):
             continue
-        if ET_AL.match(line) or any(alike(h, s) for s in own):
+        if counts[h] > 1 and not line.endswith((".", "!", "?")):  # it repeats
+            header.add(i)
+        elif ET_AL.match(line) or any(alike(h, s) for s in own):  # met once only, but by its words a header
             if len(line) < 0.9 * width or near or counts[h] > 1:
                 header.add(i)
         elif YEAR_END.search(line) and line[:1].isupper():
             header.add(i)
-        elif counts[h] > 1 and not line.endswith((".", "!", "?")):
-            header.add(i)
         elif near and line[:1].isupper() and not line.endswith((".", "!", "?", ",", ";", ":")) and len(line) < 0.9 * width and (line.isupper() or len(h) >= 8 and sum(w[:1].isupper() for w in line.split()) * 2 > len(line.split())):
             header.add(i)
     # fuzzy repetition: a line like one that is a header already
