@@ -194,6 +194,15 @@ def _spec(name: str, **values) -> str:
 NAMES = ("record", "fixed", "sentence", "tei-section", "paragraph", "recursive", "sliding-sentence", "semantic")
 
 
+_OWN: dict[str, Callable[..., tuple[str, Callable[[], Column]]]] = {}
+
+
+def register(name: str, make: Callable[..., tuple[str, Callable[[], Column]]]) -> None:
+    """A chunker of one's own: ``make(**params)`` gives its spec and a function without arguments that returns the column
+    of pieces (PIECES) of a record."""
+    _OWN[name] = make
+
+
 def in_order(chunks: DataFrame) -> DataFrame:
     """Chunks by record and place, as a whole corpus is read."""
     return chunks.orderBy("record_id", "ordinal", "chunk_id")
@@ -201,6 +210,8 @@ def in_order(chunks: DataFrame) -> DataFrame:
 
 def build(name: str, **p) -> tuple[str, Callable[[], Column]]:
     """(spec, pieces) of a chunker by name."""
+    if name in _OWN:
+        return _OWN[name](**p)
     if name == "record":
         return "record/v1", record_pieces
     if name == "fixed":

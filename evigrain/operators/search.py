@@ -258,8 +258,36 @@ BACKENDS = {"flat": True, "pgvector": True, "lsh": False, "ivf": False, "ivfpq":
 UNAVAILABLE = ("hnsw", "qdrant", "chroma")
 
 
+_OWN: dict[str, object] = {}
+
+
+def register(name: str, make, exact: bool = False) -> None:
+    """A back end of one's own: ``make(**params)`` gives a function (vectors, queries, k, **columns) -> ranked rows."""
+    _OWN[name] = make
+    BACKENDS[name] = exact
+
+
+def checked(vectors: DataFrame, key: str = "id", vector: str = "v", dimension: int | None = None) -> int:
+    """The vectors' common length; ValueError where there is none, an id is missing or there twice, or a vector has
+    another length or a number that isn't finite. For callers that want wrong input refused; searches leave it out."""
+    v = F.col(vector)
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    seen = vectors.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("ids"), F.count_if(F.col(key).isNull()).alias("nameless"), F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count_if(v.isNull() | odd).alias("odd"),
+    ).collect()[0]
+    wrong = [
+        ("no vectors", seen.n == 0), ("ids missing", seen.nameless > 0), ("ids there twice", seen.nameless == 0 and seen.ids < seen.n), ("null vectors or numbers that aren't finite", seen.odd > 0),
+        ("vectors of several lengths", seen.low != seen.high), (f"vectors of length {seen.high}, not {dimension}", dimension is not None and seen.high != dimension),
+    ]
+    if found := [what for what, so in wrong if so]:
+        raise ValueError("; ".join(found))
+    return seen.high
+
+
 def build_index(name: str, **params):
     """A search function (vectors, queries, k) -> ranked rows, by name."""
+    if name in _OWN:
+        return _OWN[name](**params)
     if name in ("flat", "pgvector"):  # without an index of its own the latter scans, as the former does
         return lambda v, q, k, **kw: exact(v, q, k, **params, **kw)
     if name == "lsh":

@@ -55,6 +55,14 @@ def review_source(fetch: Fetch = http_fetch) -> type[DataSource]:
     return ReviewFiles
 
 
+def review_protocol(url: str, review: str, token: str = "", fetch: Fetch = http_fetch) -> tuple:
+    """The protocol of a review as a row of plans.protocol.PROTOCOL: one small answer, fetched on the driver."""
+    body = json.loads(fetch(f"{url.rstrip('/')}/reviews/{review}", {"Authorization": f"Bearer {token}", "Accept": "application/json"}))
+    row = body.get("data", body)
+    own = row.get("protocol") or row
+    return int(review), row.get("title"), *(own.get(n) for n in ("population", "intervention", "comparison", "outcome")), [str(f) for f in own.get("extraction_fields") or []]
+
+
 def tei_extractor(url: str, post: Callable[[str, bytes], bytes]) -> Callable[[bytes], str]:
     """The function bibliography.extract_pdfs takes: sends a file to a full-text service and returns its TEI."""
     def extract(content: bytes) -> str:

@@ -179,6 +179,26 @@ def test_review_source(spark):
     assert {r.full_text for r in B.from_source_files(df).collect()} == {"Text of 4", "Text of 5"}
 
 
+def test_review_protocol(spark):
+    row = services.review_protocol("http://x/", "7", "t", lambda url, headers: json.dumps({"data": {"title": "T", "protocol": {"population": "adults", "extraction_fields": ["n"]}}}).encode())
+    got = protocol.protocol_queries(spark.createDataFrame([row], protocol.PROTOCOL)).collect()
+    assert {(r.review_id, r.query_id, r.query_text) for r in got} == {(7, "pico", "adults"), (7, "field-0", "n")}
+
+
+def test_own_chunker_and_back_end(spark):
+    chunking.register("title", lambda **p: ("title/v1", lambda: F.array(chunking.piece(F.lit("title"), F.col("title")))))
+    df = R.canonical(B.synthetic(spark, 3, ["eeg"])).withColumn("record_id", R.record_id())
+    assert {r.text for r in chunking.chunk(df, "title").collect()} == {f"Study 0000{i} on eeg" for i in range(3)}
+    search.register("none", lambda **p: lambda v, q, k, **kw: v.limit(0))
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, v array<double>")
+    assert search.build_index("none")(v, v, 1).count() == 0 and search.checked(v) == 2
+    for bad, what in (([(1, [1.0]), (2, [0.0, 1.0])], "several lengths"), ([(1, [1.0]), (1, [2.0])], "twice"), ([(None, [1.0])], "missing"), ([(1, [float("nan")])], "finite"), ([], "no vectors")):
+        with pytest.raises(ValueError, match=what):
+            search.checked(spark.createDataFrame(bad, "id int, v array<double>"))
+    with pytest.raises(ValueError, match="not 3"):
+        search.checked(v, dimension=3)
+
+
 def test_commands(spark, tmp_path, capsys):
     from evigrain.__main__ import main
 
