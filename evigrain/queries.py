@@ -724,7 +724,22 @@ def protocol_queries(spark, root):
     return protocol.protocol_queries(spark.createDataFrame(_PROTOCOLS, protocol.PROTOCOL))
 
 
-@query()
+def _pieces_sql(words: str, pieces: str) -> str:
+    return f"(SELECT record_id, src, list_filter(list_transform({pieces}, lambda t: {collapse('t')}), lambda t: t <> '') AS ps FROM (SELECT record_id, '. ' || coalesce(text, '') AS src, {words} AS w FROM ({DOCS_SQL})))"
+
+
+_PLACED = "SELECT record_id, s.a AS span_start, s.b AS span_end FROM (SELECT record_id, unnest({spans}) AS s FROM {side})"
+_CUTS = "SELECT record_id, list_distinct(list_concat(list(span_start), list(span_end))) AS cuts FROM {side} WHERE span_start >= 0 AND span_end > span_start GROUP BY 1"
+COMPARED_SQL = f"""WITH pa AS {_pieces_sql(sentences_sql('text'), PACKED_SQL.replace('180', '120'))}, pb AS {_pieces_sql(WORDS('text'), WINDOWS_SQL.format(size=120, step=120))},
+  a AS ({_PLACED.format(spans=SPANS_SQL, side='pa')}), b AS ({_PLACED.format(spans=SPANS_SQL, side='pb')}), ca AS ({_CUTS.format(side='a')}), cb AS ({_CUTS.format(side='b')}), ma AS ({MERGE_SQL.format(by='record_id', source='a')}), mb AS ({MERGE_SQL.format(by='record_id', source='b')}),
+  na AS (SELECT record_id, sum(span_end - span_start) AS n FROM ma GROUP BY 1), nb AS (SELECT record_id, sum(span_end - span_start) AS n FROM mb GROUP BY 1),
+  x AS (SELECT ma.record_id, sum(least(ma.span_end, mb.span_end) - greatest(ma.span_start, mb.span_start)) AS n FROM ma JOIN mb ON ma.record_id = mb.record_id AND least(ma.span_end, mb.span_end) > greatest(ma.span_start, mb.span_start) GROUP BY 1),
+  j AS (SELECT coalesce(ca.record_id, cb.record_id) AS record_id, coalesce(ca.cuts, []) AS l, coalesce(cb.cuts, []) AS m FROM ca FULL JOIN cb ON ca.record_id = cb.record_id)
+  SELECT record_id, round_even(len(list_intersect(l, m)) / len(list_distinct(list_concat(l, m))), 9) AS boundary_jaccard, round_even(coalesce(x.n, 0) / (coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(x.n, 0)), 9) AS span_jaccard, pa.ps = pb.ps AS same_pieces
+  FROM j LEFT JOIN na USING (record_id) LEFT JOIN nb USING (record_id) LEFT JOIN x USING (record_id) JOIN pa USING (record_id) JOIN pb USING (record_id)"""
+
+
+@query(COMPARED_SQL)
 def chunker_comparison(spark, root):
     from evigrain.operators import comparison
 
