@@ -20,7 +20,8 @@ def norm(v: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector at length 1; an all-zero one stays."""
     n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    # the length once beside every number: what a lambda captures is computed at each call
+    return F.zip_with(v, F.array_repeat(F.when(n == 0, F.lit(1.0)).otherwise(n), F.size(v)), lambda x, m: x / m)
 
 
 def quantise(v: Column, digits: int = 6) -> Column:
