@@ -20,7 +20,7 @@ PINNED = {
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark; a cluster passes its own session to the operators."""
+    """A local session for tests and the benchmark; a cluster passes its own session to the operators, after ``ship``."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName("evigrain")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -34,6 +34,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
