@@ -43,7 +43,8 @@ PAIRS: tuple[tuple[tuple[str, str], ...], ...] = (
     (("mac_roman", "cp1252"),), (("cp850", "cp1252"),), (("cp437", "cp1252"),), (("cp1250", "cp1252"),),
     (("cp1251", "cp1252"),), (("cp1251", "koi8_r"),), (("cp1251", "cp866"),), (("cp1251", "mac_roman"),), (("koi8_r", "cp1251"),), (("koi8_r", "cp1252"),), (("cp866", "cp1251"),), (("cp866", "cp1252"),),
 )
-ENTER, LEAVE, INVALID = math.log(1e-3), math.log(0.05), -25.0
+#: INVALID: a character that can't be turned back is so much less likely in a pair's state than in the clean one.
+ENTER, LEAVE, INVALID = math.log(1e-3), math.log(0.05), -15.0
 #: A further character of a multi-byte sequence costs this much.
 FURTHER = -1.0
 #: Shares of all counts: a pair of neighbour classes rarer than SMOOTH has mostly the characters' overall shares, and a
@@ -54,7 +55,10 @@ SMOOTH, FLOOR = 5e-5, 2.5e-11
 SCRIPT = 0.5
 ROUNDS = 1
 CLUSTER = re.compile(r"[^\x00-\x7f]+")
-PIECES = re.compile(r"([^\x00-\x7f]+)")
+#: A cluster longer than this is labelled in pieces (a number of whole sequences of two, three or four characters).
+PIECES = re.compile(r"([^\x00-\x7f]{1,4092})")
+#: Characters of clusters whose emissions, and whose gains alone, a task remembers.
+REMEMBERED, NOTED = 200_000, 4_000_000
 #: A character before, at most 64 characters outside ASCII, a character after.
 COUNTED = re.compile(r"(?:(?<=([\s\S]))|(?<![\s\S]))([^\x00-\x7f]{1,64})(?=([\s\S]?))")
 #: Weights are summed as whole numbers of this part, so that sums don't depend on their order.
@@ -155,10 +159,13 @@ class Gains(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.held = 0
 
     def __missing__(self, key: tuple[str, str, str]) -> float:
-        if len(self) > 200_000:
+        self.held += len(key[1])
+        if self.held > NOTED:
             self.clear()
+            self.held = 0
         classes = self.model.classes
         self[key] = gain = self.model.emissions(classes[key[0]], key[1], classes[key[2]])[2][0]
         return gain
@@ -181,6 +188,7 @@ class Model:
         self.total = sum(self.single.values()) or 1
         self.inverses = [Inverse(p) for p in PAIRS]
         self.cache: dict = {}
+        self.held = 0
         self.logs: dict = {}
         self.gains = Gains(self)
 
@@ -194,7 +202,7 @@ class Model:
         return v
 
     def scored(self, units: list[tuple[str | None, int]], raw: str, before: str, after: str) -> tuple[np.ndarray, np.ndarray]:
-        """(score, whether a unit begins there) of each character."""
+        """(score, NaN where a character can't be turned back; whether a unit begins there) of each character."""
         scores, starts = np.zeros(len(raw)), np.zeros(len(raw), bool)
         chars, places, at = [], [], 0
         for c, n in units:
@@ -204,7 +212,7 @@ class Model:
         starts[places] = True
         for k, (c, n) in enumerate(units):
             if c is None:
-                scores[places[k] : places[k] + n] = 0.0 if raw[places[k]] == LOST else INVALID
+                scores[places[k] : places[k] + n] = 0.0 if raw[places[k]] == LOST else np.nan
                 continue
             left = before if k == 0 else self.classes[chars[k - 1] or raw[places[k] - 1]]
             right = after if k + 1 == len(units) else self.classes[chars[k + 1] or raw[places[k + 1]]]
@@ -220,10 +228,11 @@ class Model:
         if (v := self.cache.get(key)) is None:
             n = len(cluster)
             clean, _ = self.scored([(c if c != LOST else None, 1) for c in cluster], cluster, before, after)
-            bad, each = np.full(n, INVALID), np.ones(n, bool)
+            bad, each = np.full(n, np.nan), np.ones(n, bool)
             held = set(cluster)
             columns = [(clean, each), *((bad, each) if inv.leads.isdisjoint(held) and LOST not in held else self.scored(inv.units(cluster), cluster, before, after) for inv in self.inverses)]
             e, starts = np.stack([c[0] for c in columns], axis=1), np.stack([c[1] for c in columns], axis=1)
+            e = np.where(np.isnan(e), e[:, :1] + INVALID, e)
             sums = np.concatenate([np.zeros((1, e.shape[1] - 1)), (e[:, 1:] - e[:, :1]).cumsum(axis=0)])
             # from a unit's start (or the end) to a unit's start (or the end)
             edge = np.concatenate([starts[:, 1:], np.ones((1, e.shape[1] - 1), bool)])
@@ -232,8 +241,10 @@ class Model:
             suf = np.maximum(total - low.min(axis=0), 0)
             sub = np.maximum((high - np.minimum.accumulate(low, axis=0)).max(axis=0), 0)
             v = e, starts, (float(sub.max()), float(pre.max()), float(suf.max()), float(total.max())), (sub, pre, suf, total)
-            if len(self.cache) > 200_000:
+            self.held += n
+            if self.held > REMEMBERED:
                 self.cache.clear()
+                self.held = 0
             self.cache[key] = v
         return v
 
@@ -263,7 +274,8 @@ class Model:
         values, top, run = [], 0.0, 0.0
         classes, cache = self.classes, self.cache
         for i in range(1, len(pieces), 2):
-            key = classes[pieces[i - 1][-1:]], pieces[i], classes[pieces[i + 1][:1]]
+            before, after = pieces[i - 1][-1:] or "".join(pieces[i - 2 : i - 1])[-1:], pieces[i + 1][:1] or "".join(pieces[i + 2 : i + 3])[:1]
+            key = classes[before], pieces[i], classes[after]
             v = cache.get(key) or self.emissions(*key)
             values.append(v)
             sub, pre, suf, total = v[2]

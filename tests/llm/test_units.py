@@ -251,6 +251,16 @@ def test_bounds_hold_every_labelled_run():
             assert any(m.viterbi(*(np.concatenate([x[i] for x in em]) for i in (0, 1)))) == bool(m.label(text)), text
 
 
+def test_clusters_of_any_length():
+    m = model()
+    sound = "é" * 3 + "語" * 100_000
+    assert m.repair(sound) == (sound, [])
+    word = "Größe"
+    bad = garbled("ñ" * 30_000, ("utf-8", "cp1252"))
+    fixed, spans = m.repair(f"{word} {bad} {word}")
+    assert fixed == f"{word} {'ñ' * 30_000} {word}" and len(spans) == 1
+
+
 def test_chances_are_those_of_all_paths():
     m = model()
     for cluster in ("Ã©", "â€™", "é", "Ãã"):
