@@ -44,6 +44,9 @@ PAIRS: tuple[tuple[tuple[str, str], ...], ...] = (
     (("cp1251", "cp1252"),), (("cp1251", "koi8_r"),), (("cp1251", "cp866"),), (("cp1251", "mac_roman"),), (("koi8_r", "cp1251"),), (("koi8_r", "cp1252"),), (("cp866", "cp1251"),), (("cp866", "cp1252"),),
 )
 #: INVALID: a character that can't be turned back is so much less likely in a pair's state than in the clean one.
+#: ALONE: a sign that stands alone between no letters (a rare symbol, say) gains no more than this in a pair of single-byte
+#: encodings, so that it takes several to speak for one.
+ALONE = 3.0
 ENTER, LEAVE, INVALID = math.log(1e-3), math.log(0.05), -15.0
 #: A further character of a multi-byte sequence costs this much.
 FURTHER = -1.0
@@ -187,6 +190,8 @@ class Model:
             self.scripts[before.lower(), self.classes[c].lower(), after.lower()] += n
         self.total = sum(self.single.values()) or 1
         self.inverses = [Inverse(p) for p in PAIRS]
+        #: Columns of the pairs of single-byte encodings.
+        self.single_byte = [i + 1 for i, p in enumerate(PAIRS) if all(right != "utf-8" for right, _ in p)]
         self.cache: dict = {}
         self.held = 0
         self.logs: dict = {}
@@ -233,6 +238,8 @@ class Model:
             columns = [(clean, each), *((bad, each) if inv.leads.isdisjoint(held) and LOST not in held else self.scored(inv.units(cluster), cluster, before, after) for inv in self.inverses)]
             e, starts = np.stack([c[0] for c in columns], axis=1), np.stack([c[1] for c in columns], axis=1)
             e = np.where(np.isnan(e), e[:, :1] + INVALID, e)
+            if n == 1 and before in "sdp" and after in "sdp":
+                e[:, self.single_byte] = np.minimum(e[:, self.single_byte], e[:, :1] + ALONE)
             sums = np.concatenate([np.zeros((1, e.shape[1] - 1)), (e[:, 1:] - e[:, :1]).cumsum(axis=0)])
             # from a unit's start (or the end) to a unit's start (or the end)
             edge = np.concatenate([starts[:, 1:], np.ones((1, e.shape[1] - 1), bool)])

@@ -251,6 +251,11 @@ def test_bounds_hold_every_labelled_run():
             assert any(m.viterbi(*(np.concatenate([x[i] for x in em]) for i in (0, 1)))) == bool(m.label(text)), text
 
 
+@pytest.mark.parametrize("text", ["values of α were low", "a mean of σ = 0.5", "at 5 π / 2"])
+def test_a_rare_symbol_alone_is_no_case(text):
+    assert model().repair(text) == (text, [])
+
+
 def test_clusters_of_any_length():
     m = model()
     sound = "é" * 3 + "語" * 100_000
